@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewright.llm.decontaminate import contamination, digest
 from notewright.llm.mixing import mix_sources
+from notewright.llm.quality_rules import quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +24,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), cycle_weights)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix_sources": op1_mix_sources}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}
