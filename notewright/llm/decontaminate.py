@@ -143,8 +143,8 @@ def _scan(docs: DataFrame, index, columns: list[str]) -> DataFrame:
     return docs.select(*columns, F.col("_text")).mapInArrow(run, f"{kinds}, {_SCHEMA}")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, index_words: int = INDEX_WORDS) -> DataFrame:
-    """doc_id (with keep_text, the text too), n_words, n_hit, items (ids as sorted strings) and spans of hit words.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), index_words: int = INDEX_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as sorted strings) and spans of hit words, and the columns keep.
 
     The items are read on the driver in slices of about index_words words, each slice broadcast as one index of that
     bounded size; with more than one slice, documents are scanned once for each and the spans united.  Documents are
@@ -153,13 +153,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     Null or empty text: no words, no hits.  An item without words has no windows; an item with a null id counts as ''.
     Items of one id count once.  Rows with the same doc_id and text get the same result each.  Empty benchmark: no hits.
     """
-    columns = ["doc_id", *(["text"] if keep_text else [])]
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"), *([F.col(text).alias("text")] if keep_text else []))
+    columns = ["doc_id", *(c for c in keep if c != "doc_id")]
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"), *columns[1:])
     spark = docs.sparkSession
-    item = [c for c in benchmark.columns if c == "item_id"][0]
     slices: list[list[tuple[str, str | None]]] = [[]]
     held = 0
-    for row in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").toLocalIterator():
+    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").toLocalIterator():
         n = len(row["t"]) // 4 + 1
         if held and held + n > index_words:
             slices.append([])

@@ -186,6 +186,22 @@ def score_sharded(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]
     return again.select(*(F.col("_row")[c].alias(c) for c in columns), "n_symbols", "log2_prob")
 
 
+def _trusted(docs: DataFrame, ids: DataFrame, where: Column) -> DataFrame:
+    """lang and text of the documents whose id is in ids: by a broadcast of bounded size, or else a join.  docs: _nw_id, lang, text."""
+    some = docs.where(where & F.col("text").isNotNull()).select("_nw_id", "lang", "text")
+    if ids.count() > BROADCAST_IDS:
+        return some.join(ids, "_nw_id", "left_semi").select("lang", "text")
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["_nw_id"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            have, mine = known.value, batch.column("_nw_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            k = np.minimum(np.searchsorted(have, mine), max(0, len(have) - 1))
+            yield batch.filter(pa.array(have[k] == mine if len(have) else np.zeros(len(mine), bool))).select(["lang", "text"])
+
+    return some.mapInArrow(run, "lang string, text string")
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -195,48 +211,40 @@ def classify(
     min_calibration: int = 100,
     order: int = ORDER,
     doc_id: str = "doc_id",
-    keep: tuple[Column, ...] = (),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, lang, n_symbols, log2_prob, perplexity (per byte), threshold and kept of each row, then keep.
+    """doc_id, lang, n_symbols, log2_prob, perplexity (per byte), threshold and kept of each row, then its columns keep.
 
     Trusted: quality 1 and toxic 0.  Of the trusted documents, those whose id's hash is 0 modulo calibrate are not
     learnt from; the given quantile of their perplexities, by language, times slack is that language's threshold.  A
-    language with fewer than min_calibration of them, or null, takes the threshold of all languages.  kept: the
-    perplexity is not above the threshold.  All trusted text is counted, and all documents are scored.
+    language with fewer than min_calibration of them, one beyond the 1000 that have most, or null takes the threshold
+    of all languages.  kept: the perplexity is not above the threshold.  All trusted text is counted, all documents
+    are scored, and texts are not shuffled while the model fits a broadcast.
 
-    Null or empty text: no symbols, perplexity 1, kept as there is nothing against it.  No trusted text at all: every
-    symbol has probability 1/256, and without a threshold every row is kept.  Repeated rows are scored each.
+    Null or empty text: no symbols, perplexity 1, kept as there is nothing against it.  A null doc_id is never trusted.
+    No trusted text at all: every symbol has probability 1/256, and without a threshold every row is kept.  Repeated
+    rows are scored each.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *keep)
-    names = [c for c in base.columns if c != "_text"]
-    ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    spark = docs.sparkSession
+    ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_nw_id")).distinct()
     ids = written(ids, "lm-trusted")
-    if ids.count() <= BROADCAST_IDS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["_id"].to_numpy(np.int64)))
-
-        def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                have = known.value
-                mine = batch.column("_id").to_pandas()
-                value = mine.fillna(0).to_numpy(np.int64)
-                k = np.minimum(np.searchsorted(have, value), max(0, len(have) - 1))
-                ok = (have[k] == value if len(have) else np.zeros(len(value), bool)) & mine.notna().to_numpy()
-                yield batch.filter(pa.array(ok)).select(["text"])
-
-        learn = F.pmod(F.xxhash64("_id"), F.lit(calibrate)) != 0
-        source = docs.select(F.col(doc_id).cast("long").alias("_id"), "text").where(learn & F.col("text").isNotNull())
-        trusted = source.mapInArrow(flagged, "text string")
-    else:
-        learn = F.pmod(F.xxhash64("_id"), F.lit(calibrate)) != 0
-        trusted = docs.select(F.col(doc_id).cast("long").alias("_id"), "text").where(learn & F.col("text").isNotNull()).join(ids, "_id", "left_semi").select("text")
-    model = train(trusted, order)
+    narrow = docs.select(F.col(doc_id).cast("long").alias("_nw_id"), F.col("lang").cast("string").alias("lang"), "text").where("_nw_id is not null")
+    held = F.pmod(F.xxhash64("_nw_id"), F.lit(calibrate)) == 0
+    model = train(_trusted(narrow, ids, ~held), order)
     packed = pack(model)
-    scored = score(base, packed, names, order) if packed else score_sharded(base, model, names, order)
-    scored = written(scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.col("n_symbols"))).otherwise(1.0)), "lm-scores")
-    held = scored.withColumn("_id", F.col("doc_id").cast("long")).where((F.pmod(F.xxhash64("_id"), F.lit(calibrate)) == 0) & (F.col("n_symbols") > 0)).join(ids, "_id", "left_semi")
-    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("limit"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_calibration).where("lang is not null")
-    pooled = held.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
-    out = scored.join(limits.select("lang", "limit"), "lang", "left")
-    out = out.withColumn("threshold", F.coalesce("limit", F.lit(pooled).cast("double")) * slack)
+
+    def scored(df: DataFrame, columns: list[str]) -> DataFrame:
+        out = score(df, packed, columns, order) if packed else score_sharded(df, model, columns, order)
+        return out.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.col("n_symbols"))).otherwise(1.0))
+
+    sample = written(scored(_trusted(narrow, ids, held).withColumnRenamed("text", "_text"), ["lang"]).where("n_symbols > 0").select("lang", "perplexity"), "lm-calibration")
+    limit = F.percentile_approx("perplexity", quantile, 10000)
+    known = sample.where("lang is not null").groupBy("lang").agg(limit.alias("limit"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_calibration).orderBy(F.desc("n"), "lang").limit(1000).select("lang", "limit").collect()
+    pooled = sample.agg(limit).first()[0]
+    limits = spark.createDataFrame([(r[0], r[1]) for r in known], "_nw_lang string, _nw_limit double")
+    more = [c for c in keep if c not in ("doc_id", "lang")]
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *more)
+    out = scored(base, ["doc_id", "lang", *more]).join(F.broadcast(limits), F.col("lang") == F.col("_nw_lang"), "left")
+    out = out.withColumn("threshold", F.coalesce("_nw_limit", F.lit(pooled).cast("double")) * slack)
     kept = F.coalesce((F.col("n_symbols") == 0) | (F.col("perplexity") <= F.col("threshold")), F.lit(True))
-    return out.select("doc_id", "lang", "n_symbols", "log2_prob", "perplexity", "threshold", kept.alias("kept"), *(c for c in names if c not in ("doc_id", "lang")))
+    return out.select("doc_id", "lang", "n_symbols", "log2_prob", "perplexity", "threshold", kept.alias("kept"), *more)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import chat, decontaminate, languages, substring_dedup
+from notewright.llm import chat, decontaminate, languages, license_scan, substring_dedup, token_counts
+from notewright.llm.jaccard_join import near_duplicates
 from notewright.llm.language_model import classify
 from notewright.llm.mixing import mix_sources
 from notewright.llm.quality_rules import quality_rules
@@ -36,6 +37,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, model, keep=(languages.held_out(F.col("doc_id")).alias("held_out"),))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = r"\### Assistant: </turn> ok"
@@ -52,12 +61,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_quality_classifier, op3_language_id, op6_chat_format, op7_decontaminate, op8_substring_dedup, op10_quality_rules)
-}
+    for f in (
+        op1_mix_sources, op2_quality_classifier, op3_language_id, op4_token_counts, op5_license_scan,
+        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
