@@ -38,7 +38,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents")))
+    return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents"), by="sentences"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

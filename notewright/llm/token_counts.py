@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import Texts, texts
+from notewright.llm.substring_dedup import sentences
 
 #: Fixed value: the pattern that goes with the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -78,6 +79,18 @@ def line_sections(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, np.searchsorted(begin, t.offsets)
 
 
+def sentence_sections(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences, each with the white space behind it: begin, end (bytes), and each row's first, with one entry more."""
+    s = sentences(t)
+    last = np.zeros(len(s.begin), bool)
+    last[s.first[1:][np.diff(s.first) > 0] - 1] = True
+    row = np.repeat(np.arange(len(s.first) - 1), np.diff(s.first))
+    return s.begin, np.where(last, t.offsets[1:][row], np.append(s.begin[1:], 0)), s.first
+
+
+SPLITTERS = {"lines": line_sections, "sentences": sentence_sections}
+
+
 def given_sections(t: Texts, rows: list[list[dict] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sections given by start and end in code points, in order; what overlaps an earlier one or ends before it begins is cut off."""
     chars = np.flatnonzero((t.data & 0xC0) != 0x80)
@@ -118,7 +131,18 @@ def attribute(ends: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str) -
     if len(real):
         lone = some & (low == high) & (b[k] <= starts) & (ends <= e[k])
         total[real] += np.bincount(low[lone], minlength=len(real))
-    for i in np.flatnonzero(some & ~lone):
+    two = np.flatnonzero(some & ~lone & (high == low + 1))
+    if len(two):
+        j = low[two]
+        parts = np.stack([e[j] - np.maximum(b[j], starts[two]), np.minimum(e[j + 1], ends[two]) - b[j + 1]])
+        if rule == "share":
+            for x in (0, 1):
+                total[real] += np.bincount(j + x, weights=parts[x] / (ends[two] - starts[two]), minlength=len(real))
+        elif rule == "largest":
+            total[real] += np.bincount(j + (parts[1] > parts[0]), minlength=len(real))
+        else:
+            total[real] += np.bincount(j[b[j] <= starts[two]], minlength=len(real))
+    for i in np.flatnonzero(some & ~lone & (high != low + 1)):
         j = np.arange(low[i], high[i] + 1)
         part = np.minimum(e[j], ends[i]) - np.maximum(b[j], starts[i])
         if rule == "share":
@@ -131,11 +155,11 @@ def attribute(ends: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str) -
 
 
 def count_tokens(
-    docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, rule: str = "largest", sections: str | None = None, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, rule: str = "largest", sections: str | None = None, by: str = "lines", doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_tokens, n_crossing, n_outside and section_tokens (an array in the sections' order) of each row.
 
-    sections: a column of array<struct<start, end>> in code points; without it, a document's lines.  rule: see
+    sections: a column of array<struct<start, end>> in code points; without it, a document's lines or sentences (by).  rule: see
     attribute().  The vocabulary is read on the driver and broadcast; texts are not shuffled.
 
     Null or empty text: no tokens, and no sections of its own making; given ones get 0.  Null sections: none.
@@ -150,7 +174,7 @@ def count_tokens(
             for t in texts(batch.column("text")):
                 part = batch.slice(t.lo, t.hi - t.lo)
                 ends, first = token_ends(t, encoding.encode_ordinary, lengths)
-                begin, end, own = given_sections(t, part.column("sections").to_pylist()) if sections else line_sections(t)
+                begin, end, own = given_sections(t, part.column("sections").to_pylist()) if sections else SPLITTERS[by](t)
                 total, crossing, outside = attribute(ends, begin, end, rule)
                 per = [np.diff(np.concatenate([[0], np.cumsum(x)])[first]) for x in (crossing, outside)]
                 lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(total, pa.float64()))

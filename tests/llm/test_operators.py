@@ -416,6 +416,26 @@ def test_token_attribution(spark, corpus):
     assert first.tolist() == [0, 3] and begin.tolist() == [0, 3, 4]
     for rule, total in (("start", [2, 0, 2]), ("largest", [2, 0, 2]), ("share", [1 + 1 / 3, 1 / 3, 2 + 1 / 3])):
         assert token_counts.attribute(ends, begin, end, rule)[0].tolist() == pytest.approx(total)
+    def slow(ends, begin, end, rule):
+        out = np.zeros(len(begin))
+        for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+            part = np.maximum(0, np.minimum(end, b) - np.maximum(begin, a))
+            if part.sum() and rule == "share":
+                out += part / (b - a)
+            elif part.sum() and rule == "largest":
+                out[part.argmax()] += 1
+            elif part.sum():
+                out[(begin <= a) & (a < end)] += 1
+        return out
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        ends, cuts = np.unique(rng.integers(1, 60, 12)), np.unique(rng.integers(0, 60, 14))
+        begin, end = cuts[:-1:2], cuts[1::2][: len(cuts[:-1:2])]
+        for rule in token_counts.RULES:
+            assert token_counts.attribute(ends, begin, end, rule)[0].tolist() == pytest.approx(slow(ends, begin, end, rule).tolist())
+    by = token_counts.count_tokens(docs, by="sentences").collect()
+    assert sum(r.n_crossing for r in by) > 100 and all(sum(r.section_tokens) + r.n_outside == r.n_tokens for r in by)
     given = docs.limit(1).selectExpr("5L doc_id", "'ab été cd' text", "array(struct(0 as start, 4 as end), struct(4 as start, 6 as end), struct(5 as start, 99 as end)) as s")
     row = token_counts.count_tokens(given, sections="s").first()
     assert len(row.section_tokens) == 3 and row.n_outside == 0
