@@ -19,7 +19,9 @@ from notewright.llm._kernel import LOWER, SPACED, U64, Texts, run_hashes, span_h
 
 _STOP = table(".!?")
 #: Spans merged within a task before they are sent.
-HELD = 2_000_000
+HELD = 800_000
+#: Marks sent as one row.
+MARKS = 4000
 
 
 @dataclass
@@ -87,14 +89,14 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
     shift = U64(64 - (n.bit_length() - 1))
     mark = -1  # the bucket number of marks, before they are dealt out
 
-    def send(held: list[list[np.ndarray]], turn: int) -> Iterator[pa.RecordBatch]:
+    def send(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, doc, th, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
         order, later = _later(h, doc, th, a, b)
         out: list[tuple[int, bytes]] = []
         if later.any():
             at = order[later]
-            for i in range(0, len(at), 50_000):
-                k = at[i : i + 50_000]
+            for i in range(0, len(at), MARKS):
+                k = at[i : i + MARKS]
                 out.append((mark, _blobs.pack([doc[k], th[k], _blobs.small(a[k]), _blobs.small(b[k] - a[k])])))
         keep = order[~later]
         keep = keep[np.concatenate([[True], h[keep][1:] != h[keep][:-1]])] if len(keep) else keep
@@ -104,11 +106,12 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
             k = keep[edges[i] : edges[i + 1]]
             key, back = np.unique(np.stack([doc[k], th[k].astype(np.int64)], 1), axis=0, return_inverse=True)
             out.append((int(i), _blobs.pack([h[k], key[:, 0].copy(), key[:, 1].astype(np.uint32), _blobs.small(back.ravel()), _blobs.small(a[k]), _blobs.small(b[k] - a[k])])))
-        places = [(turn * 7919 + i) % n if p == mark else p for i, (p, _) in enumerate(out)]
+        anywhere = int(h[0] >> shift)  # marks need no bucket of their own: deal them out
+        places = [(anywhere + 797 * i) % n if p == mark else p for i, (p, _) in enumerate(out)]
         yield from _blobs.rows(places, [x for _, x in out])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, turn = [], 0, 0
+        held, size = [], 0
         for batch in batches:
             ids = batch.column("_nw_id").to_numpy(zero_copy_only=False).astype(np.int64)
             ths = batch.column("_nw_th").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -121,11 +124,10 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
                 held.append([h, ids[t.lo + row], ths[t.lo + row].astype(np.uint32), a - s.first[row], b - s.first[row]])
                 size += len(a)
                 if size >= HELD:
-                    turn += int(ids[0]) + 1
-                    yield from send(held, turn)
+                    yield from send(held)
                     held, size = [], 0
         if held:
-            yield from send(held, turn + len(held))
+            yield from send(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
