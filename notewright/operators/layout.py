@@ -76,3 +76,40 @@ def results_with_points(results: DataFrame, points: DataFrame) -> DataFrame:
     """Search results with their chunk's modification and the size of its note; of points with one key the first counts."""
     first = points.groupBy("unique_key").agg(F.min_by("modification_date", "doc_id").alias("point_modified"), F.min_by("total_chunks", "doc_id").alias("note_size"))
     return results.join(first, "unique_key", "left")
+
+
+def with_last_interaction(notes: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Notes with the latest interaction of their title, in the order of that or else of their modification."""
+    last = interactions.groupBy("title").agg(F.max("last_opened").alias("last_opened"))
+    each = notes.groupBy("title", "creation_date", "modification_date").agg(F.count(F.lit(1)).alias("n_chunks"))
+    out = each.join(last, "title", "left").withColumn("order_date", F.coalesce(F.substring("last_opened", 1, 10), "modification_date"))
+    return out.orderBy(F.desc("order_date"), "title", "creation_date")
+
+
+def selection_centre(places: DataFrame, clusters: list[str]) -> DataFrame:
+    """Unweighted mean place of the selected clusters."""
+    return places.where(F.col("cluster_id").isin(clusters)).agg(*(F.round(F.avg(c), 4).alias(c) for c in "xyz"), F.count(F.lit(1)).alias("n"))
+
+
+def display_groups(notes: DataFrame) -> DataFrame:
+    """One row for each cluster with its chunks in order: what a plot draws."""
+    point = F.struct("doc_id", "unique_key", "title")
+    return notes.groupBy(F.col("display_topic_id").alias("cluster_id")).agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+
+def tree_totals(meta: DataFrame) -> DataFrame:
+    """Clusters and chunks over the flat meta hierarchy."""
+    return meta.agg(F.count_distinct("meta_cluster_id").alias("metas"), F.count(F.lit(1)).alias("clusters"), F.sum("chunk_count").alias("chunks"))
+
+
+def tree_filter(meta: DataFrame, text: str) -> DataFrame:
+    """Clusters whose id or label has the text, in any case; meta clusters without one vanish with their rows."""
+    t = text.lower()
+    return meta.where(F.lower("cluster_id").contains(t) | F.lower("label").contains(t))
+
+
+def notes_across(notes: DataFrame, clusters: list[str]) -> DataFrame:
+    """Titles with chunks in any of the clusters, each once: in the first of the clusters, as listed, that has it."""
+    place = F.array_position(F.array(*(F.lit(c) for c in clusters)), F.col("display_topic_id"))
+    found = notes.where(F.col("display_topic_id").isin(clusters)).groupBy("title").agg(F.min_by(F.struct("display_topic_id", "doc_id"), F.struct(place.alias("p"), "doc_id")).alias("f"))
+    return found.select("title", F.col("f.display_topic_id").alias("cluster_id"), F.col("f.doc_id").alias("doc_id"))

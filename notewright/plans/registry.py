@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions import numbers as num
 from notewright.functions import text as tx
-from notewright.operators import chunking, clusters, density, hierarchy, incremental, interactions, layout, notes, search, topics, words
+from notewright.operators import chunking, clusters, density, hierarchy, incremental, interactions, layout, models, notes, search, topics, words
 from notewright.sources.tables import events_view, interactions_table, list_tables, normalize_notes, notes_view, open_window_titles, order_tables, read, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -689,4 +689,66 @@ def table_list_order(spark, d):
     return order_tables(spark.createDataFrame(rows, "name string, n_rows long")).select("name", "n_rows", "tier")
 
 
+@register("SELECT title, creation_date, modification_date, count(*) AS n_chunks, max(last_opened) AS last_opened, coalesce(substr(max(last_opened), 1, 10), modification_date) AS order_date FROM notes LEFT JOIN (SELECT title, max(dt) AS last_opened FROM ev GROUP BY 1) USING (title) GROUP BY 1, 2, 3", NOTES, EV)
+def notes_by_last_interaction(spark, d):
+    return layout.with_last_interaction(notes_view(spark, d), stored(spark, d))
+
+
+@register("SELECT round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, count(*) AS n FROM places WHERE cluster_id IN ('1', '2')", NOTES, HITS, FEW, PLACES)
+def selection_centre(spark, d):
+    return layout.selection_centre(layout.positions(notes_view(spark, d)), ["1", "2"])
+
+
+@register("SELECT cluster_id, doc_id FROM (SELECT display_topic_id AS cluster_id, doc_id FROM notes)", NOTES)
+def display_groups(spark, d):
+    return layout.display_groups(notes_view(spark, d)).select("cluster_id", F.explode("points").alias("p")).select("cluster_id", "p.doc_id")
+
+
+@register("SELECT count(DISTINCT meta_cluster_id) AS metas, count(*) AS clusters, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM facts", NOTES, FACTS)
+def tree_totals(spark, d):
+    return layout.tree_totals(clusters.meta_clusters(notes_view(spark, d)))
+
+
+@register(META + " WHERE contains(cluster_id, '1') OR contains(lower(label), '1')", NOTES, FACTS, COLORS)
+def tree_filter(spark, d):
+    return layout.tree_filter(clusters.meta_clusters(notes_view(spark, d)), "1")
+
+
+@register("SELECT title, display_topic_id AS cluster_id, doc_id FROM notes WHERE display_topic_id IN ('2', '1', '1.6') QUALIFY row_number() OVER (PARTITION BY title ORDER BY list_position(['2', '1', '1.6'], display_topic_id), doc_id) = 1", NOTES)
+def notes_across_clusters(spark, d):
+    return layout.notes_across(notes_view(spark, d), ["2", "1", "1.6"])
+
+
+@register("SELECT topic, rank, doc_id FROM (SELECT base_topic_id AS topic, doc_id, row_number() OVER (PARTITION BY base_topic_id ORDER BY confidence DESC, doc_id) AS rank FROM (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY base_topic_id, title, creation_date, chunk_index ORDER BY confidence DESC, doc_id) = 1)) WHERE rank <= 5", NOTES, CONF)
+def ranked_documents(spark, d):
+    n = notes_view(spark, d).withColumn("probability", F.col("chunk_index") % 7 / 7.0).withColumn("topic", F.col("base_topic_id"))
+    return models.ranked_documents(n)
+
+
+@register("SELECT t.text_id, coalesce(min(n.doc_id), (SELECT min(doc_id) FROM notes m WHERE contains(m.chunk_content, t.text))) AS doc_id, CASE WHEN min(n.doc_id) IS NOT NULL THEN 'exact' ELSE 'inside' END AS how FROM (SELECT doc_id AS text_id, CASE WHEN doc_id % 2 = 0 THEN chunk_content ELSE substr(chunk_content, 5, 60) END AS text FROM notes WHERE doc_id % 40 < 2) t LEFT JOIN notes n ON n.chunk_content = t.text GROUP BY t.text_id, t.text HAVING length(t.text) > 0", NOTES)
+def find_texts(spark, d):
+    n = notes_view(spark, d)
+    part = F.when(F.col("doc_id") % 2 == 0, F.col("chunk_content")).otherwise(F.substring("chunk_content", 5, 60))
+    return models.find_texts(n.where("doc_id % 40 < 2").select(F.col("doc_id").alias("text_id"), part.alias("text")), n)
+
+
+@register("SELECT count(*) FILTER (base_topic_id = '-1') AS n_before, CAST(0 AS BIGINT) AS n_after, CASE WHEN count(*) FILTER (base_topic_id = '-1') > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS reduced_percent FROM outl", NOTES, OUT)
+def outlier_report(spark, d):
+    before = outliers(spark, d)
+    return models.outlier_report(before, before.join(topics.reassign_by_vector(before, -1.0), "doc_id", "left").withColumn("base_topic_id", F.coalesce("new_topic", "base_topic_id")))
+
+
+@register()
+def gathered_topics(spark, d):
+    n = notes_view(spark, d).withColumn("confidence", F.col("chunk_index") % 7 / 7.0)
+    found = models.label_topics(models.gather_topics(n, topics.class_tfidf(n, "display_topic_id")))
+    return found.select("topic", "stored_label", "n_chunks", "label", F.size("documents").cast("long").alias("n_documents"))
+
+
+@register()
+def embedded_chunks(spark, d):
+    out = models.index_notes(read(spark, d, "pages").select("page_id", F.col("url").alias("title"), "html"), "html", "title")
+    return out.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("vector").cast("long").alias("dim"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "list_tables", "num"]

