@@ -11,6 +11,7 @@ from notewright.llm import chat, decontaminate, languages, license_scan, substri
 from notewright.llm.jaccard_join import near_duplicates
 from notewright.llm.language_model import classify
 from notewright.llm.mixing import mix_sources
+from notewright.llm.oracles import ORACLE_SQL
 from notewright.llm.quality_rules import quality_rules
 
 
@@ -76,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
