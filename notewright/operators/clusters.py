@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from notewright.functions.numbers import clip01, cluster_color, cosine
 from notewright.operators.notes import NOTE, with_note_key
 
-#: Centroids of at most so many clusters are compared by a broadcast.
-BROADCAST_CLUSTERS = 10_000
-
 
 def centroid_values(notes: DataFrame, by: str = "display_topic_id", vector: str = "vector") -> DataFrame:
     """(cluster_id, dim, value): element-wise means; each task sums before the shuffle."""

@@ -38,7 +38,7 @@ def nearest_anchor(places: DataFrame, anchors: DataFrame) -> DataFrame:
     """Euclidean distance of each cluster to the nearest of the anchor clusters, which are few: those with hits."""
     a = places.join(anchors.select("cluster_id").distinct(), "cluster_id", "left_semi").select(F.col("cluster_id").alias("anchor"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
     far = F.sqrt(sum((F.col(c) - F.col(f"a{c}")) * (F.col(c) - F.col(f"a{c}")) for c in "xyz"))
-    return places.crossJoin(F.broadcast(a)).groupBy("cluster_id").agg(F.round(F.min(far), 4).alias("distance"))
+    return places.crossJoin(a).groupBy("cluster_id").agg(F.round(F.min(far), 4).alias("distance"))
 
 
 def legend(notes: DataFrame, hits: DataFrame, selected: list[str]) -> DataFrame:

@@ -63,7 +63,7 @@ def reassign_by_vector(notes: DataFrame, least: float = 0.5, topic: str = "base_
     """Outliers with a vector to the topic with the nearest centroid, if its cosine is at least that."""
     known = centroids(notes.where(F.col(topic) != "-1"), topic)
     out = notes.where((F.col(topic) == "-1") & F.col("vector").isNotNull()).select("doc_id", "vector")
-    scored = out.crossJoin(F.broadcast(known)).select("doc_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("s"))
+    scored = out.crossJoin(known).select("doc_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("s"))
     best = scored.groupBy("doc_id").agg(F.max_by(F.struct("cluster_id", "s"), F.struct(F.round("s", 9).alias("s"), "cluster_id")).alias("b"))
     return best.where(F.col("b.s") >= least).select("doc_id", F.col("b.cluster_id").alias("new_topic"), F.round("b.s", 4).alias("similarity"))
 
@@ -94,7 +94,7 @@ def reassign_children(notes: DataFrame) -> DataFrame:
     child = F.col("display_topic_id").contains(".")
     known = centroids(notes.where(child & F.col("vector").isNotNull())).withColumn("base", F.substring_index("cluster_id", ".", 1))
     rest = notes.where(~child & F.col("vector").isNotNull()).select("doc_id", F.col("base_topic_id").alias("base"), "vector")
-    scored = rest.join(F.broadcast(known), "base").select("doc_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("s"))
+    scored = rest.join(known, "base").select("doc_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("s"))
     return scored.groupBy("doc_id").agg(F.max_by("cluster_id", F.struct(F.round("s", 9).alias("s"), "cluster_id")).alias("child"), F.round(F.max("s"), 4).alias("similarity"))
 
 
@@ -159,7 +159,7 @@ def merge_small(groups: DataFrame, least: int = 2) -> DataFrame:
     size = groups.groupBy("meta").agg(F.count(F.lit(1)).alias("n")).join(mean, "meta")
     small = size.where(F.col("n") < least).select("meta", "mean")
     large = size.where(F.col("n") >= least).select(F.col("meta").alias("target"), F.col("mean").alias("tmean"))
-    near = small.crossJoin(F.broadcast(large)).groupBy("meta").agg(F.min_by("target", F.struct(F.round(1 - cosine(F.col("mean"), F.col("tmean")), 9).alias("d"), "target")).alias("target"))
+    near = small.crossJoin(large).groupBy("meta").agg(F.min_by("target", F.struct(F.round(1 - cosine(F.col("mean"), F.col("tmean")), 9).alias("d"), "target")).alias("target"))
     moved = groups.select("cluster_id", "meta").join(near, "meta", "left").withColumn("meta", F.coalesce("target", "meta")).drop("target")
     number = moved.select("meta").distinct().withColumn("new", (F.row_number().over(Window.orderBy("meta")) - 1).cast("long"))
     return moved.join(number, "meta").select("cluster_id", F.col("new").alias("meta"))
