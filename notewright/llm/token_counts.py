@@ -18,7 +18,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Larger vocabularies are refused: they are broadcast.
 MOST_RANKS = 1_000_000
-#: A run of text of more bytes is encoded in pieces, cut before white space where there is any.
+#: A longer text is encoded in pieces of so many characters, with the same tokens: see pieces().
 PIECE = 1 << 16
 RULES = ("start", "largest", "share")
 
@@ -47,10 +47,16 @@ def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):  # noqa: ANN201
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The text in parts of at most PIECE characters; a cut stands before a blank or line break if the part has one, so that few tokens could differ from those of the text in one."""
+    """The text in parts of at most PIECE characters, cut where white space follows anything else.
+
+    The pattern always begins a new word there, so the parts' tokens are those of the whole.  Only a part without such
+    a place (a run of one kind longer than PIECE) is cut at its full size.
+    """
     at = 0
     while len(text) - at > PIECE:
-        cut = max(text.rfind(" ", at + 1, at + PIECE), text.rfind("\n", at + 1, at + PIECE))
+        cut = at + PIECE
+        while cut > at and not (text[cut].isspace() and not text[cut - 1].isspace()):
+            cut -= 1
         cut = cut if cut > at else at + PIECE
         yield text[at:cut]
         at = cut

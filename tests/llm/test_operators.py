@@ -408,8 +408,12 @@ def test_token_attribution(spark, corpus):
         assert len(got) == len(corpus)
         for r in got:
             assert sum(r.section_tokens) == pytest.approx(r.n_tokens)
-    want = Counter((i, len(enc.encode_ordinary(t or ""))) for i, t, _, _ in corpus if len(t or "") < token_counts.PIECE)
-    assert not want - Counter((r.doc_id, r.n_tokens) for r in got)
+    want = Counter((i, len(enc.encode_ordinary(t or ""))) for i, t, _, _ in corpus)
+    assert want == Counter((r.doc_id, r.n_tokens) for r in got)
+    assert max(len(t or "") for _, t, _, _ in corpus) > token_counts.PIECE
+    mixed = "".join(rng_.choice([" ", "\n", "word", "é1", "!?", "'s", "   "]) for rng_ in [random.Random(4)] for _ in range(60_000))
+    assert [x for p in token_counts.pieces(mixed) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(mixed)
+    assert "".join(token_counts.pieces("x" * 200_000)) == "x" * 200_000
     t = next(texts(pa.array(["ab\n\ncd été"])))
     ends = np.array([2, 5, 6, 12])  # ab | \n\nc | d |  été
     begin, end, first = token_counts.line_sections(t)
