@@ -19,16 +19,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes a table in the shared folder and reads it again, so that lost executors cost only their own tasks."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: writes a table in the shared folder and reads it again, so that lost executors cost only their own tasks.
+
+    batch_rows: rows that go to Python at once while this table is made, where rows are wide.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/notewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes_parts(spark: SparkSession, path: str) -> int:
-    """Bytes of a file or folder, asked of the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more, which otherwise waits for the driver's next garbage collection."""
+    spark.sparkContext._jvm.System.gc()

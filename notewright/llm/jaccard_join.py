@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
 from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, run_hashes, span_hashes, texts, words
-from notewright.llm._shared import written
+from notewright.llm._shared import tidy, written
 from notewright.llm.components import components
 
 #: A key of more sets than this is dear.
 CHEAP = 12
 #: Keys merged within a task before they are sent.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Members of a dear key compared by one task at a time.
 BLOCK = 2048
+#: Rounds of stars.
+STARS = 1
+#: Words of bitmaps compared at once.
+TILE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -222,8 +226,8 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens in as many cells as a power of two above their number; folds to half by XOR."""
-    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    """Parities of the tokens in four to eight times as many cells, a power of two; folds to half by XOR."""
+    bits = max(64, 4 << max(0, len(tokens) - 1).bit_length())
     odd = np.bincount((mix(tokens) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -241,9 +245,9 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, num: int, den:
     return den * (na + nb - differ) >= num * (na + nb + differ)
 
 
-def _pruned(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _pruned(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that their sizes and bitmaps allow, and the least difference that these show."""
-    small = sets.select("cls", "n", "bitmap")
+    small = classes.select("cls", "n", "bitmap")
     joined = pairs.join(small.toDF("a", "na", "xa"), "a").join(small.toDF("b", "nb", "xb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +298,8 @@ def _bloom(ids: DataFrame, count: int) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def _candidate_sets(docs: DataFrame, narrow: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, n, tokens, bitmap) of the wanted classes, from one row of each.  docs: _h, _text; narrow: _h, cls."""
-    chosen = written(narrow.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("_h").alias("h")), "jaccard-chosen")
+def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens) of the chosen classes, each from its row h.  docs: _h, _text."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(chosen.select("h"), chosen.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,17 +307,14 @@ def _candidate_sets(docs: DataFrame, narrow: DataFrame, wanted: DataFrame, k: in
         for batch in batches:
             h = batch.column("_h").to_numpy().view(U64)
             batch = batch.filter(pa.array(have[(h & U64(len(have) - 1)).astype(np.int64)]))
-            for t in texts(batch.column("_text")):
+            for t in texts(batch.column("_text"), 1 << 20):
                 s = shingle_sets(t, k)
-                own = [s.tokens[i:j] for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.slice(t.lo, t.hi - t.lo).column("_h"), pa.array(s.cls), pa.array(s.sizes), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_bitmap(x) for x in own], pa.binary())],
-                    names=["_h", "cls", "n", "tokens", "bitmap"],
-                )
+                own = [s.tokens[i:j].tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.slice(t.lo, t.hi - t.lo).column("_h"), pa.array(s.cls), pa.array(own, pa.binary())], names=["_h", "cls", "tokens"])
 
-    found = docs.select("_h", "_text").mapInArrow(run, "_h long, cls long, n long, tokens binary, bitmap binary")
-    found = found.join(chosen.select(F.col("h").alias("_h"), "cls"), ["_h", "cls"], "left_semi")
-    return written(found.drop("_h").dropDuplicates(["cls"]), "jaccard-sets")
+    found = docs.select("_h", "_text").mapInArrow(run, "_h long, cls long, tokens binary")
+    # joined and made distinct by the class: one shuffle of the tokens
+    return written(found.join(chosen.select("cls", "h"), "cls").where("_h = h").select("cls", "tokens").dropDuplicates(["cls"]), "jaccard-sets", 2000)
 
 
 class _Labels:
@@ -329,54 +329,73 @@ class _Labels:
             return df.withColumn(to, F.col(column))
         return df.join(self.table.select(F.col("id").alias(column), F.col("comp").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs whose ends are not yet connected."""
-        return pairs if self.table is None else self.of(self.of(pairs, "a", "_ca"), "b", "_cb").where("_ca != _cb").drop("_ca", "_cb")
-
     def add(self, links: DataFrame) -> None:
-        links = written(links, "jaccard-links")
+        links = written(links, "jaccard-links", 256)
         if links.isEmpty():
             return
         # the components so far count as links
         self.links = links if self.table is None else links.unionByName(self.table.select(F.col("id").alias("a"), F.col("comp").alias("b")))
         self.table = written(components(self.links), "jaccard-components")
+        tidy(self.table.sparkSession)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, labels: _Labels, num: int, den: int) -> None:
-    """Each set's likeliest pair first; then all pairs that this has not connected."""
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("differ", "b")))
-    ranked = written(ranked, "jaccard-pairs")
-    labels.add(_links(ranked.where("_r = 1"), sets, num, den))
-    labels.add(_links(labels.apart(ranked.where("_r between 2 and 4")), sets, num, den))
-    labels.add(_links(labels.apart(ranked.where("_r > 4")), sets, num, den))
-
+def _within_dear(members: DataFrame, classes: DataFrame, labels: _Labels, num: int, den: int, top: int | None = None) -> DataFrame:
+    """Pairs of members of a dear key in different components that their bitmaps allow: block against block of a key.
 
-def _within_dear(members: DataFrame, sets: DataFrame, labels: _Labels, num: int, den: int) -> DataFrame:
-    """Pairs of members of a dear key in different components that their bitmaps allow: block against block of a key."""
-    joined = labels.of(members, "cls", "comp").join(sets.select("cls", "n", "bitmap"), "cls")
+    top: only so many likeliest partners of each member in a block, for a first round.
+    """
+    joined = labels.of(members, "cls", "comp")
     several = joined.groupBy("key").agg(F.count_distinct("comp").alias("c"), F.count(F.lit(1)).alias("size")).where("c > 1")
     joined = joined.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    dealt = dealt.join(classes.select("cls", "n", "bitmap"), "cls")  # bitmaps last: they are wide
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, own, cls, comp, n = (rows.column(c).to_numpy() for c in ("x", "own", "cls", "comp", "n"))
+        maps = [v.as_py() for v in rows.column("bitmap")]
+        size = min(map(len, maps))
+        bits = np.stack([_fold(v, size) for v in maps]).view(U64)
+        same_block = (own == x[0]).all()
+        left = np.flatnonzero(own == x[0])
+        right = np.arange(len(cls)) if same_block else np.flatnonzero(own != x[0])
+        if same_block:  # a pair within the largest component needs no comparison
+            values, count = np.unique(comp, return_counts=True)
+            left = left[comp[left] != values[count.argmax()]]
+        tile = max(1, TILE // max(1, len(right) * bits.shape[1]))
+        for i in range(0, len(left), tile):
+            l = left[i : i + tile]
+            differ = np.bitwise_count(bits[l][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
+            differ = np.maximum(differ, np.abs(n[l][:, None] - n[right][None, :]))
+            ok = (comp[l][:, None] != comp[right][None, :]) & _may_link(n[l][:, None], n[right][None, :], differ, num, den)
+            if top is not None and ok.shape[1] > top:
+                far = np.where(ok, differ, np.iinfo(np.int64).max)
+                ok &= differ <= np.partition(far, top - 1, axis=1)[:, top - 1 : top]
+                ok &= np.cumsum(ok, axis=1) <= top
+            r, c = np.nonzero(ok)
+            a, b = cls[l[r]], cls[right[c]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(differ[r, c])], names=["a", "b", "differ"])
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
-        size = min(map(len, part["bitmap"]))
-        bits = np.stack([np.resize(_fold(v, size), -(-size // 8) * 8) if size % 8 == 0 else np.pad(_fold(v, size), (0, -size % 8)) for v in part["bitmap"]]).view(U64)
-        n, cls, comp, own = (part[c].to_numpy() for c in ("n", "cls", "comp", "own"))
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out = []
-        main = pd.Series(comp).mode().iloc[0]
-        if x == y:
-            left = left[comp[left] != main]  # a pair within the largest component needs no comparison
-        for i in left:
-            j = right[comp[right] != comp[i]]
-            differ = np.maximum(np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64), np.abs(n[j] - n[i]))
-            ok = _may_link(n[j], n[i], differ, num, den)
-            out.append(pd.DataFrame({"a": np.minimum(cls[i], cls[j[ok]]), "b": np.maximum(cls[i], cls[j[ok]]), "differ": differ[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "differ": []}).astype(np.int64)
-
-    return dealt.select("key", "x", "y", "own", "cls", "comp", "n", "bitmap").groupBy("key", "x", "y").applyInPandas(lambda part: compare(part), "a long, b long, differ long").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come sorted; those of one key and two blocks are compared at once."""
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")], 1)
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1), len(place)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if held and tuple(place[i]) != now:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(place[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    columns = ["key", "x", "y", "own", "cls", "comp", "n", "bitmap"]
+    return dealt.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, differ long").groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,31 +414,36 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in texts(batch.column("_text")):
+            for t in texts(batch.column("_text"), 1 << 20):
                 s = shingle_sets(t, shingle)
                 part = batch.slice(t.lo, t.hi - t.lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_h"), pa.array(s.sizes), pa.array(s.cls)], names=["doc_id", "_h", "n_shingles", "cls"])
+                maps = [_bitmap(s.tokens[i:j]) for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_h"), pa.array(s.sizes), pa.array(s.cls), pa.array(maps, pa.binary())], names=["doc_id", "_h", "n_shingles", "cls", "bitmap"])
 
     kind = dict(base.dtypes)["doc_id"]
-    narrow = written(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long"), "jaccard-narrow")
-    meetings = written(_meetings(base, shingle, bands), "jaccard-meetings")
-    pairs = meetings.where("b is not null").select("a", "b").distinct()
+    narrow = written(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary"), "jaccard-narrow", 2000)
+    meetings = written(_meetings(base, shingle, bands), "jaccard-meetings", 2000)
     order = Window.partitionBy("a", "band").orderBy("key")
     dear = meetings.where("b is null").select("a", "key", "band", "spare").distinct()
     dear = dear.withColumn("_r", F.row_number().over(order)).where("_r > spare").select("key", F.col("a").alias("cls"))
     dear = written(dear, "jaccard-dear")
+    met = meetings.select(F.col("a").alias("cls")).union(meetings.where("b is not null").select("b")).distinct()
+    classes = narrow.join(met, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("_h").alias("h"), F.col("n_shingles").alias("n"), "bitmap")).alias("x"))
+    classes = written(classes.select("cls", "x.h", "x.n", "x.bitmap"), "jaccard-classes")
+    pairs = written(_pruned(meetings.where("b is not null").select("a", "b").distinct(), classes, num, den), "jaccard-candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(dear.select("cls")).distinct()
-    sets = _candidate_sets(base, narrow, wanted, shingle)
+    sets = _candidate_sets(base, written(classes.join(wanted, "cls", "left_semi").select("cls", "h"), "jaccard-chosen"), shingle)
     labels = _Labels()
-    _verify(_pruned(pairs, sets, num, den), sets, labels, num, den)
+    labels.add(_links(pairs, sets, num, den))
     if not dear.isEmpty():
-        for turn in range(3):  # stars first: they connect a group of near copies with few comparisons
+        for turn in range(STARS):  # stars first: they connect a group of near copies with few comparisons
             members = labels.of(dear, "cls", "comp")
             pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("p"), F.col("comp").alias("pc"))).alias("_p"))
             star = members.join(pivot, "key").where(F.col("_p.pc") != F.col("comp")).groupBy("cls").agg(F.min("_p").alias("_p"))
-            star = _pruned(star.select(F.col("cls").alias("a"), F.col("_p.p").alias("b")), sets, num, den)
+            star = _pruned(star.select(F.col("cls").alias("a"), F.col("_p.p").alias("b")), classes, num, den)
             labels.add(_links(star, sets, num, den))
-        _verify(_within_dear(dear, sets, labels, num, den), sets, labels, num, den)
+        for top in (1, None):  # the likeliest partners connect most of a group; the last round leaves none out
+            labels.add(_links(written(_within_dear(dear, classes, labels, num, den, top), "jaccard-within"), sets, num, den))
     least = narrow.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("_least"))
     least = labels.of(least, "cls", "comp")
     top = least.groupBy("comp").agg(F.min("_least").alias("component_id"))
