@@ -78,11 +78,11 @@ def points_projection(spark, d):
     return notes.points(notes_view(spark, d))
 
 
-@register("SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY title) AS INT) AS total_chunks, CASE WHEN doc_id % 3 = 0 THEN 'Unclustered' ELSE cluster_label END AS cluster_label, CASE WHEN doc_id % 5 = 0 THEN '-1' ELSE cluster_id END AS cluster_id, 'Uncategorized' AS meta_cluster_label FROM notes", NOTES)
+@register("SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY title) AS INT) AS total_chunks, CASE WHEN lang = 'fr' THEN 'Unclustered' ELSE cluster_label END AS cluster_label, CASE WHEN lang = 'de' THEN '-1' ELSE cluster_id END AS cluster_id, 'Uncategorized' AS meta_cluster_label FROM notes", NOTES)
 def normalized_notes(spark, d):
     raw = notes_view(spark, d).drop("total_chunks", "meta_cluster_label", "unique_key")
-    raw = raw.withColumn("chunk_index", F.col("chunk_index").cast("string")).withColumn("cluster_label", F.when(F.col("doc_id") % 3 != 0, F.col("cluster_label")))
-    raw = raw.withColumn("cluster_id", F.when(F.col("doc_id") % 5 == 0, "nan").otherwise(F.col("cluster_id")))
+    raw = raw.withColumn("chunk_index", F.col("chunk_index").cast("string")).withColumn("cluster_label", F.when(F.col("lang") != "fr", F.col("cluster_label")))
+    raw = raw.withColumn("cluster_id", F.when(F.col("lang") == "de", "nan").otherwise(F.col("cluster_id")))
     return normalize_notes(raw).select("doc_id", "chunk_index", "total_chunks", "cluster_label", "cluster_id", "meta_cluster_label")
 
 
@@ -106,9 +106,9 @@ def title_lookup(spark, d):
     return notes.title_lookup(notes_view(spark, d), ["src1", "src2", "missing"])
 
 
-@register("SELECT DISTINCT title FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'Notes' WHEN doc_id % 7 = 1 THEN ' ' ELSE source END AS title FROM documents) WHERE title NOT IN ('Notes', ' ')")
+@register("SELECT DISTINCT title FROM (SELECT CASE WHEN lang = 'fr' THEN 'Notes' WHEN lang = 'de' THEN ' ' ELSE source END AS title FROM documents) WHERE title NOT IN ('Notes', ' ')")
 def open_windows(spark, d):
-    t = F.when(F.col("doc_id") % 7 == 0, "Notes").when(F.col("doc_id") % 7 == 1, " ").otherwise(F.col("source"))
+    t = F.when(F.col("lang") == "fr", "Notes").when(F.col("lang") == "de", " ").otherwise(F.col("source"))
     return open_window_titles(read(spark, d, "documents").select(t.alias("title")))
 
 
@@ -195,11 +195,14 @@ def meta_clusters_by_ids(spark, d):
     return clusters.meta_clusters(clusters.of_clusters(notes_view(spark, d), "1, 2,1.6,"))
 
 
-HITS = "hits AS (SELECT display_topic_id AS cluster_id, meta_cluster_id, abs(chunk_index % 10) / 10.0 AS distance FROM notes WHERE doc_id % 3 = 0 AND display_topic_id <> '2')"
+HITS = """hits AS (SELECT display_topic_id AS cluster_id, meta_cluster_id, round(list_sum(list_transform(range(1, 65), lambda i: (CAST(vector[i] AS DOUBLE) - q[i]) * (CAST(vector[i] AS DOUBLE) - q[i]))), 6) AS distance
+ FROM notes, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) WHERE vector IS NOT NULL AND display_topic_id <> '2')"""
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return notes_view(spark, d).where("doc_id % 3 = 0 and display_topic_id <> '2'").select(F.col("display_topic_id").alias("cluster_id"), "meta_cluster_id", (F.col("chunk_index") % 10 / 10.0).alias("distance"))
+    """Every chunk with a vector as a hit, by its distance from the query's; cluster 2 has none."""
+    far = F.round(num.squared_distance(F.col("vector"), num.literal_vector(query_vector(spark, d))), 6)
+    return notes_view(spark, d).where("vector is not null and display_topic_id <> '2'").select(F.col("display_topic_id").alias("cluster_id"), "meta_cluster_id", far.alias("distance"))
 
 
 @register("SELECT meta_cluster_id, min_by(meta_label, first_doc_id) AS label, round(avg(dd), 6) AS avg_distance, count(*) AS n_clusters, max(last_modified) AS last_modified FROM facts LEFT JOIN (SELECT cluster_id, avg(CAST(distance AS DOUBLE)) AS dd FROM hits GROUP BY 1) USING (cluster_id) GROUP BY 1", NOTES, FACTS, HITS)
@@ -580,11 +583,11 @@ def ctfidf_keywords(spark, d):
 
 
 def outliers(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth chunk with a vector as an outlier."""
-    return notes_view(spark, d).where("vector is not null").withColumn("base_topic_id", F.when(F.col("doc_id") % 5 == 0, "-1").otherwise(F.col("base_topic_id")))
+    """All chunks with a vector, those of topic 4 as outliers."""
+    return notes_view(spark, d).where("vector is not null").withColumn("base_topic_id", F.when(F.col("base_topic_id") == "4", "-1").otherwise(F.col("base_topic_id")))
 
 
-OUT = "outl AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN '-1' ELSE base_topic_id END AS base_topic_id) FROM notes WHERE vector IS NOT NULL)"
+OUT = "outl AS (SELECT * REPLACE (CASE WHEN base_topic_id = '4' THEN '-1' ELSE base_topic_id END AS base_topic_id) FROM notes WHERE vector IS NOT NULL)"
 BC = "bv AS (SELECT base_topic_id AS topic, i, avg(CAST(vector[i + 1] AS DOUBLE)) AS v FROM outl, (SELECT unnest(range(64)) AS i) WHERE base_topic_id <> '-1' GROUP BY ALL), bc AS (SELECT topic, list(v ORDER BY i) AS c FROM bv GROUP BY 1)"
 
 
@@ -725,11 +728,11 @@ def ranked_documents(spark, d):
     return models.ranked_documents(n)
 
 
-@register("SELECT t.text_id, coalesce(min(n.doc_id), (SELECT min(doc_id) FROM notes m WHERE contains(m.chunk_content, t.text))) AS doc_id, CASE WHEN min(n.doc_id) IS NOT NULL THEN 'exact' ELSE 'inside' END AS how FROM (SELECT doc_id AS text_id, CASE WHEN doc_id % 2 = 0 THEN chunk_content ELSE substr(chunk_content, 5, 60) END AS text FROM notes WHERE doc_id % 40 < 2) t LEFT JOIN notes n ON n.chunk_content = t.text GROUP BY t.text_id, t.text HAVING length(t.text) > 0", NOTES)
+@register("SELECT text_id, coalesce(e, i) AS doc_id, CASE WHEN e IS NOT NULL THEN 'exact' ELSE 'inside' END AS how FROM (SELECT t.text_id, min(n.doc_id) FILTER (n.chunk_content = t.text) AS e, min(n.doc_id) AS i FROM (SELECT item_id AS text_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents) t JOIN notes n ON contains(n.chunk_content, t.text) AND (t.text_id >= 0 OR n.chunk_content = t.text) WHERE length(t.text) > 0 GROUP BY 1)", NOTES)
 def find_texts(spark, d):
-    n = notes_view(spark, d)
-    part = F.when(F.col("doc_id") % 2 == 0, F.col("chunk_content")).otherwise(F.substring("chunk_content", 5, 60))
-    return models.find_texts(n.where("doc_id % 40 < 2").select(F.col("doc_id").alias("text_id"), part.alias("text")), n)
+    items, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
+    texts = items.select(F.col("item_id").alias("text_id"), "text").unionByName(docs.select((-1 - F.col("doc_id")).alias("text_id"), "text"))
+    return models.find_texts(texts, notes_view(spark, d))
 
 
 @register("SELECT count(*) FILTER (base_topic_id = '-1') AS n_before, CAST(0 AS BIGINT) AS n_after, CASE WHEN count(*) FILTER (base_topic_id = '-1') > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS reduced_percent FROM outl", NOTES, OUT)
