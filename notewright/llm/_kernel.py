@@ -7,6 +7,8 @@ operator on the words themselves or rests on sets of 64-bit hashes, as its docst
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
@@ -43,6 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as Python workers are kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(chars: str) -> np.ndarray:
     """A lookup table that is true at these single-byte characters."""
     out = np.zeros(256, bool)

@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    """For local sessions that name none; it goes with this process."""
+    path = tempfile.mkdtemp(prefix="notewright-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "notewright-shared")
+        in_code = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = in_code.get() if in_code.isDefined() else _own_dir()
     return named.rstrip("/")
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at once; the default of 10,000 texts is a lot beside an executor's other memory.
+BATCH_ROWS = 512
+
 
+def lean(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows if they are larger.  Operators call it, as their plans run later."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
-def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Cuts the lineage: writes a table in the shared folder and reads it again, so that lost executors cost only their own tasks.
 
-    batch_rows: rows that go to Python at once while this table is made, where rows are wide.
-    """
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes a table in the shared folder and reads it again, so that lost executors cost only their own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/notewright/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    if batch_rows:
-        spark.conf.set(_BATCH, str(batch_rows))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

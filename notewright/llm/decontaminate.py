@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import ALNUM, LOWER, U64, Texts, Words, run_hashes, span_hashes, texts, words
+from notewright.llm._shared import lean
 
 #: Words in a shingle; a shorter window is one shingle.
 SHINGLE = 3
@@ -153,6 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     Null or empty text: no words, no hits.  An item without words has no windows; an item with a null id counts as ''.
     Items of one id count once.  Rows with the same doc_id and text get the same result each.  Empty benchmark: no hits.
     """
+    lean(docs.sparkSession)
     columns = ["doc_id", *(c for c in keep if c != "doc_id")]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"), *columns[1:])
     spark = docs.sparkSession

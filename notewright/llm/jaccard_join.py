@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
-from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, run_hashes, span_hashes, texts, words
-from notewright.llm._shared import tidy, written
+from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_hashes, span_hashes, texts, words
+from notewright.llm._shared import lean, tidy, written
 from notewright.llm.components import components
 
 #: A key of more sets than this is dear.
@@ -184,6 +184,8 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from send(held, turn)
+        del held
+        release()
 
     def as_rows(a, b, key, band, spare):  # noqa: ANN001, ANN202
         for i in range(0, len(a), 100_000):
@@ -221,6 +223,8 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             both = both[np.lexsort((both[:, 1], both[:, 0]))]
             both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
             yield from as_rows(both[:, 0].copy(), both[:, 1].copy(), None, None, None)
+        del parts, key, cls, band, left, order, dear
+        release()
 
     return docs.select("_text").mapInArrow(emit, _blobs.SCHEMA).repartition("p").mapInArrow(merge, _MEETING)
 
@@ -307,14 +311,14 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             h = batch.column("_h").to_numpy().view(U64)
             batch = batch.filter(pa.array(have[(h & U64(len(have) - 1)).astype(np.int64)]))
-            for t in texts(batch.column("_text"), 1 << 20):
+            for t in texts(batch.column("_text")):
                 s = shingle_sets(t, k)
                 own = [s.tokens[i:j].tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.slice(t.lo, t.hi - t.lo).column("_h"), pa.array(s.cls), pa.array(own, pa.binary())], names=["_h", "cls", "tokens"])
 
     found = docs.select("_h", "_text").mapInArrow(run, "_h long, cls long, tokens binary")
     # joined and made distinct by the class: one shuffle of the tokens
-    return written(found.join(chosen.select("cls", "h"), "cls").where("_h = h").select("cls", "tokens").dropDuplicates(["cls"]), "jaccard-sets", 2000)
+    return written(found.join(chosen.select("cls", "h"), "cls").where("_h = h").select("cls", "tokens").dropDuplicates(["cls"]), "jaccard-sets")
 
 
 class _Labels:
@@ -330,7 +334,7 @@ class _Labels:
         return df.join(self.table.select(F.col("id").alias(column), F.col("comp").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
     def add(self, links: DataFrame) -> None:
-        links = written(links, "jaccard-links", 256)
+        links = written(links, "jaccard-links")
         if links.isEmpty():
             return
         # the components so far count as links
@@ -409,20 +413,21 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
     component_id too where it is alone.  Rows with one doc_id count each as documents; their component is one where
     their texts are linked.  Empty table: no rows.
     """
+    lean(docs.sparkSession)
     bands = Bands.make(num, den)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("_h", F.xxhash64("doc_id", "_text"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in texts(batch.column("_text"), 1 << 20):
+            for t in texts(batch.column("_text")):
                 s = shingle_sets(t, shingle)
                 part = batch.slice(t.lo, t.hi - t.lo)
                 maps = [_bitmap(s.tokens[i:j]) for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_h"), pa.array(s.sizes), pa.array(s.cls), pa.array(maps, pa.binary())], names=["doc_id", "_h", "n_shingles", "cls", "bitmap"])
 
     kind = dict(base.dtypes)["doc_id"]
-    narrow = written(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary"), "jaccard-narrow", 2000)
-    meetings = written(_meetings(base, shingle, bands), "jaccard-meetings", 2000)
+    narrow = written(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary"), "jaccard-narrow")
+    meetings = written(_meetings(base, shingle, bands), "jaccard-meetings")
     order = Window.partitionBy("a", "band").orderBy("key")
     dear = meetings.where("b is null").select("a", "key", "band", "spare").distinct()
     dear = dear.withColumn("_r", F.row_number().over(order)).where("_r > spare").select("key", F.col("a").alias("cls"))

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm._kernel import Texts, texts
-from notewright.llm._shared import written
+from notewright.llm._kernel import Texts, release, texts
+from notewright.llm._shared import lean, written
 
 ORDER = 5
+#: n-grams counted within a task before they are summed; what is left of more than half of it is sent on.
+HELD = 1_000_000
 #: A model of at most so many entries (12 bytes each) is broadcast; a larger one is joined in shards.
 BROADCAST_ENTRIES = 6_000_000
 #: As many trusted ids (8 bytes each) are broadcast; more are joined.
@@ -50,15 +52,18 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             keys.append(key)
             counts.append(n)
             held += len(key)
-            if held > 4_000_000:
+            if held > HELD:
                 key, n = summed()
                 keys, counts, held = [key], [n], len(key)
-                if held > 2_000_000:
+                if held > HELD // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["g", "c"])
                     keys, counts, held = [], [], 0
     if keys:
         key, n = summed()
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["g", "c"])
+        del key, n
+    keys, counts = [], []
+    release()
 
 
 def discounts(of: dict[int, int]) -> tuple[float, float, float]:
@@ -226,6 +231,7 @@ def classify(
     rows are scored each.
     """
     spark = docs.sparkSession
+    lean(spark)
     ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_nw_id")).distinct()
     ids = written(ids, "lm-trusted")
     narrow = docs.select(F.col(doc_id).cast("long").alias("_nw_id"), F.col("lang").cast("string").alias("lang"), "text").where("_nw_id is not null")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import LOWER, Texts, texts
+from notewright.llm._shared import lean
 
 GRAM = 4  # bytes
 #: n-grams in a unit, whose language is one.
@@ -53,6 +54,7 @@ class Model:
 
 def train(docs: DataFrame, buckets: int = BUCKETS, smooth: float = 0.5) -> Model:
     """From all rows with a lang.  Counts are summed within each task, then by key; the result has at most CELLS cells."""
+    lean(docs.sparkSession)
     labelled = docs.where("lang is not null")
     langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     while buckets > 256 and buckets * max(1, len(langs)) > CELLS:
@@ -149,6 +151,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0, most: int = 4,
 
     Null text or text without a letter: und, score 0, no langs.  A model without languages: und for all.
     """
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.regexp_like(F.col(text), F.lit(r"\p{L}")), F.lit(False))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), letter.alias("_letter"), *keep)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import U64, Texts, Words, run_hashes, span_hashes, texts
+from notewright.llm._shared import lean
 from notewright.llm.decontaminate import split_words
 
 #: Notices as their licenses word them.  Any run of GRAM + WINDOW - 1 equal words shares a fingerprint.
@@ -178,6 +179,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     Null or empty text: no words, no matches.  Repeated rows are scanned each.
     """
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build_index(TEMPLATES if templates is None else templates))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = pa.list_(pa.struct([("license", pa.string()), ("matched", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, run_hashes, span_hashes, sums, table, texts, windows, words
+from notewright.llm._shared import lean
 
 #: Words are counted in so many bins by hash; the heaviest bins of a language stand for its common words.
 BINS = 1 << 14
@@ -162,6 +163,7 @@ def quality_rules(
     Null or empty text: all counts 0, distances 1, base_failed.  Null or rare lang: the reference of all documents.
     Without any reference (no document passes the base rules) the distances are 1.
     """
+    lean(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     known = references(base, min_words, repeat)
     shared = docs.sparkSession.sparkContext.broadcast(known)

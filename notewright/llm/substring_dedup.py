@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
-from notewright.llm._kernel import LOWER, SPACED, U64, Texts, run_hashes, span_hashes, table, texts, words
+from notewright.llm._kernel import LOWER, SPACED, U64, Texts, release, run_hashes, span_hashes, table, texts, words
+from notewright.llm._shared import lean
 
 _STOP = table(".!?")
 #: Spans merged within a task before they are sent.
@@ -128,6 +129,8 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
                     held, size = [], 0
         if held:
             yield from send(held)
+        del held
+        release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -151,6 +154,9 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
             order, later = _later(h, doc, th, a, b)
             at = order[later]
             yield from out(doc[at], th[at], a[at], b[at])
+            del h, doc, th, a, b, order, later, at
+        del parts
+        release()
 
     sent = docs.select("_nw_id", "_nw_th", "_nw_text").mapInArrow(emit, _blobs.SCHEMA)
     return sent.repartition("p").mapInArrow(merge, "_nw_id long, _nw_th long, a int, b int")
@@ -171,6 +177,7 @@ def remove_repeated(
     comes before all others.  Null text stays null; text without words stays as it is.  A text whose sentences all go
     is empty.  Short repeated phrases (under min_words words) stay.
     """
+    lean(docs.sparkSession)
     key = docs.withColumn("_nw_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_nw_th", F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32))).withColumn("_nw_text", F.col(text))
     spans = repeated_spans(key, min_sentences, min_words, alone)
     marks = spans.groupBy("_nw_id", "_nw_th").agg(F.collect_set(F.struct("a", "b")).alias("_nw_marks"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import Texts, texts
+from notewright.llm._shared import lean
 from notewright.llm.substring_dedup import sentences
 
 #: Fixed value: the pattern that goes with the byte-level vocabulary.
@@ -171,6 +172,7 @@ def count_tokens(
     Null or empty text: no tokens, and no sections of its own making; given ones get 0.  Null sections: none.
     Repeated rows are counted each.
     """
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(sections).alias("sections")] if sections else []))
 
