@@ -327,7 +327,7 @@ def high_freq_stopwords(spark, d):
     return words.frequent_words(notes_view(spark, d))
 
 
-@register(r"SELECT doc_id, md5(list_aggregate(list_filter(string_split(trim(regexp_replace(chunk_content, '\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(ws, lower(w))), 'string_agg', ' ')) AS clean_md5 FROM notes, (SELECT list(word) AS ws FROM wc WHERE n / (SELECT sum(n) FROM wc) > 0.001)", NOTES, WC)
+@register(r"SELECT doc_id, md5(coalesce(list_aggregate(list_filter(string_split(trim(regexp_replace(chunk_content, '\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(ws, lower(w))), 'string_agg', ' '), '')) AS clean_md5 FROM notes, (SELECT list(word) AS ws FROM wc WHERE n / (SELECT sum(n) FROM wc) > 0.001)", NOTES, WC)
 def stopword_removed_text(spark, d):
     n = notes_view(spark, d)
     return words.without_words(n, words.frequent_words(n)).select("doc_id", F.md5("clean").alias("clean_md5"))
