@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
-from notewright.llm._kernel import LOWER, SPACED, U64, Texts, release, run_hashes, span_hashes, table, texts, words
+from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_hashes, span_hashes, table, texts, words
 from notewright.llm._shared import lean
 
 _STOP = table(".!?")
@@ -81,12 +81,13 @@ def _later(h: np.ndarray, doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: int) -> DataFrame:
-    """(_nw_id, _nw_th, a, b): sentences a..b of the row's text are a non-first occurrence.  docs: _nw_id, _nw_th, _nw_text.
+    """(_nw_id, _nw_th, _nw_marks): the sentences of the row's text in non-first occurrences, as pairs of first and last.
 
-    A task keeps the first occurrence it has of each hash and already marks its others, so that a bucket gets a
+    docs: _nw_id, _nw_th, _nw_text.  A task keeps the first occurrence it has of each hash and already marks its others, so that a bucket gets a
     hash at most once from a task, however often it occurs.
     """
     n = _blobs.buckets(docs.count())
+    doc_buckets = n // 4
     shift = U64(64 - (n.bit_length() - 1))
     mark = -1  # the bucket number of marks, before they are dealt out
 
@@ -134,18 +135,13 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
-
-        def out(doc, th, a, b):  # noqa: ANN001, ANN202
-            for i in range(0, len(doc), 100_000):
-                c = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(th[c].astype(np.int64)), pa.array(a[c].astype(np.int32)), pa.array(b[c].astype(np.int32))], names=["_nw_id", "_nw_th", "a", "b"])
-
+        found: list[list[np.ndarray]] = []
         for batch in batches:
             for blob in batch.column("blob"):
                 x = _blobs.unpack(blob.as_py())
                 if len(x) == 4:
                     a = x[2].astype(np.int64)
-                    yield from out(x[0], x[1], a, a + x[3])
+                    found.append([x[0], x[1], a, a + x[3]])
                 else:
                     a = x[4].astype(np.int64)
                     parts.append([x[0], x[1][x[3]], x[2][x[3]], a, a + x[5]])
@@ -153,13 +149,45 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
             h, doc, th, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, later = _later(h, doc, th, a, b)
             at = order[later]
-            yield from out(doc[at], th[at], a[at], b[at])
-            del h, doc, th, a, b, order, later, at
+            found.append([doc[at], th[at], a[at], b[at]])
+            del h, order, later
         del parts
+        if found:
+            doc, th, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            p = (mix(doc.view(U64)) >> U64(64 - (doc_buckets.bit_length() - 1))).astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            edges = np.searchsorted(p[order], np.arange(doc_buckets + 1))
+            places = np.flatnonzero(np.diff(edges))
+            own = [order[edges[i] : edges[i + 1]] for i in places]
+            yield from _blobs.rows(places.tolist(), [_blobs.pack([doc[k], th[k].astype(np.uint32), _blobs.small(a[k]), _blobs.small(b[k] - a[k])]) for k in own])
+        del found
+        release()
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All spans of a document meet; overlapping ones become one."""
+        parts = [_blobs.unpack(blob.as_py()) for batch in batches for blob in batch.column("blob")]
+        if not parts:
+            return
+        doc, th, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+        b = a + b
+        order = np.lexsort((a, th, doc))
+        doc, th, a, b = doc[order], th[order], a[order], b[order]
+        rows = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
+        row = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, len(doc))))
+        far = np.maximum.accumulate(b + (row << 32))  # the last sentence covered so far, later rows always beyond
+        new = np.concatenate([[True], (a[1:] + (row[1:] << 32)) > far[:-1] + 1])
+        first = np.flatnonzero(new)
+        pair = np.stack([a[first], far[np.append(first[1:], len(a)) - 1] & 0xFFFFFFFF], 1).astype(np.int32)
+        edges = np.append(np.searchsorted(first, rows), len(first))
+        for i in range(0, len(rows), 10_000):
+            at = rows[i : i + 10_000]
+            marks = [pair[edges[j] : edges[j + 1]].tobytes() for j in range(i, i + len(at))]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), pa.array(marks, pa.binary())], names=["_nw_id", "_nw_th", "_nw_marks"])
         release()
 
     sent = docs.select("_nw_id", "_nw_th", "_nw_text").mapInArrow(emit, _blobs.SCHEMA)
-    return sent.repartition("p").mapInArrow(merge, "_nw_id long, _nw_th long, a int, b int")
+    merged = sent.repartition("p").mapInArrow(merge, _blobs.SCHEMA)
+    return merged.repartition("p").mapInArrow(cover, "_nw_id long, _nw_th long, _nw_marks binary")
 
 
 def remove_repeated(
@@ -170,7 +198,7 @@ def remove_repeated(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """All rows and columns of docs; text without the repeated sentences; and _n_sentences, _n_removed.
+    """All rows and columns of docs; text without the repeated sentences; and _nw_sentences, _nw_removed.
 
     Occurrences are ordered by doc_id (a whole number), then place, so the copy in the smallest doc_id stays whole.
     Rows with the same doc_id and text are one document: what is removed in one is removed in all.  Null doc_id
@@ -180,8 +208,7 @@ def remove_repeated(
     lean(docs.sparkSession)
     key = docs.withColumn("_nw_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_nw_th", F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32))).withColumn("_nw_text", F.col(text))
     spans = repeated_spans(key, min_sentences, min_words, alone)
-    marks = spans.groupBy("_nw_id", "_nw_th").agg(F.collect_set(F.struct("a", "b")).alias("_nw_marks"))
-    joined = key.drop("_nw_text").join(marks, ["_nw_id", "_nw_th"], "left").drop("_nw_id", "_nw_th")
+    joined = key.drop("_nw_text").join(spans, ["_nw_id", "_nw_th"], "left").drop("_nw_id", "_nw_th")
     names = docs.columns
     place = names.index(text)
 
@@ -198,9 +225,9 @@ def remove_repeated(
                     new = values.to_pylist()
                     for r in marked:
                         cover = np.zeros(count[r] + 1, np.int64)
-                        for m in part.column("_nw_marks")[r].as_py():
-                            cover[m["a"]] += 1
-                            cover[m["b"] + 1] -= 1
+                        marks = np.frombuffer(part.column("_nw_marks")[r].as_py(), np.int32).reshape(-1, 2)
+                        np.add.at(cover, marks[:, 0], 1)
+                        np.add.at(cover, marks[:, 1] + 1, -1)
                         gone = np.cumsum(cover)[:-1] > 0
                         edges = np.append(s.begin[s.first[r] : s.first[r + 1]], t.offsets[r + 1])
                         head = t.data[t.offsets[r] : edges[0]].tobytes()
@@ -210,11 +237,11 @@ def remove_repeated(
                     values = pa.array(new, pa.string())
                 columns = [part.column(c) for c in names]
                 columns[place] = values
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed)], names=[*names, "_n_sentences", "_n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed)], names=[*names, "_nw_sentences", "_nw_removed"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "_nw_marks").mapInArrow(cut, f"{kinds}, _n_sentences long, _n_removed long")
+    return joined.select(*names, "_nw_marks").mapInArrow(cut, f"{kinds}, _nw_sentences long, _nw_removed long")
 
 
 def digest(cut: DataFrame) -> DataFrame:
-    return cut.select("doc_id", "text", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), (F.col("_n_removed") > 0).alias("cut"))
+    return cut.select("doc_id", "text", F.col("_nw_sentences").alias("n_sentences"), F.col("_nw_removed").alias("n_removed"), (F.col("_nw_removed") > 0).alias("cut"))

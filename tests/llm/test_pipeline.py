@@ -30,3 +30,22 @@ def test_stages_on_an_empty_table(spark):
     docs = table(spark, DIR, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def test_stages_with_clashing_columns(spark):
+    docs = table(spark, DIR, "documents")
+    more = "kept n_hit _text _id size perplexity component_id threshold items spans taken _order target h cls n p blob".split()
+    wide = docs.select("*", *(F.lit("x").alias(c) for c in more))
+    for (_, stage), narrow in zip(corpus_pipeline.STAGES[:4], (docs,) * 4):
+        got = stage(spark, wide, DIR)
+        assert got.columns == wide.columns
+        assert got.count() == stage(spark, narrow, DIR).count()
+    assert corpus_pipeline.mix(spark, wide, DIR).count() == corpus_pipeline.mix(spark, docs, DIR).count()
+
+
+def test_stages_with_nulls_and_repeated_rows(spark):
+    docs = table(spark, DIR, "documents").limit(30)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "some words here. and there.", "en", "s", 1), (10**6, "", None, None, 0), (10**6, "", None, None, 0), (10**6 + 1, None, "xx", "", None)], docs.schema)
+    both = docs.unionByName(odd).unionByName(docs.limit(5))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, both, DIR).count() > 0
