@@ -14,10 +14,14 @@ from notewright.llm.queries import cycle_weights, table
 from notewright.llm.substring_dedup import remove_repeated
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """With all columns once more as one, so that no name of theirs can clash with an operator's."""
+    return docs.withColumn("_nw_row", F.struct(*(docs[c] for c in docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    columns = docs.columns
-    return classify(docs, table(spark, sf_dir, "labels"), keep=tuple(columns)).where("kept").select(*columns)
+    return classify(_row(docs), table(spark, sf_dir, "labels"), keep=("_nw_row",)).where("kept").select("_nw_row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +32,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without sentences that an earlier document has, n_chars anew; documents of which nothing is left go."""
-    cut = remove_repeated(docs).where("_n_removed = 0 or length(text) > 0")
-    n = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    cut = remove_repeated(docs).where("_nw_removed = 0 or length(text) > 0")
+    n = F.when(F.col("_nw_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = contamination(_row(docs), table(spark, sf_dir, "benchmark"), keep=("_nw_row",))
+    return found.where("n_hit = 0").select("_nw_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
