@@ -1,10 +1,15 @@
 """Exact Jaccard self-join of shingle sets by universe partition and pigeonhole.
 
-For each band of sizes, tokens are hashed into m segments.  Two linked sets differ in at most H tokens, so of
-m = H + 1 + e segments at least e + 1 are equal.  Sets meet on equal segments (keys).  A key that many sets have is
-dear: every set may skip up to e of its dear ones (empty segments first), as a pair that shares e + 1 segments still
-shares one that neither skips.  Only sets with more dear keys than that meet on the rest of them.  Candidates are
-pruned by a bound from parity bitmaps, then compared token by token.
+For each band of sizes, tokens are hashed into m segments.  Two linked sets differ in at most H tokens.  A band
+allocates its segments by cost: either each is matched exactly, and of m = H + 1 + e segments at least e + 1 are equal;
+or each is matched within one deletion, and of m = H / 2 + 1 + e at least e + 1 differ in at most one token.  A segment's
+key is a hash of its tokens; its one-deletion neighbourhood is the keys without one of them, so that is a key for each
+token: cheap for short sets, whose exact segments would have few tokens, dear for long ones.
+
+Sets meet on equal keys.  A key that many sets have is dear, and so is an empty one.  Every set may skip up to e
+segments with dear keys, as a pair that matches in e + 1 segments still does in one that neither skips.  Only sets with
+more such segments than that meet on the rest of them.  Candidates are pruned by a bound from parity bitmaps, then
+compared token by token.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from notewright.llm.components import components
 
 #: A key of more sets than this is dear.
 CHEAP = 12
+#: Bands of sets up to this size allocate deletions: about one key a token, where exact segments have two or three.
+DELETIONS_TO = 40
 #: Keys merged within a task before they are sent.
 HELD = 1_000_000
 #: Members of a dear key compared by one task at a time.
@@ -41,6 +48,7 @@ class Bands:
     high: np.ndarray
     spare: np.ndarray  # e
     parts: np.ndarray  # m
+    deletions: np.ndarray  # whether segments are matched within one deletion
 
     @staticmethod
     def make(num: int, den: int, most: int = 1 << 40) -> Bands:
@@ -53,8 +61,10 @@ class Bands:
             low.append(max(low[-1] + 1, -(-num * (high[-1] + 1) // den)))
         lo, hi = np.array(low, np.int64), np.array(high, np.int64)
         differ = 2 * hi * (den - num) // (den + num)  # the symmetric difference of linked sets of these sizes
-        spare = np.maximum(2, differ // 6)
-        return Bands(lo, hi, spare, differ + 1 + spare)
+        deletions = (hi <= DELETIONS_TO) & (differ > 0)
+        apart = np.where(deletions, differ // 2, differ)  # segments that can fail to match
+        spare = np.where(deletions, 1 + apart // 3, np.maximum(2, differ // 6))
+        return Bands(lo, hi, spare, apart + 1 + spare, deletions)
 
 
 @dataclass
@@ -89,14 +99,25 @@ def shingle_sets(t: Texts, k: int) -> Sets:
     return Sets(tokens, first, cls.view(np.int64))
 
 
-def keys(s: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and their entries; then of each entry its set's cls, its band and how many dear keys it may skip."""
+@dataclass
+class Keys:
+    """key, entry, segment: of each key; then of each entry its set's cls, its band and how many segments with dear keys it may skip."""
+
+    key: np.ndarray
+    entry: np.ndarray
+    segment: np.ndarray
+    cls: np.ndarray
+    band: np.ndarray
+    left: np.ndarray
+
+
+def keys(s: Sets, bands: Bands) -> Keys:
     n = s.sizes
     a = np.searchsorted(bands.high, n)
     count = np.where(n > 0, np.searchsorted(bands.low, n, "right") - a, 0)
     row = np.repeat(np.arange(len(n)), count)
     band = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
-    useful = bands.parts[band] - bands.spare[band] > 1  # else only equal sets are linked
+    useful = bands.parts[band] - bands.spare[band] > 1 - bands.deletions[band]  # else only equal sets are linked
     row, band = row[useful], band[useful]
     size, parts = n[row], bands.parts[band]
     base = np.concatenate([[0], np.cumsum(parts)])
@@ -105,19 +126,23 @@ def keys(s: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     tokens = s.tokens[at]
     place = mix(tokens + mix(band.astype(U64) + U64(77))[entry]) >> U64(32)
     slot = base[entry] + ((place * parts[entry].astype(U64)) >> U64(32)).astype(np.int64)
+    value = mix(tokens ^ U64(0x2545F4914F6CDD1D))
     total = np.zeros(base[-1], U64)
-    np.add.at(total, slot, mix(tokens ^ U64(0x2545F4914F6CDD1D)))
-    filled = np.zeros(base[-1], bool)
-    filled[slot] = True
+    np.add.at(total, slot, value)
+    held = np.bincount(slot, minlength=base[-1])
     owner = np.repeat(np.arange(len(row)), parts)
     number = np.arange(base[-1]) - base[owner]
-    empty = np.cumsum(~filled)
-    before = np.concatenate([[0], empty])[base[:-1]]
-    rank = empty - before[owner]  # of an empty segment among its entry's, from 1
-    send = filled | (rank > bands.spare[band][owner])
-    key = mix(np.where(filled, total, U64(0)) + mix((band[owner].astype(U64) << U64(32)) + number.astype(U64) + U64(1)))
-    left = np.maximum(0, bands.spare[band] - (np.concatenate([[0], empty])[base[1:]] - before))
-    return key[send], owner[send], s.cls[row], band, left
+    # an empty key is dear from the start: that of an empty segment, or of one token under deletions
+    bare = held <= bands.deletions[band][owner]
+    running = np.concatenate([[0], np.cumsum(bare)])
+    rank = running[1:] - running[base[:-1]][owner]  # of a bare segment among its entry's, from 1
+    segment = mix((band[owner].astype(U64) << U64(32)) + number.astype(U64) + U64(1))
+    empty = bare & (rank > bands.spare[band][owner])
+    less = bands.deletions[band][entry] & (held[slot] > 1)
+    key = np.concatenate([mix(total[held > 0] + segment[held > 0]), mix(segment[empty]), mix(total[slot[less]] - value[less] + segment[slot[less]])])
+    where = np.concatenate([np.flatnonzero(held > 0), np.flatnonzero(empty), slot[less]])
+    left = np.maximum(0, bands.spare[band] - (running[base[1:]] - running[base[:-1]]))
+    return Keys(key, owner[where], number[where], s.cls[row], band, left)
 
 
 def _group(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,11 +157,11 @@ def _group(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, begin, np.diff(np.append(begin, len(k)))
 
 
-_MEETING = "a long, b long, key long, band int, spare int"
+_MEETING = "a long, b long, key long, band int, segment int, spare int"
 
 
 def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Pairs (a, b) that share a cheap key; and for dear keys, rows (a, null, key, band, spare).  docs: _text.
+    """Pairs (a, b) that share a cheap key; and for dear keys, rows (a, null, key, band, segment, spare).  docs: _text.
 
     A task sends at most CHEAP + 1 sets of a key to its bucket; if it has more, the key is dear, and the sets go on
     as rows at once.
@@ -147,20 +172,21 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         n *= 2
     shift = U64(64 - (n.bit_length() - 1))
 
-    def send(held: list[tuple[np.ndarray, ...]], turn: int) -> Iterator[pa.RecordBatch]:
-        base = np.cumsum([0] + [len(h[2]) for h in held])
-        key = np.concatenate([h[0] for h in held])
-        entry = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
-        cls, band, left = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+    def send(held: list[Keys], turn: int) -> Iterator[pa.RecordBatch]:
+        base = np.cumsum([0] + [len(h.cls) for h in held])
+        key = np.concatenate([h.key for h in held])
+        entry = np.concatenate([h.entry + b for h, b in zip(held, base, strict=False)])
+        segment = np.concatenate([h.segment for h in held])
+        cls, band, left = (np.concatenate([getattr(h, c) for h in held]) for c in ("cls", "band", "left"))
         order, begin, count = _group(key, cls[entry])
-        key, entry = key[order], entry[order]
+        key, entry, segment = key[order], entry[order], segment[order]
         rank = np.arange(len(key)) - np.repeat(begin, count)
-        dear = np.repeat(count > CHEAP, count)
         out: list[tuple[int, bytes]] = []
-        at = np.flatnonzero(dear)
+        at = np.flatnonzero(np.repeat(count > CHEAP, count))
         for i in range(0, len(at), 50_000):
             x = at[i : i + 50_000]
-            out.append(((turn + 7919 * i) % n, _blobs.pack([key[x], cls[entry[x]], _blobs.small(band[entry[x]]), _blobs.small(left[entry[x]])])))
+            e = entry[x]
+            out.append(((turn + 7919 * i) % n, _blobs.pack([key[x], cls[e], *(_blobs.small(v) for v in (band[e], segment[x], left[e]))])))
         keep = np.flatnonzero(rank <= CHEAP)
         p = (key[keep] >> shift).astype(np.int64)
         edges = np.searchsorted(p, np.arange(n + 1))
@@ -168,7 +194,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             x = keep[edges[i] : edges[i + 1]]
             used, back = np.unique(entry[x], return_inverse=True)
             low = ((key[x] << U64(64) - shift) >> U64(32)).astype(np.uint32)
-            out.append((int(i), _blobs.pack([low, _blobs.small(back), cls[used], _blobs.small(band[used]), _blobs.small(left[used])])))
+            out.append((int(i), _blobs.pack([low, *(_blobs.small(v) for v in (segment[x], back)), cls[used], _blobs.small(band[used]), _blobs.small(left[used])])))
         yield from _blobs.rows([i for i, _ in out], [x for _, x in out])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +203,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             for t in texts(batch.column("_text")):
                 got = keys(shingle_sets(t, k), bands)
                 held.append(got)
-                size += len(got[0])
+                size += len(got.key)
                 turn += len(t.data)
                 if size >= HELD:
                     yield from send(held, turn)
@@ -187,30 +213,30 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         del held
         release()
 
-    def as_rows(a, b, key, band, spare):  # noqa: ANN001, ANN202
-        for i in range(0, len(a), 100_000):
-            c = slice(i, i + 100_000)
-            part = [x[c] if x is not None else None for x in (a, b, key, band, spare)]
-            size = len(part[0])
-            yield pa.RecordBatch.from_arrays([pa.nulls(size, kind) if x is None else pa.array(x).cast(kind) for x, kind in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["a", "b", "key", "band", "spare"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+
+    def as_rows(*columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(columns[0]), 100_000):
+            part = [x[i : i + 100_000] if x is not None else None for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part[0]), kind) if x is None else pa.array(x).cast(kind) for x, kind in zip(part, kinds, strict=True)], names=["a", "b", "key", "band", "segment", "spare"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         for batch in batches:
             for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob"), strict=True):
                 x = _blobs.unpack(blob.as_py())
-                if len(x) == 4:
+                if len(x) == 5:
                     # the keys of buckets are cut to 32 bits below their bucket's; cut these alike
                     key = ((x[0] >> shift) << U64(32)) | ((x[0] << U64(64) - shift) >> U64(32))
-                    yield from as_rows(x[1], None, key.view(np.int64), x[2], x[3])
+                    yield from as_rows(x[1], None, key.view(np.int64), *x[2:])
                 else:
-                    parts.append([x[0].astype(U64) | (U64(p) << U64(32)), x[2][x[1]], x[3][x[1]].astype(np.int32), x[4][x[1]].astype(np.int32)])
+                    parts.append([x[0].astype(U64) | (U64(p) << U64(32)), x[3][x[2]], *(v.astype(np.int32) for v in (x[4][x[2]], x[1], x[5][x[2]]))])
         if not parts:
             return
-        key, cls, band, left = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, cls, band, segment, left = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, begin, count = _group(key, cls)
         dear = order[np.repeat(count > CHEAP, count)]
-        yield from as_rows(cls[dear], None, key[dear].view(np.int64), band[dear], left[dear])
+        yield from as_rows(cls[dear], None, key[dear].view(np.int64), band[dear], segment[dear], left[dear])
         pairs = []
         for c in range(2, CHEAP + 1):
             first = begin[count == c]
@@ -222,8 +248,8 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             both = np.concatenate(pairs)
             both = both[np.lexsort((both[:, 1], both[:, 0]))]
             both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
-            yield from as_rows(both[:, 0].copy(), both[:, 1].copy(), None, None, None)
-        del parts, key, cls, band, left, order, dear
+            yield from as_rows(both[:, 0].copy(), both[:, 1].copy(), None, None, None, None)
+        del parts, key, cls, band, segment, left, order, dear
         release()
 
     return docs.select("_text").mapInArrow(emit, _blobs.SCHEMA).repartition("p").mapInArrow(merge, _MEETING)
@@ -428,9 +454,9 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
     kind = dict(base.dtypes)["doc_id"]
     narrow = written(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary"), "jaccard-narrow")
     meetings = written(_meetings(base, shingle, bands), "jaccard-meetings")
-    order = Window.partitionBy("a", "band").orderBy("key")
-    dear = meetings.where("b is null").select("a", "key", "band", "spare").distinct()
-    dear = dear.withColumn("_r", F.row_number().over(order)).where("_r > spare").select("key", F.col("a").alias("cls"))
+    order = Window.partitionBy("a", "band").orderBy("segment")
+    dear = meetings.where("b is null").select("a", "key", "band", "segment", "spare").distinct()
+    dear = dear.withColumn("_r", F.dense_rank().over(order)).where("_r > spare").select("key", F.col("a").alias("cls"))
     dear = written(dear, "jaccard-dear")
     met = meetings.select(F.col("a").alias("cls")).union(meetings.where("b is not null").select("b")).distinct()
     classes = narrow.join(met, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("_h").alias("h"), F.col("n_shingles").alias("n"), "bitmap")).alias("x"))
