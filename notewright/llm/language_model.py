@@ -23,6 +23,8 @@ ORDER = 5
 HELD = 1_000_000
 #: A model of at most so many entries (12 bytes each) is broadcast; a larger one is joined in shards.
 BROADCAST_ENTRIES = 6_000_000
+#: Bytes of the window whose worst place is judged: about a word, as a few vile words hardly move the mean of a long text.
+WINDOW = 8
 #: As many trusted ids (8 bytes each) are broadcast; more are joined.
 BROADCAST_IDS = 4_000_000
 
@@ -142,8 +144,25 @@ def pack(model: dict[int, tuple[DataFrame, DataFrame]]) -> Packed | None:
     return Packed(out)
 
 
+def worst_windows(prefix: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """By row, the mean bits a byte of its worst window; a shorter text is one window, an empty one has 0.
+
+    prefix: sums of log2 probabilities before each byte and at the end; offsets: where each row begins, with one entry more.
+    """
+    n = np.diff(offsets)
+    span = np.minimum(n, window)
+    count = np.where(n > 0, n - span + 1, 0)
+    first = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(n)), count)
+    begin = np.arange(len(row)) - first[row] + offsets[:-1][row]
+    bits = (prefix[begin] - prefix[begin + span[row]]) / span[row] if len(row) else np.zeros(0)
+    out = np.zeros(len(n))
+    out[count > 0] = np.maximum.reduceat(bits, first[count > 0]) if len(row) else 0
+    return out
+
+
 def score(docs: DataFrame, packed: Packed, columns: list[str], order: int = ORDER) -> DataFrame:
-    """columns, n_symbols and log2_prob of each row's text."""
+    """columns, n_symbols, log2_prob and worst_bits (see worst_windows) of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,27 +173,44 @@ def score(docs: DataFrame, packed: Packed, columns: list[str], order: int = ORDE
                 prefix = np.concatenate([[0.0], np.cumsum(model.log2(unique)[code])])
                 part = batch.slice(t.lo, t.hi - t.lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), pa.array(np.diff(t.offsets), pa.int64()), pa.array(np.diff(prefix[t.offsets]), pa.float64())],
-                    names=[*columns, "n_symbols", "log2_prob"],
+                    [*(part.column(c) for c in columns), pa.array(np.diff(t.offsets), pa.int64()), pa.array(np.diff(prefix[t.offsets]), pa.float64()), pa.array(worst_windows(prefix, t.offsets), pa.float64())],
+                    names=[*columns, "n_symbols", "log2_prob", "worst_bits"],
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns, "_text").mapInArrow(run, f"{kinds}, n_symbols long, log2_prob double")
+    return docs.select(*columns, "_text").mapInArrow(run, f"{kinds}, n_symbols long, log2_prob double, worst_bits double")
 
 
 def score_sharded(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], columns: list[str], order: int = ORDER) -> DataFrame:
-    """As score(), by joins of each row's distinct n-grams with the sharded tables: for a model too large to broadcast."""
+    """As score(), by joins of each row's distinct n-grams with the sharded tables: for a model too large to broadcast.
+
+    The places of an n-gram go along, as the worst window needs the bytes in their order again.
+    """
     keyed = docs.withColumn("_row", F.struct(*columns, F.xxhash64("_text").alias("_th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column("_text"), 1):
-                g, n = np.unique(ngrams(t, order), return_counts=True)
+                g, n = np.unique(grams := ngrams(t, order), return_counts=True)
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.argsort(grams, kind="stable"), pa.int32()))
                 row = batch.slice(t.lo, 1).column("_row")
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([row] * 1).take(pa.array(np.zeros(len(g), np.int64))), pa.array(g), pa.array(n, pa.int64())], names=["_row", "g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([row] * 1).take(pa.array(np.zeros(len(g), np.int64))), pa.array(g), places], names=["_row", "g", "places"])
+
+    def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, worst = [], []
+            for grams in batch.column("grams"):
+                lp, places = grams.values.field("lp").to_numpy(), grams.values.field("places")
+                at = places.flatten().to_numpy()
+                of = np.zeros(len(at))
+                of[at] = np.repeat(lp, places.value_lengths().to_numpy())
+                prefix = np.concatenate([[0.0], np.cumsum(of)])
+                sums.append(prefix[-1])
+                worst.append(worst_windows(prefix, np.array([0, len(at)]))[0])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sums, pa.float64()), pa.array(worst, pa.float64())], names=["_row", "log2_prob", "worst_bits"])
 
     kind = keyed.select("_row").schema[0].dataType.simpleString()
-    each = keyed.select("_row", "_text").mapInArrow(run, f"_row {kind}, g long, n long").groupBy("_row", "g").agg(F.sum("n").alias("n"))
+    each = keyed.select("_row", "_text").mapInArrow(run, f"_row {kind}, g long, places array<int>").groupBy("_row", "g").agg(F.first("places").alias("places"))  # repeated rows have the same
     each = each.withColumn("plus", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
     for n in range(order, 0, -1):
         table, context = model[n]
@@ -182,13 +218,14 @@ def score_sharded(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]
         each = each.withColumn("_k", key).withColumn("_h", F.shiftrightunsigned("_k", 8))
         each = each.join(table.select(F.col("g").alias("_k"), F.col("lp").alias("_lp")), "_k", "left").join(context.select(F.col("h").alias("_h"), "lw"), "_h", "left")
         each = each.withColumn("lp", F.coalesce("lp", F.col("_lp") + F.col("plus"))).withColumn("plus", F.col("plus") + F.coalesce("lw", F.lit(0.0))).drop("_k", "_h", "_lp", "lw")
-    total = each.groupBy("_row").agg(F.sum(F.col("n") * F.coalesce("lp", F.lit(-8.0) + F.col("plus"))).alias("log2_prob"))
+    grams = F.collect_list(F.struct(F.coalesce("lp", F.lit(-8.0) + F.col("plus")).alias("lp"), "places")).alias("grams")
+    total = each.groupBy("_row").agg(grams).mapInArrow(by_place, f"_row {kind}, log2_prob double, worst_bits double")
     rows = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_times"), F.first(F.octet_length("_text")).alias("n_symbols"))
     joined = rows.join(total, rows["_row"].eqNullSafe(total["_row"]), "left").select(
-        rows["_row"], F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"), F.coalesce(F.col("log2_prob") / F.col("_times"), F.lit(0.0)).alias("log2_prob"), "_times"
+        rows["_row"], F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"), F.coalesce("log2_prob", F.lit(0.0)).alias("log2_prob"), F.coalesce("worst_bits", F.lit(0.0)).alias("worst_bits"), "_times"
     )
     again = joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))  # a row for each repetition
-    return again.select(*(F.col("_row")[c].alias(c) for c in columns), "n_symbols", "log2_prob")
+    return again.select(*(F.col("_row")[c].alias(c) for c in columns), "n_symbols", "log2_prob", "worst_bits")
 
 
 def _trusted(docs: DataFrame, ids: DataFrame, where: Column) -> DataFrame:
@@ -210,20 +247,23 @@ def _trusted(docs: DataFrame, ids: DataFrame, where: Column) -> DataFrame:
 def classify(
     docs: DataFrame,
     labels: DataFrame,
-    quantile: float = 0.995,
-    slack: float = 1.1,
+    quantile: float = 0.97,
+    worst_quantile: float = 0.99,
+    slack: float = 1.0,
     calibrate: int = 5,
     min_calibration: int = 100,
     order: int = ORDER,
     doc_id: str = "doc_id",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, lang, n_symbols, log2_prob, perplexity (per byte), threshold and kept of each row, then its columns keep.
+    """doc_id, lang, n_symbols, log2_prob, perplexity (per byte), threshold, worst_bits (of the worst window, a byte),
+    worst_threshold and kept of each row, then its columns keep.
 
     Trusted: quality 1 and toxic 0.  Of the trusted documents, those whose id's hash is 0 modulo calibrate are not
-    learnt from; the given quantile of their perplexities, by language, times slack is that language's threshold.  A
-    language with fewer than min_calibration of them, one beyond the 1000 that have most, or null takes the threshold
-    of all languages.  kept: the perplexity is not above the threshold.  All trusted text is counted, all documents
+    learnt from; quantile of their perplexities and worst_quantile of their worst windows' bits, by language, times
+    slack are that language's thresholds: about so many trusted documents are lost to each, so the README gives what
+    they catch.  A    language with fewer than min_calibration of them, one beyond the 1000 that have most, or null takes the threshold
+    of all languages.  kept: neither perplexity nor worst window is above its threshold.  All trusted text is counted, all documents
     are scored, and texts are not shuffled while the model fits a broadcast.
 
     Null or empty text: no symbols, perplexity 1, kept as there is nothing against it.  A null doc_id is never trusted.
@@ -243,14 +283,16 @@ def classify(
         out = score(df, packed, columns, order) if packed else score_sharded(df, model, columns, order)
         return out.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.col("n_symbols"))).otherwise(1.0))
 
-    sample = written(scored(_trusted(narrow, ids, held).withColumnRenamed("text", "_text"), ["lang"]).where("n_symbols > 0").select("lang", "perplexity"), "lm-calibration")
-    limit = F.percentile_approx("perplexity", quantile, 10000)
+    sample = written(scored(_trusted(narrow, ids, held).withColumnRenamed("text", "_text"), ["lang"]).where("n_symbols > 0").select("lang", "perplexity", "worst_bits"), "lm-calibration")
+    limit = F.struct(F.percentile_approx("perplexity", quantile, 10000).alias("perplexity"), F.percentile_approx("worst_bits", worst_quantile, 10000).alias("worst_bits"))
     known = sample.where("lang is not null").groupBy("lang").agg(limit.alias("limit"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_calibration).orderBy(F.desc("n"), "lang").limit(1000).select("lang", "limit").collect()
     pooled = sample.agg(limit).first()[0]
-    limits = spark.createDataFrame([(r[0], r[1]) for r in known], "_nw_lang string, _nw_limit double")
+    limits = spark.createDataFrame([(r[0], *r[1]) for r in known], "_nw_lang string, _nw_limit double, _nw_worst double")
     more = [c for c in keep if c not in ("doc_id", "lang")]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *more)
     out = scored(base, ["doc_id", "lang", *more]).join(F.broadcast(limits), F.col("lang") == F.col("_nw_lang"), "left")
-    out = out.withColumn("threshold", F.coalesce("_nw_limit", F.lit(pooled).cast("double")) * slack)
-    kept = F.coalesce((F.col("n_symbols") == 0) | (F.col("perplexity") <= F.col("threshold")), F.lit(True))
-    return out.select("doc_id", "lang", "n_symbols", "log2_prob", "perplexity", "threshold", kept.alias("kept"), *more)
+    out = out.withColumn("threshold", F.coalesce("_nw_limit", F.lit(pooled[0]).cast("double")) * slack)
+    out = out.withColumn("worst_threshold", F.coalesce("_nw_worst", F.lit(pooled[1]).cast("double")) * slack)
+    within = (F.col("perplexity") <= F.col("threshold")) & (F.col("worst_bits") <= F.col("worst_threshold"))
+    kept = F.coalesce((F.col("n_symbols") == 0) | within, F.lit(True))
+    return out.select("doc_id", "lang", "n_symbols", "log2_prob", "perplexity", "threshold", "worst_bits", "worst_threshold", kept.alias("kept"), *more)

@@ -407,6 +407,24 @@ def test_quality_classifier(spark, monkeypatch):
     assert language_model.classify(table(spark, []), labels).count() == 0
 
 
+def test_quality_classifier_catches_a_few_bad_words(spark, monkeypatch):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(ENGLISH.split()) for _ in range(n))
+    rows = [(i, say(60), "en", None) for i in range(500)] + [(1000 + i, f"{say(300)} zxqkjvwq {say(300)}", "en", None) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    got = language_model.classify(docs, labels, min_calibration=10).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert not any(kept[1000 + i] for i in range(20)) and sum(kept[i] for i in range(400, 500)) >= 85
+    assert all(r.perplexity <= 1.1 * r.threshold for r in got if r.doc_id >= 1000)  # on the whole they look well
+    monkeypatch.setattr(language_model, "BROADCAST_ENTRIES", 0)
+    other = language_model.classify(docs, labels, min_calibration=10).collect()
+    near = lambda rows: sorted((r.doc_id, r.kept, round(r.worst_bits, 3)) for r in rows)
+    assert near(other) == near(got)
+    prefix = -np.cumsum([0.0, 1, 2, 3, 9, 1, 5, 5])
+    assert language_model.worst_windows(prefix, np.array([0, 4, 4, 5, 7]), 2).tolist() == [6, 0, 1, 5]
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, 0, "message", "system", "be \\ kind"), (1, 1, 0, "message", "user", "### user:\n</turn>\n#h \\h \\b<"), (1, 2, 0, "message", "assistant", "\\"), (1, 3, 0, "message", "assistant", "</turn>"),
