@@ -34,6 +34,8 @@ _CLASS[np.flatnonzero(_SYMBOL)] = 4
 _CLASS[0xC2:0xC4], _CLASS[0xC4:0xE0], _CLASS[0xE0:0xF0], _CLASS[0xF0:] = 6, 7, 8, 9
 _CLASS[0x80:0xC0] = -1  # a later byte of a character
 _ALL = "\x00all"
+#: Documents without lang: counted only in the reference of all.
+_NONE = "\x00none"
 
 
 @dataclass
@@ -82,7 +84,8 @@ def counts(t: Texts, min_words: int, repeat: int) -> Counts:
 def references(docs: DataFrame, min_words: int = 50, repeat: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By language: class histogram, the bins of its common words, their histogram with the rest last.
 
-    At most LANGUAGES + 1 entries of fixed size reach the driver.
+    The reference of all documents counts those of null lang too, which have none of their own.
+    At most LANGUAGES + 2 entries of fixed size reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,7 @@ def references(docs: DataFrame, min_words: int = 50, repeat: int = 50) -> dict[s
             langs = batch.column("lang")
             for t in texts(batch.column("text")):
                 c = counts(t, min_words, repeat)
-                code, names = pd.factorize(langs.slice(t.lo, t.hi - t.lo).to_pandas(), use_na_sentinel=True)
+                code, names = pd.factorize(langs.slice(t.lo, t.hi - t.lo).to_pandas().fillna(_NONE))
                 code = np.where(c.base.base_failed.to_numpy(), -1, code)
                 for k, name in enumerate(names):
                     mine = held.setdefault(name, np.zeros(BINS + CLASSES, np.int64))
@@ -122,7 +125,9 @@ def references(docs: DataFrame, min_words: int = 50, repeat: int = 50) -> dict[s
         F.collect_list(F.when(~is_word, F.struct(F.col("slot") - BINS, F.col("n")))).alias("classes"),
     )
     out = {}
-    for r in best.orderBy((F.col("lang") != _ALL), F.desc("total"), "lang").limit(LANGUAGES + 1).collect():
+    # _NONE goes only here: a filter before would keep the two sides of the union from sharing one pass over the texts
+    rows = best.orderBy((F.col("lang") != _ALL), (F.col("lang") != _NONE), F.desc("total"), "lang").limit(LANGUAGES + 2).collect()
+    for r in [r for r in rows if r["lang"] != _NONE][: LANGUAGES + 1]:
         classes = np.zeros(CLASSES)
         for slot, n in r["classes"]:
             classes[slot] = n

@@ -327,6 +327,22 @@ def test_quality_rules(spark, corpus):
     assert quality_rules.jensen_shannon(p, q) == pytest.approx([1, 0])
 
 
+def test_quality_rules_without_lang(spark):
+    clean = [(i, prose(random.Random(i), 200), None, None) for i in range(40)]
+    by_id = lambda rows: {r.doc_id: (r.kept, r.class_distance, r.word_distance) for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    got = by_id(clean)
+    assert sum(kept for kept, _, _ in got.values()) >= 36  # their reference is that of all documents
+    named = by_id([(i, t, "en", s) for i, t, _, s in clean])
+    assert all(got[i] == pytest.approx(named[i]) for i in got)
+    # a third has no lang and another script: the pool holds all of it, a language only its own
+    other = [(100 + i, t.translate({c: c + 0x3A0 for c in range(0x61, 0x7B)}), None, None) for i, t, _, _ in clean[:20]]
+    both = [(i, t, "en", s) for i, t, _, s in clean] + other
+    known = quality_rules.references(table(spark, both))
+    assert set(known) == {"en", quality_rules._ALL}
+    alone = quality_rules.references(table(spark, both[:40]))
+    assert known["en"][0] == pytest.approx(alone["en"][0]) and known[quality_rules._ALL][0][7] > 0.15 > alone[quality_rules._ALL][0][7]
+
+
 ENGLISH = "the and that with this from have which were their what when there about would people into them some could other than then its only over also after two how our work first well way even new want because any these give day most"
 GERMAN = "der die und das nicht mit sich auf für ist dem den ein eine als auch nach wird bei einer wurde über sein noch werden aus hat dass sie nach einem durch wenn kann oder aber vor zur bis mehr haben man unter schon nur war sehr"
 
