@@ -19,7 +19,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Larger vocabularies are refused: they are broadcast.
 MOST_RANKS = 1_000_000
-#: A longer text is encoded in pieces of so many characters, with the same tokens: see pieces().
+#: A longer text is encoded in pieces of about so many characters, with the same tokens: see pieces().
 PIECE = 1 << 16
 RULES = ("start", "largest", "share")
 
@@ -48,20 +48,34 @@ def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):  # noqa: ANN201
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The text in parts of at most PIECE characters, cut where white space follows anything else.
+    """The text in parts, cut only before the first or the last white space of a run of it that something else follows.
 
-    The pattern always begins a new word there, so the parts' tokens are those of the whole.  Only a part without such
-    a place (a run of one kind longer than PIECE) is cut at its full size.
+    The pattern always begins a new word there, so the parts' tokens are those of the whole.  A part ends at the last
+    such place within PIECE characters; a stretch that has none goes on to the next one, or to the end of the text.
+    As a long run of white space ends a part, the pattern need not go back over it, which exhausts its stack.
     """
     at = 0
     while len(text) - at > PIECE:
         cut = at + PIECE
-        while cut > at and not (text[cut].isspace() and not text[cut - 1].isspace()):
+        while cut > at and not _safe(text, cut):
             cut -= 1
-        cut = cut if cut > at else at + PIECE
+        if cut == at:
+            cut = at + PIECE + 1
+            while cut < len(text) and not _safe(text, cut):
+                cut += 1
         yield text[at:cut]
         at = cut
-    yield text[at:]
+    if at < len(text) or not text:
+        yield text[at:]
+
+
+def _safe(text: str, cut: int) -> bool:
+    return _space(text[cut]) and (not _space(text[cut - 1]) or (cut + 1 < len(text) and not _space(text[cut + 1])))
+
+
+def _space(c: str) -> bool:
+    r"""As the pattern's \s, which unlike isspace() leaves out four separators of ASCII."""
+    return c.isspace() and c not in "\x1c\x1d\x1e\x1f"
 
 
 def token_ends(t: Texts, encode, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001

@@ -511,6 +511,27 @@ def test_token_attribution(spark, corpus):
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_long_stretches_without_white_space_are_encoded_whole(spark, monkeypatch):
+    import tiktoken
+
+    enc = tiktoken.Encoding("x", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(token_counts.VOCABULARY), special_tokens={})
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghij") for _ in range(150_000))
+    commas = ",".join(letters[i : i + 7] for i in range(0, len(letters), 7))
+    long = [letters, commas, f"ab {letters} cd {commas} ef", " " * 150_000 + "x", "y" + "\n" * 150_000 + letters, f"{letters} ", "!\x1c?\x1f" * 40_000]
+    for t in long:
+        assert [x for p in token_counts.pieces(t) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    got = token_counts.count_tokens(table(spark, [(i, t, "en", None) for i, t in enumerate(long)])).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(long)}
+    assert len(list(token_counts.pieces(long[2]))) > 2
+    blank = "a" + " " * 2_000_000 + "b"  # encoded whole, it exhausts the encoder's stack
+    assert [len(p) for p in token_counts.pieces(blank)][-2:] == [1_999_999, 2] and sum(len(enc.encode_ordinary(p)) for p in token_counts.pieces(blank)) > 2
+    for _ in range(200):
+        t = "".join(rng.choice([" ", "\n", "\t", "\u3000", "\x85", "\x1c", "a", "é", "!", "7", "'s"]) for _ in range(rng.randint(1, 300)))
+        monkeypatch.setattr(token_counts, "PIECE", rng.randint(1, 9))
+        assert [x for p in token_counts.pieces(t) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+
+
 def test_license_scan(spark):
     apache = license_scan.TEMPLATES["Apache-2.0"]
     rows = [
