@@ -201,6 +201,31 @@ def test_density_clusters():
     assert set(density.density_labels(x[:5])) == {-1}
 
 
+def test_density_clusters_are_fitted_to_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    small = [(float(c), 0.0, 50.0) for c in range(0, 200, 20)]
+    x = np.concatenate([rng.normal(0, 1, (6000, 3)), *(rng.normal(c, 0.02, (12, 3)) for c in small)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, reduced array<double>")
+    got = {r.doc_id: r.cluster for r in density.density_clusters(df).collect()}
+    groups = [{got[i] for i in range(6000 + 12 * k, 6012 + 12 * k)} for k in range(len(small))]
+    assert len(got) == len(x) and all(len(g) == 1 for g in groups) and len(set.union(*groups) - {-1}) == len(small)
+    # the tree has the lengths of the quadratic one
+    y = np.concatenate([x[:700], x[-60:], x[:30]])
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 3]
+    d = np.maximum(d, np.maximum(core[:, None], core[None]))
+    best, left, want = d[0].copy(), np.arange(len(y)) > 0, []
+    while left.any():
+        j = np.where(left, best, np.inf).argmin()
+        want.append(best[j])
+        left[j], best = False, np.minimum(best, d[j])
+    monkeypatch.setattr(density, "LOCAL_ROWS", 0)
+    for each in (density._here, density._spread(spark, len(y))):
+        monkeypatch.setattr(density, "LEAF", 16)
+        a, b, w = density._tree(y, 3, each)
+        assert w == pytest.approx(np.sort(want)) and w == pytest.approx(d[a, b])
+
+
 def test_linkage_bound():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 3))
