@@ -44,9 +44,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/notewright/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, None] = {}
+        self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{self.made}-{name}"
+        self.made += 1
         self.paths[path] = None
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -58,15 +60,19 @@ class Scratch:
         for t in tables:
             self._delete(t._notewright_path)  # type: ignore[attr-defined]
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        stay = {t._notewright_path for t in tables}  # type: ignore[attr-defined]
+        for path in [p for p in self.paths if p not in stay]:
+            self._delete(path)
+
     def last(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the result, and deletes all other tables of the run."""
-        before = list(self.paths)
         out = self.write(df, name)
-        for path in before:
-            self._delete(path)
+        self.drop_all_but(out)
         return out
 
     def _delete(self, path: str) -> None:
+        self.paths.pop(path, None)
         jvm = self.spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
