@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm._shared import written
+from notewright.llm._shared import Scratch, shared_dir
 from notewright.llm.decontaminate import contamination
 from notewright.llm.jaccard_join import near_duplicates
 from notewright.llm.language_model import classify
@@ -20,32 +22,58 @@ def _row(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps.  Without text there is nothing against a document; an empty table stays empty."""
     return classify(_row(docs), table(spark, sf_dir, "labels"), keep=("_nw_row",)).where("kept").select("_nw_row.*")
 
 
+def _identity(docs: DataFrame) -> Column:
+    """Orders documents by doc_id, null ones last, and tells texts with one id apart."""
+    return F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; rows that repeat a doc_id stay together, null ids stay."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one document: that with the smallest doc_id, of rows with one doc_id the one whose text has the smallest hash.
+
+    Of exact repetitions, one doc_id with one text, a single row stays.  Documents without words are in no group and stay.
+    """
+    scratch = Scratch(spark, "near")
+    keyed = docs.select("*", _identity(docs).alias("_nw_key"))
+    found = near_duplicates(keyed.select("_nw_key", "text"), doc_id="_nw_key")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_nw_key")).distinct()
+    stay = keyed.join(gone, "_nw_key", "left_anti")
+    again = scratch.write(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_nw_key")), "repeated")
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    once = stay.join(again, "_nw_key", "left_semi").dropDuplicates(["_nw_key"])
+    return stay.join(again, "_nw_key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without sentences that an earlier document has, n_chars anew; documents of which nothing is left go."""
+    """Texts without sentences that an earlier document has, n_chars anew; documents of which nothing is left go.  Null and empty texts stay as they are."""
     cut = remove_repeated(docs).where("_nw_removed = 0 or length(text) > 0")
     n = F.when(F.col("_nw_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark.  Those without words have none; with an empty benchmark all stay."""
     found = contamination(_row(docs), table(spark, sf_dir, "benchmark"), keep=("_nw_row",))
     return found.where("n_hit = 0").select("_nw_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mix, and how many words of each it takes."""
-    return mix_sources(docs, cycle_weights).where("taken > 0")
+    """The documents in the mix, with all their columns, and mix_size and mix_taken: how many words they have and how many the mix takes.
+
+    Documents without words are not in it.  Rows that are equal in all columns come out once, with what is taken of all
+    of them.
+    """
+    key = F.struct("doc_id", F.xxhash64(*docs.columns).alias("h"))
+    mixed = mix_sources(docs.select("doc_id", "source", "text", key.alias("_nw_key")), cycle_weights, keep=("_nw_key",)).where("taken > 0")
+    # null-safe by its parts: a struct with a null part isn't null itself
+    taken = mixed.groupBy("_nw_key").agg(F.max("size").alias("_nw_size"), F.sum("taken").alias("_nw_taken"))
+    rows = docs.select("*", key.alias("_nw_key")).join(taken, "_nw_key").dropDuplicates(["_nw_key"])
+    names = [c for c in docs.columns if c not in ("mix_size", "mix_taken")]
+    return rows.select(*names, F.col("_nw_size").alias("mix_size"), F.col("_nw_taken").alias("mix_taken"))
 
 
 STAGES = [
@@ -59,8 +87,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The last stage's rows.  Each stage's table stands in the shared folder under name; a run of the same name goes on behind the last stage that was wholly written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    root = f"{shared_dir(spark)}/notewright/pipeline-{name or uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    for k, (title, stage) in enumerate(STAGES):
+        path = f"{root}/{k}-{title.replace(' ', '-')}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not (name and done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
