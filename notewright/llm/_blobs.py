@@ -7,19 +7,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 SCHEMA = "p int, blob binary"
 _ARROW = ["p", "blob"]
 
 
-def buckets(n_rows: int) -> int:
-    """A power of two that grows with the number of documents: each bucket is merged by one task."""
-    out = 2048
-    while out < n_rows // 250 and out < 1 << 18:
+#: With more buckets the blobs of a task would hold a few records each.
+MOST_BUCKETS = 1 << 20
+
+
+def buckets(n_rows: int, least: int = 2048, each: int = 250) -> int:
+    """A power of two that grows with the number of documents: a bucket is merged at once, one after another in a task."""
+    out = least
+    while out < n_rows // each and out < MOST_BUCKETS:
         out *= 2
     return out
 
 
+def dealt(sent: DataFrame) -> DataFrame:
+    """(p, blob) rows dealt by bucket; a task's buckets come one after another, so that it holds one at a time."""
+    return sent.repartition("p").sortWithinPartitions("p")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
+    """Each bucket with its unpacked blobs, of rows in the order of dealt()."""
+    now, held = None, []
+    for batch in batches:
+        for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob"), strict=True):
+            if p != now and held:
+                yield now, held
+                held = []
+            now = p
+            held.append(unpack(blob.as_py()))
+    if held:
+        yield now, held
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     head = np.array([len(columns), *(len(c) for c in columns)], np.int64).tobytes()
     kinds = "".join(c.dtype.str.ljust(4) for c in columns).encode()

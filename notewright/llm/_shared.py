@@ -1,36 +1,19 @@
-"""Where intermediate tables go: the folder that all executors share."""
+"""Session settings that the operators need, and their tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@functools.cache
-def _own_dir() -> str:
-    """For local sessions that name none; it goes with this process."""
-    path = tempfile.mkdtemp(prefix="notewright-shared-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        in_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = in_code.get() if in_code.isDefined() else _own_dir()
-    return named.rstrip("/")
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from notewright.sources.shared import Scratch, shared_dir
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that go to Python at once; the default of 10,000 texts is a lot beside an executor's other memory.
 BATCH_ROWS = 512
+#: Tables of one row for each key are broadcast up to so many rows (of a few numbers); larger ones are joined by salted keys.
+BROADCAST_KEYS = 200_000
+#: Places that a key's rows are dealt to where its table is too large to broadcast.
+SALTS = 16
 
 
 def lean(spark: SparkSession) -> None:
@@ -39,14 +22,21 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes a table in the shared folder and reads it again, so that lost executors cost only their own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more, which otherwise waits for the driver's next garbage collection."""
     spark.sparkContext._jvm.System.gc()
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a written table that has one row for each key, so that no task gets all rows of a hot key.
+
+    By a broadcast of the table if its count allows it; else each key goes to SALTS places, and spread deals its rows
+    to them.  The result is the same.
+    """
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), key, how)
+    each = keys.withColumn("_nw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_nw_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(each, [key, "_nw_salt"], how).drop("_nw_salt")
+
+
+__all__ = ["Scratch", "join_keys", "lean", "shared_dir", "tidy"]

@@ -5,29 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm._shared import written
+from notewright.llm._shared import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def _lowest(neighbours: DataFrame) -> DataFrame:
+    """(u, m) of rows (u, v): the smallest of u and its neighbours."""
+    return neighbours.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether any node points to two others, or points to one and is pointed to: all else are stars about their smallest node."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("points"), F.lit(0).alias("pointed")).union(edges.select("v", F.lit(0), F.lit(1)))
+    node = ends.groupBy("id").agg(F.sum("points").alias("points"), F.max("pointed").alias("pointed"))
+    return not node.where("points > 1 or (points > 0 and pointed > 0)").isEmpty()
+
+
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, comp) of every id in links (a, b: long): comp is the smallest id that it reaches.
 
     Each round points every node at the smallest of its neighbourhood, first for its larger neighbours, then for its
-    smaller ones; stars are all that is left after about log(n) rounds.  Each round is written, not checkpointed
-    locally.  Null ends are ignored, repetitions and loops do no harm; no links give no rows.
+    smaller ones.  It ends when only stars are left, which is looked up on the edges themselves; that takes about log(n)
+    rounds.  Each round's tables are written and the ones before deleted.  The joins are of two written tables, so
+    that Spark can split the many edges of a large star's root over tasks.  Null ends are ignored, repetitions and loops
+    do no harm; an id with loops only is its own component; no links give no rows.
     """
-    edges = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = written(edges, "cc-0")
-    before = None
-    while True:
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    edges = scratch.write(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    loops = scratch.write(edges.where("u = v"), "loops")
+    while _unfinished(edges.where("u != v")):
         both = edges.where("u != v").select("u", "v").union(edges.where("u != v").select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = written(small, "cc")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
-    return stars.union(stars.select(F.col("comp").alias("id"), "comp").distinct())
+        low = scratch.write(_lowest(both), "low")
+        large = scratch.write(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = scratch.write(_lowest(large), "least")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        after = scratch.write(small.where("u != v").distinct(), "edges")
+        scratch.drop(edges, low, large, least)
+        edges = after
+    edges = edges.where("u != v")
+    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
+    alone = loops.select(F.col("u").alias("id"), F.col("v").alias("comp")).join(ends, "id", "left_anti")
+    return ends.union(alone)

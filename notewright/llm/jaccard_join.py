@@ -1,10 +1,11 @@
 """Exact Jaccard self-join of shingle sets by universe partition and pigeonhole.
 
 For each band of sizes, tokens are hashed into m segments.  Two linked sets differ in at most H tokens.  A band
-allocates its segments by cost: either each is matched exactly, and of m = H + 1 + e segments at least e + 1 are equal;
-or each is matched within one deletion, and of m = H / 2 + 1 + e at least e + 1 differ in at most one token.  A segment's
-key is a hash of its tokens; its one-deletion neighbourhood is the keys without one of them, so that is a key for each
-token: cheap for short sets, whose exact segments would have few tokens, dear for long ones.
+either matches each segment exactly, and of m = H + 1 + e segments at least e + 1 are equal; or it matches them within
+one deletion, and of m = H / 2 + 1 + e at least e + 1 differ in at most one token.  A segment's key is a hash of its
+tokens; its one-deletion neighbourhood is the keys without one of them, so that is a key for each token, of segments
+that are longer and so rarer.  Which of the two a band allocates is decided by cost: the number of keys, of pairs that
+meet by chance and of members of frequent keys that either would make, counted over all sets for a hashed share of keys.
 
 Sets meet on equal keys.  A key that many sets have is dear, and so is an empty one.  Every set may skip up to e
 segments with dear keys, as a pair that matches in e + 1 segments still does in one that neither skips.  Only sets with
@@ -25,13 +26,16 @@ from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
 from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_hashes, span_hashes, texts, words
-from notewright.llm._shared import lean, tidy, written
+from notewright.llm._shared import Scratch, join_keys, lean, tidy
 from notewright.llm.components import components
 
 #: A key of more sets than this is dear.
 CHEAP = 12
-#: Bands of sets up to this size allocate deletions: about one key a token, where exact segments have two or three.
-DELETIONS_TO = 40
+#: What a pair that meets, and a member of a dear key, cost beside a key that is sent: they only choose between
+#: allocations, which find the same links.
+PAIR_COST, DEAR_COST = 20, 20
+#: One key in so many is counted to measure an allocation's cost; the share is of the hashed keys of all sets.
+PROBE = 64
 #: Keys merged within a task before they are sent.
 HELD = 1_000_000
 #: Members of a dear key compared by one task at a time.
@@ -40,6 +44,8 @@ BLOCK = 2048
 STARS = 1
 #: Words of bitmaps compared at once.
 TILE = 1 << 21
+#: The filter of chosen rows has at most two to this many bits.
+BLOOM_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -51,8 +57,11 @@ class Bands:
     deletions: np.ndarray  # whether segments are matched within one deletion
 
     @staticmethod
-    def make(num: int, den: int, most: int = 1 << 40) -> Bands:
-        """For similarities of num / den or more.  Any two sizes that can be linked are both within some band."""
+    def make(num: int, den: int, within: np.ndarray | bool = False, most: int = 1 << 40) -> Bands:
+        """For similarities of num / den or more.  Any two sizes that can be linked are both within some band.
+
+        within: whether a band matches segments within one deletion, of each or of all.
+        """
         low, high = [1], []
         while True:
             high.append(max(low[-1], low[-1] * 7 * den // (5 * num)))
@@ -61,7 +70,7 @@ class Bands:
             low.append(max(low[-1] + 1, -(-num * (high[-1] + 1) // den)))
         lo, hi = np.array(low, np.int64), np.array(high, np.int64)
         differ = 2 * hi * (den - num) // (den + num)  # the symmetric difference of linked sets of these sizes
-        deletions = (hi <= DELETIONS_TO) & (differ > 0)
+        deletions = np.broadcast_to(np.asarray(within), differ.shape) & (differ > 0)
         apart = np.where(deletions, differ // 2, differ)  # segments that can fail to match
         spare = np.where(deletions, 1 + apart // 3, np.maximum(2, differ // 6))
         return Bands(lo, hi, spare, apart + 1 + spare, deletions)
@@ -101,7 +110,7 @@ def shingle_sets(t: Texts, k: int) -> Sets:
 
 @dataclass
 class Keys:
-    """key, entry, segment: of each key; then of each entry its set's cls, its band and how many segments with dear keys it may skip."""
+    """key, entry, segment: of each key; then of each entry its set's cls, its band, how many segments with dear keys it may skip, and its set's row."""
 
     key: np.ndarray
     entry: np.ndarray
@@ -109,6 +118,7 @@ class Keys:
     cls: np.ndarray
     band: np.ndarray
     left: np.ndarray
+    row: np.ndarray
 
 
 def keys(s: Sets, bands: Bands) -> Keys:
@@ -142,7 +152,33 @@ def keys(s: Sets, bands: Bands) -> Keys:
     key = np.concatenate([mix(total[held > 0] + segment[held > 0]), mix(segment[empty]), mix(total[slot[less]] - value[less] + segment[slot[less]])])
     where = np.concatenate([np.flatnonzero(held > 0), np.flatnonzero(empty), slot[less]])
     left = np.maximum(0, bands.spare[band] - (running[base[1:]] - running[base[:-1]]))
-    return Keys(key, owner[where], number[where], s.cls[row], band, left)
+    return Keys(key, owner[where], number[where], s.cls[row], band, left, row)
+
+
+def probes(s: Sets, both: tuple[Bands, Bands]) -> tuple[np.ndarray, np.ndarray]:
+    """The counted share of the keys that each set would have under either allocation, as hashes whose lowest byte tells band
+    and allocation; first: each set's first one, with one entry more."""
+    code, row = [], []
+    for k, bands in enumerate(both):
+        got = keys(s, bands)
+        some = np.flatnonzero((got.key & U64(PROBE - 1)) == 0)
+        entry = got.entry[some]
+        code.append((got.key[some] & ~U64(0xFF)) | (U64(2) * got.band[entry].astype(U64) + U64(k)))
+        row.append(got.row[entry])
+    code, row = np.concatenate(code), np.concatenate(row)
+    order = np.argsort(row, kind="stable")
+    return code[order].view(np.int64), np.searchsorted(row[order], np.arange(len(s.sizes) + 1))
+
+
+def allocate(narrow: DataFrame, n_bands: int) -> np.ndarray:
+    """Whether a band matches within one deletion: by the cost of the keys of all sets.  narrow: cls, probe.  Two rows a band reach the driver."""
+    key = narrow.select("cls", F.explode("probe").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    pairs = F.when(F.col("c") <= CHEAP, F.col("c") * (F.col("c") - 1) / 2 * PAIR_COST).otherwise(F.col("c") * DEAR_COST)
+    cost = key.groupBy(F.col("key").bitwiseAND(F.lit(0xFF)).alias("code")).agg(F.sum(F.col("c") + pairs).alias("cost"))
+    out = np.zeros((n_bands, 2))
+    for r in cost.collect():
+        out[r["code"] >> 1, r["code"] & 1] = r["cost"]
+    return out[:, 1] < out[:, 0]
 
 
 def _group(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,10 +202,8 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     A task sends at most CHEAP + 1 sets of a key to its bucket; if it has more, the key is dear, and the sets go on
     as rows at once.
     """
-    n = 512
-    rows = docs.count()
-    while n < rows // 500 and n < 1 << 17:
-        n *= 2
+    n = _blobs.buckets(docs.count(), 512, 500)
+    held_keys = max(HELD, 8 * n)  # so that a bucket gets some keys at once
     shift = U64(64 - (n.bit_length() - 1))
 
     def send(held: list[Keys], turn: int) -> Iterator[pa.RecordBatch]:
@@ -205,7 +239,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                 held.append(got)
                 size += len(got.key)
                 turn += len(t.data)
-                if size >= HELD:
+                if size >= held_keys:
                     yield from send(held, turn)
                     held, size = [], 0
         if held:
@@ -221,19 +255,20 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part[0]), kind) if x is None else pa.array(x).cast(kind) for x, kind in zip(part, kinds, strict=True)], names=["a", "b", "key", "band", "segment", "spare"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        for batch in batches:
-            for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob"), strict=True):
-                x = _blobs.unpack(blob.as_py())
+        for p, blobs in _blobs.by_bucket(batches):
+            parts: list[list[np.ndarray]] = []
+            for x in blobs:
                 if len(x) == 5:
                     # the keys of buckets are cut to 32 bits below their bucket's; cut these alike
                     key = ((x[0] >> shift) << U64(32)) | ((x[0] << U64(64) - shift) >> U64(32))
                     yield from as_rows(x[1], None, key.view(np.int64), *x[2:])
                 else:
                     parts.append([x[0].astype(U64) | (U64(p) << U64(32)), x[3][x[2]], *(v.astype(np.int32) for v in (x[4][x[2]], x[1], x[5][x[2]]))])
-        if not parts:
-            return
-        key, cls, band, segment, left = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if parts:
+                yield from meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        release()
+
+    def meet(key: np.ndarray, cls: np.ndarray, band: np.ndarray, segment: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, begin, count = _group(key, cls)
         dear = order[np.repeat(count > CHEAP, count)]
         yield from as_rows(cls[dear], None, key[dear].view(np.int64), band[dear], segment[dear], left[dear])
@@ -249,10 +284,8 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             both = both[np.lexsort((both[:, 1], both[:, 0]))]
             both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
             yield from as_rows(both[:, 0].copy(), both[:, 1].copy(), None, None, None, None)
-        del parts, key, cls, band, segment, left, order, dear
-        release()
 
-    return docs.select("_text").mapInArrow(emit, _blobs.SCHEMA).repartition("p").mapInArrow(merge, _MEETING)
+    return _blobs.dealt(docs.select("_text").mapInArrow(emit, _blobs.SCHEMA)).mapInArrow(merge, _MEETING)
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -262,11 +295,31 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _fold(bitmap: bytes, size: int) -> np.ndarray:
-    x = np.frombuffer(bitmap, np.uint8)
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+def _fold(bitmaps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps, folded to so many bytes each."""
+    while bitmaps.shape[1] > size:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A binary column's bytes, where each row begins in them, and its length."""
+    _, offs, data = column.cast(pa.binary()).buffers()
+    offs = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offs[:-1].astype(np.int64), np.diff(offs)
+
+
+def bitmap_difference(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many bits each pair of bitmaps differs, the larger folded to the size of the smaller."""
+    (dx, ox, lx), (dy, oy, ly) = _rows(x), _rows(y)
+    out = np.zeros(len(lx), np.int64)
+    for a, b in np.unique(np.stack([lx, ly], 1), axis=0):
+        at = np.flatnonzero((lx == a) & (ly == b))
+        size = min(a, b)
+        left, right = (_fold(d[o[at][:, None] + np.arange(n)], size) for d, o, n in ((dx, ox, a), (dy, oy, b)))
+        out[at] = np.bitwise_count((left ^ right).view(U64)).sum(1)
+    return out
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -283,10 +336,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            differ = np.abs(na - nb)
-            for i, (x, y) in enumerate(zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)):
-                size = min(len(x), len(y))
-                differ[i] = max(differ[i], int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()))
+            differ = np.maximum(np.abs(na - nb), bitmap_difference(batch.column("xa"), batch.column("xb")))
             ok = _may_link(na, nb, differ, num, den)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differ)], names=["a", "b", "differ"]).filter(pa.array(ok))
 
@@ -312,46 +362,45 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _bloom(ids: DataFrame, count: int) -> np.ndarray:
-    """Bits of the ids' hashes; of bounded size (8 MB), whatever their number."""
-    bits = 1 << min(26, max(16, (16 * count).bit_length()))
+def _bloom(ids: DataFrame, count: int) -> np.ndarray | None:
+    """Bits of the ids' hashes, at most 8 MB; None for so many ids that most bits would be set."""
+    bits = 1 << min(BLOOM_BITS, max(16, (16 * count).bit_length()))
+    if 4 * count > bits:
+        return None
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = ids.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("x")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("x").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(bits, bool)
-        for batch in batches:
-            have[(batch.column("h").to_numpy().view(U64) & U64(bits - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()], pa.binary())], names=["x"])
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in ids.coalesce(4).mapInArrow(run, "x binary").toLocalIterator():
-        out |= np.frombuffer(r["x"], np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
-def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(cls, tokens) of the chosen classes, each from its row h.  docs: _h, _text."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(chosen.select("h"), chosen.count()))
+def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(cls, tokens) of the chosen classes, each from its row h.  docs: _h, _text.  Rows that can't be chosen are left out by their bits, or by a join where there are too many chosen ones for that."""
+    bits = _bloom(chosen.select("h"), chosen.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    some = docs.select("_h", "_text") if bits is not None else docs.select("_h", "_text").join(chosen.select(F.col("h").alias("_h")), "_h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
-            h = batch.column("_h").to_numpy().view(U64)
-            batch = batch.filter(pa.array(have[(h & U64(len(have) - 1)).astype(np.int64)]))
+            if have is not None:
+                h = batch.column("_h").to_numpy().view(U64)
+                batch = batch.filter(pa.array(have[(h & U64(len(have) - 1)).astype(np.int64)]))
             for t in texts(batch.column("_text")):
                 s = shingle_sets(t, k)
                 own = [s.tokens[i:j].tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.slice(t.lo, t.hi - t.lo).column("_h"), pa.array(s.cls), pa.array(own, pa.binary())], names=["_h", "cls", "tokens"])
 
-    found = docs.select("_h", "_text").mapInArrow(run, "_h long, cls long, tokens binary")
+    found = some.mapInArrow(run, "_h long, cls long, tokens binary")
     # joined and made distinct by the class: one shuffle of the tokens
-    return written(found.join(chosen.select("cls", "h"), "cls").where("_h = h").select("cls", "tokens").dropDuplicates(["cls"]), "jaccard-sets")
+    return scratch.write(found.join(chosen.select("cls", "h"), "cls").where("_h = h").select("cls", "tokens").dropDuplicates(["cls"]), "sets")
 
 
 class _Labels:
     """Components of the classes linked so far."""
 
-    def __init__(self) -> None:
-        self.links: DataFrame | None = None
+    def __init__(self, scratch: Scratch) -> None:
+        self.scratch = scratch
         self.table: DataFrame | None = None
 
     def of(self, df: DataFrame, column: str, to: str) -> DataFrame:
@@ -360,35 +409,39 @@ class _Labels:
         return df.join(self.table.select(F.col("id").alias(column), F.col("comp").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
     def add(self, links: DataFrame) -> None:
-        links = written(links, "jaccard-links")
+        links = self.scratch.write(links, "links")
         if links.isEmpty():
             return
         # the components so far count as links
-        self.links = links if self.table is None else links.unionByName(self.table.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        self.table = written(components(self.links), "jaccard-components")
+        every = links if self.table is None else links.unionByName(self.table.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        self.table = self.scratch.write(components(every, self.scratch), "components")
         tidy(self.table.sparkSession)
 
 
-def _within_dear(members: DataFrame, classes: DataFrame, labels: _Labels, num: int, den: int, top: int | None = None) -> DataFrame:
+def _within_dear(members: DataFrame, classes: DataFrame, labels: _Labels, num: int, den: int, scratch: Scratch, top: int | None = None) -> DataFrame:
     """Pairs of members of a dear key in different components that their bitmaps allow: block against block of a key.
 
     top: only so many likeliest partners of each member in a block, for a first round.
     """
     joined = labels.of(members, "cls", "comp")
     several = joined.groupBy("key").agg(F.count_distinct("comp").alias("c"), F.count(F.lit(1)).alias("size")).where("c > 1")
-    joined = joined.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    several = scratch.write(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "several")
+    joined = join_keys(joined, several, "key", F.col("cls")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     dealt = dealt.join(classes.select("cls", "n", "bitmap"), "cls")  # bitmaps last: they are wide
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        x, own, cls, comp, n = (rows.column(c).to_numpy() for c in ("x", "own", "cls", "comp", "n"))
-        maps = [v.as_py() for v in rows.column("bitmap")]
-        size = min(map(len, maps))
-        bits = np.stack([_fold(v, size) for v in maps]).view(U64)
-        same_block = (own == x[0]).all()
-        left = np.flatnonzero(own == x[0])
-        right = np.arange(len(cls)) if same_block else np.flatnonzero(own != x[0])
+        x, block, cls, comp, n = (rows.column(c).to_numpy() for c in ("x", "own", "cls", "comp", "n"))
+        data, at, length = _rows(rows.column("bitmap").combine_chunks())
+        bits = np.zeros((len(cls), length.min()), np.uint8)
+        for size in np.unique(length):
+            own = np.flatnonzero(length == size)
+            bits[own] = _fold(data[at[own][:, None] + np.arange(size)], length.min())
+        bits = bits.view(U64)
+        same_block = (block == x[0]).all()
+        left = np.flatnonzero(block == x[0])
+        right = np.arange(len(cls)) if same_block else np.flatnonzero(block != x[0])
         if same_block:  # a pair within the largest component needs no comparison
             values, count = np.unique(comp, return_counts=True)
             left = left[comp[left] != values[count.argmax()]]
@@ -440,7 +493,8 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
     their texts are linked.  Empty table: no rows.
     """
     lean(docs.sparkSession)
-    bands = Bands.make(num, den)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    either = Bands.make(num, den), Bands.make(num, den, True)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("_h", F.xxhash64("doc_id", "_text"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,35 +503,42 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
                 s = shingle_sets(t, shingle)
                 part = batch.slice(t.lo, t.hi - t.lo)
                 maps = [_bitmap(s.tokens[i:j]) for i, j in zip(s.first[:-1], s.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_h"), pa.array(s.sizes), pa.array(s.cls), pa.array(maps, pa.binary())], names=["doc_id", "_h", "n_shingles", "cls", "bitmap"])
+                code, first = probes(s, either)
+                probe = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(code, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_h"), pa.array(s.sizes), pa.array(s.cls), pa.array(maps, pa.binary()), probe], names=["doc_id", "_h", "n_shingles", "cls", "bitmap", "probe"])
+        release()
 
     kind = dict(base.dtypes)["doc_id"]
-    narrow = written(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary"), "jaccard-narrow")
-    meetings = written(_meetings(base, shingle, bands), "jaccard-meetings")
+    narrow = scratch.write(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary, probe array<long>"), "narrow")
+    bands = Bands.make(num, den, allocate(narrow, len(either[0].low)))
+    meetings = scratch.write(_meetings(base, shingle, bands), "meetings")
     order = Window.partitionBy("a", "band").orderBy("segment")
     dear = meetings.where("b is null").select("a", "key", "band", "segment", "spare").distinct()
     dear = dear.withColumn("_r", F.dense_rank().over(order)).where("_r > spare").select("key", F.col("a").alias("cls"))
-    dear = written(dear, "jaccard-dear")
+    dear = scratch.write(dear, "dear")
     met = meetings.select(F.col("a").alias("cls")).union(meetings.where("b is not null").select("b")).distinct()
-    classes = narrow.join(met, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("_h").alias("h"), F.col("n_shingles").alias("n"), "bitmap")).alias("x"))
-    classes = written(classes.select("cls", "x.h", "x.n", "x.bitmap"), "jaccard-classes")
-    pairs = written(_pruned(meetings.where("b is not null").select("a", "b").distinct(), classes, num, den), "jaccard-candidates")
+    # copies of a class are merged in their tasks first, so that a hot class is a row a task
+    classes = narrow.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct(F.col("_h").alias("h"), F.col("n_shingles").alias("n"), "bitmap")).alias("x"))
+    classes = scratch.write(classes.join(met, "cls", "left_semi").select("cls", "x.h", "x.n", "x.bitmap"), "classes")
+    pairs = scratch.write(_pruned(meetings.where("b is not null").select("a", "b").distinct(), classes, num, den), "candidates")
+    scratch.drop(meetings)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(dear.select("cls")).distinct()
-    sets = _candidate_sets(base, written(classes.join(wanted, "cls", "left_semi").select("cls", "h"), "jaccard-chosen"), shingle)
-    labels = _Labels()
+    sets = _candidate_sets(base, scratch.write(classes.join(wanted, "cls", "left_semi").select("cls", "h"), "chosen"), shingle, scratch)
+    labels = _Labels(scratch)
     labels.add(_links(pairs, sets, num, den))
     if not dear.isEmpty():
         for turn in range(STARS):  # stars first: they connect a group of near copies with few comparisons
             members = labels.of(dear, "cls", "comp")
             pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("p"), F.col("comp").alias("pc"))).alias("_p"))
-            star = members.join(pivot, "key").where(F.col("_p.pc") != F.col("comp")).groupBy("cls").agg(F.min("_p").alias("_p"))
+            star = join_keys(members, scratch.write(pivot, "pivots"), "key", F.col("cls")).where(F.col("_p.pc") != F.col("comp")).groupBy("cls").agg(F.min("_p").alias("_p"))
             star = _pruned(star.select(F.col("cls").alias("a"), F.col("_p.p").alias("b")), classes, num, den)
             labels.add(_links(star, sets, num, den))
         for top in (1, None):  # the likeliest partners connect most of a group; the last round leaves none out
-            labels.add(_links(written(_within_dear(dear, classes, labels, num, den, top), "jaccard-within"), sets, num, den))
+            labels.add(_links(scratch.write(_within_dear(dear, classes, labels, num, den, scratch, top), "within"), sets, num, den))
     least = narrow.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("_least"))
-    least = labels.of(least, "cls", "comp")
-    top = least.groupBy("comp").agg(F.min("_least").alias("component_id"))
-    place = written(least.join(top, "comp").select("cls", "component_id"), "jaccard-places")
-    out = narrow.join(place, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = scratch.write(labels.of(least, "cls", "comp"), "least")
+    top = scratch.write(least.groupBy("comp").agg(F.min("_least").alias("component_id")), "tops")
+    # both joins are of written tables: Spark splits the rows of a large component or class over tasks
+    place = scratch.write(least.join(top, "comp").select("cls", "component_id"), "places")
+    out = narrow.select("doc_id", "n_shingles", "cls").join(place, "cls", "left")
+    return scratch.last(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "result")

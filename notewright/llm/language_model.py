@@ -2,6 +2,9 @@
 
 Symbols are the bytes of UTF-8, so an n-gram is exactly one integer: its oldest byte on top, the predicted byte last.
 Counts, continuation counts, contexts and probabilities are tables sharded by n-gram and joined by key.
+
+Scores are whole numbers, in steps of 1 / STEPS bit, so that sums don't depend on their order: a model that is joined
+in shards and one that is small enough to broadcast give the same scores to the bit.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import Texts, release, texts
-from notewright.llm._shared import lean, written
+from notewright.llm._shared import Scratch, join_keys, lean
 
 ORDER = 5
+STEPS = 1 << 16
+#: Of a symbol that no order has seen: one of 256.
+UNSEEN = -8 * STEPS
 #: n-grams counted within a task before they are summed; what is left of more than half of it is sent on.
 HELD = 1_000_000
 #: A model of at most so many entries (12 bytes each) is broadcast; a larger one is joined in shards.
@@ -78,17 +84,22 @@ def discounts(of: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(each))  # type: ignore[return-value]
 
 
-def train(trusted: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """By order n: seen n-grams with their log2 probability, and contexts with the log2 weight of the lower order.
+def _steps(bits: Column) -> Column:
+    return F.round(bits * STEPS).cast("int")
+
+
+def train(trusted: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By order n: seen n-grams (g) with their log2 probability (q), and contexts (h) with the log2 weight of the lower order (qw), in steps.
 
     trusted: a frame with text.  Every lower-order count is of the n-grams that continue it.
     """
+    scratch = scratch or Scratch(trusted.sparkSession, "lm")
     counts: dict[int, DataFrame] = {}
     top = trusted.select("text").mapInArrow(lambda b: _count(b, order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    counts[order] = written(top, f"lm-counts-{order}")
+    counts[order] = scratch.write(top, f"counts-{order}")
     for n in range(order - 1, 0, -1):
         mask = F.lit((1 << 8 * n) - 1)
-        counts[n] = written(counts[n + 1].groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"lm-counts-{n}")
+        counts[n] = scratch.write(counts[n + 1].groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"counts-{n}")
     model: dict[int, tuple[DataFrame, DataFrame]] = {}
     lower: DataFrame | None = None
     for n in range(1, order + 1):
@@ -96,40 +107,43 @@ def train(trusted: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame,
         d1, d2, d3 = discounts(of)
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         seen = counts[n].withColumn("h", F.shiftrightunsigned("g", 8)).withColumn("d", cut)
-        context = seen.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("mass")).select("h", F.col("total"), (F.col("mass") / F.col("total")).alias("w"))
+        context = seen.groupBy("h").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") == 1, 1)).alias("n1"), F.sum(F.when(F.col("c") == 2, 1)).alias("n2"), F.sum(F.when(F.col("c") > 2, 1)).alias("n3"))
+        mass = sum((F.coalesce(k, F.lit(0)) * d for k, d in (("n1", d1), ("n2", d2), ("n3", d3))), F.lit(0.0))
+        context = context.select("h", "total", (mass / F.col("total")).alias("w"))
         table = seen.join(context, "h")
         if lower is None:
             table = table.withColumn("below", F.lit(1 / 256))
         else:
-            table = table.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower.select(F.col("g").alias("s"), F.pow(F.lit(2.0), "lp").alias("below")), "s")
-        table = written(table.select("g", F.log2((F.col("c") - F.col("d")) / F.col("total") + F.col("w") * F.col("below")).alias("lp")), f"lm-{n}")
-        model[n] = (table, written(context.select("h", F.log2("w").alias("lw")), f"lm-contexts-{n}"))
+            table = table.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s")
+        table = table.withColumn("p", (F.col("c") - F.col("d")) / F.col("total") + F.col("w") * F.col("below"))
+        table = scratch.write(table.select("g", "p", _steps(F.log2("p")).alias("q")), f"grams-{n}")
+        model[n] = (table, scratch.write(context.select("h", _steps(F.log2("w")).alias("qw")), f"contexts-{n}"))
         lower = table
     return model
 
 
 @dataclass
 class Packed:
-    """By order: sorted n-grams with log2 probabilities, sorted contexts with log2 weights."""
+    """By order: sorted n-grams with their scores, sorted contexts with their weights."""
 
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-    def log2(self, g: np.ndarray) -> np.ndarray:
+    def steps(self, g: np.ndarray) -> np.ndarray:
         """Of n-grams of the highest order; an unseen one takes its context's weight and the lower order."""
-        out, left, plus = np.zeros(len(g)), np.arange(len(g)), np.zeros(len(g))
+        out, left, plus = np.zeros(len(g), np.int64), np.arange(len(g)), np.zeros(len(g), np.int64)
         for n in range(max(self.tables, default=0), 0, -1):
-            keys, lp, contexts, lw = self.tables[n]
+            keys, q, contexts, qw = self.tables[n]
             mine = g[left] & ((1 << 8 * n) - 1)
             k = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
             hit = keys[k] == mine if len(keys) else np.zeros(len(mine), bool)
-            out[left[hit]] = lp[k[hit]] + plus[left[hit]]
+            out[left[hit]] = q[k[hit]] + plus[left[hit]]
             left, mine = left[~hit], mine[~hit] >> 8
             if not len(left):
                 return out
             k = np.minimum(np.searchsorted(contexts, mine), max(0, len(contexts) - 1))
             hit = contexts[k] == mine if len(contexts) else np.zeros(len(mine), bool)
-            plus[left[hit]] += lw[k[hit]]
-        out[left] = -8.0 + plus[left]
+            plus[left[hit]] += qw[k[hit]]
+        out[left] = UNSEEN + plus[left]
         return out
 
 
@@ -139,8 +153,8 @@ def pack(model: dict[int, tuple[DataFrame, DataFrame]]) -> Packed | None:
         return None
     out = {}
     for n, (table, context) in model.items():
-        a, b = table.toPandas().sort_values("g"), context.toPandas().sort_values("h")
-        out[n] = (a.g.to_numpy(np.int64), a.lp.to_numpy(np.float32), b.h.to_numpy(np.int64), b.lw.to_numpy(np.float32))
+        a, b = table.select("g", "q").toPandas().sort_values("g"), context.toPandas().sort_values("h")
+        out[n] = (a.g.to_numpy(np.int64), a.q.to_numpy(np.int32), b.h.to_numpy(np.int64), b.qw.to_numpy(np.int32))
     return Packed(out)
 
 
@@ -170,7 +184,7 @@ def score(docs: DataFrame, packed: Packed, columns: list[str], order: int = ORDE
         for batch in batches:
             for t in texts(batch.column("_text")):
                 code, unique = pd.factorize(ngrams(t, order))
-                prefix = np.concatenate([[0.0], np.cumsum(model.log2(unique)[code])])
+                prefix = np.concatenate([[0], np.cumsum(model.steps(unique)[code])]) / STEPS  # whole steps, so differences are exact
                 part = batch.slice(t.lo, t.hi - t.lo)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in columns), pa.array(np.diff(t.offsets), pa.int64()), pa.array(np.diff(prefix[t.offsets]), pa.float64()), pa.array(worst_windows(prefix, t.offsets), pa.float64())],
@@ -181,51 +195,56 @@ def score(docs: DataFrame, packed: Packed, columns: list[str], order: int = ORDE
     return docs.select(*columns, "_text").mapInArrow(run, f"{kinds}, n_symbols long, log2_prob double, worst_bits double")
 
 
-def score_sharded(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], columns: list[str], order: int = ORDER) -> DataFrame:
-    """As score(), by joins of each row's distinct n-grams with the sharded tables: for a model too large to broadcast.
+def _resolved(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], order: int) -> DataFrame:
+    """(g, q) of distinct n-grams g, by joins with the sharded tables: as Packed.steps()."""
+    each = grams.withColumn("plus", F.lit(0)).withColumn("q", F.lit(None).cast("int"))
+    for n in range(order, 0, -1):
+        table, context = model[n]
+        each = each.withColumn("_k", F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))).withColumn("_h", F.shiftrightunsigned("_k", 8))
+        each = each.join(table.select(F.col("g").alias("_k"), F.col("q").alias("_q")), "_k", "left").join(context.select(F.col("h").alias("_h"), "qw"), "_h", "left")
+        each = each.withColumn("q", F.coalesce("q", F.col("_q") + F.col("plus"))).withColumn("plus", F.col("plus") + F.coalesce("qw", F.lit(0))).drop("_k", "_h", "_q", "qw")
+    return each.select("g", F.coalesce("q", F.lit(UNSEEN) + F.col("plus")).alias("q"))
+
+
+def score_sharded(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], columns: list[str], order: int = ORDER, scratch: Scratch | None = None) -> DataFrame:
+    """As score() to the bit, for a model too large to broadcast: every distinct n-gram of the corpus is joined with the tables once.
 
-    The places of an n-gram go along, as the worst window needs the bytes in their order again.
+    A text is known by two hashes, and equal texts are scored once; the n-grams' places go along, as the worst window
+    needs the bytes in their order again.  columns are shuffled once, at the end.
     """
-    keyed = docs.withColumn("_row", F.struct(*columns, F.xxhash64("_text").alias("_th")))
+    scratch = scratch or Scratch(docs.sparkSession, "lm-scores")
+    keyed = docs.select(*columns, "_text", F.xxhash64("_text").alias("_ta"), F.xxhash64(F.lit(1), "_text").alias("_tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column("_text"), 1):
                 g, n = np.unique(grams := ngrams(t, order), return_counts=True)
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.argsort(grams, kind="stable"), pa.int32()))
-                row = batch.slice(t.lo, 1).column("_row")
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([row] * 1).take(pa.array(np.zeros(len(g), np.int64))), pa.array(g), places], names=["_row", "g", "places"])
+                a, b = (pa.array(np.full(len(g), batch.column(c)[t.lo].as_py(), np.int64)) for c in ("_ta", "_tb"))
+                for i in range(0, len(g), 10_000):
+                    yield pa.RecordBatch.from_arrays([x.slice(i, 10_000) for x in (a, b, pa.array(g), places)], names=["_ta", "_tb", "g", "places"])
 
     def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, worst = [], []
             for grams in batch.column("grams"):
-                lp, places = grams.values.field("lp").to_numpy(), grams.values.field("places")
+                q, places = grams.values.field("q").to_numpy(), grams.values.field("places")
                 at = places.flatten().to_numpy()
-                of = np.zeros(len(at))
-                of[at] = np.repeat(lp, places.value_lengths().to_numpy())
-                prefix = np.concatenate([[0.0], np.cumsum(of)])
+                of = np.zeros(len(at), np.int64)
+                of[at] = np.repeat(q, places.value_lengths().to_numpy())
+                prefix = np.concatenate([[0], np.cumsum(of)]) / STEPS
                 sums.append(prefix[-1])
                 worst.append(worst_windows(prefix, np.array([0, len(at)]))[0])
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sums, pa.float64()), pa.array(worst, pa.float64())], names=["_row", "log2_prob", "worst_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("_ta"), batch.column("_tb"), pa.array(sums, pa.float64()), pa.array(worst, pa.float64())], names=["_ta", "_tb", "log2_prob", "worst_bits"])
 
-    kind = keyed.select("_row").schema[0].dataType.simpleString()
-    each = keyed.select("_row", "_text").mapInArrow(run, f"_row {kind}, g long, places array<int>").groupBy("_row", "g").agg(F.first("places").alias("places"))  # repeated rows have the same
-    each = each.withColumn("plus", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
-    for n in range(order, 0, -1):
-        table, context = model[n]
-        key = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
-        each = each.withColumn("_k", key).withColumn("_h", F.shiftrightunsigned("_k", 8))
-        each = each.join(table.select(F.col("g").alias("_k"), F.col("lp").alias("_lp")), "_k", "left").join(context.select(F.col("h").alias("_h"), "lw"), "_h", "left")
-        each = each.withColumn("lp", F.coalesce("lp", F.col("_lp") + F.col("plus"))).withColumn("plus", F.col("plus") + F.coalesce("lw", F.lit(0.0))).drop("_k", "_h", "_lp", "lw")
-    grams = F.collect_list(F.struct(F.coalesce("lp", F.lit(-8.0) + F.col("plus")).alias("lp"), "places")).alias("grams")
-    total = each.groupBy("_row").agg(grams).mapInArrow(by_place, f"_row {kind}, log2_prob double, worst_bits double")
-    rows = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_times"), F.first(F.octet_length("_text")).alias("n_symbols"))
-    joined = rows.join(total, rows["_row"].eqNullSafe(total["_row"]), "left").select(
-        rows["_row"], F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"), F.coalesce("log2_prob", F.lit(0.0)).alias("log2_prob"), F.coalesce("worst_bits", F.lit(0.0)).alias("worst_bits"), "_times"
-    )
-    again = joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))  # a row for each repetition
-    return again.select(*(F.col("_row")[c].alias(c) for c in columns), "n_symbols", "log2_prob", "worst_bits")
+    each = keyed.where("_text != ''").dropDuplicates(["_ta", "_tb"]).select("_ta", "_tb", "_text").mapInArrow(run, "_ta long, _tb long, g long, places array<int>")
+    each = scratch.write(each, "places")
+    known = scratch.write(_resolved(each.select("g").distinct(), model, order), "resolved")
+    found = join_keys(each, known, "g", F.col("_ta")).groupBy("_ta", "_tb").agg(F.collect_list(F.struct("q", "places")).alias("grams"))
+    total = scratch.write(found.mapInArrow(by_place, "_ta long, _tb long, log2_prob double, worst_bits double"), "scores")
+    rows = keyed.select(*columns, "_ta", "_tb", F.octet_length("_text").cast("long").alias("n_symbols"))
+    none = F.lit(0.0)
+    return rows.join(total, ["_ta", "_tb"], "left").select(*columns, "n_symbols", F.coalesce("log2_prob", none).alias("log2_prob"), F.coalesce("worst_bits", none).alias("worst_bits"))
 
 
 def _trusted(docs: DataFrame, ids: DataFrame, where: Column) -> DataFrame:
@@ -262,35 +281,39 @@ def classify(
     Trusted: quality 1 and toxic 0.  Of the trusted documents, those whose id's hash is 0 modulo calibrate are not
     learnt from; quantile of their perplexities and worst_quantile of their worst windows' bits, by language, times
     slack are that language's thresholds: about so many trusted documents are lost to each, so the README gives what
-    they catch.  A    language with fewer than min_calibration of them, one beyond the 1000 that have most, or null takes the threshold
-    of all languages.  kept: neither perplexity nor worst window is above its threshold.  All trusted text is counted, all documents
-    are scored, and texts are not shuffled while the model fits a broadcast.
-
-    Null or empty text: no symbols, perplexity 1, kept as there is nothing against it.  A null doc_id is never trusted.
-    No trusted text at all: every symbol has probability 1/256, and without a threshold every row is kept.  Repeated
-    rows are scored each.
+    they catch.  A language with fewer than min_calibration of them, or null, takes the threshold of all languages.
+    kept: neither perplexity nor worst window is above its threshold.  All trusted text is counted, all documents are
+    scored.  Texts are not shuffled while the model fits a broadcast of checked size; a larger one is joined in shards,
+    with the same result.
+
+    Null or empty text: no symbols, perplexity 1, kept as there is nothing against it.  A doc_id that is null or no whole
+    number is never trusted.  No trusted text at all: every symbol has probability 1/256, and without a threshold every
+    row is kept.  Repeated rows are scored each.
     """
     spark = docs.sparkSession
     lean(spark)
-    ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_nw_id")).distinct()
-    ids = written(ids, "lm-trusted")
-    narrow = docs.select(F.col(doc_id).cast("long").alias("_nw_id"), F.col("lang").cast("string").alias("lang"), "text").where("_nw_id is not null")
+    scratch = Scratch(spark, "lm")
+    ids = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").try_cast("long").alias("_nw_id")).where("_nw_id is not null").distinct()
+    ids = scratch.write(ids, "trusted")
+    narrow = docs.select(F.col(doc_id).try_cast("long").alias("_nw_id"), F.col("lang").cast("string").alias("lang"), "text").where("_nw_id is not null")
     held = F.pmod(F.xxhash64("_nw_id"), F.lit(calibrate)) == 0
-    model = train(_trusted(narrow, ids, ~held), order)
+    model = train(_trusted(narrow, ids, ~held), order, scratch)
     packed = pack(model)
 
     def scored(df: DataFrame, columns: list[str]) -> DataFrame:
-        out = score(df, packed, columns, order) if packed else score_sharded(df, model, columns, order)
+        out = score(df, packed, columns, order) if packed else score_sharded(df, model, columns, order, scratch)
         return out.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.col("n_symbols"))).otherwise(1.0))
 
-    sample = written(scored(_trusted(narrow, ids, held).withColumnRenamed("text", "_text"), ["lang"]).where("n_symbols > 0").select("lang", "perplexity", "worst_bits"), "lm-calibration")
-    limit = F.struct(F.percentile_approx("perplexity", quantile, 10000).alias("perplexity"), F.percentile_approx("worst_bits", worst_quantile, 10000).alias("worst_bits"))
-    known = sample.where("lang is not null").groupBy("lang").agg(limit.alias("limit"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_calibration).orderBy(F.desc("n"), "lang").limit(1000).select("lang", "limit").collect()
-    pooled = sample.agg(limit).first()[0]
-    limits = spark.createDataFrame([(r[0], *r[1]) for r in known], "_nw_lang string, _nw_limit double, _nw_worst double")
+    sample = scratch.write(scored(_trusted(narrow, ids, held).withColumnRenamed("text", "_text"), ["lang"]).where("n_symbols > 0").select("lang", "perplexity", "worst_bits"), "calibration")
+    limit = F.percentile_approx("perplexity", quantile, 10000).alias("_nw_limit"), F.percentile_approx("worst_bits", worst_quantile, 10000).alias("_nw_worst")
+    known = sample.where("lang is not null").groupBy("lang").agg(*limit, F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_calibration)
+    limits = scratch.write(known.select(F.col("lang").alias("_nw_lang"), "_nw_limit", "_nw_worst"), "limits")
+    pooled = sample.agg(*limit).first()
+    if packed:
+        scratch.drop_all_but(limits)
     more = [c for c in keep if c not in ("doc_id", "lang")]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *more)
-    out = scored(base, ["doc_id", "lang", *more]).join(F.broadcast(limits), F.col("lang") == F.col("_nw_lang"), "left")
+    out = join_keys(scored(base, ["doc_id", "lang", *more]).withColumn("_nw_lang", F.col("lang")), limits, "_nw_lang", F.col("doc_id"), "left")
     out = out.withColumn("threshold", F.coalesce("_nw_limit", F.lit(pooled[0]).cast("double")) * slack)
     out = out.withColumn("worst_threshold", F.coalesce("_nw_worst", F.lit(pooled[1]).cast("double")) * slack)
     within = (F.col("perplexity") <= F.col("threshold")) & (F.col("worst_bits") <= F.col("worst_threshold"))

@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
-Every source's tokens are cut into blocks of equal size, Sainte-Lague apportionment gives each source, then each of
-its shards, a whole number of blocks by highest quotients, and a seeded hash picks the blocks within a shard.
+Every source's tokens are cut into blocks of equal size, Sainte-Lague apportionment gives each source, then each group
+of its shards, then each shard a whole number of blocks by highest quotients, and a seeded hash picks the blocks within
+a shard.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import U64, mix
-from notewright.llm._shared import written
+from notewright.llm._shared import Scratch
 
 #: Sources beyond so many are joined by a shuffle, not a broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 50_000
+#: Shards of a group: a task apportions the shards of one group, or the groups of one source.
+GROUP = 1024
 
 
 def size_in_words(text: Column) -> Column:
@@ -65,9 +68,10 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarra
         if high / low < 1 + 1e-15:
             break
     out = had(high)
-    for _ in range(seats - int(out.sum())):
+    while (left := seats - int(out.sum())) > 0:
         quotient = np.where(out < most, weights / (2 * out + 1), -1.0)
-        out[int(np.argmax(quotient))] += 1
+        highest = np.flatnonzero(quotient == quotient.max())
+        out[highest[:left]] += 1
     return out
 
 
@@ -96,6 +100,12 @@ def _select(keys: tuple, docs: pd.DataFrame, quota: pd.DataFrame, seed: int) ->
     return docs.drop(columns=["_order", "_id", "_source", "_shard"]).assign(taken=taken)
 
 
+def _apportion(part: pd.DataFrame, by: str) -> pd.DataFrame:
+    """quota of the first row is shared among the rows, in the order of by, as their blocks."""
+    part = part.sort_values(by)
+    return part.assign(quota=sainte_lague(part["blocks"].to_numpy(float), int(part["quota"].iloc[0]), part["most"].to_numpy(np.int64)))
+
+
 def mix_sources(
     docs: DataFrame,
     weigh: Callable[[list[str | None]], list[float]],
@@ -107,25 +117,31 @@ def mix_sources(
     shard_docs: int = 512,
     max_block: int = 1024,
     blocks_per_source: int = 2048,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows of docs with size, source_size, target and taken (tokens the mix takes of it, repeats counted).
+    """Rows of docs with size, source_size, target, taken (tokens the mix takes of it, repeats counted) and the columns keep.
 
     weigh gets all source names in code-point order (null last) and returns their weights.  Only ids, sources and
     sizes are shuffled, never texts.  Shards hold about shard_docs documents picked by hash, so that a hot source is
-    many shards.  A block has about min(max_block, total / (sources * blocks_per_source)) tokens.
+    many shards; a source's quota goes to groups of GROUP shards and from there to the shards, so that no task holds
+    all shards of a source.  A block has about min(max_block, total / (sources * blocks_per_source)) tokens.  Of each
+    document as many tokens are taken as its place in the picked blocks says, so reruns agree.
 
     Null text: size 0, takes 0.  Null source: a source of its own, last.  Null or repeated doc_id: each row counts by
-    itself.  Empty table: no rows.  Other columns are kept out; names that clash with the results do no harm.
-    One row per source reaches the driver, as each needs a weight.
+    itself, and is dealt to a shard by its text too.  Empty table, or no source with a weight above 0: nothing is taken.
+    Other columns are kept out; names that clash with the results do no harm.  One row per source reaches the driver, as
+    each needs a weight.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mix")
     sized = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         (size_in_words(F.col("text")) if size is None else size).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_order"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col("text")).alias("_order"),
+        *keep,
     )
-    sized = written(sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
-    spark = sized.sparkSession
+    sized = scratch.write(sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")
     per = sized.groupBy("_source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
     per.sort(key=lambda r: (r["_source"] == "n", r["_source"]))
     size_of = [int(r["tokens"]) for r in per]
@@ -140,25 +156,22 @@ def mix_sources(
     # high bits of the order choose the shard's place, so take another hash for the shard
     sharded = sized.join(stats, "_source").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), "_shards"))
     shards = sharded.groupBy("_source", "_shard").agg(F.sum("size").alias("tokens"))
-    shards = written(shards.withColumn("blocks", F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.round(F.col("tokens") / block))).otherwise(0).cast("long")), "mix-shards")
-    blocks = {r["_source"]: int(r["n"]) for r in shards.groupBy("_source").agg(F.sum("blocks").alias("n")).collect()}
-    n = np.array([blocks.get(r["_source"], 0) for r in per], np.int64)
+    shards = shards.withColumn("blocks", F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.round(F.col("tokens") / block))).otherwise(0).cast("long"))
+    shards = scratch.write(shards.withColumn("most", F.floor(most * F.col("blocks") + 1e-9)).withColumn("_group", F.floor(F.col("_shard") / GROUP)), "shards")
+    groups = scratch.write(shards.groupBy("_source", "_group").agg(F.sum("blocks").alias("blocks"), F.sum("most").alias("most")), "groups")
+    of = {r["_source"]: (int(r["n"]), int(r["m"])) for r in groups.groupBy("_source").agg(F.sum("blocks").alias("n"), F.sum("most").alias("m")).collect()}
+    n, cap = (np.array([of.get(r["_source"], (0, 0))[k] for r in per], np.int64) for k in (0, 1))
     wanted = np.array([g / s if s else 0.0 for g, s in zip(goal, size_of, strict=True)]) * n
-    seats = sainte_lague(wanted, round(float(wanted.sum())), np.floor(most * n + 1e-9).astype(np.int64))
-    quota_of = {r["_source"]: int(q) for r, q in zip(per, seats, strict=True)}
-
-    def by_shard(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_shard")
-        have = part["blocks"].to_numpy(np.int64)
-        quota = sainte_lague(have.astype(float), int(part["quota"].iloc[0]), np.floor(most * have + 1e-9).astype(np.int64))
-        return part[["_source", "_shard", "blocks"]].assign(quota=quota)
-
-    quotas = spark.createDataFrame([*quota_of.items()], "_source string, quota long")
-    quotas = shards.join(F.broadcast(quotas) if len(per) <= BROADCAST_SOURCES else quotas, "_source").groupBy("_source").applyInPandas(by_shard, "_source string, _shard long, blocks long, quota long")
-    out = sharded.select("doc_id", "source", "size", "source_size", "target", "_order", F.col("doc_id").alias("_id"), "_source", "_shard")
-    kind = dict(out.dtypes)["doc_id"]
+    seats = sainte_lague(wanted, round(float(wanted.sum())), cap)
+    quotas = spark.createDataFrame([(r["_source"], int(q)) for r, q in zip(per, seats, strict=True)], "_source string, quota long")
+    by_group = groups.join(F.broadcast(quotas) if len(per) <= BROADCAST_SOURCES else quotas, "_source")
+    by_group = by_group.groupBy("_source").applyInPandas(lambda part: _apportion(part, "_group"), "_source string, _group long, blocks long, most long, quota long").select("_source", "_group", "quota")
+    quotas = shards.select("_source", "_group", "_shard", "blocks", "most").join(by_group, ["_source", "_group"]).groupBy("_source", "_group")
+    quotas = quotas.applyInPandas(lambda part: _apportion(part, "_shard"), "_source string, _group long, _shard long, blocks long, most long, quota long")
+    out = sharded.select("doc_id", "source", "size", "source_size", "target", *keep, "_order", F.col("doc_id").alias("_id"), "_source", "_shard")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select("doc_id", "source", "size", "source_size", "target", *keep).schema)
     return (
         out.groupBy("_source", "_shard")
-        .cogroup(quotas.groupBy("_source", "_shard"))
-        .applyInPandas(lambda keys, a, b: _select(keys, a, b, seed), f"doc_id {kind}, source string, size long, source_size long, target double, taken long")
+        .cogroup(quotas.select("_source", "_shard", "blocks", "quota").groupBy("_source", "_shard"))
+        .applyInPandas(lambda keys, a, b: _select(keys, a, b, seed), f"{kinds}, taken long")
     )

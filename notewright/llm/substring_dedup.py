@@ -19,6 +19,8 @@ from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_
 from notewright.llm._shared import lean
 
 _STOP = table(".!?")
+#: The full stop, exclamation and question mark of scripts without blanks between words, in UTF-8.
+_WIDE_STOPS = ("。".encode(), "！".encode(), "？".encode())
 #: Spans merged within a task before they are sent.
 HELD = 800_000
 #: Marks sent as one row.
@@ -27,24 +29,46 @@ MARKS = 4000
 
 @dataclass
 class Sentences:
-    """begin: the byte where each begins (it ends where the next begins, white space included); first: each row's first sentence; word: its first word, with one entry more."""
+    """begin: the byte where each begins (it ends where the next begins, white space included); first: each row's first sentence; word: its first word, with one entry more; length: of all sentences before it in words, with one entry more."""
 
     begin: np.ndarray
     first: np.ndarray
     word: np.ndarray
+    length: np.ndarray
     word_hash: np.ndarray
 
 
+def _wide_ends(data: np.ndarray) -> np.ndarray:
+    """Where wide stops end."""
+    if len(data) < 3 or not (data >= 0xE3).any():
+        return np.zeros(0, np.int64)
+    return np.sort(np.concatenate([np.flatnonzero((data[:-2] == s[0]) & (data[1:-1] == s[1]) & (data[2:] == s[2])) + 3 for s in _WIDE_STOPS]))
+
+
 def sentences(t: Texts) -> Sentences:
-    """A sentence ends after a word whose last character is one of .!? or at a line break; case and the kind of white space don't count in its hash."""
+    """A sentence ends after a word whose last character is one of .!?, behind a wide stop, or at a line break; case and the kind of white space don't count in its hash.
+
+    A word that has more than two characters of three bytes or more (scripts without blanks between words) is as long
+    as half of these, rounded down.
+    """
     w = words(t, SPACED)
-    n = len(w.starts)
+    starts, ends = w.starts, w.ends
+    wide = _wide_ends(t.data)
+    inner = wide[np.isin(wide, ends, invert=True)]
+    if len(inner):  # words go on behind a wide stop: cut them there
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    first = np.searchsorted(starts, t.offsets)
+    n = len(starts)
     opens = np.ones(n, bool)
     if n > 1:
         lines = np.concatenate([[0], np.cumsum(t.data == 10)])
-        opens[1:] = _STOP[t.data[w.ends[:-1] - 1]] | (lines[w.starts[1:]] > lines[w.ends[:-1]]) | (w.doc[1:] != w.doc[:-1])
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        opens[1:] = _STOP[t.data[ends[:-1] - 1]] | np.isin(ends[:-1], wide) | (lines[starts[1:]] > lines[ends[:-1]]) | (row[1:] != row[:-1])
+    long = np.concatenate([[0], np.cumsum(t.data >= 0xE0)])
+    before = np.concatenate([[0], np.cumsum(np.maximum(1, (long[ends] - long[starts]) // 2))])
     at = np.flatnonzero(opens)
-    return Sentences(w.starts[at], np.searchsorted(at, w.first), np.append(at, n), span_hashes(LOWER[t.data], w.starts, w.ends))
+    word = np.append(at, n)
+    return Sentences(starts[at], np.searchsorted(at, first), word, before[word], span_hashes(LOWER[t.data], starts, ends))
 
 
 def runs(s: Sentences, min_sentences: int, min_words: int, alone: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,13 +81,13 @@ def runs(s: Sentences, min_sentences: int, min_words: int, alone: int) -> tuple[
     row = np.repeat(np.arange(len(s.first) - 1), np.diff(s.first))
     low, high = s.first[:-1][row], s.first[1:][row]  # sentences of the same row
     here = np.arange(n)
-    ends = s.word[1:]
-    last = np.maximum(np.searchsorted(ends, s.word[:-1] + min_words), here + min_sentences - 1)
+    begins, ends = s.length[:-1], s.length[1:]
+    last = np.maximum(np.searchsorted(ends, begins + min_words), here + min_sentences - 1)
     ok = last < high
     a, b = here[ok], last[ok]
-    begin = np.minimum(np.searchsorted(s.word[:-1], ends - min_words, "right") - 1, here - min_sentences + 1)
+    begin = np.minimum(np.searchsorted(begins, ends - min_words, "right") - 1, here - min_sentences + 1)
     ok = begin >= low
-    long = np.flatnonzero(np.diff(s.word) >= alone)
+    long = np.flatnonzero(ends - begins >= alone)
     a, b = np.concatenate([a, begin[ok], long]), np.concatenate([b, here[ok], long])
     pair = np.unique((a << 32) | b) if len(a) else np.zeros(0, np.int64)
     a, b = pair >> 32, pair & 0xFFFFFFFF
@@ -87,6 +111,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
     hash at most once from a task, however often it occurs.
     """
     n = _blobs.buckets(docs.count())
+    held_runs = max(HELD, 4 * n)  # so that a bucket gets some at once
     doc_buckets = n // 4
     shift = U64(64 - (n.bit_length() - 1))
     mark = -1  # the bucket number of marks, before they are dealt out
@@ -125,7 +150,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
                 row = np.searchsorted(s.first, a, "right") - 1
                 held.append([h, ids[t.lo + row], ths[t.lo + row].astype(np.uint32), a - s.first[row], b - s.first[row]])
                 size += len(a)
-                if size >= HELD:
+                if size >= held_runs:
                     yield from send(held)
                     held, size = [], 0
         if held:
@@ -134,60 +159,65 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
         release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        found: list[list[np.ndarray]] = []
-        for batch in batches:
-            for blob in batch.column("blob"):
-                x = _blobs.unpack(blob.as_py())
+        """What is not the first of its hash in a bucket, and the marks that came along, dealt by document."""
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for _, blobs in _blobs.by_bucket(batches):
+            parts: list[list[np.ndarray]] = []
+            for x in blobs:
                 if len(x) == 4:
                     a = x[2].astype(np.int64)
-                    found.append([x[0], x[1], a, a + x[3]])
+                    held.append([x[0], x[1], a, a + x[3]])
+                    size += len(a)
                 else:
                     a = x[4].astype(np.int64)
                     parts.append([x[0], x[1][x[3]], x[2][x[3]], a, a + x[5]])
-        if parts:
-            h, doc, th, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, later = _later(h, doc, th, a, b)
-            at = order[later]
-            found.append([doc[at], th[at], a[at], b[at]])
-            del h, order, later
-        del parts
-        if found:
-            doc, th, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            p = (mix(doc.view(U64)) >> U64(64 - (doc_buckets.bit_length() - 1))).astype(np.int64)
-            order = np.argsort(p, kind="stable")
-            edges = np.searchsorted(p[order], np.arange(doc_buckets + 1))
-            places = np.flatnonzero(np.diff(edges))
-            own = [order[edges[i] : edges[i + 1]] for i in places]
-            yield from _blobs.rows(places.tolist(), [_blobs.pack([doc[k], th[k].astype(np.uint32), _blobs.small(a[k]), _blobs.small(b[k] - a[k])]) for k in own])
-        del found
+            if parts:
+                h, doc, th, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order, later = _later(h, doc, th, a, b)
+                at = order[later]
+                held.append([doc[at], th[at], a[at], b[at]])
+                size += len(at)
+            if size >= held_runs:
+                yield from by_document(held)
+                held, size = [], 0
+        if size:
+            yield from by_document(held)
+        del held
         release()
 
+    def by_document(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc, th, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        p = (mix(doc.view(U64)) >> U64(64 - (doc_buckets.bit_length() - 1))).astype(np.int64)
+        order = np.argsort(p, kind="stable")
+        edges = np.searchsorted(p[order], np.arange(doc_buckets + 1))
+        places = np.flatnonzero(np.diff(edges))
+        own = [order[edges[i] : edges[i + 1]] for i in places]
+        yield from _blobs.rows(places.tolist(), [_blobs.pack([doc[k], th[k].astype(np.uint32), _blobs.small(a[k]), _blobs.small(b[k] - a[k])]) for k in own])
+
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All spans of a document meet; overlapping ones become one."""
-        parts = [_blobs.unpack(blob.as_py()) for batch in batches for blob in batch.column("blob")]
-        if not parts:
-            return
-        doc, th, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
-        b = a + b
-        order = np.lexsort((a, th, doc))
-        doc, th, a, b = doc[order], th[order], a[order], b[order]
-        rows = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
-        row = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, len(doc))))
-        far = np.maximum.accumulate(b + (row << 32))  # the last sentence covered so far, later rows always beyond
-        new = np.concatenate([[True], (a[1:] + (row[1:] << 32)) > far[:-1] + 1])
-        first = np.flatnonzero(new)
-        pair = np.stack([a[first], far[np.append(first[1:], len(a)) - 1] & 0xFFFFFFFF], 1).astype(np.int32)
-        edges = np.append(np.searchsorted(first, rows), len(first))
-        for i in range(0, len(rows), 10_000):
-            at = rows[i : i + 10_000]
-            marks = [pair[edges[j] : edges[j + 1]].tobytes() for j in range(i, i + len(at))]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), pa.array(marks, pa.binary())], names=["_nw_id", "_nw_th", "_nw_marks"])
+        for _, parts in _blobs.by_bucket(batches):
+            doc, th, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+            b = a + b
+            order = np.lexsort((a, th, doc))
+            doc, th, a, b = doc[order], th[order], a[order], b[order]
+            rows = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
+            row = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, len(doc))))
+            far = np.maximum.accumulate(b + (row << 32))  # the last sentence covered so far, later rows always beyond
+            new = np.concatenate([[True], (a[1:] + (row[1:] << 32)) > far[:-1] + 1])
+            first = np.flatnonzero(new)
+            pair = np.stack([a[first], far[np.append(first[1:], len(a)) - 1] & 0xFFFFFFFF], 1).astype(np.int32)
+            edges = np.append(np.searchsorted(first, rows), len(first))
+            for i in range(0, len(rows), 10_000):
+                at = rows[i : i + 10_000]
+                marks = [pair[edges[j] : edges[j + 1]].tobytes() for j in range(i, i + len(at))]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), pa.array(marks, pa.binary())], names=["_nw_id", "_nw_th", "_nw_marks"])
         release()
 
     sent = docs.select("_nw_id", "_nw_th", "_nw_text").mapInArrow(emit, _blobs.SCHEMA)
-    merged = sent.repartition("p").mapInArrow(merge, _blobs.SCHEMA)
-    return merged.repartition("p").mapInArrow(cover, "_nw_id long, _nw_th long, _nw_marks binary")
+    merged = _blobs.dealt(sent).mapInArrow(merge, _blobs.SCHEMA)
+    return _blobs.dealt(merged).mapInArrow(cover, "_nw_id long, _nw_th long, _nw_marks binary")
 
 
 def remove_repeated(
@@ -203,7 +233,8 @@ def remove_repeated(
     Occurrences are ordered by doc_id (a whole number), then place, so the copy in the smallest doc_id stays whole.
     Rows with the same doc_id and text are one document: what is removed in one is removed in all.  Null doc_id
     comes before all others.  Null text stays null; text without words stays as it is.  A text whose sentences all go
-    is empty.  Short repeated phrases (under min_words words) stay.
+    is empty.  Repeated runs of several sentences with under min_words words together stay, and single repeated
+    sentences under `alone` words.  Scripts without blanks: see sentences().
     """
     lean(docs.sparkSession)
     key = docs.withColumn("_nw_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_nw_th", F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32))).withColumn("_nw_text", F.col(text))
@@ -244,4 +275,5 @@ def remove_repeated(
 
 
 def digest(cut: DataFrame) -> DataFrame:
+    """doc_id, the text that is left, how many sentences it had and how many went, and whether any did."""
     return cut.select("doc_id", "text", F.col("_nw_sentences").alias("n_sentences"), F.col("_nw_removed").alias("n_removed"), (F.col("_nw_removed") > 0).alias("cut"))

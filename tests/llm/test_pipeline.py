@@ -22,7 +22,7 @@ def test_stages(spark):
     assert near(corpus_pipeline.near(spark, docs, DIR)).where("doc_id <> component_id").count() == 0
     assert seen.where(F.col("n_chars") != F.char_length("text")).count() == 0
     mixed = corpus_pipeline.mix(spark, seen, DIR)
-    assert mixed.where("taken <= 0 or taken > 3 * size").count() == 0
+    assert mixed.where("mix_taken <= 0 or mix_taken > 3 * mix_size").count() == 0
     assert corpus_pipeline.run(spark, DIR).count() == mixed.count()
 
 
