@@ -89,6 +89,20 @@ def dotted_key(topic: Column) -> Column:
     return F.transform(F.split(topic, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(10**9)))
 
 
+def dotted_parts(topic: Column) -> Column:
+    """Orders dotted ids part by part: numbers before texts, a prefix before what goes on from it."""
+    def part(p: Column) -> Column:
+        number = p.rlike(r"^-*\d+$")
+        return F.struct(F.when(number, 0).otherwise(1).alias("kind"), F.coalesce(F.when(number, p.try_cast("long")), F.lit(0)).alias("number"), F.when(number, "").otherwise(p).alias("text"))
+
+    return F.transform(F.split(topic, r"\."), part)
+
+
+def natural_key(label: Column) -> Column:
+    """Orders texts in any case, and the numbers within them by value."""
+    return F.transform(F.regexp_extract_all(F.lower(label), F.lit(r"(\d+|\D+)")), lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 12, "0")).otherwise(x))
+
+
 def dotted_prefix(topic: Column, parts: Column | int) -> Column:
     return F.array_join(F.slice(F.split(topic, r"\."), 1, parts), ".")
 

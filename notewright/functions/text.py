@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +23,10 @@ def trim_all(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(markup: Column) -> Column:
     """Plain text of an HTML fragment by an ordered cascade of replacements; null is empty."""
-    x = F.coalesce(html, F.lit(""))
+    x = F.coalesce(markup, F.lit(""))
+    # fixed values: the patterns, what replaces them, and their order make the text that is indexed
     for pattern, new in (
         (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""),
         (r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"(?i)</div>", "\n"), (r"(?i)</h[1-6]>", "\n\n"), (r"(?i)</li>", "\n"), (r"(?i)</tr>", "\n"), (r"(?i)</td>", " | "),
@@ -43,16 +47,26 @@ def embed_clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def unescape_basic(text: Column) -> Column:
-    """The entities that markup itself needs."""
-    for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return text
+#: The entities that markup itself needs, as HTML reads them; &amp; last, so that nothing is read twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def unescape(text: Column) -> Column:
+    """HTML entities as characters: common ones by built-in functions; only texts with others go to Python."""
+    @F.pandas_udf("string")
+    def rare(x: pd.Series) -> pd.Series:
+        return x.map(html.unescape, na_action="ignore")
+
+    plain = text
+    for code, character in ENTITIES:
+        plain = F.replace(plain, F.lit(code), F.lit(character))
+    other = text.rlike("&(?!(?:lt|gt|quot|amp|nbsp|#39|#x27);)[a-zA-Z#]")
+    return F.coalesce(rare(F.when(other, text)), plain)
 
 
 def clean_note(text: Column) -> Column:
     """Without web addresses, inline images and runs of 100 or more characters; null is empty."""
-    x = unescape_basic(F.coalesce(text, F.lit("")))
+    x = unescape(F.coalesce(text, F.lit("")))
     for pattern in (r"http\S+", r"""data:image/[a-zA-Z]+;base64,[^\s"')]+""", r"!\[.*?\]\([^)]{100,}\)", r"\S{100,}"):
         x = F.regexp_replace(x, pattern, "")
     return x
@@ -73,6 +87,14 @@ def meaningful_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(search_tokens(query), lambda t: (F.length(t) > 1) & ~t.isin(*SEARCH_STOP_WORDS)))
 
 
+def keyword_queries(query: Column) -> Column:
+    """What full-text search asks for: the terms, the query as a phrase if it is quoted or has at most two terms, its last four and last three terms."""
+    terms = meaningful_terms(query)
+    last = lambda k: F.when(F.size(terms) >= k, F.array_join(F.slice(terms, -k, k), " "))
+    phrase = F.when(query.rlike('"[^"]+"') | (F.size(terms) <= 2), F.trim(query))
+    return F.struct(terms.alias("terms"), phrase.alias("phrase"), last(4).alias("last_four"), last(3).alias("last_three"))
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
@@ -114,6 +136,12 @@ def bar(count: Column, most: Column, width: int = 30) -> Column:
     return F.repeat(F.lit("█"), F.floor(F.lit(width) * count / most).cast("int"))
 
 
+def as_list(text: Column) -> Column:
+    """Texts stored as one value: a list in JSON or in single quotes is read, any other text is a list of itself, null an empty one."""
+    parsed = F.when(text.rlike(r"^\s*[\[(]"), F.from_json(F.translate(text, "()", "[]"), "array<string>", {"allowSingleQuotes": "true"}))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.array(text)))
+
+
 def is_number(text: Column) -> Column:
     return text.try_cast("double").isNotNull()
 

@@ -33,14 +33,24 @@ def append(df: DataFrame, name: str) -> int:
     return after
 
 
+def append_embedded(df: DataFrame, name: str, embedder=None) -> int:  # noqa: ANN001
+    """Appends chunks with the vectors of their texts, made on the way in Arrow batches."""
+    from notewright.operators.models import embed
+
+    return append(embed(df.drop("vector"), embedder=embedder).select(*df.sparkSession.table(name).columns), name)
+
+
 def overwrite(df: DataFrame, name: str) -> None:
-    """Replaces a table by a frame that may read it: written beside it, then swapped in."""
+    """Replaces a table by a frame that may read it: written beside it, then swapped by renaming; the old table goes last, so that the rows are in the catalog at any time."""
     spark = df.sparkSession
-    beside = f"{name}_new_copy"
+    beside, old = f"{name}_new_copy", f"{name}_old_copy"
     spark.sql(f"DROP TABLE IF EXISTS {beside}")
     df.write.saveAsTable(beside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def store_clustered(df: DataFrame, name: str) -> None:

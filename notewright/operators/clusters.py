@@ -29,6 +29,12 @@ def cluster_facts(notes: DataFrame, by: str = "display_topic_id") -> DataFrame:
     )
 
 
+def first_labels(notes: DataFrame, by: str = "display_topic_id") -> DataFrame:
+    """The first label that is not empty of each cluster; null without one."""
+    some = F.when(F.col("cluster_label") != "", F.col("doc_id"))
+    return notes.groupBy(F.col(by).alias("cluster_id")).agg(F.min_by("cluster_label", some).alias("label"))
+
+
 def colors(notes: DataFrame, by: str = "display_topic_id") -> DataFrame:
     """(cluster_id, color) of every cluster, from the direction of its centroid off the mean of the centroids."""
     mean = notes.where("vector is not null").groupBy(F.col(by).alias("cluster_id")).agg(*(F.avg(F.get("vector", F.lit(i)).cast("double")).alias(f"c{i}") for i in (0, 1)))

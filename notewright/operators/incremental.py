@@ -22,6 +22,19 @@ def without_modified(chunks: DataFrame, changed: DataFrame) -> DataFrame:
     return chunks.join(changed.where("status = 'modified'").select(*KEY).distinct(), KEY, "left_anti")
 
 
+def to_index(changed: DataFrame) -> DataFrame:
+    """New notes, then modified ones, in the order of their ids."""
+    return changed.where("status <> 'unchanged'").orderBy(F.desc(F.col("status") == "new"), *KEY)
+
+
+def index_report(changed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What an incremental run did: notes processed and skipped, chunks made of the former, and chunks a note to one place."""
+    done = changed.where("status <> 'unchanged'")
+    made = chunks.join(done.select(*KEY).distinct(), KEY, "left_semi").agg(F.count(F.lit(1)).alias("chunks"))
+    notes = changed.agg(F.count(F.when(F.col("status") != "unchanged", 1)).alias("processed"), F.count(F.when(F.col("status") == "unchanged", 1)).alias("skipped"))
+    return notes.crossJoin(F.broadcast(made)).withColumn("chunks_per_note", F.when(F.col("processed") > 0, F.round(F.col("chunks") / F.col("processed"), 1)).otherwise(0.0))
+
+
 def merge_cache(new: DataFrame, old: DataFrame) -> DataFrame:
     """Union by key, new rows win, latest modification first."""
     both = new.select(*KEY, "modification_date", F.lit(0).alias("_p")).unionByName(old.select(*KEY, "modification_date", F.lit(1).alias("_p")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.functions.numbers import any_timestamp, dotted_key
+from notewright.functions.numbers import any_timestamp, dotted_key, dotted_parts, natural_key
 
-METRICS = ("az", "size", "search", "history", "recency", "momentum")
+METRICS = ("az", "size", "search", "history", "similarity", "recency", "momentum")
 
 
 def recency(notes: DataFrame) -> DataFrame:
@@ -51,13 +51,55 @@ def legend(notes: DataFrame, hits: DataFrame, selected: list[str]) -> DataFrame:
     return out.withColumn("place", F.row_number().over(w).cast("long")).select("place", "cluster_id", "pinned", "hit", F.col("distance").alias("nearest_hit_cluster"))
 
 
-def sort_clusters(clusters: DataFrame, metric: str, ascending: bool = True) -> DataFrame:
-    """clusters: cluster_id, label and the metric's column (chunk_count, first_rank, history_rank, spike or momentum); ties by id."""
+def cluster_order(metric: str, ascending: bool = True) -> list[Column]:
+    """Sort columns of a cluster list; see sort_clusters."""
     if metric not in METRICS:
         raise ValueError(metric)
-    column = {"az": "label", "size": "chunk_count", "search": "first_rank", "history": "history_rank", "recency": "spike", "momentum": "momentum"}[metric]
-    key: Column = F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column)
-    return clusters.orderBy(key, dotted_key(F.col("cluster_id")), "cluster_id")
+    column = {"size": "chunk_count", "search": "first_rank", "history": "history_rank", "similarity": "similarity", "recency": "spike", "momentum": "momentum"}.get(metric)
+    keys: list[Column] = [natural_key(F.col("label"))] if column is None else []
+    # what was looked at last comes first in ascending history; clusters without a rank are last in either direction
+    up = ascending if metric != "history" else not ascending
+    if column is not None:
+        if metric in ("search", "history"):
+            keys.append(F.asc_nulls_last(column) if up else F.desc_nulls_last(column))
+        else:
+            keys.append(F.asc_nulls_first(column) if up else F.desc_nulls_last(column))
+    if metric == "search":
+        keys.append(F.asc_nulls_last("nearest") if up else F.desc_nulls_last("nearest"))
+    return [*keys, dotted_parts(F.col("cluster_id")), F.col("cluster_id")]
+
+
+def sort_clusters(clusters: DataFrame, metric: str, ascending: bool = True) -> DataFrame:
+    """clusters: cluster_id, and by metric label, chunk_count, first_rank with nearest (distance to the nearest hit cluster), history_rank, similarity, spike or momentum; ties by id."""
+    return clusters.orderBy(*cluster_order(metric, ascending))
+
+
+def places(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their place in an order, from 1: of lists that a viewer shows, as clusters or results, in one task."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def sort_results(results: DataFrame, metric: str, ascending: bool = True) -> DataFrame:
+    """Results with points (see results_with_points) by place of search, size of the note or modification; ties by title, then place.  Descending turns the ties too."""
+    column = {"search": F.col("place"), "size": F.coalesce("note_size", "total_chunks", F.lit(0)), "modified": F.unix_seconds(any_timestamp(F.col("point_modified")))}[metric]
+    keys = [column, natural_key(F.col("title"))]
+    return results.orderBy(*(k.asc_nulls_first() if ascending else k.desc_nulls_last() for k in keys), "place")
+
+
+def tree_order(metric: str) -> list[Column]:
+    """Sort columns of the clusters below a meta cluster: by size the largest first, else by id."""
+    ids = [dotted_parts(F.col("cluster_id")), F.col("cluster_id")]
+    return [F.desc("chunk_count"), *ids] if metric == "size" else ids
+
+
+def sort_tree(meta: DataFrame, metric: str = "size", distances: DataFrame | None = None) -> DataFrame:
+    """Rows of the meta hierarchy with meta_place and child_place: meta clusters by distance (meta_cluster_id, avg_distance) where given, then label; their clusters by tree_order."""
+    label = natural_key(F.col("meta_cluster_label"))
+    tops = meta.select("meta_cluster_id", "meta_cluster_label").distinct()
+    tops = tops.withColumn("avg_distance", F.lit(None).cast("double")) if distances is None else tops.join(distances.select("meta_cluster_id", "avg_distance"), "meta_cluster_id", "left")
+    tops = places(tops, [F.asc_nulls_last("avg_distance"), label, F.col("meta_cluster_id")], "meta_place")
+    child = F.row_number().over(Window.partitionBy("meta_cluster_id").orderBy(*tree_order(metric))).cast("long")
+    return meta.withColumn("child_place", child).join(F.broadcast(tops.select("meta_cluster_id", "meta_place")), "meta_cluster_id")
 
 
 def first_ranks(ranked: DataFrame, by: str) -> DataFrame:
@@ -72,6 +114,23 @@ def similarity_rings(similar: DataFrame, least: float = 0.15, most: int = 30, ri
     return top.select("cluster_id", "similarity", F.floor(F.col("n") / ring).alias("ring"), (F.pmod("n", F.lit(ring)) * (360.0 / ring)).alias("angle"))
 
 
+#: The viewer's sizes in pixels, which place the nodes.
+CENTRE, LARGEST, ORBIT = 56, 36, 200
+
+
+def search_rings(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, x, y, angle) of clusters with hits (cluster_id, avg_distance): nearer ones further in, twelve to a ring, each ring a little turned."""
+    w = Window.orderBy("avg_distance", "cluster_id")
+    ends = clusters.agg(F.min("avg_distance").alias("_low"), F.max("avg_distance").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    out = clusters.withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(ends))
+    inner = CENTRE + LARGEST * 0.8 + 4
+    width = F.col("_high") - F.col("_low")
+    radius = inner + (ORBIT - inner) * (F.col("avg_distance") - F.col("_low")) / F.when(width == 0, 1e-6).otherwise(width)
+    step = 2 * F.pi() / F.least(F.col("_n") - F.col("_i"), F.lit(12))
+    angle = -F.pi() / 2 + F.floor(F.col("_i") / 12) * 0.15 + F.pmod("_i", F.lit(12)) * step
+    return out.select("cluster_id", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"), angle.alias("angle"))
+
+
 def results_with_points(results: DataFrame, points: DataFrame) -> DataFrame:
     """Search results with their chunk's modification and the size of its note; of points with one key the first counts."""
     first = points.groupBy("unique_key").agg(F.min_by("modification_date", "doc_id").alias("point_modified"), F.min_by("total_chunks", "doc_id").alias("note_size"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.numbers import dotted_prefix
-from notewright.functions.text import embed_clean, tidy_label
+from notewright.functions.text import embed_clean, search_tokens, tidy_label
 from notewright.operators import topics
 from notewright.operators.chunking import chunk_notes
 from notewright.operators.search import document_stats, postings
@@ -81,48 +81,99 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 Labeler = Callable[[list[str], list[str]], str]
 
 
-def label_topics(found: DataFrame, labeler: Labeler | None = None) -> DataFrame:
-    """found: (topic, keywords, documents).  Labels by a callable, tidied; without one, or where it fails or says nothing, the keywords."""
+class ChatLabeler:
+    """Asks a chat service for a label: one request for each topic, temperature 0, the reply is JSON with a label.  post sends (url, body) and returns the reply's text."""
+
+    def __init__(self, url: str, model: str, timeout: float = 120.0, documents: int = 5, post: Callable[[str, dict], str] | None = None) -> None:
+        self.url, self.model, self.timeout, self.documents, self.post = url, model, timeout, documents, post
+
+    def request(self, keywords: list[str], documents: list[str]) -> dict:
+        said = "Keywords: " + ", ".join(keywords) + "\nDocuments:\n" + "\n".join(f"- {d[:300]}" for d in documents[: self.documents])
+        schema = {"type": "object", "properties": {"label": {"type": "string"}}, "required": ["label"]}
+        return {"model": self.model, "stream": False, "format": schema, "options": {"temperature": 0}, "messages": [{"role": "user", "content": f"Give a label of two to five words for this topic, as JSON.\n{said}"}]}
+
+    def __call__(self, keywords: list[str], documents: list[str]) -> str:
+        import json
+        import re
+
+        body = self.request(keywords, documents)
+        if self.post is not None:
+            reply = self.post(self.url, body)
+        else:
+            from urllib.request import Request, urlopen
+
+            with urlopen(Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=self.timeout) as r:  # noqa: S310
+                reply = json.loads(r.read())["message"]["content"]
+        return str(json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", reply.strip()))["label"])
+
+
+def label_topics(found: DataFrame, labeler: Labeler | None = None, workers: int = 4) -> DataFrame:
+    """found: (topic, keywords, documents).  Labels by a callable, several at once, tidied; without one, or where it fails or says nothing, the keywords."""
     plain = F.array_join(F.slice("keywords", 1, 5), " & ")
     if labeler is None:
         return found.withColumn("label", F.coalesce(F.nullif(plain, F.lit("")), F.concat(F.lit("Topic "), "topic")))
 
+    def one(keywords: list[str], documents: list[str]) -> str | None:
+        try:
+            return labeler(list(keywords), list(documents))
+        except Exception:  # noqa: BLE001  a label that can't be made falls back to the keywords
+            return None
+
     @F.pandas_udf("string")
     def ask(keywords: pd.Series, documents: pd.Series) -> pd.Series:
-        out = []
-        for k, d in zip(keywords, documents, strict=True):
-            try:
-                out.append(labeler(list(k), list(d)))
-            except Exception:  # noqa: BLE001  a label that can't be made falls back to the keywords
-                out.append(None)
-        return pd.Series(out, dtype=object)
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(workers) as pool:
+            return pd.Series(list(pool.map(one, keywords, documents)), dtype=object)
 
     said = F.nullif(tidy_label(ask("keywords", "documents")), F.lit(""))
     return found.withColumn("label", F.coalesce(said, F.nullif(plain, F.lit("")), F.concat(F.lit("Topic "), "topic")))
 
 
+def _levels(topic: str) -> list[Column]:
+    """The id's first part, and the parts behind it ('' for a base topic): folders of a stored model."""
+    own = F.col(topic)
+    return [F.substring_index(own, ".", 1).alias("model"), F.when(own.contains("."), F.substring(own, F.locate(".", own) + 1, F.length(own))).otherwise("").alias("sub")]
+
+
 def save_model(notes: DataFrame, path: str) -> None:
-    """topic_terms, and topic_hierarchy (parent, child, chunks): what a fitted model is known by."""
-    topics.class_tfidf(notes, "display_topic_id").write.mode("overwrite").parquet(f"{path}/topic_terms")
+    """topic_terms in a folder for each base topic and each sub-model below it, topic_hierarchy (parent, child, chunks), and a manifest: what a fitted model is known by."""
+    terms = topics.class_tfidf(notes, "display_topic_id").select("topic", "term", "n", "weight", *_levels("topic"))
+    terms.drop("topic").write.mode("overwrite").partitionBy("model", "sub").parquet(f"{path}/topic_terms")
     parent = F.when(F.col("display_topic_id").contains("."), dotted_prefix(F.col("display_topic_id"), F.size(F.split("display_topic_id", r"\.")) - 1))
-    notes.groupBy(parent.alias("parent_id"), F.col("display_topic_id").alias("child_id")).agg(F.count(F.lit(1)).alias("n_chunks")).write.mode("overwrite").parquet(f"{path}/topic_hierarchy")
+    tree = notes.groupBy(parent.alias("parent_id"), F.col("display_topic_id").alias("child_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    tree.write.mode("overwrite").parquet(f"{path}/topic_hierarchy")
+    base, depth = F.substring_index("child_id", ".", 1), F.size(F.split("child_id", r"\."))
+    manifest = notes.sparkSession.read.parquet(f"{path}/topic_hierarchy").groupBy(base.alias("model")).agg(F.count(F.lit(1)).alias("n_topics"), F.max(depth).alias("depth"), F.sum("n_chunks").alias("n_chunks"))
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/topic_terms"), spark.read.parquet(f"{path}/topic_hierarchy")
+    """Terms of all models and sub-models, their ids put together from the folders, and the hierarchy."""
+    terms = spark.read.schema("term string, n long, weight double, model string, sub string").parquet(f"{path}/topic_terms")
+    return terms.select(F.concat_ws(".", "model", F.nullif("sub", F.lit(""))).alias("topic"), "term", "n", "weight"), spark.read.parquet(f"{path}/topic_hierarchy")
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("model string, n_topics long, depth int, n_chunks long").json(f"{path}/manifest")
 
 
 def gather_topics(notes: DataFrame, terms: DataFrame, n_words: int = 10, n_docs: int = 3) -> DataFrame:
-    """Each topic with its label, keywords (its own, else its base topic's) and best chunks; outliers left out.  notes need a confidence."""
+    """Each topic with its label, keywords and best chunks; outliers left out.  notes need a confidence.
+
+    Keywords are those of the deepest model that has the topic: its own, else its parent's, and so on up to its base.
+    """
     w = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 8)), "term")
     top = terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_words).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda x: x["term"]).alias("keywords"))
     best = topics.representatives(notes, n_docs).join(notes.select("doc_id", "chunk_content"), "doc_id")
     best = best.groupBy(F.col("display_topic_id").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_content"))), lambda x: x["chunk_content"]).alias("documents"))
     facts = notes.where("display_topic_id <> '-1'").groupBy(F.col("display_topic_id").alias("topic")).agg(F.min_by("cluster_label", "doc_id").alias("stored_label"), F.count(F.lit(1)).alias("n_chunks"))
-    base = top.select(F.col("topic").alias("_base"), F.col("keywords").alias("_k"))
-    out = facts.join(top, "topic", "left").withColumn("_base", F.substring_index("topic", ".", 1)).join(base, "_base", "left").join(best, "topic", "left")
+    depth = F.explode(F.sequence(F.lit(1), F.size(F.split("topic", r"\."))))
+    above = facts.select("topic", depth.alias("_d")).withColumn("_model", dotted_prefix(F.col("topic"), F.col("_d")))
+    words = above.join(top.select(F.col("topic").alias("_model"), "keywords"), "_model").groupBy("topic").agg(F.max_by("keywords", "_d").alias("keywords"))
     none = F.array().cast("array<string>")
-    return out.select("topic", "stored_label", "n_chunks", F.coalesce("keywords", "_k", none).alias("keywords"), F.coalesce("documents", none).alias("documents"))
+    out = facts.join(words, "topic", "left").join(best, "topic", "left")
+    return out.select("topic", "stored_label", "n_chunks", F.coalesce("keywords", none).alias("keywords"), F.coalesce("documents", none).alias("documents"))
 
 
 def ranked_documents(assigned: DataFrame, n: int = 5) -> DataFrame:
@@ -134,11 +185,26 @@ def ranked_documents(assigned: DataFrame, n: int = 5) -> DataFrame:
 
 
 def find_texts(texts: DataFrame, notes: DataFrame) -> DataFrame:
-    """texts: (text_id, text).  The chunk with that very text (smallest id), else one that contains it literally; exact matches join by key, only the rest is searched."""
+    """texts: (text_id, text).  The chunk with that very text (smallest id), else one that contains it literally.
+
+    Exact matches join by key.  Of the rest, a chunk that contains a text has all words from its second to its last but
+    one; it is joined on the one of these that fewest chunks have, and then compared.  Only texts without such words
+    are looked for in every chunk.
+    """
     exact = texts.join(notes.select(F.col("chunk_content").alias("text"), "doc_id"), "text").groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
     rest = texts.join(exact.select("text_id"), "text_id", "left_anti").where("length(text) > 0")
-    inside = notes.select("doc_id", "chunk_content").join(rest, F.col("chunk_content").contains(F.col("text"))).groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
-    return exact.withColumn("how", F.lit("exact")).unionByName(inside.withColumn("how", F.lit("inside")))
+    words = search_tokens(F.col("text"))
+    rest = rest.withColumn("_w", F.when(F.size(words) > 2, F.array_distinct(F.slice(words, 2, F.size(words) - 2))).otherwise(F.array().cast("array<string>")))
+    asked = rest.select("text_id", F.explode("_w").alias("term"))
+    held = notes.select("doc_id", F.explode(F.array_distinct(search_tokens(F.col("chunk_content")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    many = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(many, "term", "left").groupBy("text_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"))
+    rarest = rarest.where("r.n > 0").select("text_id", F.col("r.term").alias("term"))
+    met = rarest.join(held, "term").join(rest.select("text_id", "text"), "text_id").join(notes.select("doc_id", "chunk_content"), "doc_id")
+    inside = met.where(F.col("chunk_content").contains(F.col("text"))).select("text_id", "doc_id")
+    bare = notes.select("doc_id", "chunk_content").join(rest.where(F.size("_w") == 0), F.col("chunk_content").contains(F.col("text"))).select("text_id", "doc_id")
+    found = inside.unionByName(bare).groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
+    return exact.withColumn("how", F.lit("exact")).unionByName(found.withColumn("how", F.lit("inside")))
 
 
 def outlier_report(before: DataFrame, after: DataFrame, topic: str = "base_topic_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.numbers import cosine, distance_to_cosine, literal_vector, relevance, squared_distance
-from notewright.functions.text import SEARCH_STOP_WORDS, search_tokens
+from notewright.functions.text import SEARCH_STOP_WORDS, preview, search_tokens
 from notewright.operators.notes import in_dates, search_dates
 
 RESULT = ["doc_id", "unique_key", "title", "creation_date", "modification_date", "chunk_index", "total_chunks", "chunk_content", "score", "source", "place"]
@@ -65,12 +65,23 @@ def whole_word(text: str, *columns: str) -> Column:
 
 
 def knn(notes: DataFrame, query: list[float], k: int, most: float | None = None) -> DataFrame:
-    """Exact nearest chunks by squared distance, one of each key, and their rank; per-partition top k, so nothing but k rows moves at the end."""
-    scored = notes.where("vector is not null").withColumn("distance", squared_distance(F.col("vector"), literal_vector(query)))
+    """(doc_id, distance) of the exact nearest chunks by squared distance, one of each key.
+
+    Each partition sends its own few nearest chunks; if these have under k keys, four times as many are asked for.  So
+    a few times k rows move, whatever the number of chunks, and they are looked at here.
+    """
+    scored = notes.where("vector is not null").select("doc_id", "unique_key", squared_distance(F.col("vector"), literal_vector(query)).alias("distance"))
     if most is not None:
         scored = scored.where(F.col("distance") <= most)
-    best = scored.groupBy("unique_key").agg(F.min(F.struct("distance", "doc_id")).alias("b")).select(F.col("b.doc_id").alias("doc_id"), F.col("b.distance").alias("distance"))
-    return best.orderBy("distance", "doc_id").limit(k)
+    ask = 2 * k
+    while True:
+        rows = scored.orderBy("distance", "doc_id").limit(ask).collect()
+        first = list({r["unique_key"]: r for r in reversed(rows)}.values())
+        if len(first) >= k or len(rows) < ask:
+            break
+        ask *= 4
+    first = sorted(first, key=lambda r: (r["distance"], r["doc_id"]))[:k]
+    return notes.sparkSession.createDataFrame([(r["doc_id"], r["distance"]) for r in first], f"doc_id {dict(notes.dtypes)['doc_id']}, distance double")
 
 
 def threshold_sweep(notes: DataFrame, query: list[float], thresholds: list[float], k: int = 20) -> DataFrame:
@@ -159,35 +170,65 @@ def search_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct("title").alias("unique_titles"))
 
 
-def search_api(notes: DataFrame, titles: DataFrame | None, text: str | None, vector: list[float] | None, today: str, low: str | None = None, high: str | None = None, limit: int = 1000, most: float = 0.8, field: str = "both", order: str = "best_first") -> DataFrame:
+def search_api(notes: DataFrame, titles: DataFrame | None, text: str | None, vector: list[float] | None, today: str, low: str | None = None, high: str | None = None, limit: int = 1000, most: float = 0.8, field: str = "both", order: str = "best_first", index: DataFrame | None = None) -> DataFrame:
     """Three ways to search: by query; by query within dates, applied after the limit; by dates alone, in the order of rows with score 0.
 
     titles: those with interactions in the dates, which count besides the notes' own dates.
     """
     low, high = search_dates(bool(text), low, high, today)
     if low is None and high is None:
-        return search(notes, text or "", vector, limit, most, order)
+        return search(notes, text or "", vector, limit, most, order, index)
     allowed = notes.where(in_dates(low, high, field)).select("title")
     allowed = (allowed if titles is None else allowed.union(titles.select("title"))).distinct()
     if text:
-        return search(notes, text, vector, limit, most, order).join(allowed, "title", "left_semi").select(*RESULT)
+        return search(notes, text, vector, limit, most, order, index).join(allowed, "title", "left_semi").select(*RESULT)
     found = notes.join(allowed, "title", "left_semi").withColumn("score", F.lit(0.0)).withColumn("source", F.lit("date")).orderBy("doc_id").limit(limit)
     return found.withColumn("place", F.row_number().over(Window.orderBy("doc_id")).cast("long")).select(*RESULT)
 
 
-def search_notes(notes: DataFrame, text: str, vector: list[float] | None = None, least: float = 0.05, near: int = 100) -> DataFrame:
+def search_notes(notes: DataFrame, text: str, vector: list[float] | None = None, least: float = 0.05, near: int = 100, index: DataFrame | None = None) -> DataFrame:
     """One row for each note title: its nearest chunk, else a full-text, substring or whole-word hit; best first."""
     q = analyse(text)
+    index = postings(notes) if index is None else index
     legs = []
     if vector:
         close = notes.join(knn(notes, vector, near), "doc_id").withColumn("cos", distance_to_cosine(F.sqrt("distance"))).where(F.col("cos") >= least)
         legs.append(close.select("title", "doc_id", F.round(100 * F.col("cos"), 2).alias("score"), F.lit("vector").alias("source"), F.lit(1).alias("leg")))
     score = F.when(F.col("vector").isNotNull(), F.round(100 * F.greatest(F.lit(0.0), cosine(F.col("vector"), literal_vector(vector))), 2)).otherwise(70.0) if vector else F.lit(70.0)
     if q.terms:
-        legs.append(notes.join(match_terms(postings(notes), q.terms, False), "doc_id", "left_semi").select("title", "doc_id", score.alias("score"), F.lit("fts").alias("source"), F.lit(2).alias("leg")))
+        legs.append(notes.join(match_terms(index, q.terms, False), "doc_id", "left_semi").select("title", "doc_id", score.alias("score"), F.lit("fts").alias("source"), F.lit(2).alias("leg")))
     exact = has(q.text, "chunk_content", "title")
     legs.append(notes.where(like_all(q.text)).select("title", "doc_id", F.when(exact, 100.0).otherwise(85.0).alias("score"), F.lit("like").alias("source"), F.lit(3).alias("leg")))
     legs.append(notes.where(whole_word(q.text, "title", "chunk_content")).select("title", "doc_id", F.lit(90.0).alias("score"), F.lit("word").alias("source"), F.lit(4).alias("leg")))
     union = reduce(lambda a, b: a.unionByName(b), legs)
     best = union.groupBy("title").agg(F.min_by(F.struct("doc_id", "score", "source"), F.struct("leg", (-F.col("score")).alias("s"), "doc_id")).alias("b"))
     return best.select("title", "b.doc_id", "b.score", "b.source").orderBy(F.desc("score"), "title")
+
+
+def hit_attributes(results: DataFrame, points: DataFrame) -> DataFrame:
+    """Results with the clusters of the point of their key, of points with one key the last; -1 and Unknown without one."""
+    last = points.groupBy("unique_key").agg(F.max_by(F.struct("cluster_id", "base_topic_id", "display_topic_id", "cluster_label"), "doc_id").alias("_p"))
+    joined = results.join(last, "unique_key", "left")
+    shown = F.coalesce("_p.display_topic_id", "_p.cluster_id", F.lit("-1"))
+    return joined.select(
+        *(results[c] for c in results.columns), shown.alias("cluster_id"), F.coalesce("_p.base_topic_id", "_p.cluster_id", F.lit("-1")).alias("base_topic_id"),
+        shown.alias("display_topic_id"), F.coalesce("_p.cluster_label", F.lit("Unknown")).alias("cluster_label"), preview(F.col("chunk_content")).alias("preview"),
+    )
+
+
+def result_clusters(attributed: DataFrame) -> DataFrame:
+    """How many results each cluster has, most first."""
+    return attributed.groupBy("cluster_id").agg(F.max("cluster_label").alias("cluster_label"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster_id")
+
+
+def result_lines(attributed: DataFrame, limit: int = 20) -> DataFrame:
+    """The first results as a tool prints them: place and text."""
+    head = F.format_string("• %s [chunk %d/%d] (cluster: %s, score: %.3f)\n    %s", "title", "chunk_index", "total_chunks", "cluster_label", "score", F.coalesce("preview", F.lit("")))
+    return attributed.where(F.col("place") <= limit).select("place", head.alias("line"))
+
+
+def index_test(index: DataFrame, words: list[str]) -> DataFrame:
+    """Whether a stored index answers: how many chunks it finds for each word."""
+    asked = index.sparkSession.createDataFrame([(w,) for w in words], "term string")
+    found = index.where(F.col("term").isin(words)).groupBy("term").agg(F.count_distinct("doc_id").alias("n_chunks"))
+    return asked.join(found, "term", "left").select("term", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.functions.numbers import cosine
+from notewright.functions.numbers import cosine, squared_distance
 from notewright.functions.text import word_tokens
 from notewright.operators.clusters import centroids
+from notewright.sources.shared import Scratch
+
+#: Centroids that are broadcast as one array (64 numbers each make 50 MB).
+MOST_CENTROIDS = 100_000
 
 
 def terms(notes: DataFrame, text: str = "chunk_content") -> DataFrame:
@@ -59,15 +63,46 @@ def diverse_keywords(notes: DataFrame, n: int = 10, diversity: float = 0.3, pool
     return top.join(profile, "term").groupBy("topic").applyInPandas(choose, "topic string, term string, rank long")
 
 
+def _matrix(known: DataFrame) -> DataFrame | None:
+    """(cluster_id, centroid) rows as one row with an array, for a broadcast; None if there are more than MOST_CENTROIDS."""
+    if known.count() > MOST_CENTROIDS:
+        return None
+    return known.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("_known"))
+
+
+def _nearest(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, b.cluster_id, b.s) of the centroid with the largest cosine, of equals the last id.  A row looks through a broadcast array; only with too many centroids for that, rows meet them one by one."""
+    matrix = _matrix(known)
+    if matrix is not None:
+        pairs = F.transform("_known", lambda c: F.struct(F.round(cosine(F.col("vector"), c["centroid"]), 9).alias("r"), c["cluster_id"].alias("cluster_id"), cosine(F.col("vector"), c["centroid"]).alias("s")))
+        return rows.crossJoin(F.broadcast(matrix)).where(F.size("_known") > 0).select("doc_id", F.array_max(pairs).alias("b"))
+    scored = rows.crossJoin(known).select("doc_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("s"))
+    return scored.groupBy("doc_id").agg(F.max_by(F.struct("cluster_id", "s"), F.struct(F.round("s", 9).alias("s"), "cluster_id")).alias("b"))
+
+
 def reassign_by_vector(notes: DataFrame, least: float = 0.5, topic: str = "base_topic_id") -> DataFrame:
     """Outliers with a vector to the topic with the nearest centroid, if its cosine is at least that."""
-    known = centroids(notes.where(F.col(topic) != "-1"), topic)
-    out = notes.where((F.col(topic) == "-1") & F.col("vector").isNotNull()).select("doc_id", "vector")
-    scored = out.crossJoin(known).select("doc_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("s"))
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("cluster_id", "s"), F.struct(F.round("s", 9).alias("s"), "cluster_id")).alias("b"))
+    known = Scratch(notes.sparkSession, "centroids").write(centroids(notes.where(F.col(topic) != "-1"), topic), "known")
+    best = _nearest(notes.where((F.col(topic) == "-1") & F.col("vector").isNotNull()).select("doc_id", "vector"), known)
     return best.where(F.col("b.s") >= least).select("doc_id", F.col("b.cluster_id").alias("new_topic"), F.round("b.s", 4).alias("similarity"))
 
 
+def membership(notes: DataFrame, topic: str = "base_topic_id") -> DataFrame:
+    """(doc_id, topic, topics, probabilities) of rows with a vector: their share of closeness to each topic but -1.
+
+    Closeness is 1 / (0.01 + squared distance to the topic's centroid); topics are in the order of their ids.  The
+    centroids are broadcast after a check of their number.
+    """
+    known = Scratch(notes.sparkSession, "centroids").write(centroids(notes.where(F.col(topic) != "-1"), topic), "known")
+    matrix = _matrix(known)
+    if matrix is None:
+        raise ValueError(f"over {MOST_CENTROIDS} topics: a row's probabilities are one array")
+    rows = notes.where("vector is not null").select("doc_id", F.col(topic).alias("topic"), "vector").crossJoin(F.broadcast(matrix))
+    rows = rows.withColumn("_near", F.transform("_known", lambda c: 1 / (0.01 + squared_distance(F.col("vector"), c["centroid"]))))
+    total = F.aggregate("_near", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", "topic", F.transform("_known", lambda c: c["cluster_id"]).alias("topics"), F.transform("_near", lambda x: x / total).alias("probabilities"))
+
+
 def reassign_by_terms(notes: DataFrame, least: float = 0.05, topic: str = "base_topic_id") -> DataFrame:
     """Outliers to the topic with the most similar keyword weights: sparse cosine by a join on terms."""
     weights = class_tfidf(notes.where(F.col(topic) != "-1"), topic)
@@ -128,6 +163,14 @@ def fill_labels(notes: DataFrame, base: DataFrame, display: DataFrame) -> DataFr
     return out.withColumn("base_cluster_label", F.coalesce("base_cluster_label", F.lit("Unknown"))).withColumn("cluster_label", F.coalesce("_d", "base_cluster_label")).drop("_d")
 
 
+def resolve(rows: DataFrame, known: DataFrame, topic: str = "topic") -> DataFrame:
+    """Rows with the (meta, meta_label) of their topic: as known (topic, meta, meta_label) has it, else that of its base id, else its own id."""
+    exact, base = (known.select(F.col("topic").alias(f"_{k}"), F.col("meta").alias(f"_{k}m"), F.col("meta_label").alias(f"_{k}l")) for k in ("e", "b"))
+    own = F.col(topic)
+    out = rows.join(exact, own == F.col("_e"), "left").join(base, F.substring_index(own, ".", 1) == F.col("_b"), "left")
+    return out.select(*rows.columns, F.coalesce("_em", "_bm", own).alias("meta"), F.coalesce("_el", "_bl", F.concat(F.lit("Topic "), own)).alias("meta_label"))
+
+
 def assemble_display_ids(notes: DataFrame, children: DataFrame) -> DataFrame:
     """display id: the mapped child if it belongs to the chunk's base, else the base's most common child (smallest id of equals), else the base."""
     base_of = F.substring_index("child", ".", 1)

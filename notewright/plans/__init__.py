@@ -1 +1,6 @@
-"""See the modules of this subpackage."""
+"""All registered queries, and their SQL."""
+
+from notewright.plans import viewer
+from notewright.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "viewer"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notewright.functions import numbers as num
 from notewright.functions import text as tx
 from notewright.operators import chunking, clusters, density, hierarchy, incremental, interactions, layout, models, notes, search, topics, words
+from notewright.sources.shared import Scratch, exists
 from notewright.sources.tables import events_view, interactions_table, list_tables, normalize_notes, notes_view, open_window_titles, order_tables, read, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,19 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in read(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> DataFrame:
+    """The stored full-text index of the notes: written to the shared folder by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, d
+    path = _INDEXES.get(key)
+    if path is None or not exists(spark, f"{path}/postings/_SUCCESS"):
+        path = _INDEXES[key] = Scratch(spark, "index").root
+        models.write_index(notes_view(spark, d), path)
+    return models.read_index(spark, path)
+
+
 # ---- scans, projections, lookups
 
 COLUMNS = ["unique_key", "title", "creation_date", "modification_date", "chunk_index", "total_chunks"]
@@ -349,7 +363,7 @@ def embed_clean_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(tx.embed_clean(F.col("text"))).alias("clean_md5"))
 
 
-@register(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), 'http\S+', '', 'g'), 'data:image/[a-zA-Z]+;base64,[^\s"'')]+', '', 'g'), '!\[.*?\]\([^)]{100,}\)', '', 'g'), '\S{100,}', '', 'g')) AS clean_md5 FROM documents""")
+@register(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), 'http\S+', '', 'g'), 'data:image/[a-zA-Z]+;base64,[^\s"'')]+', '', 'g'), '!\[.*?\]\([^)]{100,}\)', '', 'g'), '\S{100,}', '', 'g')) AS clean_md5 FROM documents""")
 def clean_note_content(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(tx.clean_note(F.col("text"))).alias("clean_md5"))
 
@@ -388,12 +402,12 @@ TOK = "tok AS (SELECT doc_id, list_concat(regexp_extract_all(lower(chunk_content
 
 @register("SELECT doc_id, 3 AS n_terms, CAST(len(list_filter(t, lambda x: x IN ('general', 'public', 'license'))) AS BIGINT) AS tf FROM tok WHERE list_has_all(t, ['general', 'public', 'license'])".replace("3 AS", "CAST(3 AS BIGINT) AS"), NOTES, TOK)
 def fts_match_and(spark, d):
-    return search.match_terms(search.postings(notes_view(spark, d)), search.analyse(TEXT).terms, True)
+    return search.match_terms(index_of(spark, d), search.analyse(TEXT).terms, True)
 
 
 @register("SELECT doc_id, CAST(len(list_distinct(list_filter(t, lambda x: x IN ('general', 'public', 'license')))) AS BIGINT) AS n_terms, CAST(len(list_filter(t, lambda x: x IN ('general', 'public', 'license'))) AS BIGINT) AS tf FROM tok WHERE list_has_any(t, ['general', 'public', 'license'])", NOTES, TOK)
 def fts_match_or(spark, d):
-    return search.match_terms(search.postings(notes_view(spark, d)), search.analyse(TEXT).terms, False)
+    return search.match_terms(index_of(spark, d), search.analyse(TEXT).terms, False)
 
 
 @register("SELECT doc_id FROM notes WHERE contains(lower(chunk_content), 'general public license') OR contains(lower(title), 'general public license')", NOTES)
@@ -414,7 +428,7 @@ def fts_scored(spark, d):
     n = notes_view(spark, d)
     q = search.analyse(TEXT)
     score, said = search.full_text_score(q, query_vector(spark, d))
-    return n.join(search.match_terms(search.postings(n), q.terms, False), "doc_id", "left_semi").select("doc_id", score.alias("score"), said.alias("description"))
+    return n.join(search.match_terms(index_of(spark, d), q.terms, False), "doc_id", "left_semi").select("doc_id", score.alias("score"), said.alias("description"))
 
 
 @register("SELECT doc_id FROM notes WHERE contains(lower(chunk_content), 'released') AND contains(lower(chunk_content), 'license')", NOTES)
@@ -448,28 +462,28 @@ RESULT = "SELECT doc_id, unique_key, title, creation_date, modification_date, CA
 
 @register(RESULT.format("ASC"), NOTES, TOK, KNN, SCORED, LEGS)
 def hybrid_search_asc(spark, d):
-    return search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0, "reference")
+    return search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0, "reference", index_of(spark, d))
 
 
 @register(RESULT.format("DESC"), NOTES, TOK, KNN, SCORED, LEGS)
 def hybrid_search_best(spark, d):
-    return search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0)
+    return search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0, index=index_of(spark, d))
 
 
 @register(f"SELECT r.* FROM ({RESULT.format('DESC')}) r WHERE title IN (SELECT title FROM allowed)", NOTES, EV, RANGE.replace("every_note", "notes"), TOK, KNN, SCORED, LEGS)
 def search_with_dates(spark, d):
     n = notes_view(spark, d)
-    return search.search_api(n, interactions.titles_in_range(n, stored(spark, d), LOW, HIGH), TEXT, query_vector(spark, d), "2024-01-30", LOW, HIGH, 20, 2.0)
+    return search.search_api(n, interactions.titles_in_range(n, stored(spark, d), LOW, HIGH), TEXT, query_vector(spark, d), "2024-01-30", LOW, HIGH, 20, 2.0, index=index_of(spark, d))
 
 
 @register("SELECT source, count(*) AS n FROM (" + RESULT.format("DESC") + ") GROUP BY 1", NOTES, TOK, KNN, SCORED, LEGS)
 def search_sources(spark, d):
-    return search.source_breakdown(search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0))
+    return search.source_breakdown(search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0, index=index_of(spark, d)))
 
 
 @register("SELECT count(*) AS total_chunks, count(DISTINCT title) AS unique_titles FROM (" + RESULT.format("DESC") + ")", NOTES, TOK, KNN, SCORED, LEGS)
 def search_statistics(spark, d):
-    return search.search_stats(search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0))
+    return search.search_stats(search.search(notes_view(spark, d), TEXT, query_vector(spark, d), 20, 2.0, index=index_of(spark, d)))
 
 
 @register("SELECT doc_id, unique_key, title, creation_date, modification_date, chunk_index, total_chunks, chunk_content, CAST(0.0 AS DOUBLE) AS score, 'date' AS source, row_number() OVER (ORDER BY doc_id) AS place FROM notes WHERE title IN (SELECT title FROM allowed) ORDER BY doc_id LIMIT 1000", NOTES, EV, RANGE.replace("every_note", "notes"))
@@ -485,7 +499,7 @@ def search_date_only(spark, d):
  UNION ALL SELECT title, doc_id, 90.0, 'word', 4 FROM scored WHERE regexp_matches(chunk_content, '(?i)(^|[^\\p{L}\\p{N}_])general public license($|[^\\p{L}\\p{N}_])'))
  QUALIFY row_number() OVER (PARTITION BY title ORDER BY leg, score DESC, doc_id) = 1""", NOTES, TOK, KNN, SCORED)
 def note_level_search(spark, d):
-    return search.search_notes(notes_view(spark, d), TEXT, query_vector(spark, d))
+    return search.search_notes(notes_view(spark, d), TEXT, query_vector(spark, d), index=index_of(spark, d))
 
 
 # ---- incremental indexing
@@ -634,10 +648,23 @@ def density_clusters(spark, d):
     return density.density_clusters(density.pca(notes_view(spark, d)))
 
 
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, the density cluster as display id, and the reduced vector."""
+    reduced = Scratch(spark, "reduced").write(density.pca(notes_view(spark, d)), "reduced")
+    found = density.density_clusters(reduced).select("doc_id", F.col("cluster").cast("string").alias("display_topic_id"))
+    return found.join(reduced, "doc_id")
+
+
+@register()
+def mega_split(spark, d):
+    return density.mega_split(clustered(spark, d))
+
+
 @register()
 def recursive_split(spark, d):
-    reduced = density.pca(notes_view(spark, d))
-    return density.recursive_split(reduced.withColumn("display_topic_id", F.lit("0")), large=100)
+    reduced = Scratch(spark, "reduced").write(density.pca(notes_view(spark, d)), "reduced")
+    split = density.mega_split(reduced.withColumn("display_topic_id", F.lit("0")))
+    return density.recursive_split(split.join(reduced, "doc_id"), large=100)
 
 
 @register()
@@ -735,13 +762,21 @@ def find_texts(spark, d):
     return models.find_texts(texts, notes_view(spark, d))
 
 
-@register("SELECT count(*) FILTER (base_topic_id = '-1') AS n_before, CAST(0 AS BIGINT) AS n_after, CASE WHEN count(*) FILTER (base_topic_id = '-1') > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS reduced_percent FROM outl", NOTES, OUT)
+OUT_NEAR = "reas AS (SELECT doc_id, s FROM (SELECT doc_id, topic, list_cosine_similarity(CAST(vector AS DOUBLE[]), c) AS s FROM outl, bc WHERE base_topic_id = '-1' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, topic DESC) = 1) WHERE s >= 0.1)"
+
+
+@register("SELECT b AS n_before, a AS n_after, CASE WHEN b > 0 THEN round(100.0 * (b - a) / b, 2) ELSE 0.0 END::DOUBLE AS reduced_percent FROM (SELECT count(*) FILTER (base_topic_id = '-1') AS b, count(*) FILTER (base_topic_id = '-1' AND doc_id NOT IN (SELECT doc_id FROM reas)) AS a FROM outl)", NOTES, OUT, BC, OUT_NEAR)
 def outlier_report(spark, d):
     before = outliers(spark, d)
-    return models.outlier_report(before, before.join(topics.reassign_by_vector(before, -1.0), "doc_id", "left").withColumn("base_topic_id", F.coalesce("new_topic", "base_topic_id")))
+    return models.outlier_report(before, before.join(topics.reassign_by_vector(before, 0.1), "doc_id", "left").withColumn("base_topic_id", F.coalesce("new_topic", "base_topic_id")))
 
 
-@register()
+CTD = CTF.replace("base_topic_id", "display_topic_id")
+GATHER = """words AS (SELECT topic, string_agg(term, ' & ' ORDER BY r) FILTER (r <= 5) AS label FROM (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 8) DESC, term) AS r FROM ct) GROUP BY 1),
+ once AS (SELECT display_topic_id AS topic, count(*) AS n FROM (SELECT DISTINCT display_topic_id, title, creation_date, modification_date, chunk_index FROM notes) GROUP BY 1)"""
+
+
+@register("SELECT f.cluster_id AS topic, f.label AS stored_label, f.chunk_count AS n_chunks, coalesce(w.label, concat('Topic ', f.cluster_id)) AS label, least(3, o.n) AS n_documents FROM facts f LEFT JOIN words w ON w.topic = f.cluster_id JOIN once o ON o.topic = f.cluster_id WHERE f.cluster_id <> '-1'", NOTES, FACTS, "picked AS (SELECT * FROM notes)", CTD, GATHER)
 def gathered_topics(spark, d):
     n = notes_view(spark, d).withColumn("confidence", F.col("chunk_index") % 7 / 7.0)
     found = models.label_topics(models.gather_topics(n, topics.class_tfidf(n, "display_topic_id")))

@@ -33,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of a few numbers that make a file.
+FILE_ROWS = 200_000
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 class Scratch:
     """The tables of one run, in a folder of their own.
 
@@ -46,7 +55,10 @@ class Scratch:
         self.paths: dict[str, None] = {}
         self.made = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about how many there are, so that a small table is not cut into as many files as a shuffle has partitions."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         path = f"{self.root}/{self.made}-{name}"
         self.made += 1
         self.paths[path] = None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notewright.sources.shared import Scratch
+
 #: Columns of a stored note chunk and what a missing one is filled with.
 NOTE_DEFAULTS = {
     "cluster_label": "Unclustered",
@@ -13,6 +15,8 @@ NOTE_DEFAULTS = {
     "meta_cluster_label": "Uncategorized",
 }
 EVENT = "array<struct<dt:string,type:string>>"
+#: Ids of a range, of which a task numbers the rows.
+RANGE = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,16 +54,24 @@ def unique_key() -> Column:
 
 
 def notes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and embeddings as note chunks: a note is a source in a language, its chunks are the documents."""
+    """Documents and embeddings as note chunks: a note is a source in a language, its chunks are the documents.
+
+    A note may have very many chunks: they are counted by ranges of ids, so that a task numbers one range of a note.
+    """
     d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
-    note = Window.partitionBy("source", "lang")
+    note, part = ["source", "lang"], F.floor(F.col("doc_id") / RANGE).alias("_range")
+    ranges = d.groupBy(*note, part).agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy(*note).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.select(*(F.col(c).alias(f"_{c}") for c in note), "_range", (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*note)).alias("_all"))
+    d = d.withColumn("_place", F.row_number().over(Window.partitionBy(*note, part).orderBy("doc_id")))
+    d = d.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (part == F.col("_range")))
     day = (F.substring("source", 4, 9).cast("int") + F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 7).when(F.col("lang") == "de", 14).otherwise(21)) % 28
     date = lambda plus: F.concat(F.lit("2024-01-"), F.lpad((day + plus).cast("string"), 2, "0"))
     label = F.col("label")
     base = F.when(label.isNull(), "-1").otherwise((label % 5).cast("string"))
     display = F.when(label.isNull(), "-1").when(label >= 5, F.concat_ws(".", (label % 5).cast("string"), label.cast("string"))).otherwise(label.cast("string"))
     meta = F.when(label.isNull(), "-1").otherwise((label % 3).cast("string"))
-    out = d.withColumn("chunk_index", (F.row_number().over(note.orderBy("doc_id")) - 1).cast("int")).withColumn("total_chunks", F.count(F.lit(1)).over(note).cast("int"))
+    out = d.withColumn("chunk_index", (F.col("_before") + F.col("_place") - 1).cast("int")).withColumn("total_chunks", F.col("_all").cast("int"))
     out = out.join(e, e["vec_id"] == d["doc_id"], "left").select(
         "doc_id", F.col("source").alias("title"), "lang", F.col("text").alias("chunk_content"), "chunk_index", "total_chunks",
         date(1).alias("creation_date"), date(3).alias("modification_date"), F.col("embedding").alias("vector"),
@@ -88,10 +100,32 @@ def interactions_table(events: DataFrame) -> DataFrame:
     return events.groupBy("title").agg(F.max("dt").alias("last_opened"), F.to_json(F.array_sort(F.collect_list(F.struct("dt", "type")))).alias("interaction_log"))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The JSON cache of note metadata: one row per note; None if it is missing or unreadable."""
+def source_batches(listing: DataFrame, order: list[str], size: int = 50, most: int | None = None) -> DataFrame:
+    """A listing in windows of `size`, as a source is asked for them: its rows in order with place (from 0) and batch; at most `most` of them.
+
+    Rows are dealt by ranges and written; a range is numbered by itself, from where the ones before it end.
+    """
+    spark = listing.sparkSession
+    scratch = Scratch(spark, "batches")
+    dealt = scratch.write(listing.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    each = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    each = each.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    out = dealt.join(F.broadcast(each), "_part").withColumn("place", place).drop("_part", "_before")
+    out = out if most is None else out.where(F.col("place") < most)
+    return out.withColumn("batch", F.floor(F.col("place") / size))
+
+
+def save_cache(notes: DataFrame, path: str, last_sync: str) -> None:
+    """The cache of note metadata, a line for each note."""
+    note = F.struct("title", "creation_date", "modification_date")
+    notes.select(F.lit(last_sync).alias("last_sync"), F.array(note).alias("notes")).write.mode("overwrite").json(path)
+
+
+def read_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame | None:
+    """The JSON cache of note metadata, one object or (lines) one a line: one row per note; None if it is missing or unreadable."""
     try:
-        raw = spark.read.option("multiLine", True).schema("last_sync string, notes array<struct<title:string,creation_date:string,modification_date:string>>").json(path)
+        raw = spark.read.option("multiLine", not lines).schema("last_sync string, notes array<struct<title:string,creation_date:string,modification_date:string>>").json(path)
         out = raw.select("last_sync", F.explode("notes").alias("n")).select("n.title", "n.creation_date", "n.modification_date", "last_sync")
         out.isEmpty()
         return out
