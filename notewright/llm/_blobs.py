@@ -17,7 +17,7 @@ _ARROW = ["p", "blob"]
 MOST_BUCKETS = 1 << 20
 
 
-def buckets(n_rows: int, least: int = 2048, each: int = 250) -> int:
+def buckets(n_rows: int, each: int, least: int = 128) -> int:
     """A power of two that grows with the number of documents: a bucket is merged at once, one after another in a task."""
     out = least
     while out < n_rows // each and out < MOST_BUCKETS:
@@ -25,9 +25,9 @@ def buckets(n_rows: int, least: int = 2048, each: int = 250) -> int:
     return out
 
 
-def dealt(sent: DataFrame) -> DataFrame:
-    """(p, blob) rows dealt by bucket; a task's buckets come one after another, so that it holds one at a time."""
-    return sent.repartition("p").sortWithinPartitions("p")
+def dealt(sent: DataFrame, n: int) -> DataFrame:
+    """(p, blob) rows of n buckets: a few buckets for a task, one after another, so that it holds one at a time, and tasks are as large whatever the number of rows."""
+    return sent.repartition(max(1, n // 4), "p").sortWithinPartitions("p")
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:

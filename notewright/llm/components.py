@@ -25,23 +25,26 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     Each round points every node at the smallest of its neighbourhood, first for its larger neighbours, then for its
     smaller ones.  It ends when only stars are left, which is looked up on the edges themselves; that takes about log(n)
-    rounds.  Each round's tables are written and the ones before deleted.  The joins are of two written tables, so
-    that Spark can split the many edges of a large star's root over tasks.  Null ends are ignored, repetitions and loops
-    do no harm; an id with loops only is its own component; no links give no rows.
+    rounds.  A round's edges are written and the ones before deleted.  The edges of a large star's root meet its smallest
+    neighbour in a join of two written tables, so that Spark can broadcast the smaller or split the edges over tasks.
+    Null ends are ignored, repetitions and loops do no harm; an id with loops only is its own component; no links give
+    no rows.
     """
     scratch = scratch or Scratch(links.sparkSession, "components")
     edges = scratch.write(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    loops = scratch.write(edges.where("u = v"), "loops")
-    while _unfinished(edges.where("u != v")):
-        both = edges.where("u != v").select("u", "v").union(edges.where("u != v").select(F.col("v"), F.col("u")))
-        low = scratch.write(_lowest(both), "low")
-        large = scratch.write(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = scratch.write(_lowest(large), "least")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = scratch.write(small.where("u != v").distinct(), "edges")
-        scratch.drop(edges, low, large, least)
-        edges = after
+    alone = edges.where("u = v").select(F.col("u").alias("id"))
     edges = edges.where("u != v")
+    written = None
+    while (n := edges.count()) and _unfinished(edges):
+        both = edges.select("u", "v").union(edges.select("v", "u").toDF("u", "v"))
+        low = scratch.write(_lowest(both), "low", 2 * n)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _lowest(large)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = scratch.write(small.where("u != v").distinct(), "edges", 2 * n)
+        scratch.drop(low, *([written] if written else []))
+        written = edges
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
-    alone = loops.select(F.col("u").alias("id"), F.col("v").alias("comp")).join(ends, "id", "left_anti")
-    return ends.union(alone)
+    if alone.isEmpty():
+        return ends
+    return ends.union(alone.select("id", F.col("id").alias("comp")).join(ends.select("id"), "id", "left_anti"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
 from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_hashes, span_hashes, texts, words
-from notewright.llm._shared import Scratch, join_keys, lean, tidy
+from notewright.llm._shared import Scratch, bit_filter, in_filter, join_keys, lean, tidy
 from notewright.llm.components import components
 
 #: A key of more sets than this is dear.
@@ -44,8 +44,6 @@ BLOCK = 2048
 STARS = 1
 #: Words of bitmaps compared at once.
 TILE = 1 << 21
-#: The filter of chosen rows has at most two to this many bits.
-BLOOM_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -202,7 +200,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     A task sends at most CHEAP + 1 sets of a key to its bucket; if it has more, the key is dear, and the sets go on
     as rows at once.
     """
-    n = _blobs.buckets(docs.count(), 512, 500)
+    n = _blobs.buckets(docs.count(), 500)
     held_keys = max(HELD, 8 * n)  # so that a bucket gets some keys at once
     shift = U64(64 - (n.bit_length() - 1))
 
@@ -285,7 +283,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
             yield from as_rows(both[:, 0].copy(), both[:, 1].copy(), None, None, None, None)
 
-    return _blobs.dealt(docs.select("_text").mapInArrow(emit, _blobs.SCHEMA)).mapInArrow(merge, _MEETING)
+    return _blobs.dealt(docs.select("_text").mapInArrow(emit, _blobs.SCHEMA), n).mapInArrow(merge, _MEETING)
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -362,21 +360,9 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _bloom(ids: DataFrame, count: int) -> np.ndarray | None:
-    """Bits of the ids' hashes, at most 8 MB; None for so many ids that most bits would be set."""
-    bits = 1 << min(BLOOM_BITS, max(16, (16 * count).bit_length()))
-    if 4 * count > bits:
-        return None
-    place = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = ids.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("x")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("x").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(cls, tokens) of the chosen classes, each from its row h.  docs: _h, _text.  Rows that can't be chosen are left out by their bits, or by a join where there are too many chosen ones for that."""
-    bits = _bloom(chosen.select("h"), chosen.count())
+    bits = bit_filter(chosen, "h")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     some = docs.select("_h", "_text") if bits is not None else docs.select("_h", "_text").join(chosen.select(F.col("h").alias("_h")), "_h", "left_semi")
 
@@ -384,8 +370,7 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, k: int, scratch: Scratch
         have = shared.value
         for batch in batches:
             if have is not None:
-                h = batch.column("_h").to_numpy().view(U64)
-                batch = batch.filter(pa.array(have[(h & U64(len(have) - 1)).astype(np.int64)]))
+                batch = batch.filter(pa.array(in_filter(have, batch.column("_h").to_numpy())))
             for t in texts(batch.column("_text")):
                 s = shingle_sets(t, k)
                 own = [s.tokens[i:j].tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)]

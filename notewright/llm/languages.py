@@ -23,8 +23,8 @@ GRAM = 4  # bytes
 #: n-grams in a unit, whose language is one.
 UNIT = 16
 BUCKETS = 1 << 16
-#: Largest table of the model, in cells: with many languages the n-grams share fewer buckets.
-CELLS = 1 << 24
+#: The model has BUCKETS numbers of four bytes a language and is broadcast, so more languages than these are refused.
+MOST_LANGUAGES = 2000
 #: Overlapping n-grams repeat their evidence; their log likelihoods count by this.
 TEMPER = 1.0 / GRAM
 _FOLD = LOWER.copy()
@@ -53,12 +53,15 @@ class Model:
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS, smooth: float = 0.5) -> Model:
-    """From all rows with a lang.  Counts are summed within each task, then by key; the result has at most CELLS cells."""
+    """From all rows with a lang.  Counts are summed within each task, then by key; a language's counts don't depend on the others.
+
+    No row with a lang: a model without languages.  Null and empty texts teach nothing, but their lang is learnt.
+    """
     lean(docs.sparkSession)
     labelled = docs.where("lang is not null")
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    while buckets > 256 and buckets * max(1, len(langs)) > CELLS:
-        buckets //= 2
+    langs = sorted(r[0] for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} values of lang: a model has {buckets * 4} bytes for each of them and is broadcast")
     place = {k: i for i, k in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def mixture(unit: np.ndarray, first: np.ndarray, sets: np.ndarray, rounds: int =
     return theta, np.add.reduceat(like, first[:-1])
 
 
-def infer(t: Texts, model: Model, penalty: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def infer(t: Texts, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of each row's chosen languages (rows x languages, all 0 without n-grams), rows without gaps only."""
     rows, k = len(t.offsets) - 1, len(model.langs)
     out = np.zeros((rows, k), np.float32)
@@ -131,25 +134,32 @@ def infer(t: Texts, model: Model, penalty: float, most: int) -> tuple[np.ndarray
         order = np.argsort(-full, axis=1, kind="stable")
         cost = penalty * np.log(per[left] + 1.0)
         score, chosen = like[left].astype(float), theta[left]
-        for size in range(2, min(most, k) + 1):
-            sets = np.zeros((len(left), k), bool)
-            np.put_along_axis(sets, order[:, :size], True, axis=1)
-            th, ll = mixture(u, f, sets)
-            better = ll - (size - 1) * cost > score
-            score[better] = (ll - (size - 1) * cost)[better]
-            chosen[better] = th[better]
+        rising = np.arange(len(left))  # rows whose penalised likelihood rose with the last language
+        for size in range(2, k + 1):
+            own = np.isin(np.repeat(np.arange(len(left)), per[left]), rising)
+            sets = np.zeros((len(rising), k), bool)
+            np.put_along_axis(sets, order[rising, :size], True, axis=1)
+            th, ll = mixture(u[own], np.concatenate([[0], np.cumsum(per[left][rising])]), sets)
+            now = ll - (size - 1) * cost[rising]
+            better = now > score[rising]
+            rising, th, now = rising[better], th[better], now[better]
+            if not len(rising):
+                break
+            score[rising], chosen[rising] = now, th
         theta[left] = chosen
     out[some] = theta
     return out, some
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 2.0, most: int = 4, doc_id: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 2.0, doc_id: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (the proportion of lang_pred, 0 to 1), langs (the chosen set with proportions), then keep.
 
+    The set grows by the next likeliest language as long as the penalised likelihood rises, up to all of them.
     lang_pred: the language with the largest proportion, ties by code point.  Only text is looked at.  The model is of
-    bounded size and broadcast; texts are not shuffled.
+    bounded size and broadcast; texts are not shuffled.  A text is held as a number for each 16 bytes and language.
 
-    Null text or text without a letter: und, score 0, no langs.  A model without languages: und for all.
+    Null text or text without a letter: und, score 0, no langs.  A model without languages: und for all.  Repeated rows
+    are answered each, other columns are left out unless kept.
     """
     lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -161,7 +171,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0, most: int = 4,
         m = shared.value
         for batch in batches:
             for t in texts(batch.column("text")):
-                theta, _ = infer(t, m, penalty, most)
+                theta, _ = infer(t, m, penalty)
                 part = batch.slice(t.lo, t.hi - t.lo)
                 has = part.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & (len(m.langs) > 0)
                 best = theta.argmax(1) if len(m.langs) else np.zeros(len(has), np.int64)

@@ -78,7 +78,7 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarra
 def _select(keys: tuple, docs: pd.DataFrame, quota: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Within a shard: documents in hash order lie end to end on a line of tokens, cut into blocks of equal size."""
     source, shard = keys
-    docs = docs.sort_values(["_order", "_id", "size"], kind="stable")
+    docs = docs.sort_values(["_nw_order", "_nw_id", "size"], kind="stable")
     size = docs["size"].to_numpy(np.int64)
     end = np.cumsum(size)
     total = int(end[-1]) if len(end) else 0
@@ -97,7 +97,7 @@ def _select(keys: tuple, docs: pd.DataFrame, quota: pd.DataFrame, seed: int) ->
             return before[k] + times[k] * (at - edges[k])
 
         taken = until(end) - until(end - size)
-    return docs.drop(columns=["_order", "_id", "_source", "_shard"]).assign(taken=taken)
+    return docs.drop(columns=["_nw_order", "_nw_id", "_nw_source", "_nw_shard"]).assign(taken=taken)
 
 
 def _apportion(part: pd.DataFrame, by: str) -> pd.DataFrame:
@@ -129,7 +129,7 @@ def mix_sources(
 
     Null text: size 0, takes 0.  Null source: a source of its own, last.  Null or repeated doc_id: each row counts by
     itself, and is dealt to a shard by its text too.  Empty table, or no source with a weight above 0: nothing is taken.
-    Other columns are kept out; names that clash with the results do no harm.  One row per source reaches the driver, as
+    Other columns are left out unless kept, whose names must not be those of results.  One row per source reaches the driver, as
     each needs a weight.
     """
     spark = docs.sparkSession
@@ -138,40 +138,40 @@ def mix_sources(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         (size_in_words(F.col("text")) if size is None else size).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col("text")).alias("_order"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col("text")).alias("_nw_order"),
         *keep,
     )
-    sized = scratch.write(sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")
-    per = sized.groupBy("_source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
-    per.sort(key=lambda r: (r["_source"] == "n", r["_source"]))
+    sized = scratch.write(sized.withColumn("_nw_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")
+    per = sized.groupBy("_nw_source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
+    per.sort(key=lambda r: (r["_nw_source"] == "n", r["_nw_source"]))
     size_of = [int(r["tokens"]) for r in per]
-    weights = weigh([None if r["_source"] == "n" else r["_source"][1:] for r in per]) if per else []
+    weights = weigh([None if r["_nw_source"] == "n" else r["_nw_source"][1:] for r in per]) if per else []
     goal = targets(size_of, weights, most)
     block = max(1, min(max_block, sum(size_of) // max(1, len(per) * blocks_per_source)))
     stats = spark.createDataFrame(
-        [(r["_source"], -(-int(r["docs"]) // shard_docs), s, g) for r, s, g in zip(per, size_of, goal, strict=True)],
-        "_source string, _shards long, source_size long, target double",
+        [(r["_nw_source"], -(-int(r["docs"]) // shard_docs), s, g) for r, s, g in zip(per, size_of, goal, strict=True)],
+        "_nw_source string, _nw_shards long, source_size long, target double",
     )
     stats = F.broadcast(stats) if len(per) <= BROADCAST_SOURCES else stats
     # high bits of the order choose the shard's place, so take another hash for the shard
-    sharded = sized.join(stats, "_source").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), "_shards"))
-    shards = sharded.groupBy("_source", "_shard").agg(F.sum("size").alias("tokens"))
+    sharded = sized.join(stats, "_nw_source").withColumn("_nw_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_nw_order"), "_nw_shards"))
+    shards = sharded.groupBy("_nw_source", "_nw_shard").agg(F.sum("size").alias("tokens"))
     shards = shards.withColumn("blocks", F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.round(F.col("tokens") / block))).otherwise(0).cast("long"))
-    shards = scratch.write(shards.withColumn("most", F.floor(most * F.col("blocks") + 1e-9)).withColumn("_group", F.floor(F.col("_shard") / GROUP)), "shards")
-    groups = scratch.write(shards.groupBy("_source", "_group").agg(F.sum("blocks").alias("blocks"), F.sum("most").alias("most")), "groups")
-    of = {r["_source"]: (int(r["n"]), int(r["m"])) for r in groups.groupBy("_source").agg(F.sum("blocks").alias("n"), F.sum("most").alias("m")).collect()}
-    n, cap = (np.array([of.get(r["_source"], (0, 0))[k] for r in per], np.int64) for k in (0, 1))
+    shards = scratch.write(shards.withColumn("most", F.floor(most * F.col("blocks") + 1e-9)).withColumn("_nw_group", F.floor(F.col("_nw_shard") / GROUP)), "shards")
+    groups = scratch.write(shards.groupBy("_nw_source", "_nw_group").agg(F.sum("blocks").alias("blocks"), F.sum("most").alias("most")), "groups")
+    of = {r["_nw_source"]: (int(r["n"]), int(r["m"])) for r in groups.groupBy("_nw_source").agg(F.sum("blocks").alias("n"), F.sum("most").alias("m")).collect()}
+    n, cap = (np.array([of.get(r["_nw_source"], (0, 0))[k] for r in per], np.int64) for k in (0, 1))
     wanted = np.array([g / s if s else 0.0 for g, s in zip(goal, size_of, strict=True)]) * n
     seats = sainte_lague(wanted, round(float(wanted.sum())), cap)
-    quotas = spark.createDataFrame([(r["_source"], int(q)) for r, q in zip(per, seats, strict=True)], "_source string, quota long")
-    by_group = groups.join(F.broadcast(quotas) if len(per) <= BROADCAST_SOURCES else quotas, "_source")
-    by_group = by_group.groupBy("_source").applyInPandas(lambda part: _apportion(part, "_group"), "_source string, _group long, blocks long, most long, quota long").select("_source", "_group", "quota")
-    quotas = shards.select("_source", "_group", "_shard", "blocks", "most").join(by_group, ["_source", "_group"]).groupBy("_source", "_group")
-    quotas = quotas.applyInPandas(lambda part: _apportion(part, "_shard"), "_source string, _group long, _shard long, blocks long, most long, quota long")
-    out = sharded.select("doc_id", "source", "size", "source_size", "target", *keep, "_order", F.col("doc_id").alias("_id"), "_source", "_shard")
+    quotas = spark.createDataFrame([(r["_nw_source"], int(q)) for r, q in zip(per, seats, strict=True)], "_nw_source string, quota long")
+    by_group = groups.join(F.broadcast(quotas) if len(per) <= BROADCAST_SOURCES else quotas, "_nw_source")
+    by_group = by_group.groupBy("_nw_source").applyInPandas(lambda part: _apportion(part, "_nw_group"), "_nw_source string, _nw_group long, blocks long, most long, quota long").select("_nw_source", "_nw_group", "quota")
+    quotas = shards.select("_nw_source", "_nw_group", "_nw_shard", "blocks", "most").join(by_group, ["_nw_source", "_nw_group"]).groupBy("_nw_source", "_nw_group")
+    quotas = quotas.applyInPandas(lambda part: _apportion(part, "_nw_shard"), "_nw_source string, _nw_group long, _nw_shard long, blocks long, most long, quota long")
+    out = sharded.select("doc_id", "source", "size", "source_size", "target", *keep, "_nw_order", F.col("doc_id").alias("_nw_id"), "_nw_source", "_nw_shard")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select("doc_id", "source", "size", "source_size", "target", *keep).schema)
     return (
-        out.groupBy("_source", "_shard")
-        .cogroup(quotas.select("_source", "_shard", "blocks", "quota").groupBy("_source", "_shard"))
+        out.groupBy("_nw_source", "_nw_shard")
+        .cogroup(quotas.select("_nw_source", "_nw_shard", "blocks", "quota").groupBy("_nw_source", "_nw_shard"))
         .applyInPandas(lambda keys, a, b: _select(keys, a, b, seed), f"{kinds}, taken long")
     )

@@ -42,4 +42,57 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": CHAT, "op7_decontaminate": DECONTAMINATE, "op9_jaccard_join": NEAR}
+
+_SPACE = r"[\x20\x09-\x0D]"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _count(pattern: str) -> str:
+    return f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+
+
+#: Character classes in order; punctuation without the symbols, which come before it, and all else are counted below.
+_KINDS = (_SPACE, "[#*$%&|<>]", r"\p{Ll}", r"\p{Lu}", r"[\p{Lt}\p{Lm}\p{Lo}]", r"\p{M}", r"\p{N}")
+_TERM = "CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END"
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+ tri AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) AS c FROM d, unnest(range(1, len(w) - 1)) AS u(p)),
+ rep AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM tri, unnest([0, 1, 2]) AS v(o) WHERE c > 1 GROUP BY 1),
+ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+ base AS (SELECT doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, length(text) AS size, [{', '.join(_count(k) for k in _KINDS)}] AS c, {_count(r'[\p{P}]')} - ({_count('[#*%&]')}) AS punctuation,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+ full_ AS (SELECT * EXCLUDE (c), list_concat(c, [punctuation, size - punctuation - list_sum(c)]) AS c, c[2] AS n_symbols, size - c[1] AS word_chars FROM base),
+ good AS (SELECT CASE WHEN pool OR lang IS NULL THEN 'all' ELSE 'l:' || lang END AS k, w, c FROM full_, unnest([true, false]) AS x(pool) WHERE NOT base_failed AND (pool OR lang IS NOT NULL)),
+ cw AS (SELECT k, word, count(*) AS n FROM (SELECT k, unnest(list_transform(w, lambda x: translate(x, '{UPPER}', '{LOWER}'))) AS word FROM good) GROUP BY 1, 2),
+ tot AS (SELECT k, sum(n) AS t FROM cw GROUP BY 1),
+ top AS (SELECT k, word, n, row_number() OVER (PARTITION BY k ORDER BY n DESC, word) AS r FROM cw QUALIFY r <= 64),
+ slots AS (SELECT k, r, n / t AS q FROM top JOIN tot USING (k) UNION ALL SELECT k, 0, (t - sum(n)) / t FROM top JOIN tot USING (k) GROUP BY k, t),
+ cc AS (SELECT k, i, sum(c[i]) AS n FROM good, unnest(range(1, 10)) AS u(i) GROUP BY 1, 2),
+ cs AS (SELECT k, i, n / sum(n) OVER (PARTITION BY k) AS q FROM cc),
+ doc AS (SELECT f.*, coalesce(t.k, 'all') AS k FROM full_ f LEFT JOIN tot t ON t.k = 'l:' || f.lang),
+ hist AS (SELECT doc_id, coalesce(r, 0) AS r, count(*) AS n FROM (SELECT doc_id, k, unnest(list_transform(w, lambda x: translate(x, '{UPPER}', '{LOWER}'))) AS word FROM doc) LEFT JOIN top USING (k, word) GROUP BY 1, 2),
+ wd AS (SELECT doc_id, sqrt(greatest(0, least(1, sum({_TERM}) / 2))) AS v FROM (SELECT doc_id, q, coalesce(hist.n, 0) / n_words AS p FROM doc JOIN slots USING (k) LEFT JOIN hist USING (doc_id, r) WHERE n_words > 0) GROUP BY 1),
+ cd AS (SELECT doc_id, sqrt(greatest(0, least(1, sum({_TERM}) / 2))) AS v FROM (SELECT doc_id, q, c[i] / size AS p FROM doc JOIN cs USING (k) WHERE size > 0) GROUP BY 1)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+ NOT base_failed AND coalesce(cd.v, 1) <= 0.2 AND coalesce(wd.v, 1) <= 0.5 AS kept, round(coalesce(cd.v, 1), 6) AS class_distance, round(coalesce(wd.v, 1), 6) AS word_distance
+FROM doc LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)
+"""
+
+#: For texts without wide stops and scripts without blanks, as those of the test tables are.
+SUBSTRING = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract(coalesce(text, ''), '^{_SPACE}*') AS head,
+  regexp_extract_all(coalesce(text, ''), '[.!?]{_SPACE}+|[^\x20\x09-\x0D](?s:.)*?(?:[.!?]{_SPACE}+|{_SPACE}*\n{_SPACE}*|{_SPACE}*$)') AS s FROM documents),
+ s AS (SELECT doc_id, i, s[i] AS raw, regexp_extract_all(translate(s[i], '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM d, unnest(range(1, len(s) + 1)) AS u(i)),
+ c AS (SELECT doc_id, i, raw, array_to_string(w, ' ') AS t, len(w) AS n, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e, max(i) OVER (PARTITION BY doc_id) AS m FROM s),
+ f AS (SELECT a.doc_id, a.i AS a, greatest(b.i, a.i + 1) AS b FROM (SELECT *, e - n + 20 AS least_ FROM c) a ASOF JOIN c b ON a.doc_id = b.doc_id AND b.e >= a.least_ WHERE greatest(b.i, a.i + 1) <= a.m),
+ g AS (SELECT b.doc_id, least(a.i, b.i - 1) AS a, b.i AS b FROM (SELECT *, e - 20 AS most FROM c) b ASOF JOIN (SELECT *, e - n AS begin_ FROM c) a ON a.doc_id = b.doc_id AND a.begin_ <= b.most WHERE least(a.i, b.i - 1) >= 1),
+ r AS (SELECT * FROM f UNION SELECT * FROM g UNION SELECT doc_id, i, i FROM c WHERE n >= 40),
+ l AS (SELECT doc_id, list(t ORDER BY i) AS t FROM c GROUP BY 1),
+ k AS (SELECT r.*, array_to_string(l.t[a:b], ' ') AS key FROM r JOIN l USING (doc_id)),
+ z AS (SELECT doc_id, a, b FROM (SELECT *, first_value(doc_id) OVER w AS d0, first_value(a) OVER w AS a0 FROM k WINDOW w AS (PARTITION BY key ORDER BY doc_id, a, b)) WHERE doc_id <> d0 OR a <> a0),
+ gone AS (SELECT DISTINCT doc_id, i FROM z, unnest(range(a, b + 1)) AS u(i)),
+ o AS (SELECT c.doc_id, count(*) AS n, count(gone.i) AS x, string_agg(raw, '' ORDER BY c.i) FILTER (gone.i IS NULL) AS stay FROM c LEFT JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CASE WHEN coalesce(x, 0) = 0 THEN text WHEN stay IS NULL THEN '' ELSE head || stay END AS text, coalesce(n, 0) AS n_sentences, coalesce(x, 0) AS n_removed, coalesce(x, 0) > 0 AS cut FROM d LEFT JOIN o USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": CHAT, "op7_decontaminate": DECONTAMINATE, "op8_substring_dedup": SUBSTRING, "op9_jaccard_join": NEAR, "op10_quality_rules": QUALITY}

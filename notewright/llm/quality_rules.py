@@ -6,54 +6,63 @@ and one of its common words.  A document is measured against both by Jensen-Shan
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, run_hashes, span_hashes, sums, table, texts, windows, words
-from notewright.llm._shared import lean
+from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_hashes, span_hashes, sums, texts, windows, words
+from notewright.llm._shared import Scratch, join_keys, lean
 
-#: Words are counted in so many bins by hash; the heaviest bins of a language stand for its common words.
-BINS = 1 << 14
+#: The most frequent words of a language, of equally frequent ones the first by code point; all others are one bin.
 COMMON = 64
-#: Character classes: white space, lower case, upper case, digits, symbols, other ASCII, then the first bytes of
-#: longer characters: Latin supplement, the rest of two bytes, three and four bytes.
-CLASSES = 10
-#: Languages with a reference of their own; rarer ones share the reference of all documents.
-LANGUAGES = 1000
-_SYMBOL = table("#*$%&|<>")
-_CLASS = np.full(256, 5, np.int8)
-_CLASS[[9, 10, 11, 12, 13, 32]] = 0
-_CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = 1, 2, 3
-_CLASS[np.flatnonzero(_SYMBOL)] = 4
-_CLASS[0xC2:0xC4], _CLASS[0xC4:0xE0], _CLASS[0xE0:0xF0], _CLASS[0xF0:] = 6, 7, 8, 9
-_CLASS[0x80:0xC0] = -1  # a later byte of a character
-_ALL = "\x00all"
-#: Documents without lang: counted only in the reference of all.
-_NONE = "\x00none"
+#: Character classes, the first that a character is in: ASCII white space, symbols that the base rules count, then by
+#: Unicode's general category small letters, capitals, other letters, marks, numbers, punctuation, and all else.
+CLASSES = 9
+SYMBOLS = "#*$%&|<>"
+#: Counts of so many words are held by a task before they are sent.
+HELD = 400_000
+#: References of so many languages (about 2 kB each) are broadcast; of more they are joined.  The result is the same.
+BROADCAST_LANGUAGES = 4096
+
+
+@functools.cache
+def class_table() -> np.ndarray:
+    """The class of each code point."""
+    major = {"L": 4, "M": 5, "N": 6, "P": 7}
+    kinds = [unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)]
+    out = np.array([2 if k == "Ll" else 3 if k == "Lu" else major.get(k[0], 8) for k in kinds], np.int8)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[[ord(c) for c in SYMBOLS]] = 1
+    return out
 
 
 @dataclass
 class Counts:
     base: pd.DataFrame
     classes: np.ndarray  # of each row
-    word_bins: np.ndarray  # of each word
-    word_rows: np.ndarray
+    begin: np.ndarray  # of each word in the lower-cased bytes
+    end: np.ndarray
+    row: np.ndarray
+    hash: np.ndarray
+    low: np.ndarray  # the bytes
 
 
 def counts(t: Texts, min_words: int, repeat: int) -> Counts:
     rows = len(t.offsets) - 1
     w = words(t, SPACED)
     n = w.counts
-    kinds = _CLASS[t.data]
-    row_of = np.repeat(np.arange(rows), np.diff(t.offsets))
-    real = kinds >= 0
-    classes = np.bincount(row_of[real] * CLASSES + kinds[real], minlength=rows * CLASSES).reshape(rows, CLASSES)
+    points = np.frombuffer(t.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    first = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])[t.offsets]
+    row_of = np.repeat(np.arange(rows), np.diff(first))
+    classes = np.bincount(row_of * CLASSES + class_table()[points], minlength=rows * CLASSES).reshape(rows, CLASSES)
     salt = mix(np.arange(rows, dtype=U64))
 
     newline = np.flatnonzero(t.data == 10)
@@ -75,66 +84,89 @@ def counts(t: Texts, min_words: int, repeat: int) -> Counts:
     repeated = sums(np.cumsum(cover)[:-1] > 0, w.first)
 
     low = LOWER[t.data]
-    bins = (span_hashes(low, w.starts, w.ends) >> U64(64 - 14)).astype(np.int64)
-    base = pd.DataFrame({"n_words": n, "word_chars": classes[:, 1:].sum(1), "n_symbols": classes[:, 4], "n_dup_lines": dup_lines, "n_repeat_words": repeated})
+    base = pd.DataFrame({"n_words": n, "word_chars": classes[:, 1:].sum(1), "n_symbols": classes[:, 1], "n_dup_lines": dup_lines, "n_repeat_words": repeated})
     base["base_failed"] = (base.n_words < min_words) | (100 * base.n_repeat_words > repeat * base.n_words)
-    return Counts(base, classes, bins, w.doc)
+    return Counts(base, classes, w.starts, w.ends, w.doc, span_hashes(low, w.starts, w.ends), low)
 
 
-def references(docs: DataFrame, min_words: int = 50, repeat: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: class histogram, the bins of its common words, their histogram with the rest last.
+def references(docs: DataFrame, scratch: Scratch, min_words: int = 50, repeat: int = 50) -> DataFrame:
+    """(lang, classes, common, share): class histogram, common words with the most frequent first, and their histogram with all other words last.
 
-    The reference of all documents counts those of null lang too, which have none of their own.
-    At most LANGUAGES + 2 entries of fixed size reach the driver.
+    Counted over all documents that pass the base rules.  The row of null lang is the reference of all documents,
+    those of null lang among them, which have none of their own.  A task sends a row for each word and language that
+    it has, and Spark keeps only the heaviest words of a task before it ranks them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def out() -> pa.RecordBatch:
-            lang, slot, n = [], [], []
-            for k, v in held.items():
-                at = np.flatnonzero(v)
-                lang += [k] * len(at)
-                slot.append(at)
-                n.append(v[at])
+        held: dict[tuple[str | None, bytes], int] = {}
+        kinds: dict[str | None, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for part in [list(held.items())[i : i + 50_000] for i in range(0, len(held), 50_000)]:
+                lang, word = zip(*(k for k, _ in part), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()).cast(pa.string()), pa.nulls(len(part), pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["lang", "word", "class", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(slot), pa.int32()), pa.array(np.concatenate(n), pa.int64())], names=["lang", "slot", "n"])
 
         for batch in batches:
-            langs = batch.column("lang")
+            langs = batch.column("lang").to_pylist()
             for t in texts(batch.column("text")):
                 c = counts(t, min_words, repeat)
-                code, names = pd.factorize(langs.slice(t.lo, t.hi - t.lo).to_pandas().fillna(_NONE))
-                code = np.where(c.base.base_failed.to_numpy(), -1, code)
+                good = ~c.base.base_failed.to_numpy()
+                code, names = pd.factorize(np.array(langs[t.lo : t.hi], object), use_na_sentinel=False)
+                names = [None if isinstance(k, float) else k for k in names]
                 for k, name in enumerate(names):
-                    mine = held.setdefault(name, np.zeros(BINS + CLASSES, np.int64))
-                    mine[:BINS] += np.bincount(c.word_bins[code[c.word_rows] == k], minlength=BINS)
-                    mine[BINS:] += c.classes[code == k].sum(0)
-            if len(held) > 256:
-                yield out()
-        if held:
-            yield out()
-
-    each = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    each = each.union(each.groupBy("slot").agg(F.sum("n").alias("n")).select(F.lit(_ALL), "slot", "n"))
-    is_word = F.col("slot") < BINS
-    best = each.groupBy("lang").agg(
-        F.slice(F.sort_array(F.collect_list(F.when(is_word, F.struct(F.col("n"), -F.col("slot")))), False), 1, COMMON).alias("common"),
-        F.sum(F.when(is_word, F.col("n"))).alias("total"),
-        F.collect_list(F.when(~is_word, F.struct(F.col("slot") - BINS, F.col("n")))).alias("classes"),
-    )
-    out = {}
-    # _NONE goes only here: a filter before would keep the two sides of the union from sharing one pass over the texts
-    rows = best.orderBy((F.col("lang") != _ALL), (F.col("lang") != _NONE), F.desc("total"), "lang").limit(LANGUAGES + 2).collect()
-    for r in [r for r in rows if r["lang"] != _NONE][: LANGUAGES + 1]:
-        classes = np.zeros(CLASSES)
-        for slot, n in r["classes"]:
-            classes[slot] = n
-        common = np.array([-s for _, s in r["common"]], np.int64)
-        share = np.array([n for n, _ in r["common"]] + [0.0] * (COMMON - len(common)) + [(r["total"] or 0) - sum(n for n, _ in r["common"])], float)
-        out[r["lang"]] = (classes / max(1, classes.sum()), common, share / max(1, share.sum()))
-    return out
+                    kinds[name] = kinds.get(name, 0) + c.classes[good & (code == k)].sum(0)
+                mine = np.flatnonzero(good[c.row])
+                own = code[c.row[mine]]
+                _, at, n = np.unique(c.hash[mine] ^ mix(own.astype(U64)), return_index=True, return_counts=True)
+                low = c.low.tobytes()
+                for k, a, b, m in zip(own[at].tolist(), c.begin[mine[at]].tolist(), c.end[mine[at]].tolist(), n.tolist(), strict=True):
+                    key = names[k], low[a:b]
+                    held[key] = held.get(key, 0) + m
+                if len(held) > HELD:
+                    yield from out()
+        yield from out()
+        for name, v in kinds.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * CLASSES, pa.string()), pa.nulls(CLASSES, pa.string()), pa.array(range(CLASSES), pa.int32()), pa.array(v, pa.int64())], names=["lang", "word", "class", "n"])
+        release()
+
+    each = docs.select("lang", "text").mapInArrow(run, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    each = scratch.write(each, "counts")
+    every = each.groupBy("word", "class").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "class", "n")
+    each = each.where("lang is not null").unionByName(every)
+    top = each.where("word is not null").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON)
+    top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
+    total = each.groupBy("lang").agg(
+        F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"),
+        F.array(*(F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)) for k in range(CLASSES))).alias("classes"),
+    )
+    both = total.join(top, total["lang"].eqNullSafe(top["lang"])).where("words > 0").select(total["lang"], "classes", "words", "top")
+    share = F.transform("top", lambda x: x["n"] / F.col("words"))
+    rest = F.col("words") - F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    size = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return scratch.write(both.select("lang", F.transform("classes", lambda x: x / size).alias("classes"), F.transform("top", lambda x: x["word"]).alias("common"), F.concat(share, F.array(rest / F.col("words"))).alias("share")), "references")
+
+
+@dataclass
+class Reference:
+    classes: np.ndarray
+    hashes: np.ndarray  # of the common words, sorted
+    place: np.ndarray  # of each of them in share
+    share: np.ndarray  # of COMMON words, the unused ones 0, and the rest
+
+    @staticmethod
+    def of(classes: list[float], common: list[str], share: list[float]) -> Reference:
+        data = [x.encode() for x in common]
+        ends = np.cumsum([len(x) for x in data])
+        h = span_hashes(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends)
+        order = np.argsort(h)
+        return Reference(np.array(classes), h[order], order, np.array(share[:-1] + [0.0] * (COMMON - len(common)) + share[-1:]))
+
+    def histogram(self, hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """How often each row has each common word, and others."""
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        slot = np.where(self.hashes[k] == hashes, self.place[k], COMMON)
+        return np.bincount(row * (COMMON + 1) + slot, minlength=rows * (COMMON + 1)).reshape(rows, COMMON + 1)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -163,40 +195,55 @@ def quality_rules(
     base_failed: fewer than min_words words, or more than repeat % of the words stand in 3-word windows that the text
     has twice.  kept: not base_failed, class_distance <= class_limit, and word_distance <= word_limit where the text
     has min_word_guard words (in fewer, a histogram of words says too little).  Two passes over the texts, which are
-    never shuffled; references are of fixed size and broadcast.
+    not shuffled while the references of all languages fit a broadcast of checked size.
 
-    Null or empty text: all counts 0, distances 1, base_failed.  Null or rare lang: the reference of all documents.
-    Without any reference (no document passes the base rules) the distances are 1.
+    Null or empty text: all counts 0, distances 1, base_failed.  Null lang, or a lang without any document that passes
+    the base rules: the reference of all documents.  Without any reference the distances are 1.  Repeated rows are
+    counted and measured each.  Words are compared by 64-bit hashes, lines and windows too.
     """
     lean(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "rules")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    known = references(base, min_words, repeat)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    known = references(base, scratch, min_words, repeat)
+    pooled = next((Reference.of(r["classes"], r["common"], r["share"]) for r in known.where("lang is null").collect()), None)
+    few = known.count() <= BROADCAST_LANGUAGES
+    given = {r["lang"]: Reference.of(r["classes"], r["common"], r["share"]) for r in known.where("lang is not null").collect()} if few else None
+    shared = docs.sparkSession.sparkContext.broadcast((given, pooled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
-        names = list(have)
-        place = {k: i for i, k in enumerate(names)}
-        slots = np.full((len(names) + 1, BINS), COMMON, np.int16)
-        for i, k in enumerate(names):
-            slots[i, have[k][1]] = np.arange(len(have[k][1]))
-        ref_class = np.array([have[k][0] for k in names] + [np.zeros(CLASSES)])
-        ref_word = np.array([have[k][2] for k in names] + [np.zeros(COMMON + 1)])
-        other = place.get(_ALL, len(names))
+        have, other = shared.value
         for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            refs = have if have is not None else of_rows(batch, langs)
             for t in texts(batch.column("text")):
                 c = counts(t, min_words, repeat)
-                rows = len(c.base)
+                rows = t.hi - t.lo
+                by_class, by_word = np.ones(rows), np.ones(rows)
+                code, names = pd.factorize(np.array([k if k in refs else None for k in langs[t.lo : t.hi]], object), use_na_sentinel=False)
+                for k, name in enumerate(names):
+                    ref = refs.get(name, other)
+                    if ref is None:
+                        continue
+                    mine = np.flatnonzero(code == k)
+                    number = np.full(rows, -1)
+                    number[mine] = np.arange(len(mine))
+                    at = np.flatnonzero(number[c.row] >= 0)
+                    hist = ref.histogram(c.hash[at], number[c.row[at]], len(mine))
+                    by_class[mine] = jensen_shannon(c.classes[mine].astype(float), np.tile(ref.classes, (len(mine), 1)))
+                    by_word[mine] = jensen_shannon(hist.astype(float), np.tile(ref.share, (len(mine), 1)))
                 part = batch.slice(t.lo, rows)
-                code = np.array([place.get(k, other) for k in part.column("lang").to_pylist()], np.int64)
-                slot = slots[code[c.word_rows], c.word_bins]
-                hist = np.bincount(c.word_rows * (COMMON + 1) + slot, minlength=rows * (COMMON + 1)).reshape(rows, COMMON + 1)
-                by_class, by_word = jensen_shannon(c.classes.astype(float), ref_class[code]), jensen_shannon(hist.astype(float), ref_word[code])
                 kept = ~c.base.base_failed.to_numpy() & (by_class <= class_limit) & ((c.base.n_words.to_numpy() < min_word_guard) | (by_word <= word_limit))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array(c.base[k].to_numpy(), pa.int64()) for k in c.base.columns[:5]), pa.array(c.base.base_failed.to_numpy()), pa.array(kept), pa.array(by_class), pa.array(by_word)],
                     names=["doc_id", *c.base.columns, "kept", "class_distance", "word_distance"],
                 )
+        release()
+
+    def of_rows(batch: pa.RecordBatch, langs: list[str | None]) -> dict[str, Reference]:
+        first = {k: i for i, k in reversed(list(enumerate(langs))) if k is not None and batch.column("common")[i].is_valid}
+        return {k: Reference.of(*(batch.column(c)[i].as_py() for c in ("classes", "common", "share"))) for k, i in first.items()}
 
+    if not few:
+        base = join_keys(base, known, "lang", F.col("doc_id"), "left")
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")

@@ -25,28 +25,34 @@ def cycle_weights(sources: list[str | None]) -> list[float]:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 5, 2, 1: what is taken of each."""
     return mix_sources(table(spark, sf_dir, "documents"), cycle_weights)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, worst window and verdict of every document."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
     model = languages.train(docs.where(~languages.held_out(F.col("doc_id"))))
     return languages.identify(docs, model, keep=(languages.held_out(F.col("doc_id")).alias("held_out"),))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of its sentences."""
     return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents"), by="sentences"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every document quotes."""
     return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and a planted one, formatted and read back."""
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
@@ -55,19 +61,24 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that an earlier one has."""
     return substring_dedup.digest(substring_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """Base counts, distances to six places, and the verdict of every document."""
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

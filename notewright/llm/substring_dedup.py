@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
     docs: _nw_id, _nw_th, _nw_text.  A task keeps the first occurrence it has of each hash and already marks its others, so that a bucket gets a
     hash at most once from a task, however often it occurs.
     """
-    n = _blobs.buckets(docs.count())
+    n = _blobs.buckets(docs.count(), 500)
     held_runs = max(HELD, 4 * n)  # so that a bucket gets some at once
     doc_buckets = n // 4
     shift = U64(64 - (n.bit_length() - 1))
@@ -216,8 +216,8 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
         release()
 
     sent = docs.select("_nw_id", "_nw_th", "_nw_text").mapInArrow(emit, _blobs.SCHEMA)
-    merged = _blobs.dealt(sent).mapInArrow(merge, _blobs.SCHEMA)
-    return _blobs.dealt(merged).mapInArrow(cover, "_nw_id long, _nw_th long, _nw_marks binary")
+    merged = _blobs.dealt(sent, n).mapInArrow(merge, _blobs.SCHEMA)
+    return _blobs.dealt(merged, doc_buckets).mapInArrow(cover, "_nw_id long, _nw_th long, _nw_marks binary")
 
 
 def remove_repeated(
