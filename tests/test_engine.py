@@ -29,6 +29,18 @@ def test_requests(engine):
     assert {k: v.count() > 0 for k, v in answers.items()} == dict.fromkeys(answers, True)
 
 
+def test_requests_are_the_queries(spark, engine):
+    from notewright.plans import QUERIES
+
+    rows = lambda df: sorted(map(str, df.collect()))
+    same = {
+        "meta_clusters": engine.meta_clusters(), "cluster_colors": engine.cluster_colors(), "points_projection": engine.points(), "history_dates": engine.history_dates(), "history_day": engine.history_day("2024-01-12"),
+        "cluster_sidebar": engine.cluster_sidebar("1"), "similar_clusters": engine.similar_clusters("1", least=0.0), "interactions_by_date": engine.interactions_by_date("2024-01-10", "2024-01-15"), "default_cluster": engine.default_cluster(),
+        "interactions_list": engine.recent_interactions(), "filtered_notes_all": engine.filtered_notes("2024-01-10", "2024-01-15"), "list_notes_counts": engine.list_notes(),
+    }
+    assert {k: rows(v) == rows(QUERIES[k](spark, DIR)) for k, v in same.items()} == dict.fromkeys(same, True)
+
+
 def test_updates(spark, engine):
     own = NoteEngine(spark, engine.notes)
     assert not own.log_interaction("src1", "deleted", "2024-03-01T00:00:00Z") and not own.log_interaction("none", "opened", "2024-03-01T00:00:00Z")
