@@ -57,7 +57,8 @@ def fold(events: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted, and loss_spans: where in formatted (code points, from 0) the texts of the learnt roles stand.
 
-    A conversation is one output row, so its messages meet in one task: the row's own size bounds that.
+    A conversation is one output row, so its messages meet in one task: the row's own size bounds that.  Null and
+    empty texts are turns without text; no messages give no rows.
     """
     turn = F.concat(F.lit(HEAD), _escape(F.col("role"), _ROLE), F.lit(AFTER_ROLE), _escape(F.col("text")), F.lit(END))
     each = messages.select("conv_id", "place", "role", turn.alias("turn"), F.char_length(turn).cast("long").alias("size"), F.char_length(_escape(F.col("text"))).cast("long").alias("inner"))
@@ -71,7 +72,10 @@ def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text, parsed from formatted), loss_text (the spans, unescaped, one after another), formatted_chars."""
+    """conv_id, turns (role and text, parsed from formatted), loss_text (the spans, unescaped, one after another), formatted_chars.
+
+    The inverse of render() for any texts and roles; a conversation without a learnt role has an empty loss_text.
+    """
     pieces = F.filter(F.split("formatted", F.lit(END)), lambda x: x != "")
     at = lambda x: F.instr(x, AFTER_ROLE)
     turns = F.transform(
@@ -86,6 +90,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def digest(read: DataFrame) -> DataFrame:
+    """Counts and hashes of what was read back: turns, loss text and formatted length."""
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -42,8 +42,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document and of its sentences."""
-    return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents"), by="sentences"))
+    """Tokens of every document and of its sentences; the vocabulary is that of the setting spark.notewright.vocabulary, or the default."""
+    path = spark.conf.get("spark.notewright.vocabulary", token_counts.VOCABULARY)
+    return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents"), path, by="sentences"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

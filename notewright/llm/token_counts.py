@@ -206,4 +206,5 @@ def count_tokens(
 
 
 def digest(counted: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_crossing, the number of sections and their tokens as whole numbers."""
     return counted.select("doc_id", "n_tokens", "n_crossing", F.size("section_tokens").cast("long").alias("n_sections"), F.transform("section_tokens", lambda x: x.cast("long")).alias("section_tokens"))

@@ -3,15 +3,16 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import slow
+from slow import lower, split
 
 from notewright.llm import chat, decontaminate, languages, language_model, license_scan, quality_rules, substring_dedup, token_counts
-from notewright.llm._kernel import ALNUM, SPACED, mix, span_hashes, texts, windows, words
+from notewright.llm._kernel import ALNUM, SPACED, span_hashes, texts, windows, words
 from notewright.llm.components import components
 from notewright.llm.jaccard_join import Bands, near_duplicates
 from notewright.llm.mixing import mix_sources, sainte_lague, targets
@@ -48,14 +49,6 @@ def corpus():
     return rows
 
 
-def split(t, pattern=r"[^\x20\x09-\x0D]+"):
-    return re.findall(pattern, t or "")
-
-
-def lower(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-
-
 @pytest.mark.parametrize("inside,pattern", [(SPACED, r"[^\x20\x09-\x0D]+"), (ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_words_are_the_patterns(corpus, inside, pattern):
     corpus = [(i, t if inside is SPACED or t is None else lower(t), a, b) for i, t, a, b in corpus]  # the second pattern is for lowered text
@@ -116,77 +109,20 @@ def test_mixing_is_seat_by_seat_and_block_by_block(spark, corpus, monkeypatch, g
     from notewright.llm import mixing
 
     monkeypatch.setattr(mixing, "GROUP", group)
-    rows = [r for r in corpus if r[0] is not None]
+    rows = list({r[0]: r for r in corpus if r[0] is not None}.values())
     docs = table(spark, rows)
-    sized = mix_sources(docs, lambda names: [5.0, 2.0, 1.0, 5.0][: len(names)], shard_docs=16, max_block=8, keep=("_id",)).toPandas()
-    # the shards as the operator deals them: by hashes that only Spark has
-    deal = docs.selectExpr("doc_id", "source", "text", "xxhash64(7, doc_id, text) as o").selectExpr("*", "xxhash64(8, o) as s").toPandas()
-    names = sorted({s for s in deal.source if s is not None}) + [None]
-    size = {k: sum(len(split(t)) for t, s in zip(deal.text, deal.source) if s == k) for k in names}
-    goal = dict(zip(names, targets([size[k] for k in names], [5.0, 2.0, 1.0, 5.0])))
-    block = max(1, min(8, sum(size.values()) // (len(names) * 2048)))
-    line = defaultdict(list)
-    for i, t, s, o, h in zip(deal.doc_id, deal.text, deal.source, deal.o, deal.s):
-        count = -(-int((deal.source.isna() if s is None else deal.source == s).sum()) // 16)
-        line[s, h % count].append((o, i, len(split(t))))
-    blocks = {k: max(1, round(sum(n for *_, n in v) / block)) if sum(n for *_, n in v) else 0 for k, v in line.items()}
-
-    def seats(weights, n, most):
-        have = [0] * len(weights)
-        for _ in range(n):
-            q = [w / (2 * h + 1) if h < m else -1 for w, h, m in zip(weights, have, most)]
-            if max(q) <= 0:
-                break
-            have[q.index(max(q))] += 1
-        return have
-
-    of = {k: sum(b for (s, _), b in blocks.items() if s == k) for k in names}
-    wanted = [goal[k] / size[k] * of[k] if size[k] else 0.0 for k in names]
-    quota = dict(zip(names, seats(wanted, round(sum(wanted)), [3 * of[k] for k in names])))
-    taken = Counter()
-    for s in names:
-        shards = sorted(k for k in blocks if k[0] is s or k[0] == s)
-        groups = sorted({k[1] // group for k in shards})
-        inside = {g: [k for k in shards if k[1] // group == g] for g in groups}
-        for g, n in zip(groups, seats([sum(blocks[k] for k in inside[g]) for g in groups], quota[s], [3 * sum(blocks[k] for k in inside[g]) for g in groups])):
-            for k, q in zip(inside[g], seats([blocks[k] for k in inside[g]], n, [3 * blocks[k] for k in inside[g]])):
-                words_ = [i for _, i, c in sorted(line[k]) for _ in range(c)]
-                cuts = [i * len(words_) // blocks[k] for i in range(blocks[k] + 1)] if blocks[k] else [0]
-                salt = zlib.crc32(f"7/{'n' if s is None else 's' + s}/{k[1]}".encode())
-                order = sorted(range(blocks[k]), key=lambda i: int(mix(np.array([(i << 32) ^ salt], np.uint64))[0]))
-                for place, i in enumerate(order):
-                    for w in words_[cuts[i] : cuts[i + 1]]:
-                        taken[w] += q // blocks[k] + (place < q % blocks[k])
-    repeated = {i for i, n in Counter(r[0] for r in rows).items() if n > 1}
-    got = Counter()
-    for i, n in zip(sized.doc_id, sized.taken):
-        got[i] += n
-    assert {i: n for i, n in got.items() if n} == {i: n for i, n in taken.items() if n}
-    assert repeated and set(sized.columns) >= {"_id", "taken"}
+    weigh = lambda names: [5.0, 2.0, 1.0, 5.0][: len(names)]
+    got = {r.doc_id: r.taken for r in mix_sources(docs, weigh, shard_docs=16, max_block=8, keep=("tokens",)).where("taken > 0 and tokens = 'x'").collect()}
+    assert got == slow.mixed(docs, weigh, 16, 8, group) and len(got) > 50
 
 
 def test_near_duplicates(spark, corpus):
-    def shingles(t):
-        w = split(lower(t))
-        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
     rows = [r for r in corpus if r[0] is not None]
-    sets = [shingles(t) for _, t, _, _ in rows]
-    parent = list(range(len(rows)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                parent[find(i)] = find(j)
+    sets, group = slow.near([t for _, t, _, _ in rows])
     least = defaultdict(lambda: 10**9)
-    for i, r in enumerate(rows):
-        least[find(i)] = min(least[find(i)], r[0])
-    want = Counter((r[0], len(s), least[find(i)]) for i, (r, s) in enumerate(zip(rows, sets)))
+    for g, r in zip(group, rows):
+        least[g] = min(least[g], r[0])
+    want = Counter((r[0], len(s), least[g]) for r, s, g in zip(rows, sets, group))
     got = Counter(map(tuple, near_duplicates(table(spark, rows)).collect()))
     assert got == want
     assert len(set(least.values())) < len(rows) - 20  # there are links
@@ -284,22 +220,9 @@ def test_decontamination(spark, corpus, monkeypatch, broadcast):
     items = [(i, prose(rng, n)) for i, n in enumerate([2, 5, 9, 10, 11, 40, 60])] + [(7, ""), (8, None), (9, "Alpha"), (9, "mu xi"), (None, "nothing like it anywhere"), (10, corpus[20][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = corpus + [(1000 + i, f"{prose(rng, 7)} {t} {prose(rng, 3)} {t}", None, None) for i, t in items if t and i is not None]
-    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    wins = defaultdict(set)
-    for i, t in items:
-        w = split(lower(t), pattern)
-        k = min(10, len(w))
-        for a in range(len(w) - k + 1 if k else 0):
-            wins[tuple(w[a : a + k])].add("" if i is None else str(i))
     want = Counter()
     for i, t, _, _ in rows:
-        w = split(lower(t), pattern)
-        hit, got = set(), set()
-        for k in {len(x) for x in wins}:
-            for a in range(len(w) - k + 1):
-                if found := wins.get(tuple(w[a : a + k])):
-                    got |= found
-                    hit |= set(range(a, a + k))
+        w, hit, got = slow.hits(t, items)
         want[i, len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit)] += 1
     docs = table(spark, rows)
     assert Counter(map(tuple, decontaminate.digest(decontaminate.contamination(docs, bench)).collect())) == want
@@ -315,44 +238,7 @@ def test_substring_dedup(spark, corpus):
     passage = "A first sentence of nine words stands right here. And then a second one of as many words again. Short one. The last sentence of them all is rather long too."
     rows = [(i, t, None, None) for i, t, _, _ in corpus if i is not None and i < 20] + [(100 + i, f"{prose(rng, 30)}.\n{passage}\n{prose(rng, 30)}", None, None) for i in range(6)] + [(50, passage, None, None), (None, passage, None, None)]
 
-    def cut(text):
-        out = []
-        for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
-            gap = (text or "")[out[-1][-1][1] : m.start()] if out else ""
-            if out and "\n" not in gap and text[out[-1][-1][1] - 1] not in ".!?":
-                out[-1].append(m.span())
-            else:
-                out.append([m.span()])
-        return [[lower(text[a:b]) for a, b in s] for s in out], [s[0][0] for s in out]
-
-    def brute(rows):
-        order = sorted({(-(2**63) if i is None else i, t or "") for i, t, _, _ in rows})
-        first, gone = {}, defaultdict(set)
-        for i, t in order:
-            s, _ = cut(t)
-            n = [len(x) for x in s]
-            pairs = {(a, a) for a in range(len(s)) if n[a] >= 40}
-            for a in range(len(s)):
-                b = next((b for b in range(a + 1, len(s)) if sum(n[a : b + 1]) >= 20), None)
-                pairs |= {(a, b)} if b else set()
-                c = next((c for c in range(a - 1, -1, -1) if sum(n[c : a + 1]) >= 20), None)
-                pairs |= {(c, a)} if c is not None else set()
-            for a, b in sorted(pairs):
-                key = tuple(w for x in s[a : b + 1] for w in x)
-                if first.setdefault(key, (i, t, a)) != (i, t, a):
-                    gone[i, t] |= set(range(a, b + 1))
-        out = []
-        for i, t, _, _ in rows:
-            s, at = cut(t)
-            g = gone.get((-(2**63) if i is None else i, t or ""), set())
-            keep = t
-            if g:
-                edges = [*at, len(t)]
-                stay = [t[edges[k] : edges[k + 1]] for k in range(len(s)) if k not in g]
-                keep = t[: edges[0]] + "".join(stay) if stay else ""
-            out.append((i, keep, len(s), len(g)))
-        return Counter(out)
-
+    brute = lambda rows: Counter(slow.without_repeated([(i, t) for i, t, _, _ in rows]))
     got = substring_dedup.remove_repeated(table(spark, rows).repartition(3))
     assert Counter(map(tuple, got.select("doc_id", "text", "_nw_sentences", "_nw_removed").collect())) == brute(rows)
     assert got.where("_nw_removed > 0").count() >= 6
@@ -361,6 +247,13 @@ def test_substring_dedup(spark, corpus):
     assert one.count() == 10
 
 
+def test_sentences_of_scripts_without_blanks(spark):
+    passage = "今天天气很好我们一起去公园散步。然后在湖边喝茶聊天直到傍晚才回家！第二天又下雨了所以大家都留在家里读书写字？"
+    rows = [(1, f"第一篇文章的开头不一样。{passage}结尾也不同。", None, None), (2, f"另一篇的开头。{passage}", None, None), (3, "短句。短句。", None, None), (4, "短句。短句。", None, None)]
+    got = {r.doc_id: (r.text, r["_nw_sentences"], r["_nw_removed"]) for r in substring_dedup.remove_repeated(table(spark, rows)).collect()}
+    assert got[1][1:] == (5, 0) and got[2] == ("另一篇的开头。", 4, 3) and got[3] == got[4] == ("短句。短句。", 2, 0)
+
+
 def test_quality_rules(spark, corpus):
     got = quality_rules.quality_rules(table(spark, corpus)).collect()
 
@@ -385,52 +278,6 @@ def test_quality_rules(spark, corpus):
     assert quality_rules.jensen_shannon(p, q) == pytest.approx([1, 0])
 
 
-def slow_rules(rows, min_words=50, repeat=50):
-    """Distances of (lang, text) rows by the definition; None where there is no reference."""
-    import math
-    import unicodedata
-
-    def kind(c):
-        if c in " \t\n\x0b\x0c\r":
-            return 0
-        if c in "#*$%&|<>":
-            return 1
-        k = unicodedata.category(c)
-        return {"Ll": 2, "Lu": 3}.get(k) or {"L": 4, "M": 5, "N": 6, "P": 7}.get(k[0], 8)
-
-    def failed(t):
-        w = split(t)
-        c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-        cover = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
-        return len(w) < min_words or 100 * len(cover) > repeat * len(w)
-
-    def distance(p, q):
-        if not sum(p.values()):
-            return 1.0
-        out = 0.0
-        for k in set(p) | set(q):
-            x, y = p.get(k, 0) / sum(p.values()), q.get(k, 0) / sum(q.values())
-            out += sum(v * math.log2(v / ((x + y) / 2)) for v in (x, y) if v) / 2
-        return math.sqrt(max(0, min(1, out)))
-
-    pools = defaultdict(lambda: (Counter(), Counter()))
-    for lang, t in rows:
-        if not failed(t):
-            for k in {None, lang}:
-                pools[k][0].update(map(kind, t))
-                pools[k][1].update(lower(w) for w in split(t))
-    out = []
-    for lang, t in rows:
-        ref = pools.get(lang) or pools.get(None)
-        if ref is None:
-            out.append((1.0, 1.0))
-            continue
-        common = [w for w, _ in sorted(ref[1].items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON]]
-        fold = lambda c: Counter({w: c[w] for w in common}) + Counter({None: sum(n for w, n in c.items() if w not in set(common))})  # noqa: E731,B023
-        out.append((distance(Counter(map(kind, t or "")), ref[0]), distance(fold(Counter(lower(w) for w in split(t))), fold(ref[1]))))
-    return out
-
-
 @pytest.mark.parametrize("broadcast,held", [(4096, 400_000), (0, 5)])
 def test_quality_rules_distances_and_verdict(spark, corpus, monkeypatch, broadcast, held):
     monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", broadcast)
@@ -438,7 +285,7 @@ def test_quality_rules_distances_and_verdict(spark, corpus, monkeypatch, broadca
     rows = [*corpus, (5000, prose(random.Random(1), 90), "rare", None), (5001, "short", "none that passes", None)]
     got = quality_rules.quality_rules(table(spark, rows)).collect()
     near = lambda rows: sorted((-1 if r[0] is None else r[0], *(round(x, 7) for x in r[1:])) for r in rows)
-    assert near((r.doc_id, r.class_distance, r.word_distance) for r in got) == near((i, *d) for (i, *_), d in zip(rows, slow_rules([(lang, t) for _, t, lang, _ in rows])))
+    assert near((r.doc_id, r.class_distance, r.word_distance) for r in got) == near((i, *d) for (i, *_), d in zip(rows, slow.rules([(lang, t) for _, t, lang, _ in rows], quality_rules.COMMON)))
     for r in got:
         assert r.kept == (not r.base_failed and r.class_distance <= 0.2 and r.word_distance <= 0.5)
 
@@ -455,7 +302,7 @@ def test_quality_rules_without_lang(spark):
     both = [(i, t, "en", s) for i, t, _, s in clean] + other
     mixed = by_id(both)
     assert all(mixed[i] == pytest.approx(named[i]) for i in named)
-    assert all(mixed[i][1:] == pytest.approx(d) for (i, *_), d in zip(both, slow_rules([(k, t) for _, t, k, _ in both])))
+    assert all(mixed[i][1:] == pytest.approx(d) for (i, *_), d in zip(both, slow.rules([(k, t) for _, t, k, _ in both], quality_rules.COMMON)))
 
 
 ENGLISH = "the and that with this from have which were their what when there about would people into them some could other than then its only over also after two how our work first well way even new want because any these give day most"
@@ -636,9 +483,17 @@ def test_token_attribution(spark, corpus):
     ranks = token_counts.read_ranks(token_counts.VOCABULARY)
     enc = tiktoken.Encoding("x", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = table(spark, corpus)
+    whole = {t: [len(x) for x in enc.decode_tokens_bytes(enc.encode_ordinary(t))] for _, t, _, _ in corpus if t}
     for rule in token_counts.RULES:
         got = token_counts.count_tokens(docs, rule=rule).collect()
         assert len(got) == len(corpus)
+        want = Counter()
+        for i, t, _, _ in corpus:
+            lines = re.findall(rb"[^\n]*\n|[^\n]+", (t or "").encode())
+            ends = np.cumsum([0, *map(len, lines)]).tolist()
+            if len(lines) < 500:
+                want[i, tuple(round(x, 6) for x in slow.attributed(t, whole.get(t, []), list(zip(ends[:-1], ends[1:])), rule))] += 1
+        assert Counter((r.doc_id, tuple(round(x, 6) for x in r.section_tokens)) for r in got if len(r.section_tokens) < 500) == want
         for r in got:
             assert sum(r.section_tokens) == pytest.approx(r.n_tokens)
     want = Counter((i, len(enc.encode_ordinary(t or ""))) for i, t, _, _ in corpus)
