@@ -76,7 +76,8 @@ def restore(spark: SparkSession, name: str, copy: str, timestamp: int) -> str |
 
 
 def delete(spark: SparkSession, name: str, keys: DataFrame, on: list[str]) -> None:
-    overwrite(spark.table(name).join(keys.select(*on).distinct(), on, "left_anti"), name)
+    stay = spark.table(name).join(keys.select(*on).distinct(), on, "left_anti")
+    overwrite(stay.select(*spark.table(name).columns), name)  # the join puts its keys first
 
 
 def export_json(df: DataFrame, path: str) -> None:

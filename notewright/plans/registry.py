@@ -373,13 +373,36 @@ def overlap_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(tx.overlap_text(F.col("text"))).alias("tail_md5"), tx.estimate_tokens(F.col("text")).alias("estimate"))
 
 
-@register()
+#: Windows of 1600 characters, 200 of them shared, of each (doc_id, i, text): begin of each and its text.
+_CUT = "greatest(CASE WHEN strpos(reverse(part), ' ') > 0 THEN length(part) - strpos(reverse(part), ' ') ELSE -1 END, CASE WHEN strpos(reverse(part), chr(10)) > 0 THEN length(part) - strpos(reverse(part), chr(10)) ELSE -1 END)"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+WINDOWS = f"""win AS (SELECT doc_id, i, text, length(text) AS len, 0 AS start, 0 AS k FROM whole WHERE length(text) > 1600
+  UNION ALL SELECT doc_id, i, text, len, CAST(greatest(e - 200, 0) AS INT), k + 1 FROM (SELECT *, CASE WHEN start + 1600 < len AND {_CUT} > start + 1120 THEN start + {_CUT} + 1 ELSE least(start + 1600, len) END AS e FROM (SELECT *, substr(text, start + 1, 1600) AS part FROM win)) WHERE e < len),
+ cutw AS (SELECT doc_id, i, k, {_STRIP.format(f"CASE WHEN start + 1600 < len AND {_CUT} > start + 1120 THEN substr(part, 1, {_CUT}) ELSE part END")} AS chunk FROM (SELECT *, substr(text, start + 1, 1600) AS part FROM win))"""
+#: Paragraphs, or else sentences, of each long document, packed one after another; a chunk ends where the next segment would pass 400 tokens.
+PACK = f"""segs AS (SELECT doc_id, CASE WHEN len(p) = 1 THEN s ELSE p END AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_matches(x, '\\S')) AS p,
+   list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS s FROM documents WHERE regexp_matches(text, '\\S') AND length(text) > 1600)),
+ fold AS (SELECT doc_id, g, 0 AS i, '' AS held, CAST(0 AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS VARCHAR) AS wide FROM segs
+  UNION ALL SELECT doc_id, g, i + 1, CASE WHEN own > 400 THEN '' ELSE now END, CASE WHEN own > 400 THEN 0 WHEN full_ THEN CAST(ceil(length(now) / 4) AS BIGINT) ELSE size + own END, CASE WHEN full_ THEN {_STRIP.format("held")} END, CASE WHEN own > 400 THEN x END FROM (
+   SELECT *, CASE WHEN full_ THEN CASE WHEN tail <> '' THEN tail || chr(10) || chr(10) || x ELSE x END WHEN held <> '' THEN held || chr(10) || chr(10) || x ELSE x END AS now FROM (
+    SELECT *, held <> '' AND size + own > 400 AS full_, array_to_string(regexp_split_to_array(held, '\\s+')[-25:], ' ') AS tail FROM (SELECT *, g[i + 1] AS x, CAST(ceil(length(g[i + 1]) / 4) AS BIGINT) AS own FROM fold WHERE i < len(g))))),
+ whole AS (SELECT doc_id, i, wide AS text FROM fold WHERE wide IS NOT NULL)"""
+CHUNKED = f"""made AS (SELECT doc_id, i, 0 AS part, 0 AS k, done AS chunk FROM fold WHERE done IS NOT NULL UNION ALL SELECT doc_id, i, 1, k, chunk FROM cutw WHERE chunk <> '' UNION ALL SELECT doc_id, i, 1, 0, text FROM whole WHERE length(text) <= 1600
+  UNION ALL SELECT doc_id, i, 2, 0, {_STRIP.format("held")} FROM fold WHERE i = len(g) AND regexp_matches(held, '\\S')
+  UNION ALL SELECT doc_id, 0, 0, 0, CASE WHEN regexp_matches(text, '\\S') THEN text ELSE '' END FROM documents WHERE NOT regexp_matches(text, '\\S') OR length(text) <= 1600)"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, part, k) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM made", PACK, WINDOWS, CHUNKED)
 def chunk_notes(spark, d):
     cut = chunking.chunk_notes(read(spark, d, "documents").select("doc_id", "text"))
     return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), F.length("chunk_content").cast("long").alias("n_chars"), F.md5("chunk_content").alias("chunk_md5"))
 
 
-@register()
+@register("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, length(chunk) AS n_chars FROM cutw WHERE chunk <> '' UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE length(text) <= 1600", "whole AS (SELECT doc_id, 0 AS i, text FROM documents)", WINDOWS)
 def fallback_chunks(spark, d):
     @F.pandas_udf("array<string>")
     def cut(x: pd.Series) -> pd.Series:
@@ -389,6 +412,10 @@ def fallback_chunks(spark, d):
     return one.select("doc_id", F.col("place").cast("long").alias("place"), F.length("chunk").cast("long").alias("n_chars"))
 
 
+for _name in ("chunk_notes", "fallback_chunks"):
+    ORACLE_SQL[_name] = recursive(ORACLE_SQL[_name])
+
+
 # ---- search
 
 

@@ -13,7 +13,7 @@ from notewright.plans.registry import (
     cached, current, few_hits, hits, index_of, outliers, query_vector, register, stored,
 )
 from notewright.sources.shared import Scratch
-from notewright.sources.tables import notes_view, read, read_cache, save_cache, source_batches
+from notewright.sources.tables import list_tables, notes_view, read, read_cache, save_cache, source_batches
 
 # ---- orders
 
@@ -208,6 +208,28 @@ def table_schema(spark, d):
     return catalog.describe(read(spark, d, "documents"))
 
 
+@register("SELECT step, n::BIGINT AS n FROM (SELECT 2 * count(*) AS a, 2 * count(*) FILTER (source <> 'src1') AS b FROM documents), unnest([{'step': 'appended', 'n': a}, {'step': 'deleted', 'n': b}, {'step': 'restored', 'n': a}, {'step': 'saved before', 'n': b}, {'step': 'listed first', 'n': a}, {'step': 'tables', 'n': 3}]) AS u(x), LATERAL (SELECT x.step AS step, x.n AS n)")
+def table_round_trip(spark, d):
+    """Tables of a database of their own: created, appended to, backed up, rows deleted, restored, listed; the counts after each step."""
+    own = Scratch(spark, "tables")
+    base = "notewright_" + own.root[-32:]
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{own.root}'")
+    try:
+        rows, name = read(spark, d, "documents").select("doc_id", F.col("source").alias("title")), f"{base}.notes"
+        catalog.create(rows, name, fresh=True)
+        steps = {"appended": catalog.append(rows, name)}
+        copy = catalog.backup(spark, name, 1763846409)
+        catalog.delete(spark, name, rows.where("title = 'src1'"), ["title"])
+        steps["deleted"] = spark.table(name).count()
+        saved = catalog.restore(spark, name, copy, 1763846500)
+        steps |= {"restored": spark.table(name).count(), "saved before": spark.table(saved).count()}
+        listed = list_tables(spark, base).collect()
+        steps |= {"listed first": listed[0]["n_rows"], "tables": len(listed)}
+    finally:
+        spark.sql(f"DROP DATABASE {base} CASCADE")
+    return spark.createDataFrame([*steps.items()], "step string, n long")
+
+
 @register("SELECT term, count(DISTINCT doc_id) AS n_chunks FROM (SELECT unnest(['the', 'license', 'zebrawort']) AS term) LEFT JOIN (SELECT doc_id, unnest(t) AS term FROM tok) USING (term) GROUP BY 1", NOTES, TOK)
 def index_self_test(spark, d):
     return search.index_test(index_of(spark, d), ["the", "license", "zebrawort"])
