@@ -120,7 +120,7 @@ def search(
     index: DataFrame | None = None,
     unfiltered_fallback: bool = False,
 ) -> DataFrame:
-    """All legs in one plan; a chunk counts in the first leg that finds it; scores by leg; the best (or, as the original has it, the worst) come first.
+    """All legs in one pass over the chunks; a chunk counts in the first leg that finds it; scores by leg; the best (or, as the original has it, the worst) come first.
 
     order: best_first, or reference (ascending).  unfiltered_fallback: without any substring match, the first 100 chunks
     count as partial ones, as in the original.
@@ -130,35 +130,38 @@ def search(
     q = analyse(text)
     index = postings(notes) if index is None else index
     fts, described = full_text_score(q, vector)
-    base = notes.withColumn("_fts", fts).withColumn("_said", described)
-    legs: list[DataFrame] = []
-
-    def add(found: DataFrame, priority: int, score: Column, source: Column, cap: int) -> None:
-        legs.append(found.select("doc_id", "unique_key", score.alias("score"), source.alias("source"), F.lit(priority).alias("leg")).orderBy(F.desc("score"), "doc_id").limit(cap))
-
+    exact = has(q.text, "chunk_content")
+    part_score, part_source = F.when(exact, 50.0).otherwise(20.0), F.when(exact, "like_exact").otherwise("like_partial")
+    base = notes
+    # each leg: its number, its priority, whether a chunk is in it, score, source, and how many of its best count
+    legs: list[tuple[int, Column, Column, Column, int]] = []
     if vector:
         near = knn(notes, vector, limit * 2, most)
-        legs.append(notes.join(near, "doc_id").select("doc_id", "unique_key", relevance(F.col("distance")).alias("score"), F.lit("vector").alias("source"), F.lit(1).alias("leg")))
+        base = base.join(F.broadcast(near.withColumnRenamed("distance", "_d")), "doc_id", "left")
+        legs.append((1, F.col("_d").isNotNull(), relevance(F.col("_d")), F.lit("vector"), limit * 2))
     if q.terms:
+        base = base.join(match_terms(index, q.terms, False).select("doc_id", F.col("n_terms").alias("_terms")), "doc_id", "left")
         if q.phrase and len(q.terms) <= 4:
-            add(base.where(has(q.phrase.strip('"'), "chunk_content", "title")), 2, F.col("_fts"), F.col("_said"), 100)
-        for sub in q.sub_phrases:
-            add(base.where(has(sub, "chunk_content", "title")), 3, F.col("_fts"), F.col("_said"), 200)
-        add(base.join(match_terms(index, q.terms, True), "doc_id", "left_semi"), 4, F.col("_fts"), F.col("_said"), 500)
-        add(base.join(match_terms(index, q.terms, False), "doc_id", "left_semi"), 5, F.col("_fts"), F.col("_said"), 500)
-    exact = has(q.text, "chunk_content")
-    matched = base.where(like_all(q.text))
-    add(matched, 6, F.when(exact, 50.0).otherwise(20.0), F.when(exact, "like_exact").otherwise("like_partial"), 100)
+            legs.append((2, has(q.phrase.strip('"'), "chunk_content", "title"), fts, described, 100))
+        legs += [(3, has(sub, "chunk_content", "title"), fts, described, 200) for sub in q.sub_phrases]
+        legs.append((4, F.col("_terms") == len(set(q.terms)), fts, described, 500))
+        legs.append((5, F.col("_terms").isNotNull(), fts, described, 500))
+    legs.append((6, like_all(q.text), part_score, part_source, 100))
     if unfiltered_fallback:
-        none = matched.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
-        add(base.crossJoin(F.broadcast(none)).where("_none"), 7, F.when(exact, 50.0).otherwise(20.0), F.when(exact, "like_exact").otherwise("like_partial"), 100)
-    union = reduce(lambda a, b: a.unionByName(b), legs)
+        none = notes.where(like_all(q.text)).limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
+        base = base.crossJoin(F.broadcast(none))
+        legs.append((7, F.col("_none"), part_score, part_source, 100))
+    found = [F.when(inside, F.struct(F.lit(k).alias("n"), F.lit(leg).alias("leg"), score.cast("double").alias("score"), source.alias("source"), F.lit(cap).alias("cap"))) for k, (leg, inside, score, source, cap) in enumerate(legs)]
+    hits = base.select("doc_id", "unique_key", F.explode(F.array_compact(F.array(*found))).alias("h")).select("doc_id", "unique_key", "h.*")
+    # a task keeps only the best of a leg that it has
+    best = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "doc_id"))
+    union = hits.withColumn("_r", best).where(F.col("_r") <= max(cap for *_, cap in legs)).where(F.col("_r") <= F.col("cap"))
     w = Window.partitionBy("unique_key").orderBy("leg", F.desc("score"), "doc_id")
     once = union.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     sign = F.desc("score") if order == "best_first" else F.asc("score")
     top = once.orderBy(sign, "leg", "doc_id").limit(limit)
     place = F.row_number().over(Window.orderBy(sign, "leg", "doc_id")).cast("long")
-    out = top.withColumn("place", place).drop("unique_key", "leg", "_r").join(notes, "doc_id")
+    out = F.broadcast(top.select("doc_id", "score", "source", place.alias("place"))).join(notes, "doc_id")  # `limit` rows
     return out.select(*RESULT)
 
 
