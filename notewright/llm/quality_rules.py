@@ -27,6 +27,8 @@ COMMON = 64
 #: Unicode's general category small letters, capitals, other letters, marks, numbers, punctuation, and all else.
 CLASSES = 9
 SYMBOLS = "#*$%&|<>"
+#: Parts of a language's words that are ranked by themselves first.
+PARTS = 16
 #: Counts of so many words are held by a task before they are sent.
 HELD = 400_000
 #: References of so many languages (about 2 kB each) are broadcast; of more they are joined.  The result is the same.
@@ -134,7 +136,10 @@ def references(docs: DataFrame, scratch: Scratch, min_words: int = 50, repeat: i
     each = scratch.write(each, "counts")
     every = each.groupBy("word", "class").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "class", "n")
     each = each.where("lang is not null").unionByName(every)
-    top = each.where("word is not null").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON)
+    # ranked within PARTS parts of a language's words first: a task sends the heaviest of each, and no task gets all of a language's
+    top = each.where("word is not null").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        top = top.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
     total = each.groupBy("lang").agg(
         F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"),
