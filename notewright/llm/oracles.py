@@ -95,4 +95,25 @@ WITH d AS (SELECT doc_id, text, regexp_extract(coalesce(text, ''), '^{_SPACE}*')
 SELECT doc_id, CASE WHEN coalesce(x, 0) = 0 THEN text WHEN stay IS NULL THEN '' ELSE head || stay END AS text, coalesce(n, 0) AS n_sentences, coalesce(x, 0) AS n_removed, coalesce(x, 0) > 0 AS cut FROM d LEFT JOIN o USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": CHAT, "op7_decontaminate": DECONTAMINATE, "op8_substring_dedup": SUBSTRING, "op9_jaccard_join": NEAR, "op10_quality_rules": QUALITY}
+
+def _centroids(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds one after another, each a pair of tables: who is nearest, and the floors of the means."""
+    square = "CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    nearest = f"SELECT x.r, min([{square}, c.k]) AS m FROM x, c{{i}} c GROUP BY x.r"
+    out = f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v, embedding AS e FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS k, v FROM x ORDER BY sha256('2:' || vec_id) NULLS LAST, e LIMIT {k}),"""
+    for i in range(rounds):
+        out += f"""
+ a{i} AS MATERIALIZED ({nearest.format(i=i)}),
+ m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (SELECT m[2] AS k, j, sum(v[j]) AS s, count(*) AS n FROM a{i} JOIN x USING (r), unnest(range(1, {dims + 1})) AS u(j) GROUP BY 1, 2) GROUP BY k),
+ c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(CAST(m.v AS BIGINT[]), c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k)),"""
+    return f"""{out}
+ z AS MATERIALIZED ({nearest.format(i=rounds)})
+SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia, CAST(sum(m[1]) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM z JOIN x USING (r) JOIN c{rounds} c ON c.k = m[2]
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": CHAT, "op7_decontaminate": DECONTAMINATE, "op8_substring_dedup": SUBSTRING, "op9_jaccard_join": NEAR, "op10_quality_rules": QUALITY, "op11_centroids": _centroids()}

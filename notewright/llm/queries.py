@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import chat, decontaminate, languages, license_scan, substring_dedup, token_counts
+from notewright.llm import centroids, chat, decontaminate, languages, license_scan, substring_dedup, token_counts
 from notewright.llm.jaccard_join import near_duplicates
 from notewright.llm.language_model import classify
 from notewright.llm.mixing import mix_sources
@@ -82,11 +82,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's cluster of 40, after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_quality_classifier, op3_language_id, op4_token_counts, op5_license_scan,
-        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules,
+        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules, op11_centroids,
     )
 }
 
