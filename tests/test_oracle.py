@@ -23,7 +23,8 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v.item() if hasattr(v, "item") else v
+    # whole numbers of a column with nulls come as floats from one side and as integers from the other
+    clean = lambda v: None if v is None or v is pd.NA or v != v else int(v) if isinstance(v, float) and v.is_integer() else round(v, 6) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v.item() if hasattr(v, "item") else v
     return sorted(([clean(v) for v in r] for r in df.itertuples(index=False)), key=repr)
 
 
