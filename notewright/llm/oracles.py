@@ -116,4 +116,22 @@ SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": CHAT, "op7_decontaminate": DECONTAMINATE, "op8_substring_dedup": SUBSTRING, "op9_jaccard_join": NEAR, "op10_quality_rules": QUALITY, "op11_centroids": _centroids()}
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))"
+#: Equal words q apart, as islands by q; of one stretch the smallest q is its period.
+RUNS = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, xor({_CRC}, 4294967295) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, len(w) AS n, 3 + (h // 10) % 8 AS k FROM d),
+ p AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) END AS w FROM s),
+ t AS MATERIALIZED (SELECT r, n, i, w[i + 1] AS x FROM p, unnest(range(0, n)) AS u(i)),
+ e AS (SELECT x.r, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.x = y.x AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+ g AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+ z AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM g GROUP BY r, start, length),
+ b AS (SELECT * FROM z x WHERE NOT EXISTS (FROM z y WHERE x.r = y.r AND (y.length * x.period > x.length * y.period OR y.length * x.period = x.length * y.period AND (y.start < x.start OR y.start = x.start AND y.period < x.period)))),
+ l AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM z GROUP BY 1),
+ gone AS (SELECT DISTINCT r, i FROM z, unnest(range(start + period, start + length)) AS u(i)),
+ o AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS stay FROM t ANTI JOIN gone USING (r, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(stay, '')) AS collapsed_sha256
+FROM p LEFT JOIN l USING (r) LEFT JOIN b USING (r) LEFT JOIN o USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": CHAT, "op7_decontaminate": DECONTAMINATE, "op8_substring_dedup": SUBSTRING, "op9_jaccard_join": NEAR, "op10_quality_rules": QUALITY, "op11_centroids": _centroids(), "op12_periodic_runs": RUNS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import centroids, chat, decontaminate, languages, license_scan, substring_dedup, token_counts
+from notewright.llm import centroids, chat, decontaminate, languages, license_scan, periodic_runs, substring_dedup, token_counts
 from notewright.llm.jaccard_join import near_duplicates
 from notewright.llm.language_model import classify
 from notewright.llm.mixing import mix_sources
@@ -87,11 +87,17 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with a planted end, and what is left without them."""
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_quality_classifier, op3_language_id, op4_token_counts, op5_license_scan,
-        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules, op11_centroids,
+        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules, op11_centroids, op12_periodic_runs,
     )
 }
 
