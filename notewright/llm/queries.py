@@ -13,6 +13,7 @@ from notewright.llm.language_model import classify
 from notewright.llm.mixing import mix_sources
 from notewright.llm.oracles import ORACLE_SQL
 from notewright.llm.quality_rules import quality_rules
+from notewright.llm.simhash import near_fingerprints
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,11 +94,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and groups of those within 4 bits."""
+    return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_quality_classifier, op3_language_id, op4_token_counts, op5_license_scan,
-        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules, op11_centroids, op12_periodic_runs,
+        op6_chat_format, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_quality_rules, op11_centroids, op12_periodic_runs, op13_simhash,
     )
 }
 
