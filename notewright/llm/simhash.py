@@ -151,7 +151,6 @@ def near(x: np.ndarray, own: np.ndarray, block: np.ndarray, bits: int) -> tuple[
     Shells of the distances to vantage points on four fields prune: summed over the fields, the distances of a pair
     differ by no more than the pair does.
     """
-    groups = _Groups(len(x))
     if not own.any():
         return x[:0], x[:0]
     masks = [U64(m) for m in _spread(4)]
@@ -159,22 +158,20 @@ def near(x: np.ndarray, own: np.ndarray, block: np.ndarray, bits: int) -> tuple[
     shell = np.stack([np.bitwise_count((x ^ vantage) & m) for m in masks], 1).astype(np.int64)
     code = shell @ np.array([17**3, 17**2, 17, 1])
     order = np.lexsort((x, code))
-    starts = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
-    stops = np.append(starts[1:], len(x))
+    x, own, block, code, groups = x[order], own[order], block[order], code[order], _Groups(len(x))
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    size = np.diff(np.append(starts, len(x)))
     shells = shell[order[starts]]
-    two = len(np.unique(block)) > 1
-    for g, (i, j) in enumerate(zip(starts, stops, strict=True)):
-        rows = order[i:j]
-        rows = rows[own[rows]]
-        if not len(rows):
-            continue
+    two = block.min() != block.max()
+    for g in np.unique(np.searchsorted(starts, np.flatnonzero(own), "right") - 1):
+        rows = starts[g] + np.flatnonzero(own[starts[g] : starts[g] + size[g]])
         close = np.flatnonzero(np.abs(shells - shells[g]).sum(axis=1) <= bits)
-        others = np.concatenate([order[starts[k] : stops[k]] for k in close])
-        # of two own fingerprints the one in the later shell has the pair; within a shell both do
-        earlier = np.repeat(close < g, (stops - starts)[close])
-        others = others[~(earlier & own[others])]
-        for b in np.unique(block[rows]):
-            mine, rest = rows[block[rows] == b], others[block[others] != b] if two else others
+        n = size[close]
+        others = np.repeat(starts[close] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # of two own fingerprints the one in the earlier shell has the pair; within a shell both do
+        others = others[(others >= starts[g]) | ~own[others]]
+        for b in np.unique(block[rows]) if two else (block[0],):
+            mine, rest = (rows[block[rows] == b], others[block[others] != b]) if two else (rows, others)
             for _ in range(16):  # a member whose surroundings hold many joins these at once, and no pairs of theirs are left
                 if len(mine) < 64:
                     break
