@@ -191,7 +191,7 @@ def near(x: np.ndarray, own: np.ndarray, block: np.ndarray, bits: int) -> tuple[
     return x[member], x[root[member]]
 
 
-def _links(distinct: DataFrame, n: int, bits: int, scratch: Scratch) -> DataFrame:
+def _links(distinct: DataFrame, n: int, bits: int) -> DataFrame:
     """(a, b) of fingerprints as long: what connects those that are within `bits` of each other."""
     spark = distinct.sparkSession
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(U64)
@@ -236,7 +236,7 @@ def _links(distinct: DataFrame, n: int, bits: int, scratch: Scratch) -> DataFram
             yield from stars(held)
         release()
 
-    tasks = max(1, len(sizes))
+    tasks = max(1, sum(b * (b + 1) // 2 for b in (-(-r["count"] // CELL) for r in sizes)))
     return cells.repartition(tasks, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(meet, "a long, b long")
 
 
@@ -270,7 +270,7 @@ def near_fingerprints(docs: DataFrame, bits: int = 4, shingle: int = 4, doc_id:
     rows = scratch.write(base.mapInArrow(printed, f"doc_id {kind}, fp long"), "rows")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     n = distinct.count()
-    links = scratch.write(_links(distinct, n, bits, scratch), "links", n)
+    links = scratch.write(_links(distinct, n, bits), "links")  # a task for each cell
     groups = components(links, scratch).toDF("fp", "comp")
     # joins of written tables: Spark splits the rows of a large component over tasks
     named = scratch.write(distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp")), "named", n)
