@@ -131,8 +131,8 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
         edges = np.searchsorted(p, np.arange(n + 1))
         for i in np.flatnonzero(np.diff(edges)):
             k = keep[edges[i] : edges[i + 1]]
-            key, back = np.unique(np.stack([doc[k], th[k].astype(np.int64)], 1), axis=0, return_inverse=True)
-            out.append((int(i), _blobs.pack([h[k], key[:, 0].copy(), key[:, 1].astype(np.uint32), _blobs.small(back.ravel()), _blobs.small(a[k]), _blobs.small(b[k] - a[k])])))
+            key, back = np.unique(np.stack([doc[k], th[k]], 1), axis=0, return_inverse=True)
+            out.append((int(i), _blobs.pack([h[k], key[:, 0].copy(), key[:, 1].copy(), _blobs.small(back.ravel()), _blobs.small(a[k]), _blobs.small(b[k] - a[k])])))
         anywhere = int(h[0] >> shift)  # marks need no bucket of their own: deal them out
         places = [(anywhere + 797 * i) % n if p == mark else p for i, (p, _) in enumerate(out)]
         yield from _blobs.rows(places, [x for _, x in out])
@@ -148,7 +148,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
                 if not len(a):
                     continue
                 row = np.searchsorted(s.first, a, "right") - 1
-                held.append([h, ids[t.lo + row], ths[t.lo + row].astype(np.uint32), a - s.first[row], b - s.first[row]])
+                held.append([h, ids[t.lo + row], ths[t.lo + row], a - s.first[row], b - s.first[row]])
                 size += len(a)
                 if size >= held_runs:
                     yield from send(held)
@@ -188,12 +188,12 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
 
     def by_document(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         doc, th, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        p = (mix(doc.view(U64)) >> U64(64 - (doc_buckets.bit_length() - 1))).astype(np.int64)
+        p = (mix(doc.view(U64) ^ th.view(U64)) >> U64(64 - (doc_buckets.bit_length() - 1))).astype(np.int64)
         order = np.argsort(p, kind="stable")
         edges = np.searchsorted(p[order], np.arange(doc_buckets + 1))
         places = np.flatnonzero(np.diff(edges))
         own = [order[edges[i] : edges[i + 1]] for i in places]
-        yield from _blobs.rows(places.tolist(), [_blobs.pack([doc[k], th[k].astype(np.uint32), _blobs.small(a[k]), _blobs.small(b[k] - a[k])]) for k in own])
+        yield from _blobs.rows(places.tolist(), [_blobs.pack([doc[k], th[k], _blobs.small(a[k]), _blobs.small(b[k] - a[k])]) for k in own])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All spans of a document meet; overlapping ones become one."""
@@ -220,6 +220,17 @@ def repeated_spans(docs: DataFrame, min_sentences: int, min_words: int, alone: i
     return _blobs.dealt(merged, doc_buckets).mapInArrow(cover, "_nw_id long, _nw_th long, _nw_marks binary")
 
 
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with _nw_id, _nw_th and _nw_text: the first two tell documents apart.
+
+    _nw_th is a 64-bit hash of the text.  _nw_id is the id, and for a null one a second hash of the text, of 62
+    bits and below all ids from -2**62 on.  So of 10**11 texts of null ids no two are taken for one, and of 10**10 different
+    texts under one id some three pairs.
+    """
+    second = F.pmod(F.xxhash64(F.lit("second"), F.col(text)), F.lit(1 << 62)) - F.lit(1 << 62) - F.lit(1 << 62)
+    return docs.withColumn("_nw_id", F.coalesce(F.col(doc_id).cast("long"), second)).withColumn("_nw_th", F.xxhash64(F.col(text))).withColumn("_nw_text", F.col(text))
+
+
 def remove_repeated(
     docs: DataFrame,
     min_sentences: int = 2,
@@ -231,13 +242,13 @@ def remove_repeated(
     """All rows and columns of docs; text without the repeated sentences; and _nw_sentences, _nw_removed.
 
     Occurrences are ordered by doc_id (a whole number), then place, so the copy in the smallest doc_id stays whole.
-    Rows with the same doc_id and text are one document: what is removed in one is removed in all.  Null doc_id
-    comes before all others.  Null text stays null; text without words stays as it is.  A text whose sentences all go
+    Rows with the same doc_id and text are one document: what is removed in one is removed in all.  Null doc_ids
+    come before all others, each text of them a document.  Null text stays null; text without words stays as it is.  A text whose sentences all go
     is empty.  Repeated runs of several sentences with under min_words words together stay, and single repeated
     sentences under `alone` words.  Scripts without blanks: see sentences().
     """
     lean(docs.sparkSession)
-    key = docs.withColumn("_nw_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_nw_th", F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32))).withColumn("_nw_text", F.col(text))
+    key = keyed(docs, doc_id, text)
     spans = repeated_spans(key, min_sentences, min_words, alone)
     joined = key.drop("_nw_text").join(spans, ["_nw_id", "_nw_th"], "left").drop("_nw_id", "_nw_th")
     names = docs.columns
