@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm._shared import Scratch, shared_dir
+from notewright.llm._shared import Scratch, delete, exists, shared_dir
 from notewright.llm.decontaminate import contamination
 from notewright.llm.jaccard_join import near_duplicates
 from notewright.llm.language_model import classify
@@ -87,15 +88,33 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the tables that a run reads: their files with lengths and times, and the stages in their order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = [title for title, _ in STAGES]
+    for name in ("documents", "labels", "benchmark"):
+        place = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = place.getFileSystem(conf).listStatus(place)
+        seen += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+
+
 def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
-    """The last stage's rows.  Each stage's table stands in the shared folder under name; a run of the same name goes on behind the last stage that was wholly written."""
+    """The last stage's rows.  Each stage's table stands in the shared folder, and is deleted once the next one is wholly written.
+
+    A run with a name goes on behind the last stage that an earlier run of that name wrote from the same files; from
+    others, or with other stages, it starts anew.
+    """
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/notewright/pipeline-{name or uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    for k, (title, stage) in enumerate(STAGES):
-        path = f"{root}/{k}-{title.replace(' ', '-')}"
-        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not (name and done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)):
-            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
+    root = f"{shared_dir(spark)}/notewright/pipeline-{f'{name}-{_inputs(spark, sf_dir)}' if name else uuid.uuid4().hex}"
+    paths = [f"{root}/{k}-{title.replace(' ', '-')}" for k, (title, _) in enumerate(STAGES)]
+    done = max((k for k, path in enumerate(paths) if name and exists(spark, f"{path}/_SUCCESS")), default=-1)
+    if done >= 0:
+        docs = spark.read.parquet(paths[done])
+    for k, (_, stage) in enumerate(STAGES):
+        if k > done:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+            docs = spark.read.parquet(paths[k])
+            if k:
+                delete(spark, paths[k - 1])
     return docs

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.sources.shared import Scratch, shared_dir
+from notewright.sources.shared import Scratch, delete, exists, shared_dir
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that go to Python at once; the default of 10,000 texts is a lot beside an executor's other memory.
@@ -61,4 +61,4 @@ def in_filter(have: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return have[(hashes.view(np.uint64) & np.uint64(len(have) - 1)).astype(np.int64)]
 
 
-__all__ = ["Scratch", "bit_filter", "in_filter", "join_keys", "lean", "shared_dir", "tidy"]
+__all__ = ["Scratch", "bit_filter", "delete", "exists", "in_filter", "join_keys", "lean", "shared_dir", "tidy"]

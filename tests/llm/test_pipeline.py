@@ -91,3 +91,8 @@ def test_run_is_its_stages_slow_twins(spark, tmp_path):
     assert sorted((*map(str, r[:5]), r.mix_size, r.mix_taken) for r in got.collect()) == want
     again = corpus_pipeline.run(spark, str(tmp_path), "twin")  # all its stages are there
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+    other = f"{tmp_path}/other"
+    docs.limit(0).write.parquet(f"{other}/documents.parquet")
+    labels.write.parquet(f"{other}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{other}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, other, "twin").count() == 0  # of the same name, from other files
