@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.operators import clusters, incremental, interactions, layout, models, notes, search
+from notewright.operators.fulltext import FullText
+from notewright.sources.shared import Scratch
 from notewright.sources.tables import normalize_notes
 
 NO_INTERACTIONS = "title string, last_opened string, interaction_log string"
@@ -26,8 +28,16 @@ class NoteEngine:
     # state
 
     def refresh(self, note_chunks: DataFrame) -> None:
-        """Takes a new table of chunks."""
+        """Takes a new table of chunks; its full-text index is made anew by the first search."""
         self.notes = normalize_notes(note_chunks)
+        self._index: FullText | None = None
+
+    def full_text(self) -> FullText:
+        """The stored full-text index of the chunks, in the shared folder; changes by reindex() go on in it."""
+        if self._index is None:
+            self._index = FullText(self.spark, Scratch(self.spark, "engine-index").root)
+            self._index.add(self.notes)
+        return self._index
 
     def stats(self) -> DataFrame:
         return notes.counts(self.notes)
@@ -97,10 +107,18 @@ class NoteEngine:
             vector = models.embed_query(self.spark, text, self.embedder)
         a, b = notes.search_dates(bool(text), low, high, today)
         titles = None if a is None and b is None else interactions.titles_in_range(self.notes, self.interactions, a, b)
-        return search.search_api(self.notes, titles, text, vector, today, low, high, limit, most, field, order)
+        return search.search_api(self.notes, titles, text, vector, today, low, high, limit, most, field, order, self.full_text().postings() if text else None)
 
     def search_notes(self, text: str, vector: list[float] | None = None, least: float = 0.05) -> DataFrame:
-        return search.search_notes(self.notes, text, vector, least)
+        return search.search_notes(self.notes, text, vector, least, index=self.full_text().postings())
+
+    def ranked(self, text: str, limit: int = 10, field: str = "chunk", every: bool = False) -> DataFrame:
+        """The best chunks for a query by BM25, found in the stored index alone."""
+        return self.full_text().ranked(text, field, every).orderBy(F.desc("score"), "doc_id").limit(limit)
+
+    def phrase(self, text: str) -> DataFrame:
+        """Chunks in which the words of text stand one after another, found in the stored index alone."""
+        return self.full_text().phrase(text)
 
     # interactions
 
@@ -142,4 +160,8 @@ class NoteEngine:
     def reindex(self, changed: DataFrame, fetched: DataFrame) -> None:
         """Drops the chunks of modified notes and adds the fetched ones, which have the columns of the stored ones."""
         stay = incremental.without_modified(self.notes, changed)
-        self.refresh(stay.unionByName(normalize_notes(fetched), allowMissingColumns=True))
+        added = normalize_notes(fetched)
+        if self._index is not None:
+            self._index.remove(self.notes.join(stay.select("doc_id"), "doc_id", "left_anti"))
+            self._index.add(added)
+        self.notes = normalize_notes(stay.unionByName(added, allowMissingColumns=True))

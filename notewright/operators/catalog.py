@@ -41,7 +41,11 @@ def append_embedded(df: DataFrame, name: str, embedder=None) -> int:  # noqa: AN
 
 
 def overwrite(df: DataFrame, name: str) -> None:
-    """Replaces a table by a frame that may read it: written beside it, then swapped by renaming; the old table goes last, so that the rows are in the catalog at any time."""
+    """Replaces a table by a frame that may read it: written beside it, then swapped by two renames.
+
+    Between these the name is gone, while the rows stand under name_old_copy and name_new_copy.  KeyedTable.replace has no
+    such moment.
+    """
     spark = df.sparkSession
     beside, old = f"{name}_new_copy", f"{name}_old_copy"
     spark.sql(f"DROP TABLE IF EXISTS {beside}")

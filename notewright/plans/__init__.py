@@ -1,6 +1,6 @@
 """All registered queries, and their SQL."""
 
-from notewright.plans import viewer
+from notewright.plans import stored, viewer
 from notewright.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "viewer"]
+__all__ = ["ORACLE_SQL", "QUERIES", "stored", "viewer"]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from notewright.functions import numbers as num
 from notewright.functions import text as tx
 from notewright.operators import chunking, clusters, density, hierarchy, incremental, interactions, layout, models, notes, search, topics, words
-from notewright.sources.shared import Scratch, exists
+from notewright.operators.fulltext import FullText
+from notewright.sources.shared import Scratch, files_mark
 from notewright.sources.tables import events_view, interactions_table, list_tables, normalize_notes, notes_view, open_window_titles, order_tables, read, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,17 +70,21 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in read(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, str], FullText] = {}
+
+
+def full_text_of(spark: SparkSession, d: str) -> FullText:
+    """The stored full-text index of the notes: written to the shared folder by the first query of a session that needs it, and anew when their files change."""
+    key = spark.sparkContext.applicationId, d, files_mark(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet")
+    have = _INDEXES.get(key)
+    if have is None or not have.pointer.version():
+        have = _INDEXES[key] = FullText(spark, Scratch(spark, "index").root)
+        have.add(notes_view(spark, d))
+    return have
 
 
 def index_of(spark: SparkSession, d: str) -> DataFrame:
-    """The stored full-text index of the notes: written to the shared folder by the first query of a session that needs it."""
-    key = spark.sparkContext.applicationId, d
-    path = _INDEXES.get(key)
-    if path is None or not exists(spark, f"{path}/postings/_SUCCESS"):
-        path = _INDEXES[key] = Scratch(spark, "index").root
-        models.write_index(notes_view(spark, d), path)
-    return models.read_index(spark, path)
+    return full_text_of(spark, d).postings()
 
 
 # ---- scans, projections, lookups

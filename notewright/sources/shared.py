@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def files_mark(spark: SparkSession, *paths: str) -> str:
+    """A short text that changes with the files of some tables: their names, lengths and times."""
+    jvm, seen = spark.sparkContext._jvm, []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        seen += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files.listStatus(place))
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

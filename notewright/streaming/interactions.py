@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from notewright.operators.catalog import overwrite
 from notewright.operators.interactions import log_interactions
+from notewright.operators.keyed import KeyedTable
 
 
 def read_events(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
@@ -22,7 +23,11 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def merge_into(events: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends each batch to the logs in the table, which must exist; a batch that is repeated after a failure is not appended again."""
+    """Appends each batch to the logs in a catalog table, which must exist.
+
+    A batch that is repeated is left out once its number is stored; that happens behind the table's own write, so a
+    failure just between the two appends the batch twice.  merge_keyed has no such gap.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -34,3 +39,22 @@ def merge_into(events: DataFrame, table: str, checkpoint: str, once: bool = True
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def merge_keyed(events: DataFrame, table: KeyedTable, checkpoint: str, name: str = "events", once: bool = True) -> StreamingQuery:
+    """Appends each batch to the logs in a table keyed by title, exactly once.
+
+    A batch's number is published in one step with its rows, so whenever it fails, a repeated batch either has not
+    counted or does nothing.  Only the buckets of the batch's titles are read and written.  Streams into one table
+    need names of their own.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        stored = table.mark(name)
+        if stored is not None and stored >= number:
+            return
+        titles = batch.select("title").distinct()
+        table.upsert(log_interactions(table.lookup(titles), batch).select("title", "last_opened", "interaction_log"), (name, number))
+
+    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
