@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notewright.operators import clusters, incremental, interactions, layout, models, notes, search
 from notewright.operators.fulltext import FullText
+from notewright.operators.vectors import VectorLists
 from notewright.sources.shared import Scratch
 from notewright.sources.tables import normalize_notes
 
@@ -31,6 +32,13 @@ class NoteEngine:
         """Takes a new table of chunks; its full-text index is made anew by the first search."""
         self.notes = normalize_notes(note_chunks)
         self._index: FullText | None = None
+        self._lists: VectorLists | None = None
+
+    def vector_lists(self) -> VectorLists:
+        """The stored lists of the chunks' vectors, in the shared folder; made anew after a change."""
+        if self._lists is None:
+            self._lists = VectorLists.build(self.notes, Scratch(self.spark, "engine-vectors").root)
+        return self._lists
 
     def full_text(self) -> FullText:
         """The stored full-text index of the chunks, in the shared folder; changes by reindex() go on in it."""
@@ -107,10 +115,10 @@ class NoteEngine:
             vector = models.embed_query(self.spark, text, self.embedder)
         a, b = notes.search_dates(bool(text), low, high, today)
         titles = None if a is None and b is None else interactions.titles_in_range(self.notes, self.interactions, a, b)
-        return search.search_api(self.notes, titles, text, vector, today, low, high, limit, most, field, order, self.full_text().postings() if text else None)
+        return search.search_api(self.notes, titles, text, vector, today, low, high, limit, most, field, order, self.full_text().postings() if text else None, self.vector_lists() if text and vector else None)
 
     def search_notes(self, text: str, vector: list[float] | None = None, least: float = 0.05) -> DataFrame:
-        return search.search_notes(self.notes, text, vector, least, index=self.full_text().postings())
+        return search.search_notes(self.notes, text, vector, least, index=self.full_text().postings(), lists=self.vector_lists() if vector else None)
 
     def ranked(self, text: str, limit: int = 10, field: str = "chunk", every: bool = False) -> DataFrame:
         """The best chunks for a query by BM25, found in the stored index alone."""
@@ -164,4 +172,5 @@ class NoteEngine:
         if self._index is not None:
             self._index.remove(self.notes.join(stay.select("doc_id"), "doc_id", "left_anti"))
             self._index.add(added)
+        self._lists = None
         self.notes = normalize_notes(stay.unionByName(added, allowMissingColumns=True))

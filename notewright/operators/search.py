@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,9 @@ from notewright.functions.numbers import cosine, distance_to_cosine, literal_vec
 from notewright.functions.text import SEARCH_STOP_WORDS, preview, search_tokens
 from notewright.operators.notes import in_dates, search_dates
 
+if TYPE_CHECKING:
+    from notewright.operators.vectors import VectorLists
+
 RESULT = ["doc_id", "unique_key", "title", "creation_date", "modification_date", "chunk_index", "total_chunks", "chunk_content", "score", "source", "place"]
 
 
@@ -119,11 +122,13 @@ def search(
     order: str = "best_first",
     index: DataFrame | None = None,
     unfiltered_fallback: bool = False,
+    lists: VectorLists | None = None,
 ) -> DataFrame:
     """All legs in one pass over the chunks; a chunk counts in the first leg that finds it; scores by leg; the best (or, as the original has it, the worst) come first.
 
     order: best_first, or reference (ascending).  unfiltered_fallback: without any substring match, the first 100 chunks
-    count as partial ones, as in the original.
+    count as partial ones, as in the original.  lists: the stored lists of the vectors, of which only some are read; the
+    result is the same.
     """
     if order not in ("best_first", "reference"):
         raise ValueError(order)
@@ -136,7 +141,7 @@ def search(
     # each leg: its number, its priority, whether a chunk is in it, score, source, and how many of its best count
     legs: list[tuple[int, Column, Column, Column, int]] = []
     if vector:
-        near = knn(notes, vector, limit * 2, most)
+        near = lists.knn(vector, limit * 2, most) if lists else knn(notes, vector, limit * 2, most)
         base = base.join(F.broadcast(near.withColumnRenamed("distance", "_d")), "doc_id", "left")
         legs.append((1, F.col("_d").isNotNull(), relevance(F.col("_d")), F.lit("vector"), limit * 2))
     if q.terms:
@@ -173,29 +178,29 @@ def search_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct("title").alias("unique_titles"))
 
 
-def search_api(notes: DataFrame, titles: DataFrame | None, text: str | None, vector: list[float] | None, today: str, low: str | None = None, high: str | None = None, limit: int = 1000, most: float = 0.8, field: str = "both", order: str = "best_first", index: DataFrame | None = None) -> DataFrame:
+def search_api(notes: DataFrame, titles: DataFrame | None, text: str | None, vector: list[float] | None, today: str, low: str | None = None, high: str | None = None, limit: int = 1000, most: float = 0.8, field: str = "both", order: str = "best_first", index: DataFrame | None = None, lists: VectorLists | None = None) -> DataFrame:
     """Three ways to search: by query; by query within dates, applied after the limit; by dates alone, in the order of rows with score 0.
 
     titles: those with interactions in the dates, which count besides the notes' own dates.
     """
     low, high = search_dates(bool(text), low, high, today)
     if low is None and high is None:
-        return search(notes, text or "", vector, limit, most, order, index)
+        return search(notes, text or "", vector, limit, most, order, index, lists=lists)
     allowed = notes.where(in_dates(low, high, field)).select("title")
     allowed = (allowed if titles is None else allowed.union(titles.select("title"))).distinct()
     if text:
-        return search(notes, text, vector, limit, most, order, index).join(allowed, "title", "left_semi").select(*RESULT)
+        return search(notes, text, vector, limit, most, order, index, lists=lists).join(allowed, "title", "left_semi").select(*RESULT)
     found = notes.join(allowed, "title", "left_semi").withColumn("score", F.lit(0.0)).withColumn("source", F.lit("date")).orderBy("doc_id").limit(limit)
     return found.withColumn("place", F.row_number().over(Window.orderBy("doc_id")).cast("long")).select(*RESULT)
 
 
-def search_notes(notes: DataFrame, text: str, vector: list[float] | None = None, least: float = 0.05, near: int = 100, index: DataFrame | None = None) -> DataFrame:
+def search_notes(notes: DataFrame, text: str, vector: list[float] | None = None, least: float = 0.05, near: int = 100, index: DataFrame | None = None, lists: VectorLists | None = None) -> DataFrame:
     """One row for each note title: its nearest chunk, else a full-text, substring or whole-word hit; best first."""
     q = analyse(text)
     index = postings(notes) if index is None else index
     legs = []
     if vector:
-        close = notes.join(knn(notes, vector, near), "doc_id").withColumn("cos", distance_to_cosine(F.sqrt("distance"))).where(F.col("cos") >= least)
+        close = notes.join(F.broadcast(lists.knn(vector, near) if lists else knn(notes, vector, near)), "doc_id").withColumn("cos", distance_to_cosine(F.sqrt("distance"))).where(F.col("cos") >= least)
         legs.append(close.select("title", "doc_id", F.round(100 * F.col("cos"), 2).alias("score"), F.lit("vector").alias("source"), F.lit(1).alias("leg")))
     score = F.when(F.col("vector").isNotNull(), F.round(100 * F.greatest(F.lit(0.0), cosine(F.col("vector"), literal_vector(vector))), 2)).otherwise(70.0) if vector else F.lit(70.0)
     if q.terms:

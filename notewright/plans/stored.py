@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from notewright.operators.fulltext import FullText
 from notewright.operators.keyed import KeyedTable
-from notewright.plans.registry import NOTES, TEXT, full_text_of, register
-from notewright.sources.shared import Scratch
+from notewright.operators.trigrams import Trigrams
+from notewright.operators.vectors import VectorLists
+from notewright.plans.registry import KNN, NOTES, TEXT, full_text_of, query_vector, register
+from notewright.sources.shared import Scratch, files_mark
 from notewright.sources.tables import notes_view
 
 _TERMS = ", ".join(f"'{t}'" for t in TEXT.split())
@@ -73,3 +75,65 @@ def keyed_updates(spark, d):
     gone = n.where("lang = 'fr'").select("doc_id")
     table.replace(table.read().join(gone, "doc_id", "left_anti").select(*columns))
     return table.read()
+
+
+# ---- vectors
+
+_LISTS: dict[tuple[str, str, str], VectorLists] = {}
+
+
+def lists_of(spark: SparkSession, d: str) -> VectorLists:
+    """The stored lists of the notes' vectors, written by the first query of a session that needs them, and anew when their files change."""
+    key = spark.sparkContext.applicationId, d, files_mark(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet")
+    if key not in _LISTS:
+        _LISTS[key] = VectorLists.build(notes_view(spark, d), Scratch(spark, "vectors").root)
+    return _LISTS[key]
+
+
+@register("SELECT doc_id, round(d, 4) AS distance FROM near ORDER BY d, doc_id LIMIT 20", NOTES, KNN)
+def knn_lists(spark, d):
+    """The nearest chunks, from the lists that can hold them."""
+    return lists_of(spark, d).knn(query_vector(spark, d), 20).withColumn("distance", F.round("distance", 4))
+
+
+@register("""SELECT query_id, doc_id, round(d, 4) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS place FROM (
+ SELECT a.doc_id AS query_id, b.doc_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.vector[i] AS DOUBLE) - CAST(b.vector[i] AS DOUBLE)) * (CAST(a.vector[i] AS DOUBLE) - CAST(b.vector[i] AS DOUBLE)))) AS d
+ FROM notes a, notes b WHERE a.doc_id % 50 = 0 AND a.vector IS NOT NULL AND b.vector IS NOT NULL) QUALIFY place <= 10""", NOTES)
+def knn_lists_many(spark, d):
+    """The ten nearest of every row whose id is divisible by 50, against all rows."""
+    queries = notes_view(spark, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    return lists_of(spark, d).neighbours(queries, 10, probes=4, exact=True).withColumn("distance", F.round("distance", 4))
+
+
+@register()
+def knn_lists_probed(spark, d):
+    """The same from the nearest six tenths of the lists alone, and so without a second pass; a test holds its recall against all distances.
+
+    The test tables' vectors have no structure: they need that many lists for a recall of 0.9.
+    """
+    queries, lists = notes_view(spark, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector"), lists_of(spark, d)
+    return lists.neighbours(queries, 10, probes=max(1, round(0.6 * len(lists.lists()[0]))))
+
+
+# ---- substrings
+
+_GRAMS: dict[tuple[str, str, str], Trigrams] = {}
+
+
+def trigrams_of(spark: SparkSession, d: str) -> Trigrams:
+    """The stored trigrams of the notes' chunks, kept like lists_of."""
+    key = spark.sparkContext.applicationId, d, files_mark(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet")
+    if key not in _GRAMS:
+        _GRAMS[key] = Trigrams.build(notes_view(spark, d), Scratch(spark, "trigrams").root)
+    return _GRAMS[key]
+
+
+@register("SELECT doc_id FROM notes WHERE contains(lower(chunk_content), 'released') AND contains(lower(chunk_content), 'license')", NOTES)
+def like_trigrams(spark, d):
+    return trigrams_of(spark, d).like_all("Released of License").select("doc_id")
+
+
+@register("SELECT doc_id, length(chunk_content) AS size FROM notes WHERE contains(lower(chunk_content), 'ral public lic')", NOTES)
+def substring_trigrams(spark, d):
+    """A piece that begins and ends within words."""
+    return trigrams_of(spark, d).having(["ral Public lic"]).select("doc_id", F.length("text").alias("size"))
