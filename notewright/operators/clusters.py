@@ -38,9 +38,13 @@ def first_labels(notes: DataFrame, by: str = "display_topic_id") -> DataFrame:
 def colors(notes: DataFrame, by: str = "display_topic_id") -> DataFrame:
     """(cluster_id, color) of every cluster, from the direction of its centroid off the mean of the centroids."""
     mean = notes.where("vector is not null").groupBy(F.col(by).alias("cluster_id")).agg(*(F.avg(F.get("vector", F.lit(i)).cast("double")).alias(f"c{i}") for i in (0, 1)))
+    return placed_colors(mean, notes.select(F.col(by).alias("cluster_id")).where("cluster_id is not null").distinct())
+
+
+def placed_colors(mean: DataFrame, every: DataFrame) -> DataFrame:
+    """(cluster_id, color) of every cluster, of mean (cluster_id, c0, c1): the first two components of centroids."""
     middle = mean.agg(F.avg("c0").alias("g0"), F.avg("c1").alias("g1"))
     placed = mean.crossJoin(F.broadcast(middle)).select("cluster_id", (F.col("c0") - F.col("g0")).alias("dx"), (F.col("c1") - F.col("g1")).alias("dy"))
-    every = notes.select(F.col(by).alias("cluster_id")).where("cluster_id is not null").distinct()
     return every.join(placed, "cluster_id", "left").select("cluster_id", cluster_color(F.col("dx"), F.col("dy")).alias("color"))
 
 
@@ -66,7 +70,12 @@ def similar_clusters(notes: DataFrame, cluster_id: str, limit: int = 25, least:
 
 def meta_clusters(notes: DataFrame) -> DataFrame:
     """Flat hierarchy: a row for each cluster with its meta cluster's facts; newest meta clusters first, then largest clusters."""
-    facts = cluster_facts(notes).join(colors(notes), "cluster_id", "left")
+    return hierarchy_of(cluster_facts(notes), colors(notes))
+
+
+def hierarchy_of(facts: DataFrame, shades: DataFrame) -> DataFrame:
+    """meta_clusters of clusters' facts and colours."""
+    facts = facts.join(shades, "cluster_id", "left")
     meta = facts.groupBy("meta_cluster_id").agg(F.max("last_modified").alias("meta_last_modified"), F.sum("chunk_count").alias("meta_chunks"), F.min_by("meta_label", "first_doc_id").alias("meta_cluster_label"))
     out = facts.join(meta, "meta_cluster_id").select("meta_cluster_id", "meta_cluster_label", "meta_last_modified", "meta_chunks", "cluster_id", "label", "chunk_count", "color")
     return out.orderBy(F.desc_nulls_last("meta_last_modified"), "meta_cluster_id", F.desc("chunk_count"), "cluster_id")

@@ -108,6 +108,10 @@ class KeyedTable:
         """
         return self._change(rows, rows, mark)
 
+    def upsert_keys(self, keys: DataFrame, rows: DataFrame, mark: tuple[str, int] | None = None) -> int:
+        """Puts rows in the place of all rows with these keys, which the keys of rows are among; a key without a row loses what it had."""
+        return self._change(keys, rows, mark)
+
     def delete(self, keys: DataFrame, mark: tuple[str, int] | None = None) -> int:
         """Removes all rows with these keys."""
         return self._change(keys, None, mark)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.operators import catalog, models, topics
 from notewright.operators.fulltext import FullText
 from notewright.operators.keyed import KeyedTable
+from notewright.operators.maintained import ClusterAggregates
 from notewright.operators.trigrams import Trigrams
 from notewright.operators.vectors import VectorLists
-from notewright.plans.registry import KNN, NOTES, TEXT, full_text_of, query_vector, register
+from notewright.plans.registry import ALL_NOTES, COLORS, CTD, CV, FACTS, KNN, META, NOTES, TEXT, current, full_text_of, query_vector, register
+from notewright.sources.listing import ListedFiles, read_listing
 from notewright.sources.shared import Scratch, files_mark
-from notewright.sources.tables import notes_view
+from notewright.sources.tables import notes_view, order_tables
 
 _TERMS = ", ".join(f"'{t}'" for t in TEXT.split())
 _TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -137,3 +140,97 @@ def like_trigrams(spark, d):
 def substring_trigrams(spark, d):
     """A piece that begins and ends within words."""
     return trigrams_of(spark, d).having(["ral Public lic"]).select("doc_id", F.length("text").alias("size"))
+
+
+# ---- maintained aggregates
+
+_FINAL = "notes AS (SELECT * REPLACE (CASE WHEN title = 'src3' THEN '2024-02-01' ELSE modification_date END AS modification_date, CASE WHEN title = 'src3' THEN '0' ELSE display_topic_id END AS display_topic_id, CASE WHEN title = 'src3' THEN 'Topic 0' ELSE cluster_label END AS cluster_label) FROM every_note WHERE coalesce(lang, '') <> 'fr')"
+
+
+_KEPT: dict[tuple[str, str, str], ClusterAggregates] = {}
+
+
+def maintained(spark: SparkSession, d: str) -> ClusterAggregates:
+    """Kept like lists_of."""
+    key = spark.sparkContext.applicationId, d, files_mark(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet")
+    if key not in _KEPT:
+        _KEPT[key] = changed_aggregates(spark, d)
+    return _KEPT[key]
+
+
+def changed_aggregates(spark: SparkSession, d: str) -> ClusterAggregates:
+    """Built of all notes but one; then that one comes, another moves to cluster 0 with a later date, and those of a language go."""
+    n = notes_view(spark, d)
+    moved = n.where("title = 'src3'").withColumn("modification_date", F.lit("2024-02-01")).withColumn("display_topic_id", F.lit("0")).withColumn("cluster_label", F.lit("Topic 0"))
+    after = n.where("title <> 'src3'").unionByName(moved)
+    kept = ClusterAggregates.build(n.where("title <> 'src5'"), Scratch(spark, "aggregates").root)
+    kept.change(n.where("title = 'src5'"), n.limit(0), n, 1)
+    kept.change(moved, n.where("title = 'src3'"), after, 2)
+    kept.change(n.limit(0), after.where("lang = 'fr'"), after.where("coalesce(lang, '') <> 'fr'"), 3)
+    return kept
+
+
+@register("SELECT cluster_id, CAST(dim AS BIGINT) AS dim, round(value, 4) AS value FROM cv", ALL_NOTES, _FINAL, CV)
+def maintained_centroids(spark, d):
+    return maintained(spark, d).centroid_values().withColumn("value", F.round("value", 4))
+
+
+@register(META, ALL_NOTES, _FINAL, FACTS, COLORS)
+def maintained_meta_clusters(spark, d):
+    return maintained(spark, d).meta_clusters()
+
+
+# ---- listings
+
+
+@register("SELECT title, creation_date, modification_date, row_number() OVER (ORDER BY title, creation_date, modification_date) - 1 AS place FROM (SELECT DISTINCT title, creation_date, modification_date FROM notes WHERE greatest(creation_date, modification_date) > '2024-01-12') ORDER BY place LIMIT 60", NOTES)
+def recent_listing(spark, d):
+    """The first 60 notes after a date, from a source that is asked for windows of 50."""
+    listed = Scratch(spark, "listing").write(current(spark, d), "notes")
+    found = read_listing(spark, ListedFiles(listed._notewright_path), most=60)
+    return found.where("last_date > '2024-01-12'").select("title", "creation_date", "modification_date", "place")
+
+
+# ---- others
+
+
+@register("SELECT doc_id, length(chunk_content) AS size, 64 AS dim FROM notes", NOTES)
+def embedded_on_write(spark, d):
+    """All chunks appended to a table of the catalog, their vectors made on the way."""
+    own = Scratch(spark, "embedded")
+    base = "notewright_" + own.root[-32:]
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{own.root}'")
+    try:
+        n = notes_view(spark, d).select("doc_id", "chunk_content", F.lit(None).cast("array<float>").alias("vector"))
+        catalog.create(n.limit(0), f"{base}.notes", fresh=True)
+        catalog.append_embedded(n, f"{base}.notes", models.HashingEmbedder(64))
+        written = spark.table(f"{base}.notes").select("doc_id", F.length("chunk_content").alias("size"), F.size("vector").alias("dim"))
+        return Scratch(spark, "embedded-copy").write(written, "copy")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {base}.notes")
+        spark.sql(f"DROP DATABASE {base}")
+
+
+@register("SELECT f.cluster_id AS topic, array_to_string(list(ct.term ORDER BY round(ct.weight, 8) DESC, ct.term)[:10], ' ') AS keywords FROM facts f LEFT JOIN ct ON ct.topic = f.cluster_id WHERE f.cluster_id <> '-1' GROUP BY 1", NOTES, FACTS, "picked AS (SELECT * FROM notes)", CTD)
+def topic_keywords(spark, d):
+    """Keywords of every topic, of the deepest model that has it."""
+    n = notes_view(spark, d).withColumn("confidence", F.col("chunk_index") % 7 / 7.0)
+    return models.gather_topics(n, topics.class_tfidf(n, "display_topic_id")).select("topic", F.array_join("keywords", " ").alias("keywords"))
+
+
+@register()
+def diverse_topic_keywords(spark, d):
+    """Ten keywords of every topic by marginal relevance; a test holds them against plain loops."""
+    return topics.diverse_keywords(notes_view(spark, d))
+
+
+@register("""SELECT name, count(*) AS n_rows, CASE WHEN name = 'notes' THEN 3 WHEN contains(name, 'test') THEN 0 WHEN regexp_matches(name, '[0-9]{10,}') THEN 2 ELSE 1 END AS tier FROM (
+ SELECT CASE WHEN title = 'src0' THEN 'notes' WHEN title = 'src1' THEN 'notes_test' WHEN lang = 'fr' THEN 'notes_backup_17638464' || lpad(substr(title, 4), 2, '0') ELSE 'notes_' || title END AS name FROM notes) GROUP BY 1""", NOTES)
+def tables_ordered(spark, d):
+    """Tables as the notes' titles name them, in the order of a listing."""
+    title = F.col("title")
+    name = (
+        F.when(title == "src0", "notes").when(title == "src1", "notes_test")
+        .when(F.col("lang") == "fr", F.concat(F.lit("notes_backup_17638464"), F.lpad(F.substring(title, 4, 9), 2, "0"))).otherwise(F.concat(F.lit("notes_"), title))
+    )
+    return order_tables(notes_view(spark, d).groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))).select("name", "n_rows", "tier")
