@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.operators import catalog, models, topics
+from notewright.operators import catalog, clusters, models, topics
 from notewright.operators.fulltext import FullText
 from notewright.operators.keyed import KeyedTable
 from notewright.operators.maintained import ClusterAggregates
+from notewright.operators.pairs import similar_pairs
 from notewright.operators.trigrams import Trigrams
 from notewright.operators.vectors import VectorLists
-from notewright.plans.registry import ALL_NOTES, COLORS, CTD, CV, FACTS, KNN, META, NOTES, TEXT, current, full_text_of, query_vector, register
+from notewright.plans.registry import ALL_NOTES, CENT, COLORS, CTD, CV, FACTS, KNN, META, NOTES, TEXT, current, full_text_of, query_vector, register
 from notewright.sources.listing import ListedFiles, read_listing
 from notewright.sources.shared import Scratch, files_mark
 from notewright.sources.tables import notes_view, order_tables
@@ -234,3 +235,23 @@ def tables_ordered(spark, d):
         .when(F.col("lang") == "fr", F.concat(F.lit("notes_backup_17638464"), F.lpad(F.substring(title, 4, 9), 2, "0"))).otherwise(F.concat(F.lit("notes_"), title))
     )
     return order_tables(notes_view(spark, d).groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))).select("name", "n_rows", "tier")
+
+
+# ---- pairs
+
+
+@register("""SELECT x.doc_id AS a, y.doc_id AS b, round(list_cosine_similarity(CAST(x.vector AS DOUBLE[]), CAST(y.vector AS DOUBLE[])), 4) AS similarity FROM notes x, notes y
+ WHERE x.doc_id < y.doc_id AND x.vector IS NOT NULL AND y.vector IS NOT NULL AND list_cosine_similarity(CAST(x.vector AS DOUBLE[]), CAST(y.vector AS DOUBLE[])) >= 0.4""", NOTES)
+def similar_chunks(spark, d):
+    """All pairs of chunks with a cosine of 0.4 or more."""
+    return similar_pairs(notes_view(spark, d), 0.4).withColumn("similarity", F.round("similarity", 4))
+
+
+@register("SELECT a.cluster_id AS a, b.cluster_id AS b, round(list_cosine_similarity(a.centroid, b.centroid), 4) AS similarity FROM cent a, cent b WHERE a.cluster_id < b.cluster_id AND list_cosine_similarity(a.centroid, b.centroid) >= 0.3", NOTES, CENT)
+def similar_centroids(spark, d):
+    """All pairs of clusters whose centroids have a cosine of 0.3 or more."""
+    c = clusters.centroids(notes_view(spark, d)).withColumn("n", F.expr("row_number() OVER (ORDER BY cluster_id)").cast("long"))  # a row a cluster
+    names = c.select("n", "cluster_id")
+    found = similar_pairs(c, 0.3, "n", "centroid")
+    a, b = names.toDF("a", "name_a"), names.toDF("b", "name_b")
+    return found.join(a, "a").join(b, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.round("similarity", 4).alias("similarity"))
