@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.operators import catalog, clusters, models, topics
 from notewright.operators.fulltext import FullText
 from notewright.operators.keyed import KeyedTable
+from notewright.operators.labelling import Replies, label_by_service, topic_request
 from notewright.operators.maintained import ClusterAggregates
 from notewright.operators.pairs import similar_pairs
 from notewright.operators.trigrams import Trigrams
@@ -255,3 +258,42 @@ def similar_centroids(spark, d):
     found = similar_pairs(c, 0.3, "n", "centroid")
     a, b = names.toDF("a", "name_a"), names.toDF("b", "name_b")
     return found.join(a, "a").join(b, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.round("similarity", 4).alias("similarity"))
+
+
+# ---- labels
+
+
+def answer(body: dict, seconds: float) -> str:
+    """Stands for a labelling service: slow for some first keywords, out of order for others."""
+    first, *more = body["messages"][0]["content"].split("Keywords: ")[1].split("\n")[0].split(", ")
+    if len(first) % 3 == 0:
+        raise ConnectionError("out of order")
+    if len(first) % 2 and seconds < 60:
+        raise TimeoutError(f"no reply in {seconds} s")
+    return "```json\n" + json.dumps({"label": f'"{" and ".join([first, *more[:1]])}."'}) + "\n```"
+
+
+def asked_topics(spark: SparkSession, d: str, replies: Replies) -> DataFrame:
+    n = notes_view(spark, d).withColumn("confidence", F.col("chunk_index") % 7 / 7.0)
+    found = models.gather_topics(n, topics.class_tfidf(n, "display_topic_id"))
+    plain = F.coalesce(F.nullif(F.array_join(F.slice("keywords", 1, 5), " & "), F.lit("")), F.concat(F.lit("Topic "), "topic"))
+    return label_by_service(found, replies, answer, topic_request(F.col("keywords"), F.col("documents"), "labels"), plain)
+
+
+_TOP = "top AS (SELECT f.cluster_id AS topic, coalesce(list(ct.term ORDER BY round(ct.weight, 8) DESC, ct.term) FILTER (ct.term IS NOT NULL), []) AS w FROM facts f LEFT JOIN ct ON ct.topic = f.cluster_id WHERE f.cluster_id <> '-1' GROUP BY 1)"
+_OUT_OF_ORDER = "coalesce(length(w[1]), 0) % 3 = 0"
+
+
+@register(f"SELECT topic, CASE WHEN len(w) = 0 THEN 'Topic ' || topic WHEN {_OUT_OF_ORDER} THEN array_to_string(w[:5], ' & ') ELSE array_to_string(w[:2], ' and ') END AS label, CASE WHEN {_OUT_OF_ORDER} THEN 'fallback' ELSE 'service' END AS label_source FROM top", NOTES, FACTS, "picked AS (SELECT * FROM notes)", CTD, _TOP)
+def labels_by_service(spark, d):
+    """A label for every topic from a service that fails, and the keywords where it never replies."""
+    return asked_topics(spark, d, Replies(spark, Scratch(spark, "replies").root)).select("topic", "label", "label_source")
+
+
+@register(f"SELECT topic, CASE WHEN {_OUT_OF_ORDER} THEN 6 WHEN length(w[1]) % 2 = 1 THEN 1 ELSE 0 END AS failures FROM top", NOTES, FACTS, "picked AS (SELECT * FROM notes)", CTD, _TOP)
+def labels_resumed(spark, d):
+    """How often each topic's request has failed after all topics were labelled twice: what has a reply isn't asked again."""
+    replies = Replies(spark, Scratch(spark, "replies").root)
+    asked_topics(spark, d, replies)
+    found = asked_topics(spark, d, replies).select("topic", topic_request(F.col("keywords"), F.col("documents"), "labels").alias("request"))
+    return found.join(replies.read(), "request").select("topic", F.col("failures").cast("long").alias("failures"))
