@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notewright.operators import catalog, clusters, models, topics
 from notewright.operators.fulltext import FullText
+from notewright.operators.graph import graph_reducer
 from notewright.operators.keyed import KeyedTable
 from notewright.operators.labelling import Replies, label_by_service, topic_request
 from notewright.operators.maintained import ClusterAggregates
@@ -122,6 +123,13 @@ def knn_lists_probed(spark, d):
     return lists.neighbours(queries, 10, probes=max(1, round(0.6 * len(lists.lists()[0]))))
 
 
+@register()
+def graph_projection(spark, d):
+    """Five numbers of every chunk with a vector from the graph of its thirty nearest; tests hold its weights against plain loops and its neighbourhoods against PCA's."""
+    reduced = graph_reducer(5)(notes_view(spark, d))
+    return reduced.select("doc_id", *(F.round(F.get("reduced", F.lit(i)), 6).alias(f"g{i}") for i in range(5)))
+
+
 # ---- substrings
 
 _GRAMS: dict[tuple[str, str, str], Trigrams] = {}
