@@ -12,6 +12,7 @@ from notewright.functions import numbers as num
 from notewright.functions import text as tx
 from notewright.operators import chunking, clusters, density, hierarchy, incremental, interactions, layout, models, notes, search, topics, words
 from notewright.operators.fulltext import FullText
+from notewright.operators.memberships import Memberships
 from notewright.sources.shared import Scratch, files_mark
 from notewright.sources.tables import events_view, interactions_table, list_tables, normalize_notes, notes_view, open_window_titles, order_tables, read, scan
 
@@ -687,6 +688,25 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
     return found.join(reduced, "doc_id")
 
 
+def fitted(spark: SparkSession, d: str) -> Memberships:
+    """The density clustering of all chunks with what its soft memberships need."""
+    return Memberships.fit(Scratch(spark, "reduced").write(density.pca(notes_view(spark, d)), "reduced"), Scratch(spark, "soft").root)
+
+
+@register()
+def soft_memberships(spark, d):
+    m = fitted(spark, d).probabilities()
+    each = m.select("doc_id", F.posexplode("probabilities").alias("topic", "p"))
+    return each.select("doc_id", F.col("topic").cast("string").alias("topic"), F.round("p", 6).alias("probability"))
+
+
+@register()
+def outlier_reassign_soft(spark, d):
+    m = fitted(spark, d).probabilities().withColumn("topic", F.col("topic").cast("int"))
+    moved = topics.reassign_by_probability(m, 0.05, 0.03)
+    return moved.select("doc_id", "topic", topics.confidence(F.col("probabilities")).alias("cluster_confidence"))
+
+
 @register()
 def mega_split(spark, d):
     return density.mega_split(clustered(spark, d))
