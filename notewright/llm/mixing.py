@@ -12,16 +12,20 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.llm._kernel import U64, mix
-from notewright.llm._shared import Scratch
+from notewright.llm._shared import BROADCAST_KEYS, Scratch, join_keys
 
 #: Sources beyond so many are joined by a shuffle, not a broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 50_000
 #: Shards of a group: a task apportions the shards of one group, or the groups of one source.
 GROUP = 1024
+#: A shard with so many times the usual number of documents holds equal rows, which are then dealt one by one.
+CROWDED = 4
+#: Equal rows that are numbered together.
+PIECE = 1 << 17
 
 
 def size_in_words(text: Column) -> Column:
@@ -106,6 +110,29 @@ def _apportion(part: pd.DataFrame, by: str) -> pd.DataFrame:
     return part.assign(quota=sainte_lague(part["blocks"].to_numpy(float), int(part["quota"].iloc[0]), part["most"].to_numpy(np.int64)))
 
 
+def _dealt(sharded: DataFrame, crowded: DataFrame, shard_docs: int, seed: int, scratch: Scratch) -> DataFrame:
+    """sharded with the rows of equal id, text and source spread over the source's shards, where over shard_docs of them crowd one.
+
+    They are numbered in pieces of PIECE rows, so that neither counting nor numbering gets all of them in one task; which
+    of equal rows has which number doesn't matter.
+    """
+    sharded = sharded.withColumn("_nw_key", F.xxhash64("_nw_source", "_nw_order"))
+    inside = sharded.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded, ["_nw_source", "_nw_shard"], "left_semi")
+    keys = inside.groupBy("_nw_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_docs).select("_nw_key", F.lit(True).alias("_nw_hot"))
+    keys = scratch.write(keys, "hot-keys")
+    marked = join_keys(sharded, keys, "_nw_key", F.spark_partition_id(), "left")
+    hot = scratch.write(marked.where("_nw_hot").withColumn("_nw_row", F.monotonically_increasing_id()), "hot")
+    hot = hot.withColumn("_nw_piece", F.floor(F.col("_nw_row") / PIECE))
+    pieces = hot.groupBy("_nw_key", "_nw_piece").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_nw_key").orderBy("_nw_piece")) - F.col("n")
+    pieces = scratch.write(pieces.select("_nw_key", "_nw_piece", before.alias("_nw_before")), "pieces")
+    inner = F.row_number().over(Window.partitionBy("_nw_key", "_nw_piece").orderBy("_nw_row"))
+    hot = hot.withColumn("_nw_number", inner.cast("long")).join(pieces, ["_nw_key", "_nw_piece"]).withColumn("_nw_number", F.col("_nw_number") + F.col("_nw_before"))
+    hot = hot.withColumn("_nw_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_nw_order", "_nw_number"), "_nw_shards"))
+    hot = scratch.write(hot.select(*sharded.columns), "dealt")
+    return marked.where("_nw_hot is null").select(*sharded.columns).unionByName(hot).drop("_nw_key")
+
+
 def mix_sources(
     docs: DataFrame,
     weigh: Callable[[list[str | None]], list[float]],
@@ -128,7 +155,7 @@ def mix_sources(
     document as many tokens are taken as its place in the picked blocks says, so reruns agree.
 
     Null text: size 0, takes 0.  Null source: a source of its own, last.  Null or repeated doc_id: each row counts by
-    itself, and is dealt to a shard by its text too.  Empty table, or no source with a weight above 0: nothing is taken.
+    itself, and is dealt to a shard by its text too; where rows of equal id and text crowd a shard, by their number.  Empty table, or no source with a weight above 0: nothing is taken.
     Other columns are left out unless kept, whose names must not be those of results.  One row per source reaches the driver, as
     each needs a weight.
     """
@@ -153,9 +180,15 @@ def mix_sources(
         "_nw_source string, _nw_shards long, source_size long, target double",
     )
     stats = F.broadcast(stats) if len(per) <= BROADCAST_SOURCES else stats
-    # high bits of the order choose the shard's place, so take another hash for the shard
-    sharded = sized.join(stats, "_nw_source").withColumn("_nw_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_nw_order"), "_nw_shards"))
-    shards = sharded.groupBy("_nw_source", "_nw_shard").agg(F.sum("size").alias("tokens"))
+    sharded = sized.join(stats, "_nw_source").withColumn("_nw_number", F.lit(0).cast("long"))
+    # the order itself places a row within its shard, so take another hash for the shard
+    sharded = sharded.withColumn("_nw_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_nw_order"), "_nw_shards"))
+    sums = lambda rows: rows.groupBy("_nw_source", "_nw_shard").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    shards = scratch.write(sums(sharded), "sums")
+    crowded = shards.where(F.col("docs") > CROWDED * shard_docs)
+    if not crowded.isEmpty():
+        sharded = _dealt(sharded, scratch.write(crowded.select("_nw_source", "_nw_shard"), "crowded"), shard_docs, seed, scratch)
+        shards = sums(sharded)
     shards = shards.withColumn("blocks", F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.round(F.col("tokens") / block))).otherwise(0).cast("long"))
     shards = scratch.write(shards.withColumn("most", F.floor(most * F.col("blocks") + 1e-9)).withColumn("_nw_group", F.floor(F.col("_nw_shard") / GROUP)), "shards")
     groups = scratch.write(shards.groupBy("_nw_source", "_nw_group").agg(F.sum("blocks").alias("blocks"), F.sum("most").alias("most")), "groups")

@@ -116,6 +116,28 @@ def test_mixing_is_seat_by_seat_and_block_by_block(spark, corpus, monkeypatch, g
     assert got == slow.mixed(docs, weigh, 16, 8, group) and len(got) > 50
 
 
+def test_mixing_deals_equal_rows(spark, monkeypatch):
+    """A source of equal rows is as many shards as any other, whatever the partitions."""
+    from notewright.llm import mixing
+
+    monkeypatch.setattr(mixing, "PIECE", 50)
+    rows = [(None, "same words here", "en", "hot")] * 3000 + [(None, None, None, None)] * 1500 + [(i, "a b " * (i % 9), "en", "cold") for i in range(400)]
+    docs = table(spark, rows)
+    seen = []
+    deal = mixing._dealt
+    monkeypatch.setattr(mixing, "_dealt", lambda *a: seen.append(deal(*a)) or seen[-1])
+    runs = []
+    for turn in (docs, docs.repartition(5)):
+        got = mix_sources(turn, lambda names: [1.0, 2.0, 1.0][: len(names)], shard_docs=16).toPandas()
+        for _, g in got.groupby("source", dropna=False):
+            assert abs(g.taken.sum() - g.target.iloc[0]) <= max(5, 0.02 * g.target.iloc[0])
+        assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
+        runs.append(Counter(zip(got.doc_id.fillna(-1), got["size"], got.taken)))
+        shards = seen[-1].groupBy("_nw_source", "_nw_shard").count().toPandas()
+        assert shards["count"].max() < 64 and shards["count"].sum() == len(rows) and len(shards) > 280
+    assert runs[0] == runs[1] and len(seen) == 2
+
+
 def test_near_duplicates(spark, corpus):
     rows = [r for r in corpus if r[0] is not None]
     sets, group = slow.near([t for _, t, _, _ in rows])
