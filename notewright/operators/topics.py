@@ -139,7 +139,7 @@ def confidence(probabilities: Column) -> Column:
 
 
 def representatives(notes: DataFrame, n: int = 3) -> DataFrame:
-    """The n longest chunks of each topic, each (title, dates, chunk) once, outliers left out."""
+    """The n chunks of each topic with the highest confidence, each (title, dates, chunk) once, outliers left out."""
     once = Window.partitionBy("display_topic_id", "title", "creation_date", "modification_date", "chunk_index").orderBy(F.desc("confidence"), "doc_id")
     best = Window.partitionBy("display_topic_id").orderBy(F.desc("confidence"), "doc_id")
     scored = notes.where("display_topic_id <> '-1'")
