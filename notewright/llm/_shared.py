@@ -6,23 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.sources.shared import Scratch, delete, exists, shared_dir
+from notewright.sources.shared import Scratch, delete, exists, lean, shared_dir
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that go to Python at once; the default of 10,000 texts is a lot beside an executor's other memory.
-BATCH_ROWS = 512
 #: Tables of one row for each key are broadcast up to so many rows (of a few numbers); larger ones are joined by salted keys.
 BROADCAST_KEYS = 200_000
 #: Places that a key's rows are dealt to where its table is too large to broadcast.
 SALTS = 16
 
 
-def lean(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows if they are larger.  Operators call it, as their plans run later."""
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
-
-
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more, which otherwise waits for the driver's next garbage collection."""
     spark.sparkContext._jvm.System.gc()

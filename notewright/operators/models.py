@@ -15,6 +15,7 @@ from notewright.functions.text import embed_clean, search_tokens, tidy_label
 from notewright.operators import topics
 from notewright.operators.chunking import chunk_notes
 from notewright.operators.search import document_stats, postings
+from notewright.sources.shared import lean
 
 
 class Embedder(Protocol):
@@ -46,6 +47,7 @@ class HashingEmbedder:
 def embed(df: DataFrame, text: str = "chunk_content", embedder: Embedder | None = None, to: str = "vector", batch: int = 32) -> DataFrame:
     """A column of vectors of the cleaned texts, in Arrow batches; the same cleaning is for queries."""
     make = embedder or HashingEmbedder()
+    lean(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:

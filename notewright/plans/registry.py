@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -410,11 +409,7 @@ def chunk_notes(spark, d):
 
 @register("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, length(chunk) AS n_chars FROM cutw WHERE chunk <> '' UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE length(text) <= 1600", "whole AS (SELECT doc_id, 0 AS i, text FROM documents)", WINDOWS)
 def fallback_chunks(spark, d):
-    @F.pandas_udf("array<string>")
-    def cut(x: pd.Series) -> pd.Series:
-        return x.map(chunking.windows)
-
-    one = read(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("place", "chunk"))
+    one = chunking.window_rows(read(spark, d, "documents"))
     return one.select("doc_id", F.col("place").cast("long").alias("place"), F.length("chunk").cast("long").alias("n_chars"))
 
 
