@@ -13,7 +13,7 @@ from notewright.operators import chunking, clusters, density, hierarchy, increme
 from notewright.operators.fulltext import FullText
 from notewright.operators.memberships import Memberships
 from notewright.sources.shared import Scratch, files_mark
-from notewright.sources.tables import events_view, interactions_table, list_tables, normalize_notes, notes_view, open_window_titles, order_tables, read, scan
+from notewright.sources.tables import chunk_texts, events_view, interactions_table, list_tables, normalize_notes, notes_view, open_window_titles, order_tables, read, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,7 +79,7 @@ def full_text_of(spark: SparkSession, d: str) -> FullText:
     have = _INDEXES.get(key)
     if have is None or not have.pointer.version():
         have = _INDEXES[key] = FullText(spark, Scratch(spark, "index").root)
-        have.add(notes_view(spark, d))
+        have.add(chunk_texts(spark, d))
     return have
 
 

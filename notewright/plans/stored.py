@@ -19,7 +19,7 @@ from notewright.operators.vectors import VectorLists
 from notewright.plans.registry import ALL_NOTES, CENT, COLORS, CTD, CV, FACTS, KNN, META, NOTES, TEXT, current, full_text_of, query_vector, register
 from notewright.sources.listing import ListedFiles, read_listing
 from notewright.sources.shared import Scratch, files_mark
-from notewright.sources.tables import notes_view, order_tables
+from notewright.sources.tables import chunk_texts, notes_view, order_tables
 
 _TERMS = ", ".join(f"'{t}'" for t in TEXT.split())
 _TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -62,7 +62,7 @@ def _later(n: DataFrame) -> DataFrame:
 @register("SELECT doc_id, score, n_terms FROM bm", NOTES, _ranked("SELECT doc_id, CASE WHEN title = 'src3' THEN concat('License! ', chunk_content) ELSE chunk_content END AS c FROM notes WHERE coalesce(lang, '') <> 'fr'"))
 def fts_updated(spark, d):
     """Ranking after the index got the notes in two halves, then changes of a note, and lost those of a language."""
-    n, index = notes_view(spark, d), FullText(spark, Scratch(spark, "updated-index").root, fanout=3)
+    n, index = chunk_texts(spark, d), FullText(spark, Scratch(spark, "updated-index").root, fanout=3)
     index.add(n.where("coalesce(lang, '') = 'en'"))
     index.add(n.where("coalesce(lang, '') <> 'en'"))
     index.add(_later(n))
@@ -139,7 +139,7 @@ def trigrams_of(spark: SparkSession, d: str) -> Trigrams:
     """The stored trigrams of the notes' chunks, kept like lists_of."""
     key = spark.sparkContext.applicationId, d, files_mark(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet")
     if key not in _GRAMS:
-        _GRAMS[key] = Trigrams.build(notes_view(spark, d), Scratch(spark, "trigrams").root)
+        _GRAMS[key] = Trigrams.build(chunk_texts(spark, d), Scratch(spark, "trigrams").root)
     return _GRAMS[key]
 
 

@@ -57,14 +57,21 @@ def notes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and embeddings as note chunks: a note is a source in a language, its chunks are the documents.
 
     A note may have very many chunks: they are counted by ranges of ids, so that a task numbers one range of a note.
+    Numbers and vectors are put together without the texts, each by its row's place in the files; so a text is moved once,
+    unsorted, whatever the size, and not at all where nothing asks for it.
     """
     d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
     note, part = ["source", "lang"], F.floor(F.col("doc_id") / RANGE).alias("_range")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     ranges = d.groupBy(*note, part).agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.partitionBy(*note).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = ranges.select(*(F.col(c).alias(f"_{c}") for c in note), "_range", (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*note)).alias("_all"))
-    d = d.withColumn("_place", F.row_number().over(Window.partitionBy(*note, part).orderBy("doc_id")))
-    d = d.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (part == F.col("_range")))
+    up_to = Window.partitionBy(*note).orderBy(F.asc_nulls_last("_range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.select(*(F.col(c).alias(f"_{c}") for c in note), F.col("_range").alias("_of"), (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*note)).alias("_all"))
+    few = d.select("doc_id", *note, part, *place)
+    few = few.withColumn("_place", F.row_number().over(Window.partitionBy(*note, "_range").orderBy("doc_id", "_file", "_row")))
+    few = few.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("_range").eqNullSafe(F.col("_of")))
+    few = few.join(e, e["vec_id"] == few["doc_id"], "left").select("_file", "_row", "_before", "_place", "_all", "embedding", "label")
+    # a shuffle of both sides by hashes at any size: no sort of texts
+    d = d.select("*", *place).join(few.hint("shuffle_hash"), ["_file", "_row"])
     day = (F.substring("source", 4, 9).cast("int") + F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 7).when(F.col("lang") == "de", 14).otherwise(21)) % 28
     date = lambda plus: F.concat(F.lit("2024-01-"), F.lpad((day + plus).cast("string"), 2, "0"))
     label = F.col("label")
@@ -72,7 +79,7 @@ def notes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     display = F.when(label.isNull(), "-1").when(label >= 5, F.concat_ws(".", (label % 5).cast("string"), label.cast("string"))).otherwise(label.cast("string"))
     meta = F.when(label.isNull(), "-1").otherwise((label % 3).cast("string"))
     out = d.withColumn("chunk_index", (F.col("_before") + F.col("_place") - 1).cast("int")).withColumn("total_chunks", F.col("_all").cast("int"))
-    out = out.join(e, e["vec_id"] == d["doc_id"], "left").select(
+    out = out.select(
         "doc_id", F.col("source").alias("title"), "lang", F.col("text").alias("chunk_content"), "chunk_index", "total_chunks",
         date(1).alias("creation_date"), date(3).alias("modification_date"), F.col("embedding").alias("vector"),
         base.alias("base_topic_id"), display.alias("display_topic_id"), meta.alias("meta_cluster_id"),
@@ -85,6 +92,11 @@ def notes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, title, lang and chunk_content of notes_view: what an index of texts needs, straight from the files."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "lang", F.col("text").alias("chunk_content"))
+
+
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(title, dt, type): views, clicks and purchases as interactions with notes."""
     e = read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))

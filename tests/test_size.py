@@ -2,7 +2,8 @@
 
 import pytest
 
-from notewright.operators import chunking, models
+from notewright.operators import chunking, fulltext, models
+from notewright.sources.tables import notes_view
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -18,3 +19,27 @@ def test_few_texts_go_to_python_at_once(spark, cut):
 def test_windows_of_null_texts(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "x" * 4000)], "doc_id long, text string")
     assert sorted((r.doc_id, r.place, len(r.chunk)) for r in chunking.window_rows(rows).collect()) == [(1, 0, 3), (3, 0, 1600), (3, 1, 1600), (3, 2, 1200)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_where_texts_are(spark):
+    rows = spark.createDataFrame([(1, "a b A", "t"), (2, None, "t u"), (3, "", None)], "doc_id long, chunk_content string, title string")
+    got = fulltext.positional(rows)
+    assert "Exchange" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "chunk", 1, 2, [0, 2], 3), ("b", "chunk", 1, 1, [1], 3), ("t", "title", 1, 1, [0], 1), ("t", "title", 2, 1, [0], 2), ("u", "title", 2, 1, [1], 2)]
+
+
+def test_notes_view_moves_a_text_once_and_keeps_every_row(spark, tmp_path):
+    docs = [(5, "a", "en", "src1"), (1, "b", "en", "src1"), (5, "c", "en", "src1"), (None, "d", "en", "src1"), (7, "e", None, "src1"), (2, None, "fr", "src2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [0.5], 6), (7, [1.0], 2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = notes_view(spark, str(tmp_path))
+    rows = {r.chunk_content: (r.doc_id, r.chunk_index, r.total_chunks, r.base_topic_id, r.vector) for r in got.collect()}
+    assert rows["b"] == (1, 0, 4, "1", [0.5]) and rows["d"] == (None, 3, 4, "-1", None) and rows["e"] == (7, 0, 1, "2", [1.0]) and rows[None] == (2, 0, 1, "-1", None)
+    assert sorted(rows[t][1] for t in "ac") == [1, 2] and rows["a"][2] == rows["c"][2] == 4
+    moved = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in line or "Aggregate" in line]
+    assert moved and not any("text#" in line for line in moved)
+    assert "Sort [text" not in plan(got) and "ShuffledHashJoin" in plan(got)
