@@ -806,7 +806,7 @@ def ranked_documents(spark, d):
 def find_texts(spark, d):
     items, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
     texts = items.select(F.col("item_id").alias("text_id"), "text").unionByName(docs.select((-1 - F.col("doc_id")).alias("text_id"), "text"))
-    return models.find_texts(texts, notes_view(spark, d))
+    return models.find_texts(texts, chunk_texts(spark, d))
 
 
 OUT_NEAR = "reas AS (SELECT doc_id, s FROM (SELECT doc_id, topic, list_cosine_similarity(CAST(vector AS DOUBLE[]), c) AS s FROM outl, bc WHERE base_topic_id = '-1' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, topic DESC) = 1) WHERE s >= 0.1)"
