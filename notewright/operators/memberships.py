@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.functions.numbers import squared_distance
 from notewright.operators.density import Condensed, _spread, condense, gathered
 from notewright.operators.vectors import VectorLists
-from notewright.sources.shared import Scratch
+from notewright.sources.shared import Scratch, lean
 
 #: Numbers of all exemplars that are broadcast as one array (8 bytes each); more are met in blocks of so many.
 BLOCK_NUMBERS = 4_000_000
+#: Distances that a task takes at once.
+TILE = 1 << 21
 #: A distance below this counts as this.
 LEAST_DISTANCE = 1e-9
 
@@ -111,16 +115,35 @@ class Memberships:
     def _nearest(self, rows: DataFrame) -> DataFrame:
         """rows with _d: the distance to the nearest exemplar of each cluster, by cluster.
 
-        Exemplars are broadcast in blocks of a bounded size, one after the other; each block adds its least distances.
+        Exemplars are broadcast in blocks of a bounded size, one after the other; each block adds its least distances,
+        which a task takes for a few rows and all exemplars at once.
         """
         known = self.known()
         clusters, blocks = known.agg(F.coalesce(F.max("cluster"), F.lit(-1)) + 1, F.coalesce(F.max("block"), F.lit(-1)) + 1).first()
+        lean(self.spark)
         rows = rows.withColumn("_d", F.array_repeat(F.lit(float("inf")), clusters))
         for b in range(blocks):
-            part = known.where(F.col("block") == b).groupBy("cluster").agg(F.collect_list("point").alias("points"))
-            part = part.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "points"))).alias("_points"))
-            here = F.transform("_d", lambda d, k: F.least(d, F.coalesce(F.sqrt(F.array_min(F.transform(F.element_at("_points", k.cast("long")), lambda p: squared_distance(F.col("reduced"), p)))), d)))
-            rows = rows.crossJoin(F.broadcast(part)).withColumn("_d", here).drop("_points")
+            part = known.where(F.col("block") == b).select("cluster", "point").orderBy("cluster").toArrow()  # BLOCK_NUMBERS at most
+            owner = part.column("cluster").to_numpy()
+            points = part.column("point").combine_chunks().flatten().to_numpy().reshape(len(owner), -1)
+            shared = self.spark.sparkContext.broadcast((owner, points))
+
+            def near(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+                owner, points = shared.value
+                own = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                for batch in batches:
+                    x = batch.column("reduced").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    d = batch.column("_d").flatten().to_numpy().reshape(batch.num_rows, -1).copy()
+                    step = max(1, TILE // len(points))
+                    for i in range(0, len(x), step):
+                        square = np.zeros((len(x[i : i + step]), len(points)))
+                        for k in range(points.shape[1]):
+                            square += (x[i : i + step, k, None] - points[None, :, k]) ** 2
+                        d[i : i + step, owner[own]] = np.minimum(d[i : i + step, owner[own]], np.sqrt(np.minimum.reduceat(square, own, axis=1)))
+                    edges = pa.array(np.arange(batch.num_rows + 1) * d.shape[1], pa.int32())
+                    yield batch.set_column(batch.schema.get_field_index("_d"), "_d", pa.ListArray.from_arrays(edges, pa.array(d.ravel())))
+
+            rows = rows.mapInArrow(near, rows.schema)
         return rows
 
     def locate(self, new: DataFrame) -> DataFrame:

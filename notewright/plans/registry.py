@@ -690,9 +690,10 @@ def fitted(spark: SparkSession, d: str) -> Memberships:
 
 @register()
 def soft_memberships(spark, d):
+    """A row for each chunk and cluster; without any cluster all of a chunk is noise (-1)."""
     m = fitted(spark, d).probabilities()
-    each = m.select("doc_id", F.posexplode("probabilities").alias("topic", "p"))
-    return each.select("doc_id", F.col("topic").cast("string").alias("topic"), F.round("p", 6).alias("probability"))
+    each = m.select("doc_id", F.posexplode_outer("probabilities").alias("topic", "p"))
+    return each.select("doc_id", F.coalesce(F.col("topic"), F.lit(-1)).cast("string").alias("topic"), F.round(F.coalesce("p", F.lit(1.0)), 6).alias("probability"))
 
 
 @register()

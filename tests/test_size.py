@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from notewright.operators import chunking, density, fulltext, models
+from notewright.operators import chunking, density, fulltext, memberships, models
 from notewright.sources.tables import notes_view
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -73,3 +73,16 @@ def test_pruned_distances_are_all_that_count():
     for leaf in range(len(leaves.starts) - 1):
         got = leaves.outside(core, part, np.ones(900, bool), np.full(900, np.inf), leaf)
         assert np.allclose(got["distance"], want[got["row"]]) and len(got) == leaves.starts[leaf + 1] - leaves.starts[leaf]
+
+
+def test_nearest_exemplars_by_tiles(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(m, 0.05, (40, 2)) for m in ((0, 1), (3, 1), (0, 4))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, reduced array<double>")
+    m = memberships.Memberships.fit(df, f"file://{tmp_path}/m")
+    monkeypatch.setattr(memberships, "TILE", 5)
+    got = {r.doc_id: r._d for r in m._nearest(m.rows()).collect()}
+    known = [(r.cluster, np.array(r.point)) for r in m.known().collect()]
+    for i, v in enumerate(x):
+        want = [min(np.sqrt(((v - p) ** 2).sum()) for c, p in known if c == k) for k in range(3)]
+        assert got[i] == pytest.approx(want)
