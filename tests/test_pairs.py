@@ -43,3 +43,26 @@ def test_bounds_leave_out_what_cannot_reach():
     row, col, s = pairs.over(a, b, 0.5)
     full = a @ b.T
     assert sorted(zip(row, col)) == sorted(zip(*np.nonzero(full >= 0.5))) and s == pytest.approx(full[row, col])
+
+
+def test_groups_share_blocks(spark, monkeypatch):
+    """24 groups without structure make 3 blocks and so 6 cells; each vector is sent for the cells of its block, and those of one cell come in bounded batches."""
+    monkeypatch.setattr(pairs, "GROUP", 50)
+    monkeypatch.setattr(pairs, "BLOCK", 450)
+    monkeypatch.setattr(pairs, "LEAST_BLOCKS", 1)
+    monkeypatch.setattr(pairs, "PRODUCTS", 1000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 8))
+    x[1100:] = x[0]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "doc_id long, vector array<double>")
+    found = pairs.similar_pairs(df, 0.6)
+    assert found.rdd.getNumPartitions() <= 2 * 10
+    want = np.argwhere(np.triu(x @ x.T >= 0.6, 1))
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(map(tuple, want.tolist()))
+
+
+def test_packed_cuts_large_groups_only():
+    parts, pieces, many = pairs._packed(np.eye(4), np.array([10, 250, 30, 40]), 100)
+    assert parts.tolist() == [1, 3, 1, 1] and many <= 5
+    assert sorted((g, p) for g, p, _ in pieces) == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
