@@ -135,3 +135,15 @@ def test_an_index_that_dies_is_not_there(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         index.add(df.withColumn("doc_id", F.lit(2)))
     assert [r.doc_id for r in index.having(["abc"]).collect()] == [1]
+
+
+def test_lists_of_trigrams_hold_each_text_once(spark, monkeypatch):
+    from notewright.operators import trigrams
+
+    monkeypatch.setattr(trigrams, "HELD", 40)
+    monkeypatch.setattr(trigrams, "PIECE", 7)
+    texts = ["The License was released, the license", "ab", None, "", "\U0001f600\U0001f600x\U0001f600\U0001f600x", "ÀÉÎÀÉÎ été\n\n\nx", "nul\0nul\0nul", *(f"text number {i}" for i in range(30))]
+    got = trigrams.lists(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    have = sorted((r["gram"], i) for r in got for i in r["ids"])
+    assert have == sorted((g, i) for i, t in enumerate(texts) for g in grams_of((t or "").lower()))
+    assert all(r["n"] == len(r["ids"]) for r in got) and len(got) < len(have)
