@@ -15,7 +15,7 @@ from notewright.functions.text import embed_clean, search_tokens, tidy_label
 from notewright.operators import topics
 from notewright.operators.chunking import chunk_notes
 from notewright.operators.search import document_stats, postings
-from notewright.sources.shared import lean
+from notewright.sources.shared import Scratch, lean
 
 
 class Embedder(Protocol):
@@ -167,7 +167,9 @@ def gather_topics(notes: DataFrame, terms: DataFrame, n_words: int = 10, n_docs:
     """
     w = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 8)), "term")
     top = terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_words).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda x: x["term"]).alias("keywords"))
-    best = topics.representatives(notes, n_docs).join(notes.select("doc_id", "chunk_content"), "doc_id")
+    # written, as rows of known size are broadcast and no texts are sorted for them
+    best = Scratch(notes.sparkSession, "gathered").write(topics.representatives(notes, n_docs), "best")
+    best = best.join(notes.select("doc_id", "chunk_content"), "doc_id")
     best = best.groupBy(F.col("display_topic_id").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_content"))), lambda x: x["chunk_content"]).alias("documents"))
     facts = notes.where("display_topic_id <> '-1'").groupBy(F.col("display_topic_id").alias("topic")).agg(F.min_by("cluster_label", "doc_id").alias("stored_label"), F.count(F.lit(1)).alias("n_chunks"))
     depth = F.explode(F.sequence(F.lit(1), F.size(F.split("topic", r"\."))))

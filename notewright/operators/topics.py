@@ -20,8 +20,12 @@ def terms(notes: DataFrame, text: str = "chunk_content") -> DataFrame:
 
 
 def class_tfidf(notes: DataFrame, topic: str = "base_topic_id") -> DataFrame:
-    """(topic, term, n, weight): square root of the share of a topic's words, times BM25 inverse frequency over topics."""
+    """(topic, term, n, weight): square root of the share of a topic's words, times BM25 inverse frequency over topics.
+
+    The counts are written, so that the texts are cut into words once and not for each of the sums that need them.
+    """
     tf = notes.select(F.col(topic).alias("topic"), F.explode(word_tokens(F.col("chunk_content"))).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    tf = Scratch(notes.sparkSession, "tfidf").write(tf, "counts")
     size = tf.groupBy("topic").agg(F.sum("n").alias("size"))
     mean = size.agg(F.avg("size").alias("mean"))
     frequency = tf.groupBy("term").agg(F.sum("n").alias("f"))

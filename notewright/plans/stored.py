@@ -281,9 +281,12 @@ def answer(body: dict, seconds: float) -> str:
     return "```json\n" + json.dumps({"label": f'"{" and ".join([first, *more[:1]])}."'}) + "\n```"
 
 
-def asked_topics(spark: SparkSession, d: str, replies: Replies) -> DataFrame:
+def topics_found(spark: SparkSession, d: str) -> DataFrame:
     n = notes_view(spark, d).withColumn("confidence", F.col("chunk_index") % 7 / 7.0)
-    found = models.gather_topics(n, topics.class_tfidf(n, "display_topic_id"))
+    return models.gather_topics(n, topics.class_tfidf(n, "display_topic_id"))
+
+
+def asked_topics(found: DataFrame, replies: Replies) -> DataFrame:
     plain = F.coalesce(F.nullif(F.array_join(F.slice("keywords", 1, 5), " & "), F.lit("")), F.concat(F.lit("Topic "), "topic"))
     return label_by_service(found, replies, answer, topic_request(F.col("keywords"), F.col("documents"), "labels"), plain)
 
@@ -295,13 +298,14 @@ _OUT_OF_ORDER = "coalesce(length(w[1]), 0) % 3 = 0"
 @register(f"SELECT topic, CASE WHEN len(w) = 0 THEN 'Topic ' || topic WHEN {_OUT_OF_ORDER} THEN array_to_string(w[:5], ' & ') ELSE array_to_string(w[:2], ' and ') END AS label, CASE WHEN {_OUT_OF_ORDER} THEN 'fallback' ELSE 'service' END AS label_source FROM top", NOTES, FACTS, "picked AS (SELECT * FROM notes)", CTD, _TOP)
 def labels_by_service(spark, d):
     """A label for every topic from a service that fails, and the keywords where it never replies."""
-    return asked_topics(spark, d, Replies(spark, Scratch(spark, "replies").root)).select("topic", "label", "label_source")
+    return asked_topics(topics_found(spark, d), Replies(spark, Scratch(spark, "replies").root)).select("topic", "label", "label_source")
 
 
 @register(f"SELECT topic, CASE WHEN {_OUT_OF_ORDER} THEN 6 WHEN length(w[1]) % 2 = 1 THEN 1 ELSE 0 END AS failures FROM top", NOTES, FACTS, "picked AS (SELECT * FROM notes)", CTD, _TOP)
 def labels_resumed(spark, d):
     """How often each topic's request has failed after all topics were labelled twice: what has a reply isn't asked again."""
     replies = Replies(spark, Scratch(spark, "replies").root)
-    asked_topics(spark, d, replies)
-    found = asked_topics(spark, d, replies).select("topic", topic_request(F.col("keywords"), F.col("documents"), "labels").alias("request"))
+    topics_known = Scratch(spark, "topics").write(topics_found(spark, d), "found")  # both times the same, gathered once
+    asked_topics(topics_known, replies)
+    found = asked_topics(topics_known, replies).select("topic", topic_request(F.col("keywords"), F.col("documents"), "labels").alias("request"))
     return found.join(replies.read(), "request").select("topic", F.col("failures").cast("long").alias("failures"))
