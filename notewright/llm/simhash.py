@@ -1,6 +1,10 @@
-"""SimHash near copies: fingerprints within a few bits of each other, found exactly with vantage-point trees.
+"""SimHash near copies: fingerprints within a few bits of each other, found exactly.
 
-Different fingerprints are dealt to the leaves of a vantage-point tree.  A node looks at a field of the bits, each
+Fingerprints that differ by `bits` at most agree wholly on one of bits + 1 separate fields.  So each different fingerprint
+goes to a bucket for each field, by what it has there: bits + 1 rows, however many fingerprints there are.  Fields of
+so many bits that they would be short (over MOST_FIELDS of them) choose little; there a tree is used instead.
+
+Fingerprints are dealt to the leaves of a vantage-point tree.  A node looks at a field of the bits, each
 level at another one; a fingerprint goes inside or outside by its Hamming distance to the node's vantage point on that
 field.  By the triangle inequality, fingerprints on both sides of a boundary differ on the field by what the farther one
 has to move to cross it at least, and what they differ by on separate fields adds up.  So a fingerprint visits, besides
@@ -27,6 +31,10 @@ from notewright.llm.components import components
 SAMPLE = 1 << 14
 #: Fingerprints that have one leaf as their own, about; and rows of a leaf that meet in one task.
 LEAF, CELL = 1 << 14, 1 << 19
+#: Fields that fingerprints are dealt by, at most; bits of a bucket's number; rows of buckets that a task gets, about.
+MOST_FIELDS, FOLD, ROWS = 8, 13, 1 << 16
+#: Rows of a bucket that are compared with all others of it by shifts, together with other buckets; and by blocks.
+FEW, SOME = 64, 1 << 12
 #: Levels of the tree at most.
 LEVELS = 16
 #: Distances that are computed at once.
@@ -191,9 +199,86 @@ def near(x: np.ndarray, own: np.ndarray, block: np.ndarray, bits: int) -> tuple[
     return x[member], x[root[member]]
 
 
+def dealt(x: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each fingerprint (row) in each of bits + 1 fields (column)."""
+    masks = _spread(bits + 1)
+    return np.stack([(U64(k) << U64(FOLD)) | (mix((x & U64(m)) + U64(1)) >> U64(64 - FOLD)) for k, m in enumerate(masks)], 1).astype(np.int64)
+
+
+def stars_within(x: np.ndarray, starts: np.ndarray, block: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the groups that pairs within `bits` make in each cell; the rows of a cell are different, stand together and begin at starts."""
+    groups, size = _Groups(len(x)), np.diff(np.append(starts, len(x)))
+    left = np.repeat(starts + size, size) - np.arange(len(x))  # rows of the cell from this one on
+    at = np.flatnonzero(np.repeat(size <= FEW, size))
+    for d in range(1, FEW):
+        at = at[left[at] > d]
+        if not len(at):
+            break
+        hit = at[np.bitwise_count(x[at] ^ x[at + d]) <= bits]
+        if len(hit):
+            groups.join(hit, hit + d)
+    a, b = [], []
+    for i, n in zip(starts[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        if n <= SOME:
+            _compare(x, np.arange(i, i + n), np.arange(i, i + n), bits, groups)
+        else:
+            more = near(x[i : i + n], np.ones(n, bool), block[i : i + n], bits)
+            a.append(more[0])
+            b.append(more[1])
+    root = groups.find(np.arange(len(x)))
+    member = np.flatnonzero(root != np.arange(len(x)))
+    return np.concatenate([x[member], *a]), np.concatenate([x[root[member]], *b])
+
+
+def _links_by_fields(distinct: DataFrame, n: int, bits: int) -> DataFrame:
+    """(a, b) as _links, by buckets of fields."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("fp").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, bits + 1)), pa.array(dealt(x.view(U64), bits).ravel(), pa.int32())], names=["fp", "leaf"])
+
+    visits = distinct.select("fp").mapInArrow(deal, "fp long, leaf int")
+    # of a bucket with more rows than a task should hold, pairs of blocks meet
+    large = visits.groupBy("leaf").count().where(F.col("count") > CELL).collect()  # there are (bits + 1) << FOLD buckets at most
+    large = distinct.sparkSession.createDataFrame([(r["leaf"], -(-r["count"] // CELL)) for r in large], "leaf int, blocks int")
+    placed = visits.join(F.broadcast(large), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    cells = placed.withColumn("cell", F.explode(meets)).select("leaf", "cell.i", "cell.j", "fp", "block")
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        place = np.stack([t.column(c).to_numpy() for c in ("leaf", "i", "j")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(1)]))
+        a, b = stars_within(t.column("fp").to_numpy().view(U64), starts, t.column("block").to_numpy(), bits)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come sorted; whole cells are compared, several at once."""
+        held, size = [], 0
+        for batch in batches:
+            if size >= ROWS:
+                # held rows end with the last cell that began before this batch's first change of cell
+                place = np.stack([pa.concat_arrays([held[-1].column(c).slice(held[-1].num_rows - 1), batch.column(c)]).to_numpy() for c in ("leaf", "i", "j")], 1)
+                change = np.flatnonzero((place[1:] != place[:-1]).any(1))
+                if len(change):
+                    yield found([*held, batch.slice(0, int(change[0]))])
+                    batch, held, size = batch.slice(int(change[0])), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+        if held:
+            yield found(held)
+        release()
+
+    return cells.repartition(max(1, -(-(bits + 1) * n // ROWS)), "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(meet, "a long, b long")
+
+
 def _links(distinct: DataFrame, n: int, bits: int) -> DataFrame:
     """(a, b) of fingerprints as long: what connects those that are within `bits` of each other."""
     spark = distinct.sparkSession
+    if bits < MOST_FIELDS:
+        return _links_by_fields(distinct, n, bits)
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(U64)
     tree = Tree(sample, min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))))
 

@@ -272,3 +272,33 @@ def test_new_queries_read_whole_tables(spark):
     assert queries.op11_centroids(spark, d).count() == n["embeddings"]
     assert queries.op12_periodic_runs(spark, d).count() == n["documents"]
     assert queries.op13_simhash(spark, d).count() == n["documents"]
+
+
+def _prints(seed):
+    rng = np.random.default_rng(seed)
+    few = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    x = np.concatenate([rng.integers(0, 1 << 63, 150).astype(np.uint64), few])
+    for _ in range(3):
+        x = np.concatenate([x, x[-60:] ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64))])
+    return np.unique(x)
+
+
+def test_a_fingerprint_has_a_bucket_for_each_field():
+    """As many rows as bits + 1, whatever the fingerprints are, and any two within bits share one."""
+    x = _prints(1)
+    at = simhash.dealt(x, 4)
+    assert at.shape == (len(x), 5) and all(len(set(r)) == 5 for r in at.tolist())
+    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)
+    assert len(a) > len(x) and (at[a] == at[b]).any(1).all()
+
+
+@pytest.mark.parametrize("few, some, cell, rows, bits", [(64, 1 << 12, 1 << 19, 1 << 16, 4), (2, 5, 7, 200, 4), (2, 2, 1 << 19, 60, 2), (64, 1 << 12, 1 << 19, 1 << 16, 9)])
+def test_links_of_fields_and_trees_are_all(spark, monkeypatch, few, some, cell, rows, bits):
+    for name, value in (("FEW", few), ("SOME", some), ("CELL", cell), ("ROWS", rows), ("FOLD", 4 if few == 2 else 13)):
+        monkeypatch.setattr(simhash, name, value)
+    x = _prints(2)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    links = np.array([(r.a, r.b) for r in simhash._links(df, len(x), bits).collect()], np.int64).view(np.uint64).reshape(-1, 2)
+    groups = simhash._Groups(len(x))
+    groups.join(np.searchsorted(x, links[:, 0]), np.searchsorted(x, links[:, 1]))
+    assert groups.find(np.arange(len(x))).tolist() == slow_groups(x, bits).tolist()
