@@ -25,9 +25,9 @@ def buckets(n_rows: int, each: int, least: int = 128) -> int:
     return out
 
 
-def dealt(sent: DataFrame, n: int) -> DataFrame:
+def dealt(sent: DataFrame, n: int, few: int = 4) -> DataFrame:
     """(p, blob) rows of n buckets: a few buckets for a task, one after another, so that it holds one at a time, and tasks are as large whatever the number of rows."""
-    return sent.repartition(max(1, n // 4), "p").sortWithinPartitions("p")
+    return sent.repartition(max(1, n // few), "p").sortWithinPartitions("p")
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
@@ -69,6 +69,16 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Ascending 32-bit numbers as the bytes of their differences, all highest ones last: these are nearly all zero, and pack well."""
+    return np.ascontiguousarray(np.diff(x, prepend=x[:1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def summed(x: np.ndarray) -> np.ndarray:
+    """The numbers that steps() was given."""
+    return np.cumsum(np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def rows(p: list[int], blobs: list[bytes], at_once: int = 256) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(p), at_once):
         yield pa.RecordBatch.from_arrays([pa.array(p[i : i + at_once], pa.int32()), pa.array(blobs[i : i + at_once], pa.binary())], names=_ARROW)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm import _blobs
 from notewright.llm._kernel import LOWER, SPACED, U64, Texts, mix, release, run_hashes, span_hashes, texts, words
-from notewright.llm._shared import Scratch, bit_filter, in_filter, join_keys, lean, tidy
+from notewright.llm._shared import BROADCAST_KEYS, Scratch, bit_filter, in_filter, join_keys, lean, tidy
 from notewright.llm.components import components
 
 #: A key of more sets than this is dear.
@@ -37,7 +37,11 @@ PAIR_COST, DEAR_COST = 20, 20
 #: One key in so many is counted to measure an allocation's cost; the share is of the hashed keys of all sets.
 PROBE = 64
 #: Keys merged within a task before they are sent.
-HELD = 1_000_000
+HELD = 2_000_000
+#: Documents of a bucket, about: the more keys a task sends to one at once, the fewer bytes each takes, as a set is named once for all of its keys there.
+BUCKET = 8000
+#: Keys of a bucket that meet at once, about.
+MEET = 300_000
 #: Members of a dear key compared by one task at a time.
 BLOCK = 2048
 #: Rounds of stars.
@@ -150,7 +154,7 @@ def keys(s: Sets, bands: Bands) -> Keys:
     key = np.concatenate([mix(total[held > 0] + segment[held > 0]), mix(segment[empty]), mix(total[slot[less]] - value[less] + segment[slot[less]])])
     where = np.concatenate([np.flatnonzero(held > 0), np.flatnonzero(empty), slot[less]])
     left = np.maximum(0, bands.spare[band] - (running[base[1:]] - running[base[:-1]]))
-    return Keys(key, owner[where], number[where], s.cls[row], band, left, row)
+    return Keys(key, owner[where].astype(np.int32), number[where].astype(np.int32), s.cls[row], band, left, row)
 
 
 def probes(s: Sets, both: tuple[Bands, Bands]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,16 +202,20 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     """Pairs (a, b) that share a cheap key; and for dear keys, rows (a, null, key, band, segment, spare).  docs: _text.
 
     A task sends at most CHEAP + 1 sets of a key to its bucket; if it has more, the key is dear, and the sets go on
-    as rows at once.
+    as rows at once.  What is sent of a key is cut to 32 bits below those of its bucket; band and segment tell the
+    rest.  A bucket is held as it is sent, and its keys meet by ranges.
     """
-    n = _blobs.buckets(docs.count(), 500)
+    n = _blobs.buckets(docs.count(), BUCKET, 64)
     held_keys = max(HELD, 8 * n)  # so that a bucket gets some keys at once
     shift = U64(64 - (n.bit_length() - 1))
 
+    def named(cut: np.ndarray, band: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        return mix(cut ^ mix((band.astype(U64) << U64(32)) + segment.astype(U64))).view(np.int64)
+
     def send(held: list[Keys], turn: int) -> Iterator[pa.RecordBatch]:
         base = np.cumsum([0] + [len(h.cls) for h in held])
         key = np.concatenate([h.key for h in held])
-        entry = np.concatenate([h.entry + b for h, b in zip(held, base, strict=False)])
+        entry = np.concatenate([h.entry + np.int32(b) for h, b in zip(held, base, strict=False)])
         segment = np.concatenate([h.segment for h in held])
         cls, band, left = (np.concatenate([getattr(h, c) for h in held]) for c in ("cls", "band", "left"))
         order, begin, count = _group(key, cls[entry])
@@ -226,7 +234,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             x = keep[edges[i] : edges[i + 1]]
             used, back = np.unique(entry[x], return_inverse=True)
             low = ((key[x] << U64(64) - shift) >> U64(32)).astype(np.uint32)
-            out.append((int(i), _blobs.pack([low, *(_blobs.small(v) for v in (segment[x], back)), cls[used], _blobs.small(band[used]), _blobs.small(left[used])])))
+            out.append((int(i), _blobs.pack([_blobs.steps(low), *(_blobs.small(v) for v in (segment[x], back)), cls[used], _blobs.small(band[used]), _blobs.small(left[used])])))
         yield from _blobs.rows([i for i, _ in out], [x for _, x in out])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,21 +263,32 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, blobs in _blobs.by_bucket(batches):
             parts: list[list[np.ndarray]] = []
-            for x in blobs:
+            sets = 0
+            while blobs:
+                x = blobs.pop()
                 if len(x) == 5:
-                    # the keys of buckets are cut to 32 bits below their bucket's; cut these alike
-                    key = ((x[0] >> shift) << U64(32)) | ((x[0] << U64(64) - shift) >> U64(32))
-                    yield from as_rows(x[1], None, key.view(np.int64), *x[2:])
+                    cut = ((x[0] >> shift) << U64(32)) | ((x[0] << U64(64) - shift) >> U64(32))
+                    yield from as_rows(x[1], None, named(cut, x[2], x[3]), *x[2:])
                 else:
-                    parts.append([x[0].astype(U64) | (U64(p) << U64(32)), x[3][x[2]], *(v.astype(np.int32) for v in (x[4][x[2]], x[1], x[5][x[2]]))])
+                    parts.append([_blobs.summed(x[0]), x[1].astype(np.int32), x[2].astype(np.int32) + np.int32(sets), *x[3:]])
+                    sets += len(x[3])
             if parts:
-                yield from meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                low, segment, entry, cls, band, left = (np.concatenate(x) for x in zip(*parts, strict=True))
+                del parts
+                band, left = band.astype(np.int32), left.astype(np.int32)
+                ranges = max(0, (len(low) // MEET).bit_length())
+                where = (low.astype(U64) >> U64(32 - ranges)).astype(np.int64)
+                for i in range(1 << ranges):
+                    x = np.flatnonzero(where == i)
+                    e = entry[x]
+                    key = named(low[x].astype(U64) | (U64(p) << U64(32)), band[e], segment[x])
+                    yield from meet(key, cls[e], band[e], segment[x], left[e])
         release()
 
     def meet(key: np.ndarray, cls: np.ndarray, band: np.ndarray, segment: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, begin, count = _group(key, cls)
         dear = order[np.repeat(count > CHEAP, count)]
-        yield from as_rows(cls[dear], None, key[dear].view(np.int64), band[dear], segment[dear], left[dear])
+        yield from as_rows(cls[dear], None, key[dear], band[dear], segment[dear], left[dear])
         pairs = []
         for c in range(2, CHEAP + 1):
             first = begin[count == c]
@@ -283,7 +302,7 @@ def _meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
             yield from as_rows(both[:, 0].copy(), both[:, 1].copy(), None, None, None, None)
 
-    return _blobs.dealt(docs.select("_text").mapInArrow(emit, _blobs.SCHEMA), n).mapInArrow(merge, _MEETING)
+    return _blobs.dealt(docs.select("_text").mapInArrow(emit, _blobs.SCHEMA), n, 2).mapInArrow(merge, _MEETING)
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -342,9 +361,14 @@ def _pruned(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that are linked, by comparing their sets."""
-    full = sets.select("cls", "tokens")
-    joined = pairs.select("a", "b").join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
+    """The pairs (a written table) that are linked, by comparing their sets.  Sets of no pair are left out before any is sent, unless too many have one for a broadcast."""
+
+    def of(end: str) -> DataFrame:
+        have = pairs.select(F.col(end).alias("cls")).distinct()
+        some = sets.select("cls", "tokens")
+        return (some.join(F.broadcast(have), "cls", "left_semi") if have.count() <= BROADCAST_KEYS else some).toDF(end, f"x{end}")
+
+    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -497,6 +521,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
     narrow = scratch.write(base.mapInArrow(sized, f"doc_id {kind}, _h long, n_shingles long, cls long, bitmap binary, probe array<long>"), "narrow")
     bands = Bands.make(num, den, allocate(narrow, len(either[0].low)))
     meetings = scratch.write(_meetings(base, shingle, bands), "meetings")
+    tidy(docs.sparkSession)  # the keys that were sent are the most that this run has on disk
     order = Window.partitionBy("a", "band").orderBy("segment")
     dear = meetings.where("b is null").select("a", "key", "band", "segment", "spare").distinct()
     dear = dear.withColumn("_r", F.dense_rank().over(order)).where("_r > spare").select("key", F.col("a").alias("cls"))
@@ -508,6 +533,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
     pairs = scratch.write(_pruned(meetings.where("b is not null").select("a", "b").distinct(), classes, num, den), "candidates")
     scratch.drop(meetings)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(dear.select("cls")).distinct()
+    tidy(docs.sparkSession)
     sets = _candidate_sets(base, scratch.write(classes.join(wanted, "cls", "left_semi").select("cls", "h"), "chosen"), shingle, scratch)
     labels = _Labels(scratch)
     labels.add(_links(pairs, sets, num, den))
@@ -517,7 +543,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, shingle: int =
             pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("p"), F.col("comp").alias("pc"))).alias("_p"))
             star = join_keys(members, scratch.write(pivot, "pivots"), "key", F.col("cls")).where(F.col("_p.pc") != F.col("comp")).groupBy("cls").agg(F.min("_p").alias("_p"))
             star = _pruned(star.select(F.col("cls").alias("a"), F.col("_p.p").alias("b")), classes, num, den)
-            labels.add(_links(star, sets, num, den))
+            labels.add(_links(scratch.write(star, "stars"), sets, num, den))
         for top in (1, None):  # the likeliest partners connect most of a group; the last round leaves none out
             labels.add(_links(scratch.write(_within_dear(dear, classes, labels, num, den, scratch, top), "within"), sets, num, den))
     least = narrow.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("_least"))

@@ -217,6 +217,34 @@ def test_near_duplicates_of_short_texts(spark, monkeypatch, cheap):
     assert got == dict(enumerate(comp))
 
 
+def test_keys_of_near_duplicates_take_few_bytes(spark, monkeypatch):
+    """A set is named once for its keys in a bucket, and ranges of a bucket meet like the whole."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from notewright.llm import _blobs, jaccard_join
+    from notewright.llm._kernel import texts
+
+    rng = random.Random(5)
+    texts_ = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(80, 160))) for _ in range(1500)]
+    texts_ += [t.replace("w1", "v1", 1) for t in texts_[:40]]
+    docs = table(spark, [(i, t, None, None) for i, t in enumerate(texts_)]).repartition(2)
+    bands = Bands.make(4, 5, True)
+    n_keys = sum(len(jaccard_join.keys(jaccard_join.shingle_sets(t, 5), bands).key) for t in texts(pa.array(texts_)))
+    sent, deal = [], _blobs.dealt
+    monkeypatch.setattr(_blobs, "dealt", lambda df, *a: sent.append(df) or deal(df, *a))
+    found = []
+    for meet in (10**9, 1000):
+        monkeypatch.setattr(jaccard_join, "MEET", meet, raising=False)
+        rows = jaccard_join._meetings(docs.select(F.col("text").alias("_text")), 5, bands).where("b is not null").select("a", "b").distinct()
+        found.append({tuple(r) for r in rows.collect()})
+    assert found[0] == found[1] and len(found[0]) >= 40
+    assert sent[0].agg(F.sum(F.length("blob"))).first()[0] < 10 * n_keys  # 11.3 when a bucket had 500 documents
+    x = np.sort(np.array([0, 0, 5, 2**31, 2**32 - 1, *np.random.default_rng(1).integers(0, 2**32, 500)], np.uint32))
+    assert (_blobs.summed(_blobs.steps(x)) == x).all() and len(_blobs.summed(_blobs.steps(x[:0]))) == 0
+
+
 def test_bands_hold_every_pair_of_sizes():
     b = Bands.make(4, 5, 3000)
     for n in range(1, 2000):
