@@ -19,6 +19,8 @@ from notewright.sources.shared import Scratch
 MOST_COARSE = 512
 #: Vectors that are iterated beside those asked for, so that these settle sooner.
 SPARE = 3
+#: Ends of a node's edges that are one row.
+ENDS = 1024
 #: Sums are taken of whole numbers of these steps, so that they don't depend on the order of rows.
 STEP, WIDE = float(1 << 32), float(1 << 24)
 
@@ -39,7 +41,8 @@ def graph_reducer(k: int = 5, near: int = 30, probes: int = 8, rounds: int = 10)
 
 def _total(x: Column, step: float) -> Column:
     """A sum of doubles that is the same in any order."""
-    return F.sum(F.round(x * step).cast("long")) / step
+    up = lambda y: F.floor(y + 0.5)  # noqa: E731  half away from zero, as round() does by way of decimals, which takes longer than the sum
+    return F.sum(F.when(x < 0, -up(-x * step)).otherwise(up(x * step))) / step
 
 
 def different(notes: DataFrame, vector: str = "vector") -> tuple[DataFrame, DataFrame]:
@@ -103,6 +106,13 @@ def _coarse(edges: DataFrame, lists: DataFrame, p: int) -> tuple[list[int], np.n
     return names, v[:, ::-1][:, 1 : p + 1] / root[:, None] * np.sqrt((root * root).sum())  # of mean square 1 by weight
 
 
+def _bundled(step: DataFrame) -> DataFrame:
+    """(j, to): steps (i, j, w) from each j as arrays of about ENDS of (i, w) at most, so that a round sorts and sends a few rows a node."""
+    many = step.groupBy("j").agg(F.ceil(F.count(F.lit(1)) / ENDS).cast("int").alias("parts"))
+    dealt = step.join(many, "j").withColumn("part", F.pmod(F.xxhash64("i"), "parts"))
+    return dealt.groupBy("j", "part").agg(F.collect_list(F.struct("i", "w")).alias("to")).select("j", "to")
+
+
 def spectral(notes: DataFrame, k: int = 5, near: int = 30, probes: int = 8, rounds: int = 10, lists: int | None = None) -> DataFrame:
     """(doc_id, reduced): each row's place among its neighbours by cosine, k numbers of mean square about 1.
 
@@ -134,14 +144,15 @@ def spectral(notes: DataFrame, k: int = 5, near: int = 30, probes: int = 8, roun
         return scratch.last(members.select("doc_id", zeros.alias("reduced")), "result")
     x = [f"x{c}" for c in range(p)]
     # a step of the walk goes from i to its neighbours j by w / d, half of the time it stays
-    step = scratch.write(edges.join(degree, "i").select("i", "j", (F.col("w") / F.col("d")).alias("w")), "step")
+    step = scratch.write(_bundled(edges.join(degree, "i").select("i", "j", (F.col("w") / F.col("d")).alias("w"))), "step")
     guess = notes.sparkSession.createDataFrame([(int(a), *map(float, v)) for a, v in zip(names, first, strict=True)], f"list int, {', '.join(f'{c} double' for c in x)}")
     places = where.join(F.broadcast(guess), "list").join(degree.withColumnRenamed("i", "doc_id"), "doc_id").select(F.col("doc_id").alias("j"), "d", *x)
     places = scratch.write(places, "places")
     total = places.agg(_total(F.col("d"), WIDE)).first()[0]
     for turn in range(rounds):
         places = _apart(places, x, total)
-        moved = step.join(places, "j").groupBy("i").agg(*(_total(F.col("w") * F.col(c), STEP).alias(f"_{c}") for c in x))
+        sent = step.join(places.select("j", *x), "j").select(*x, F.inline("to"))
+        moved = sent.groupBy("i").agg(*(_total(F.col("w") * F.col(c), STEP).alias(f"_{c}") for c in x))
         after = places.join(moved.withColumnRenamed("i", "j"), "j").select("j", "d", *((F.col(c) / 2 + F.col(f"_{c}") / 2).alias(c) for c in x), *(F.col(c).alias(f"b{c}") for c in x))
         written = scratch.write(after, f"round-{turn}")
         scratch.drop_all_but(nodes, step, written)

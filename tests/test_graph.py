@@ -93,3 +93,19 @@ def test_defined_cases(spark, ring):
     assert {tuple(v) for v in few.values()} == {(0.0, 0.0)} and len(few) == 3
     three = places(graph.spectral(frame(spark, ring[:3]), k=5, rounds=2))
     assert len(three) == 3 and all(len(v) == 5 for v in three.values())
+
+
+def test_sums_and_bundles(spark, monkeypatch):
+    """A node's edges are a few rows of bounded arrays, none is lost; sums round like round() without its decimals."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "ENDS", 8, raising=False)
+    edges = [(i, j, (i + 1) / (j + 3)) for i in range(300) for j in {0, i % 7, i % 50}]
+    rows = graph._bundled(spark.createDataFrame(edges, "i long, j long, w double")).collect()
+    assert sorted((e.i, r.j, e.w) for r in rows for e in r.to) == sorted(edges)
+    assert max(len(r.to) for r in rows) < 40 and len(rows) < len(edges) / 3
+    x = spark.createDataFrame([(v,) for k in range(-40, 41) for v in (k / 2, k / 3, k * 1e-9, k + 0.25)], "x double")
+    got = x.agg(graph._total(F.col("x"), 1.0).alias("a"), (F.sum(F.round("x").cast("long"))).alias("b"), graph._total(F.col("x"), graph.STEP).alias("c"), (F.sum(F.round(F.col("x") * graph.STEP).cast("long")) / graph.STEP).alias("d"))
+    one = got.first()
+    assert one.a == one.b and one.c == one.d
+    assert "Decimal" not in str(got.select("a")._jdf.queryExecution().optimizedPlan()) and "round(" not in str(x.agg(graph._total(F.col("x"), 1.0))._jdf.queryExecution().optimizedPlan())
